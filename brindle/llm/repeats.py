@@ -140,13 +140,13 @@ def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of)
         sums = symbols.prefix_sums(syms)
         start = offsets[row] + i
         hashes = symbols.run_hash(sums, start, start + window)
-        edge = (rank[row] == 0) | (rank[row] == run_of[-1])  # may go on in the partitions before and after
-        inner = np.flatnonzero(~edge)
-        flagged = inner[_repeated(rank[row[inner]], hashes[inner], row[inner], i[inner], col, keep_first)]
-        flagged = flagged[np.argsort(flagged)]
+        flagged, head, alone = _repeated(rank[row], hashes, row, i, col, keep_first)
+        flagged.sort()
         if len(flagged):
             yield pa.RecordBatch.from_arrays(_spans(flagged, row, i, col, window), schema=schema)
-        far = np.flatnonzero(edge)
+        # Runs that may go on in the partitions before and after: one row for each window, to compare once more.
+        far = head if keep_first else np.concatenate((alone, head))
+        far = far[(rank[row[far]] == 0) | (rank[row[far]] == run_of[-1])]
         for low in range(0, len(far), 50_000):
             x = far[low : low + 50_000]
             empty = pa.nulls(len(x), pa.list_(pa.int32()))
@@ -159,10 +159,12 @@ def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of)
     return run
 
 
-def _repeated(run, hashes, row, i, col, keep_first) -> np.ndarray:
-    """Indexes of windows that stand elsewhere in their run (keep_first: that stand earlier)."""
-    if not len(run):
-        return np.zeros(0, np.int64)
+def _repeated(run, hashes, row, i, col, keep_first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of windows that stand elsewhere in their run here (keep_first: that stand earlier).
+
+    Then of one window of each that stands several times (keep_first: the first of every window), and of those
+    that stand once (keep_first: none).
+    """
     if keep_first:
         where = col["first"][row] + i
         order = np.lexsort((where, col["_rk"][row], col["_id"][row], hashes, run))
@@ -172,10 +174,10 @@ def _repeated(run, hashes, row, i, col, keep_first) -> np.ndarray:
     new = np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])))
     if not keep_first:
         alone = new & np.concatenate((new[1:], [True]))
-        return order[~alone]
+        return order[~alone], order[new & ~alone], order[alone]
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     same = (col["_id"][row[order]] == col["_id"][row[head]]) & (col["_rk"][row[order]] == col["_rk"][row[head]]) & (where[order] == where[head])
-    return order[~same]
+    return order[~same], order[new], order[:0]
 
 
 def _spans(flagged, row, i, col, window) -> list[pa.Array]:
@@ -236,7 +238,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     edge = edge.select("gram", "ctx", "starts", F.transform("starts", lambda x: x + window).alias("ends"))
     inner = compared.where("hash is null").select("gram", "ctx", "starts", "ends")
     parts_of = inner.unionByName(edge).select("gram", "ctx", F.arrays_zip("starts", "ends").alias("parts"))
-    known = reps.select("gram", "ctx", "copies", "own").join(parts_of, ["gram", "ctx"], "left")
+    known = store.table(reps.select("gram", "ctx", "copies", "own").join(parts_of, ["gram", "ctx"], "left"), "known")
     all_of = F.array(F.struct(F.lit(0).alias("starts"), (F.col("n") - 1 + window).alias("ends")))
     mine = (F.col("_id") == F.col("own._id")) & (F.col("_rk") == F.col("own._rk")) & (F.col("first") == F.col("own.first"))
     whole = ~mine if keep_first else F.col("copies") > 1

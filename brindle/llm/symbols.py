@@ -18,7 +18,7 @@ BYTE_SYMBOL = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.u
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Symbols handled at a time; a longer text is taken in overlapping pieces.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
