@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts between spaces, and pieces, whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Parts between spaces, and other pieces, whose ids a worker remembers; later ones are encoded each time.
+PARTS, PIECES = 500_000, 500_000
+#: Texts in Python's hands at a time.
+AT_ONCE = 500
 
 
 class PrefixTable:
@@ -72,7 +74,9 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        self.sizes = list(map(len, self.tokens))
+        self.packed = [x.to_bytes(4, "little") for x in range(len(self.tokens))]
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (pair := self._merge(token, rank)):
                 self.halves[rank] = pair
@@ -98,7 +102,7 @@ class Vocabulary:
         Take back the merges of both sides from the last one; no pair that meets at the boundary may have
         merged before the parts it belongs to were themselves merged further.
         """
-        known = self._follows.get((left, right))
+        known = self._follows.get(left << 20 | right)
         if known is not None:
             return known
         a, b, before, ok = left, right, len(self.tokens), True
@@ -115,7 +119,7 @@ class Vocabulary:
                 before, b = b + 1, self.halves[b][0]
         if len(self._follows) > 2_000_000:
             self._follows.clear()
-        self._follows[(left, right)] = ok
+        self._follows[left << 20 | right] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -123,13 +127,20 @@ class Vocabulary:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         last: list[int] = []
+        follows, filled = self._follows, -1
         for end, (token, size) in self._find.iter(piece.decode("latin-1")):  # longest first for each end
-            if len(last) <= end and (size > end or self.may_follow(last[end - size], token)):
+            if end > filled:
+                if size <= end:
+                    ok = follows.get(last[end - size] << 20 | token)
+                    if not (self.may_follow(last[end - size], token) if ok is None else ok):
+                        continue
                 last.append(token)
-        out, end, tokens = [], len(piece), self.tokens
+                filled = end
+        out, end, sizes = [], len(piece), self.sizes
         while end:
-            out.append(last[end - 1])
-            end -= len(tokens[out[-1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
         return out[::-1]
 
 
@@ -164,7 +175,7 @@ class Encoder:
         class Spaced(dict):
             def __missing__(self, part: str) -> bytes:
                 ids = encoder._whole(" " + part)
-                if len(self) < REMEMBERED:
+                if len(self) < PARTS:
                     self[part] = ids
                 return ids
 
@@ -173,11 +184,12 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         out, known = [], self._piece
         kind = "ascii" if text.isascii() else "all" if self.beyond.search(text) else "basic"
-        for piece in self.pieces[kind].findall(text):
+        found = self.pieces[kind].findall(text)
+        for piece in found:
             ids = known.get(piece)
             if ids is None:
-                ids = np.array(self.vocabulary.encode_piece(piece.encode()), "<u4").tobytes()
-                if len(known) < REMEMBERED:
+                ids = b"".join(map(self.vocabulary.packed.__getitem__, self.vocabulary.encode_piece(piece.encode())))
+                if len(found) > 1 and len(known) < PIECES:
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -218,8 +230,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def _texts(column: pa.Array) -> Iterator[str]:
+    for low in range(0, len(column), AT_ONCE):
+        for x in column.slice(low, AT_ONCE).to_pylist():
+            yield x or ""
 
 
 def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:

@@ -75,7 +75,9 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def counts(fp: Column) -> Column:
     """Bit counts of the 32 two-bit segments, packed two bits each."""
-    return fp - F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW_BITS))
+    high, low = F.shiftrightunsigned(fp, 1), F.lit(LOW_BITS)
+    two, one = high.bitwiseAND(fp).bitwiseAND(low), high.bitwiseXOR(fp).bitwiseAND(low)
+    return F.shiftleft(two, 1).bitwiseOR(one)
 
 
 def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op3_lempel_ziv, op4_suffix_array
+from brindle.llm import op3_lempel_ziv, op4_suffix_array, op7_byte_bpe, op8_simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +21,19 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_suffix_array.digest(_documents(spark, sf_dir))
 
 
+def op7_byte_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_byte_bpe.digest(_documents(spark, sf_dir))
+
+
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_simhash.digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lempel_ziv_dedup": op3_lempel_ziv_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op7_byte_bpe_encode": op7_byte_bpe_encode,
+    "op8_simhash_groups": op8_simhash_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {}
