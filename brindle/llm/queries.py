@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op3_lempel_ziv, op4_suffix_array, op7_byte_bpe, op8_simhash
+from brindle.llm import op10_toxicity, op3_lempel_ziv, op4_suffix_array, op7_byte_bpe, op8_simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_simhash.digest(_documents(spark, sf_dir))
 
 
+def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lempel_ziv_dedup": op3_lempel_ziv_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_byte_bpe_encode": op7_byte_bpe_encode,
     "op8_simhash_groups": op8_simhash_groups,
+    "op10_toxicity_scores": op10_toxicity_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
