@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op10_toxicity, op3_lempel_ziv, op4_suffix_array, op7_byte_bpe, op8_simhash
+from brindle.llm import op10_toxicity, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op7_byte_bpe, op8_simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_suffix_array.digest(_documents(spark, sf_dir))
 
 
+def op5_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality_rules.digest(_documents(spark, sf_dir))
+
+
 def op7_byte_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_byte_bpe.digest(_documents(spark, sf_dir))
 
@@ -36,9 +40,10 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lempel_ziv_dedup": op3_lempel_ziv_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_quality_rules_verdicts": op5_quality_rules_verdicts,
     "op7_byte_bpe_encode": op7_byte_bpe_encode,
     "op8_simhash_groups": op8_simhash_groups,
     "op10_toxicity_scores": op10_toxicity_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules_verdicts": op5_quality_rules.sql()}
