@@ -29,7 +29,7 @@ RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 16.0),
     Rule("symbol_ratio", "symbols_per_word", None, 0.3),
     Rule("stop_words", "stop_word_ratio", 0.02, None),
-    Rule("duplicate_lines", "duplicate_line_ratio", None, 0.3),
+    Rule("duplicate_lines", "duplicate_line_ratio", None, 0.6),
     Rule("long_lines", "words_per_line", None, 100_000.0),
 )
 

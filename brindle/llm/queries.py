@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op10_toxicity, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op7_byte_bpe, op8_simhash
+from brindle.llm import op10_toxicity, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op7_byte_bpe, op8_simhash, op9_class_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_simhash.digest(_documents(spark, sf_dir))
 
 
+def op9_class_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_class_lm.scored(_documents(spark, sf_dir))
+
+
 def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules_verdicts": op5_quality_rules_verdicts,
     "op7_byte_bpe_encode": op7_byte_bpe_encode,
     "op8_simhash_groups": op8_simhash_groups,
+    "op9_class_lm_scores": op9_class_lm_scores,
     "op10_toxicity_scores": op10_toxicity_scores,
 }
 
