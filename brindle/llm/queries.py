@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op10_toxicity, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op7_byte_bpe, op8_simhash, op9_class_lm
+from brindle.llm import op1_mixing, op2_additive_quantisation, op10_toxicity, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op6_uniform_shuffle, op7_byte_bpe, op8_simhash, op9_class_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mixing.digest(_documents(spark, sf_dir))
+
+
+def op2_additive_quantisation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_additive_quantisation.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_lempel_ziv.digest(_documents(spark, sf_dir))
 
@@ -25,6 +33,10 @@ def op5_quality_rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality_rules.digest(_documents(spark, sf_dir))
 
 
+def op6_uniform_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_uniform_shuffle.digest(_documents(spark, sf_dir))
+
+
 def op7_byte_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_byte_bpe.digest(_documents(spark, sf_dir))
 
@@ -42,9 +54,12 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing_sample": op1_mixing_sample,
+    "op2_additive_quantisation_search": op2_additive_quantisation_search,
     "op3_lempel_ziv_dedup": op3_lempel_ziv_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_rules_verdicts": op5_quality_rules_verdicts,
+    "op6_uniform_shuffle_shards": op6_uniform_shuffle_shards,
     "op7_byte_bpe_encode": op7_byte_bpe_encode,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_class_lm_scores": op9_class_lm_scores,
