@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from brindle.llm import store
 
 #: Codebooks and words in each; beams kept in encoding.
-BOOKS, WORDS, BEAM = 12, 256, 6
+BOOKS, WORDS, BEAM = 24, 64, 6
 #: Vectors that codebooks are fitted on, at most (those of smallest hashed id); rounds of k-means and of least squares.
-SAMPLE, ROUNDS, REFITS = 10_000, 6, 1
+SAMPLE, ROUNDS, REFITS = 16_000, 6, 1
 #: Entries of the index and queries compared in one task; candidates ranked again for each query.
-ENTRIES, QUERIES, CANDIDATES = 65_536, 64, 256
+ENTRIES, QUERIES, CANDIDATES = 65_536, 64, 800
 
 
 def usable(vector: Column, size: int | None = None) -> Column:
