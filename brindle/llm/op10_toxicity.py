@@ -130,6 +130,11 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], stems: dict[str, f
     return rows.mapInArrow(run, rows.withColumn("features", F.array(F.lit(0.0))).schema)
 
 
+def _beginnings(words: Column, size: int) -> Column:
+    """Distinct first letters of the words of that many letters or more."""
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.substring(w, 1, size)))
+
+
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings of words (4 or 5 letters) that stand in toxic rows far more often than by chance.
 
@@ -137,7 +142,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """
     words = rows.select("label", F.array_distinct(F.split(F.lower("row.text"), r"[^\p{L}\p{N}]+")).alias("words"))
     whole = words.select("label", F.explode("words").alias("term"), F.lit(0).alias("kind"))
-    starts = [words.select("label", F.explode(F.array_distinct(F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)))).alias("term"), F.lit(k).alias("kind")) for k in STEMS]
+    starts = [words.select("label", F.explode(_beginnings(F.col("words"), k)).alias("term"), F.lit(k).alias("kind")) for k in STEMS]
     for x in starts:
         whole = whole.unionByName(x)
     base = rows.agg(F.avg("label")).first()[0] or 0.0
