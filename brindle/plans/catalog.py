@@ -1,4 +1,8 @@
-"""Named queries over page corpora, each with the SQL that DuckDB runs for comparison."""
+"""Named queries over page corpora, each with the SQL that DuckDB runs for comparison.
+
+Queries named q_page_*, q_anchor_*, q_host_*, q_text_* and q_lines_* run over the whole tables of a data folder; the
+others over the literal tables of fixtures.py, whose vocabulary the page corpus lacks.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,338 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import lexicon, rules, text, url
+from brindle.operators import pages, records, site
+from brindle.plans.fixtures import TABLES, frame
+from brindle.sources import html
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WS = text.WS
+q = rules.quoted
+CLEAN = lambda c: f"trim(regexp_replace(coalesce({c}, ''), {q(WS)}, ' ', 'g'))"
+FOLD = lambda c: f"trim(regexp_replace(lower(translate(strip_accents(coalesce({c}, '')), 'đĐ', 'dD')), {q(WS)}, ' ', 'g'))"
+MONEY = lambda c: f"nullif(TRY_CAST(nullif(regexp_replace(coalesce({c}, ''), '[^0-9]', '', 'g'), '') AS DOUBLE), 0)"
+NUM = lambda c: f"CASE WHEN regexp_matches(trim(coalesce({c}, '')), {q(text.NUMBER)}) THEN TRY_CAST(trim({c}) AS DOUBLE) END"
+HOST = lambda c: f"regexp_replace(regexp_extract(lower(coalesce({c}, '')), '^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2), '^www\\.', '')"
+ORIGIN = lambda c: f"regexp_replace(regexp_replace(lower(regexp_extract(coalesce({c}, ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)), '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1')"
+PATH = lambda c: f"coalesce(nullif(regexp_extract(coalesce({c}, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/')"
+QUERY = lambda c: f"regexp_extract(coalesce({c}, ''), '^[^?#]*\\?([^#]*)', 1)"
+PARAM = lambda c, n: f"CASE WHEN regexp_matches('&' || {QUERY(c)}, '&{n}(=|&|$)') THEN regexp_extract('&' || {QUERY(c)}, '&{n}(=([^&]*)|&|$)', 2) END"
+
+
+def CANONICAL(c: str) -> str:
+    names = ", ".join(map(q, url.TRACKING))
+    kept = f"list_filter([CASE WHEN contains(x, '=') THEN x ELSE x || '=' END FOR x IN string_split({QUERY(c)}, '&') IF x <> ''], lambda x: split_part(x, '=', 1) NOT IN ({names}))"
+    for p in url.PAGE_PARAMETERS:
+        kept = f"CASE WHEN coalesce({PARAM(c, p)} = '1', false) THEN list_filter({kept}, lambda x: split_part(x, '=', 1) <> '{p}') ELSE {kept} END"
+    ordered = f"(SELECT coalesce(string_agg(x, '&' ORDER BY split_part(x, '=', 1), i), '') FROM (SELECT unnest(k) AS x, generate_subscripts(k, 1) AS i FROM (SELECT {kept} AS k)))"
+    return f"CASE WHEN regexp_matches(coalesce({c}, ''), '(?i)^https?://[^/?#]') THEN {ORIGIN(c)} || {PATH(c)} || (SELECT CASE WHEN s = '' THEN '' ELSE '?' || s END FROM (SELECT {ordered} AS s)) ELSE coalesce({c}, '') END"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+ANCHOR_SQL = f"""
+a AS (SELECT page_id, url, generate_subscripts(tags, 1) - 1 AS ord, unnest(tags) AS tag
+      FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0) AS tags FROM pages)),
+h AS (SELECT page_id, url, ord, tag, regexp_extract(tag, '(?is)<a\\s[^>]*?href="([^"]*)"', 1) AS raw FROM a),
+links AS (SELECT page_id, url, ord, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw WHEN starts_with(raw, '/') THEN {ORIGIN("url")} || raw
+      WHEN starts_with(raw, '?') THEN {ORIGIN("url")} || {PATH("url")} || raw ELSE {ORIGIN("url")} || regexp_replace({PATH("url")}, '[^/]*$', '') || raw END AS href,
+      {CLEAN("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', '', 'g')")} AS text FROM h)"""
+
 
+@query("q_host_page_counts", f"WITH {ANCHOR_SQL} SELECT {HOST('p.url')} AS host, count(DISTINCT p.page_id) AS n_pages, count(DISTINCT l.href) AS n_links FROM pages p LEFT JOIN links l USING (page_id) GROUP BY 1")
 def host_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of each host, without a leading www."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    host = F.regexp_replace(F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit(""))), r"^www\.", "")
-    return pages.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
+    """Pages and distinct links of each host."""
+    all_pages = _pages(spark, sf_dir)
+    counted = all_pages.groupBy(url.host("url").alias("host")).agg(F.count_distinct("page_id").alias("n_pages"))
+    linked = pages.anchors(all_pages).groupBy(url.host("url").alias("host")).agg(F.count_distinct("href").alias("n_links"))
+    return counted.join(linked, "host", "left").fillna(0, ["n_links"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q_host_page_counts": host_page_counts}
-ORACLE_SQL: dict[str, str] = {}
+@query("q_page_canonical_url", f"SELECT page_id, {CANONICAL('url')} AS canonical, {HOST('url')} AS host, {ORIGIN('url')} AS origin, {PATH('url')} AS path FROM pages")
+def page_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", url.canonical("url").alias("canonical"), url.host("url").alias("host"), url.origin("url").alias("origin"), url.path("url").alias("path"))
+
+
+@query("q_url_functions", f"SELECT id, {CANONICAL('u')} AS canonical, {HOST('u')} AS host, {ORIGIN('u')} AS origin, {PATH('u')} AS path, {PARAM('u', 'p')} AS p, split_part(coalesce(u, ''), '#', 1) AS plain FROM {TABLES['urls']}")
+def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = frame(spark, "urls")
+    return u.select("id", url.canonical("u").alias("canonical"), url.host("u").alias("host"), url.origin("u").alias("origin"), url.path("u").alias("path"), url.parameter("u", "p").alias("p"), url.without_fragment("u").alias("plain"))
+
+
+@query("q_page_dedupe_first", f"SELECT page_id, canonical FROM (SELECT page_id, canonical, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS r FROM (SELECT page_id, {CANONICAL('url')} AS canonical FROM pages)) WHERE r = 1")
+def page_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = _pages(spark, sf_dir).select("page_id", url.canonical("url").alias("canonical"))
+    return keyed.groupBy("canonical").agg(F.min("page_id").alias("page_id")).select("page_id", "canonical")
+
+
+@query("q_anchor_explode", f"WITH {ANCHOR_SQL} SELECT page_id, ord::INT AS ord, href, text FROM links")
+def anchor_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.anchors(_pages(spark, sf_dir)).select("page_id", "ord", "href", "text")
+
+
+@query("q_anchor_distinct_per_page", f"WITH {ANCHOR_SQL} SELECT page_id, count(DISTINCT lower(text) || '|' || href) AS n_items, count(DISTINCT href) AS n_links FROM links WHERE text <> '' GROUP BY 1")
+def anchor_distinct_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = pages.anchors(_pages(spark, sf_dir)).where("text <> ''")
+    return a.groupBy("page_id").agg(F.count_distinct(F.concat(F.lower("text"), F.lit("|"), "href")).alias("n_items"), F.count_distinct("href").alias("n_links"))
+
+
+@query("q_page_pagination", f"SELECT page_id, {PARAM('url', 'p')} IS NOT NULL OR {PARAM('url', 'page')} IS NOT NULL OR regexp_matches({PATH('url')}, '/page/[0-9]+') AS pagination, {PARAM('url', 'page')} AS page FROM pages")
+def page_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", url.is_pagination("url").alias("pagination"), url.parameter("url", "page").alias("page"))
+
+
+@query("q_page_shredded")
+def page_shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, interactive nodes, lines and title of every page, by the HTML shredder."""
+    return html.shred(_pages(spark, sf_dir)).select("page_id", F.size("nodes").alias("n_nodes"), F.size(F.filter("nodes", lambda n: n.interactive)).alias("n_interactive"), F.size("lines").alias("n_lines"), "title", F.get("lines", 0).alias("first_line"))
+
+
+@query("q_text_fold", f"SELECT doc_id, sha256({FOLD('text')}) AS folded, sha256({CLEAN('text')}) AS cleaned FROM documents")
+def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.sha2(text.fold("text"), 256).alias("folded"), F.sha2(text.clean("text"), 256).alias("cleaned"))
+
+
+@query("q_lines_clean", rf"SELECT doc_id, len(l)::INT AS n_lines, coalesce(l[1], '') AS first_line FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x: {CLEAN('x')}), lambda x: x <> '') AS l FROM documents)")
+def lines_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.lines("text").alias("l"))
+    return docs.select("doc_id", F.size("l").alias("n_lines"), F.coalesce(F.get("l", 0), F.lit("")).alias("first_line"))
+
+
+DOC_RULES = [rules.Rule("licence", "t", rules.sub("licen[cs]e", "copyright"), 5), rules.Rule("table", "t", rules.sub(r"\|.*\|"), -3), rules.Rule("contact", "t", rules.sub("@", "tel"), -2), rules.Rule("the", "t", rules.wb("the", "la", "der"), 1)]
+
+
+@query("q_text_rule_scores", f"SELECT doc_id, ({rules.score_sql(DOC_RULES)})::INT AS score, array_to_string({rules.labels_sql(DOC_RULES)}, ',') AS labels FROM (SELECT doc_id, {FOLD('text')} AS t FROM documents)")
+def text_rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.fold("text").alias("t"))
+    return docs.select("doc_id", rules.score(DOC_RULES).alias("score"), F.array_join(rules.labels(DOC_RULES), ",").alias("labels"))
+
+
+PRICE_SQL = lambda c: f"CASE WHEN regexp_extract(coalesce({c}, ''), {q(text.PRICE)}, 0) <> '' THEN regexp_extract({c}, {q(text.PRICE)}, 0) WHEN contains(lower(coalesce({c}, '')), {q(text.CONTACT.lower())}) THEN {q(text.CONTACT)} ELSE '' END"
+
+
+@query("q_value_functions", f"""SELECT id, {MONEY('t')} AS money, CASE WHEN ({NUM('t')}) BETWEEN 0 AND 5 THEN {NUM('t')} END AS rating, CASE WHEN ({NUM('t')}) >= 0 THEN floor(({NUM('t')}) + 0.5)::BIGINT END AS reviews,
+ {PRICE_SQL('t')} AS price, TRY_CAST(nullif(regexp_extract(coalesce(t, ''), '(?i)Page\\s+[0-9]+\\s*/\\s*([0-9]+)', 1), '') AS INT) AS pages, regexp_matches(coalesce(t, ''), '^[0-9]+$') AS digits, {FOLD('t')} AS folded FROM {TABLES['values']}""")
+def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = frame(spark, "values")
+    return v.select("id", text.digits_money("t").alias("money"), text.rating("t").alias("rating"), text.review_count("t").alias("reviews"), text.price_text("t").alias("price"), text.declared_pages("t").alias("pages"), text.is_digits("t").alias("digits"), text.fold("t").alias("folded"))
+
+
+@query("q_order_prices", "SELECT o_orderkey, nullif(TRY_CAST(regexp_replace(printf('%.2f', o_totalprice), '[^0-9]', '', 'g') AS DOUBLE), 0) AS as_text, CASE WHEN o_totalprice > 0 THEN o_totalprice END AS as_number FROM orders")
+def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", text.digits_money(F.format_string("%.2f", "o_totalprice")).alias("as_text"), text.number_money("o_totalprice").alias("as_number"))
+
+
+def _label_sql(kind: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches(line, {q('(?i)' + p)}) AND coalesce(nullif(trim(regexp_replace(regexp_replace(line, {q('(?i)' + p)}, ''), '^\\s*[:：-]\\s*', '')), ''), nullif(following, '')) IS NOT NULL THEN coalesce(nullif(trim(regexp_replace(regexp_replace(line, {q('(?i)' + p)}, ''), '^\\s*[:：-]\\s*', '')), ''), following)" for p in lexicon.LABELS[kind])
+    return f"(SELECT arg_min(v, i) FROM (SELECT i, CASE {cases} END AS v FROM (SELECT i, line, coalesce(l[i + 1], '') AS following FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i))) WHERE v IS NOT NULL)"
+
+
+LINES_SQL = rf"(SELECT id, list_filter(list_transform(string_split_regex(coalesce(body, ''), '\r?\n'), lambda x: {CLEAN('x')}), lambda x: x <> '') AS l FROM {TABLES['lines']})"
+
+
+@query("q_find_label", f"SELECT id, {', '.join(f'''coalesce({_label_sql(k)}, '') AS {k}''' for k in lexicon.LABELS)} FROM {LINES_SQL}")
+def find_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, "lines").select("id", text.lines("body").alias("l"))
+    return rows.select("id", *[text.find_label(F.col("l"), ["(?iu)" + p for p in patterns]).alias(k) for k, patterns in lexicon.LABELS.items()])
+
+
+SUMMARY_SQL = f"""SELECT id, coalesce((SELECT string_agg(line, ' | ' ORDER BY i) FROM u WHERE u.id = f.id AND i > f.head AND i <= f.head + 24 AND i < coalesce((SELECT min(i) FROM u AS s WHERE s.id = f.id AND s.i > f.head AND s.stop), 1000000) AND length(line) <= 280), '') AS summary,
+ coalesce((SELECT string_agg(line, ' | ' ORDER BY i) FROM u WHERE u.id = f.id AND cond), '') AS conditions
+FROM (SELECT t.id, min(CASE WHEN u.heading THEN u.i END) AS head FROM {LINES_SQL} AS t LEFT JOIN u ON u.id = t.id GROUP BY 1) AS f"""
+
+
+@query("q_summary_and_conditions", "WITH u AS (SELECT id, line, i, regexp_matches(line, " + q(lexicon.SUMMARY_HEADING.replace("(?iu)", "(?i)")) + ") AS heading, regexp_matches(line, " + q(lexicon.SUMMARY_STOP.replace("(?iu)", "(?i)")) + ") AS stop, regexp_matches(line, " + q(lexicon.CONDITIONS.replace("(?iu)", "(?i)")) + f") AS cond FROM (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM {LINES_SQL})) " + SUMMARY_SQL)
+def summary_and_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, "lines").select("id", text.lines("body").alias("l"))
+    return rows.select("id", text.summary(F.col("l"), lexicon.SUMMARY_HEADING, lexicon.SUMMARY_STOP).alias("summary"), text.matching_lines(F.col("l"), lexicon.CONDITIONS).alias("conditions"))
+
+
+SITE_CASE = "CASE WHEN rental AND (second_hand OR new_camera) THEN 'MIXED' WHEN second_hand AND new_camera THEN 'SALE_MIXED' WHEN rental THEN 'RENTAL' WHEN second_hand THEN 'SALE_SECOND_HAND' WHEN new_camera THEN 'SALE_NEW' ELSE 'UNKNOWN' END AS site_mode"
+
+
+@query("q_site_mode", f"SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'coalesce(bool_or(regexp_matches(text, {q(r.pattern)})), false) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('raw')} AS text FROM (SELECT page_id, concat_ws(' ', text, aria_label, title) AS raw FROM {TABLES['nodes']} UNION ALL SELECT page_id, visible_text FROM {TABLES['pages']})) GROUP BY 1)")
+def site_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.site_modes(frame(spark, "pages"), frame(spark, "nodes"))
+
+
+@query("q_menu_topk", f"SELECT page_id, ord, score::INT AS score, intent, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM (SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD('''concat_ws(' ', text, aria_label, title)''')} AS text FROM {TABLES['nodes']})) WHERE score > 0) WHERE rank <= 25")
+def menu_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.menu_candidates(frame(spark, "nodes")).select("page_id", "ord", "score", "intent", "rank")
+
+
+ROOT_SQL = f"""WITH s AS (SELECT l.page_id, l.ord, l.text AS label, l.href, {FOLD('l.text')} AS text FROM {TABLES['links']} AS l JOIN {TABLES['pages']} AS p ON p.page_id = l.page_id WHERE {ORIGIN('l.href')} = {ORIGIN('p.url')} AND {PATH('l.href')} <> '/'),
+b AS (SELECT *, {rules.score_sql(lexicon.ROOTS)} AS score FROM (SELECT *, {FOLD(f"text || ' ' || translate({PATH('href')}, '-_/', '   ')")} AS place FROM s)),
+r AS (SELECT page_id, label AS text, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM b WHERE score > 0),
+a AS (SELECT * FROM r WHERE rank <= 15 UNION ALL SELECT page_id, u.t, {ORIGIN('url')} || u.t, 80, 15 + u.i FROM {TABLES['pages']}, (VALUES {', '.join(f"({i + 1}, '{p}')" for i, p in enumerate(lexicon.CONVENTIONAL_PATHS))}) AS u(i, t))
+SELECT page_id, text, href, score::INT AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY rank) AS k FROM a) WHERE k = 1"""
+
+
+@query("q_generic_roots", ROOT_SQL)
+def generic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.generic_roots(frame(spark, "links"), frame(spark, "pages")).select("page_id", "text", "href", "score")
+
+
+RESOLVE_SQL = f"""WITH m AS (SELECT c.candidate_id, l.ord, l.href, CASE WHEN {FOLD('l.text')} = {FOLD('c.text')} THEN 300 ELSE 0 END + CASE WHEN {FOLD('l.title')} = {FOLD('c.text')} THEN 150 ELSE 0 END + CASE WHEN {FOLD('l.aria_label')} = {FOLD('c.text')} THEN 150 ELSE 0 END
+ + CASE WHEN contains({FOLD('l.text')}, {FOLD('c.text')}) THEN 40 ELSE 0 END + CASE WHEN {ORIGIN('l.href')} = {ORIGIN('p.url')} THEN 50 ELSE 0 END + CASE WHEN {PATH('l.href')} <> '/' THEN 30 ELSE 0 END + CASE WHEN regexp_matches(lower({PATH('l.href')}), {q(lexicon.BAD_ROOT_PATH)}) THEN -200 ELSE 0 END AS score
+ FROM {TABLES['candidates']} AS c JOIN {TABLES['links']} AS l ON l.page_id = c.page_id JOIN {TABLES['pages']} AS p ON p.page_id = c.page_id WHERE c.href = ''),
+b AS (SELECT candidate_id, href FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, ord) AS r FROM m WHERE score > 0) WHERE r = 1)
+SELECT candidate_id, CASE WHEN c.href <> '' THEN c.href ELSE coalesce(b.href, '') END AS href FROM {TABLES['candidates']} AS c LEFT JOIN b USING (candidate_id)"""
+
+
+@query("q_root_resolve", RESOLVE_SQL)
+def root_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.resolve_roots(frame(spark, "candidates"), frame(spark, "links"), frame(spark, "pages"))
+
+
+ENTITY_SQL = f"""SELECT id, CASE WHEN short THEN -100 ELSE s END::INT AS entity_score, CASE WHEN short THEN 'NOT_CAMERA' WHEN s >= 5 THEN 'CAMERA' WHEN s <= -3 THEN 'NOT_CAMERA' ELSE 'UNCERTAIN' END AS entity_label,
+ CASE WHEN short THEN '' ELSE array_to_string(p, ',') END AS positives, CASE WHEN short THEN 'strong non-camera title' ELSE array_to_string(n, ',') END AS negatives
+FROM (SELECT id, regexp_matches(title, {q(lexicon.STRONG_NEGATIVE)}) AS short, {rules.score_sql(lexicon.ENTITY + lexicon.NOT_ENTITY)} AS s, {rules.labels_sql(lexicon.ENTITY)} AS p, {rules.labels_sql(lexicon.NOT_ENTITY)} AS n
+FROM (SELECT *, title || ' ' || body AS "both" FROM (SELECT id, {FOLD('title')} AS title, {FOLD('body')} AS body FROM {TABLES['texts']})))""".replace("regexp_matches(both,", 'regexp_matches("both",')
+
+
+@query("q_entity_classify", ENTITY_SQL)
+def entity_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.classify(frame(spark, "texts")).select("id", "entity_score", "entity_label", F.array_join("positives", ",").alias("positives"), F.array_join("negatives", ",").alias("negatives"))
+
+
+@query("q_business_mode", f"SELECT id, {rules.first_label_sql(lexicon.BUSINESS, None)} AS mode FROM (SELECT id, lower(body) AS body FROM {TABLES['texts']})")
+def business_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, "texts").select("id", records.business_mode(F.lit("CAMERA_GENERIC"), F.col("body")).alias("mode"))
+
+
+CARD_PRODUCT = f"""NOT regexp_matches(lower({PATH('href')}), {q(lexicon.BAD_PATH)}) AND NOT ({PARAM('href', 'p')} IS NOT NULL OR {PARAM('href', 'page')} IS NOT NULL OR regexp_matches({PATH('href')}, '/page/[0-9]+'))
+ AND NOT regexp_matches(title, {q('(?i)' + lexicon.ACCESSORY_TITLE)}) AND regexp_matches(title, {q('(?i)' + lexicon.BRANDS)}) AND regexp_matches(title, {q('(?i)' + lexicon.MODELS)}) AND (regexp_matches(card, {q(text.PRICE)}) OR regexp_matches(card, {q('(?i)' + lexicon.COMMERCIAL)})) AND lower(title) NOT IN ({', '.join(map(q, lexicon.NAVIGATION_TITLES))})"""
+
+
+@query("q_product_filter", f"SELECT page_url, ord, {CARD_PRODUCT} AS product, {PRICE_SQL('card')} AS price_text FROM {TABLES['cards']}")
+def product_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.product_verdicts(frame(spark, "cards")).select("page_url", "ord", "product", "price_text")
+
+
+@query("q_product_ownership", f"""WITH p AS (SELECT *, {CANONICAL('href')} AS product_url FROM {TABLES['cards']} WHERE {CARD_PRODUCT}), f AS (SELECT *, row_number() OVER (PARTITION BY page_url, product_url ORDER BY ord) AS r FROM p)
+SELECT product_url, title, intent, catalog_url FROM (SELECT product_url, title, intent, page_url AS catalog_url, row_number() OVER (PARTITION BY product_url ORDER BY page_url DESC, ord) AS k FROM f WHERE r = 1) WHERE k = 1""")
+def product_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = spark.sql("SELECT * FROM VALUES ('https://s.vn/c', 2), ('https://s.vn/c?p=2', 1) AS t(page_url, visit_rank)")
+    return pages.owned_products(pages.page_products(frame(spark, "cards")), visits).select("product_url", "title", "intent", "catalog_url")
+
+
+@query("q_page_sequence", """SELECT * FROM (VALUES ('https://s.vn/c', 'https://s.vn/c?page=2'), ('https://s.vn/c', 'https://s.vn/c?page=3'), ('https://s.vn/d?x=1', 'https://s.vn/d?p=2&x=1'), ('https://s.vn/d?x=1', 'https://s.vn/d?p=5&x=1')) AS t(page_url, next_url)""")
+def page_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = spark.sql("SELECT * FROM VALUES ('https://s.vn/c', 'Page 1 / 3'), ('https://s.vn/d?x=1', 'page 1/2'), ('https://s.vn/e', 'Page 1/1') AS t(page_url, region_text)")
+    links = spark.sql("SELECT * FROM VALUES ('https://s.vn/c', 1, 'https://s.vn/c?page=2'), ('https://s.vn/c', 2, 'https://s.vn/z?p=2'), ('https://s.vn/d?x=1', 1, 'https://s.vn/d?x=1&p=5') AS t(page_url, ord, href)")
+    return pages.page_sequence(at, links)
+
+
+PROBE_SQL = f"""WITH c AS (SELECT url, count(DISTINCT CASE WHEN regexp_matches(text || ' ' || near, {q('(?i)' + lexicon.BRANDS)}) AND regexp_matches(near, {q(text.PRICE)}) THEN split_part(href, '#', 1) END) AS product_like_links,
+ count(DISTINCT CASE WHEN lower(text) IN ({', '.join(map(q, lexicon.PAGE_WORDS))}) OR regexp_matches(text, '^[0-9]+$') OR regexp_matches({QUERY('href')}, '(^|&)(p|page)=[0-9]') OR regexp_matches({PATH('href')}, '/page/[0-9]+') THEN split_part(href, '#', 1) END) AS pagination_links FROM {TABLES['probe_links']} GROUP BY 1),
+s AS (SELECT k.candidate_id, k.url, k.intent, coalesce(product_like_links, 0) AS product_like_links, coalesce(pagination_links, 0) AS pagination_links, {FOLD("concat_ws(' ', p.title, p.body)")} AS body FROM {TABLES['probed']} AS k LEFT JOIN {TABLES['probe_pages']} AS p ON p.url = k.url LEFT JOIN c ON c.url = k.url),
+e AS (SELECT *, CASE {' '.join(f"WHEN intent = '{k}' THEN regexp_matches(body, {q(v)})" for k, v in lexicon.INTENT_EVIDENCE.items())} ELSE true END AS i, regexp_matches(body, {q(lexicon.CAMERA_EVIDENCE)}) AS m, product_like_links > 0 AS b FROM s)
+SELECT candidate_id, url, intent, product_like_links, pagination_links, i AND m AND b AS accepted, 'camera=' || m::VARCHAR || '; shop=' || b::VARCHAR || '; intent=' || i::VARCHAR AS reason FROM e"""
+
+
+@query("q_probe_accept", PROBE_SQL)
+def probe_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.probes(frame(spark, "probed"), frame(spark, "probe_pages"), frame(spark, "probe_links"))
+
+
+@query("q_submenu_diff", f"SELECT page_id, arg_min(text, ord) AS text, arg_min(href, ord) AS href FROM (SELECT page_id, ord, {CLEAN('text')} AS text, href FROM {TABLES['nodes']} WHERE text <> '' AND href <> '') WHERE ord <> 1 GROUP BY page_id, lower(text) || '|' || href")
+def submenu_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = frame(spark, "nodes")
+    return site.submenu_items(nodes.where("ord = 1"), nodes)
+
+
+@query("q_seed_select", f"""WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY ord) AS r FROM {TABLES['roots']} WHERE explicit AND accepted) WHERE r = 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS r FROM {TABLES['roots']} WHERE NOT explicit AND accepted AND site IN (SELECT site FROM {TABLES['modes']} WHERE site_mode = 'RENTAL') AND site NOT IN (SELECT site FROM e))
+SELECT site, url, intent, label FROM e UNION ALL SELECT site, url, intent, label FROM g WHERE r = 1""")
+def seed_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = frame(spark, "roots")
+    return site.select_seeds(roots.where("explicit"), roots.where("not explicit"), frame(spark, "modes"))
+
+
+@query("q_element_match", f"""SELECT node_id, element_id, score::INT AS score FROM (SELECT a.page_id * 10 + a.ord AS node_id, b.ord AS element_id, s AS score, row_number() OVER (PARTITION BY a.page_id, a.ord ORDER BY s DESC, b.ord) AS r FROM {TABLES['nodes']} AS a JOIN {TABLES['nodes']} AS b ON a.page_id = b.page_id,
+ LATERAL (SELECT CASE WHEN lower({CLEAN('a.text')}) = lower({CLEAN('b.text')}) THEN 120 ELSE 0 END + CASE WHEN a.href <> '' AND a.href = b.href THEN 220 ELSE 0 END + CASE WHEN a.aria_label <> '' AND lower({CLEAN('a.aria_label')}) = lower({CLEAN('b.aria_label')}) THEN 80 ELSE 0 END + CASE WHEN abs(a.x - b.x) + abs(a.y - b.y) < 10 THEN 80 WHEN abs(a.x - b.x) + abs(a.y - b.y) < 60 THEN 30 ELSE 0 END AS s)) WHERE r = 1""")
+def element_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = frame(spark, "nodes")
+    return site.match_elements(nodes.withColumn("node_id", F.col("page_id") * 10 + F.col("ord")), nodes.withColumn("element_id", F.col("ord")))
+
+
+def _checkpoint(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+    return lambda df, name: df.checkpoint()
+
+
+def _crawled(spark: SparkSession) -> DataFrame:
+    return pages.crawl(frame(spark, "seeds"), frame(spark, "edges"), frame(spark, "loaded"), _checkpoint(spark))
+
+
+@query("q_frontier", f"""WITH RECURSIVE s AS (SELECT {CANONICAL('url')} AS url, ord FROM {TABLES['seeds']}), w(url, wave) AS (SELECT DISTINCT url, 0 FROM s UNION SELECT e.next_url, w.wave + 1 FROM w JOIN {TABLES['edges']} AS e ON e.url = w.url WHERE e.next_url <> e.url AND w.wave < 6 AND w.url IN (SELECT url FROM {TABLES['loaded']}))
+SELECT url, min(wave)::INT AS wave, CASE WHEN url IN (SELECT url FROM {TABLES['loaded']}) THEN 'visited' ELSE 'failed' END AS status FROM w GROUP BY 1""")
+def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawled(spark).select("url", "wave", "status")
+
+
+def _records(spark: SparkSession) -> DataFrame:
+    return records.details(frame(spark, "listed"), frame(spark, "details"))
+
+
+@query("q_detail_record", """SELECT * FROM (VALUES
+ ('https://www.s.vn/1', 's.vn', 'Canon EOS R50', 'NEW', 'gọn nhẹ | Bảo hành: 12 tháng', 4.5::DOUBLE, 13::BIGINT, 'InStock', NULL::DOUBLE, 19900000::DOUBLE, 'accepted', 'camera detail confirmed'),
+ ('https://s.vn/2', 's.vn', 'Sony ZV-E10', 'RENTAL', '', NULL, NULL, 'còn hàng', 500000, NULL, 'accepted', 'camera detail confirmed'),
+ ('https://s.vn/3', 's.vn', 'Pin Canon', 'NEW', '', NULL, NULL, '', NULL, NULL, 'excluded', 'not camera: strong non-camera title'),
+ ('https://s.vn/4', 's.vn', 'Sony Alpha Body', 'NEW', 'Bảo hành: 1 năm', NULL, NULL, '', NULL, 100, 'review', 'business mode uncertain'),
+ ('https://s.vn/5', 's.vn', 'Gone R5', 'RENTAL', '', NULL, NULL, '', NULL, NULL, 'review', 'detail fetch failed: page not in corpus'))
+ AS t(url, website, product_name, business_mode, specs, rating, review_count, stock, rental_price_per_day, sale_price, disposition, reason)""")
+def detail_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark).select("url", "website", "product_name", "business_mode", "specs", "rating", "review_count", "stock", "rental_price_per_day", "sale_price", "disposition", "reason")
+
+
+@query("q_price_conflicts", "SELECT * FROM (VALUES ('https://www.s.vn/1', 'Giá bán', '19500000', '19900000')) AS t(url, field, listing_value, detail_value)")
+def price_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.conflicts(_records(spark))
+
+
+@query("q_order_conflicts", "SELECT o_orderkey, floor(o_totalprice)::BIGINT AS listed, floor(d)::BIGINT AS detail FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS d FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE floor(o_totalprice) <> floor(d)")
+def order_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conflict rule at scale: an order's price against a sum over its lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("d"))
+    both = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    listed, detail = F.floor("o_totalprice").cast("long"), F.floor("d").cast("long")
+    return both.select("o_orderkey", listed.alias("listed"), detail.alias("detail")).where("listed <> detail")
+
+
+@query("q_evidence_explode", """SELECT * FROM (VALUES ('https://www.s.vn/1', 'Tên sản phẩm', 'Canon EOS R50', 'DOM', 0.99), ('https://www.s.vn/1', 'Giá bán', '19900000', 'JSON_LD', 0.99), ('https://www.s.vn/1', 'Tồn kho', 'https://schema.org/InStock', 'JSON_LD', 0.97), ('https://www.s.vn/1', 'Phụ kiện đi kèm', 'pin', 'DOM', 0.97),
+ ('https://s.vn/2', 'Tên sản phẩm', 'Sony ZV-E10', 'JSON_LD', 0.92), ('https://s.vn/2', 'Giá thuê/ngày', '500000', 'JSON_LD', 0.99), ('https://s.vn/2', 'Tồn kho', 'còn hàng', 'DOM', 0.97), ('https://s.vn/3', 'Tên sản phẩm', 'Pin Canon', 'DOM', 0.99), ('https://s.vn/4', 'Tên sản phẩm', 'Sony Alpha Body', 'DOM', 0.99), ('https://s.vn/4', 'Giá bán', '100', 'DOM', 0.99)) AS t(url, field, value, source, c)""".replace("SELECT *", "SELECT url, field, value, source, c::DOUBLE AS confidence"))
+def evidence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.evidence_rows(_records(spark)).select("url", "field", "value", "source", "confidence")
+
+
+@query("q_coverage", f"SELECT 'ROOT' AS kind, intent, label, url FROM {TABLES['seeds']} UNION ALL SELECT 'CATALOG_PAGE', '', '', url FROM (VALUES ('https://s.vn/c?p=2'), ('https://s.vn/d?p=2'), ('https://s.vn/c?p=4')) AS t(url) UNION ALL SELECT 'FAILED_PAGE', '', '', 'https://s.vn/c?p=3'")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.coverage(frame(spark, "seeds"), _crawled(spark))
+
+
+@query("q_audit", """SELECT * FROM (VALUES ('Target', 'CAMERA'), ('Start URL', 'https://s.vn/'), ('Catalog roots', '3'), ('Catalog pages visited', '5'), ('Catalog queue remaining', '1'), ('Catalog URLs skipped by safety limit', '0'), ('Failed catalog pages', '1'), ('Product candidates', '5'), ('Product details checked', '5'),
+ ('Accepted', '2'), ('Excluded', '1'), ('Review', '2'), ('Detail errors', '1'), ('Price conflicts', '1'), ('Catalog coverage', 'NOT COMPLETE'), ('Detail coverage', 'PASS'), ('Overall completeness', 'NOT COMPLETE'), ('Elapsed seconds', '0')) AS t(metric, value)""")
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.audit("https://s.vn/", frame(spark, "seeds"), _crawled(spark), frame(spark, "listed"), _records(spark))
