@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, quote_plus, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Parameters that do not tell pages apart, and those that number pages.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "fbclid"]
@@ -129,7 +130,7 @@ def canonical_text(url: str) -> str:
     return f"{parts.scheme}://{place}/{'/'.join(steps)}" + (f"?{text}" if text else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_any(urls: pd.Series) -> pd.Series:
     """canonical with full escaping, for URLs of any characters, batch by batch."""
     return urls.fillna("").map(canonical_text)
