@@ -128,6 +128,6 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
             texts = [None if not valid else _cut(raw[offsets[i] : offsets[i + 1]], spans[i])[0].decode("utf-8", "ignore") for i, valid in enumerate(row.field("text").is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["row", "kept"])
 
-    out = rows.mapInArrow(cut, rows.select("row", F.lit("").cast("string").alias("kept")).schema)
+    out = rows.mapInArrow(cut, rows.select("row", F.lit(None).cast("string").alias("kept")).schema)
     columns = [F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns)

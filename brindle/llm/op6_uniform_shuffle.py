@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and of a part of a shard that is permuted in one task, about.
-BLOCK_ROWS = 1_000_000
+#: Rows of a block, and of a part of a shard that is permuted in one task, at most about; blocks at least.
+BLOCK_ROWS, LEAST_BLOCKS = 1_000_000, 64
 OVERHEAD = 16
 
 
@@ -41,7 +41,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 11, block_rows: int = B
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), F.xxhash64("text", F.lit(seed + 1), "doc_id").alias("_g"))
     total = docs.count()
-    n_blocks = max(1, -(-total // block_rows))
+    n_blocks = max(LEAST_BLOCKS, -(-total // block_rows))
     rows = rows.withColumn("_block", F.pmod("_h", F.lit(n_blocks)))
     counts = {r["_block"]: r["n"] for r in rows.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counts.get(b, 0) for b in range(n_blocks)], shards, seed)

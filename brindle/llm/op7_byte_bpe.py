@@ -267,7 +267,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
             out: list[Any] = [None if x is None else encoder.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    out = keyed.mapInArrow(run, keyed.select("row", F.lit("").cast("string").alias("text")).schema)
+    out = keyed.mapInArrow(run, keyed.select("row", F.lit(None).cast("string").alias("text")).schema)
     return out.select(*[F.col("row")[c].alias(c) for c in rows.columns if c != text], F.col("text").alias(text))
 
 
