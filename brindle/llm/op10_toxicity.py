@@ -127,7 +127,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], stems: dict[str, f
             flat = pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * len(FEATURES)).astype(np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "features"])
 
-    return rows.mapInArrow(run, rows.withColumn("features", F.array(F.lit(0.0))).schema)
+    return store.map_arrow(rows, run, rows.withColumn("features", F.array(F.lit(0.0))).schema)
 
 
 def _beginnings(words: Column, size: int) -> Column:

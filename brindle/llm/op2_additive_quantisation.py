@@ -24,7 +24,7 @@ BOOKS, WORDS, BEAM = 24, 64, 6
 #: Vectors that codebooks are fitted on, at most (those of smallest hashed id); rounds of k-means and of least squares.
 SAMPLE, ROUNDS, REFITS = 16_000, 6, 1
 #: Entries of the index and queries compared in one task; candidates ranked again for each query.
-ENTRIES, QUERIES, CANDIDATES = 65_536, 64, 800
+ENTRIES, QUERIES, CANDIDATES = 65_536, 256, 800
 
 
 def usable(vector: Column, size: int | None = None) -> Column:
@@ -150,14 +150,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
     if not sample.num_rows:
         return asked.where("false").select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"))
     books = train(_matrix(sample.column("embedding").combine_chunks() if sample.column("embedding").num_chunks != 1 else sample.column("embedding").chunk(0), d))
-    index = store.table(kinds.repartition("cid").mapInArrow(_index(books), "cid long, code binary, norm double"), "index")
+    index = store.table(store.map_arrow(kinds.repartition("cid"), _index(books), "cid long, code binary, norm double"), "index")
     n_blocks = max(1, -(-index.count() // ENTRIES))
     asked = store.table(asked, "asked")
     n_asked = max(1, -(-asked.count() // QUERIES))
     entries = index.groupBy(F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("cid", "code", "norm")).alias("entries"))
     blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).alias("a")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
     pairs = blocks.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(entries, "b").repartition(n_blocks * n_asked, "a", "b")
-    found = pairs.select("entries", "queries").mapInArrow(_scan(books, candidates), "query_id long, cid long, near double")
+    found = store.map_arrow(pairs.select("entries", "queries"), _scan(books, candidates), "query_id long, cid long, near double")
     if n_blocks > 1:
         found = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "cid"))).where(F.col("r") <= candidates)
     squares = F.zip_with("vector", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))

@@ -62,4 +62,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(docs: DataFrame, length: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs; see with_spans for odd inputs."""
     rows = with_spans(docs.select("doc_id", "text"), length)
-    return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return store.map_arrow(rows, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

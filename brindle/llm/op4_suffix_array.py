@@ -49,9 +49,11 @@ def by_suffix(raw: np.ndarray, offsets: np.ndarray, col: dict, gram: int) -> tup
     """Blocks in the order of their suffixes from the anchor on; runs share the anchor's tokens."""
     begin, end = offsets[:-1] + col["at"], offsets[1:]
     width = -(-int((end - begin).max()) // TOKEN) * TOKEN
-    at = begin[:, None] + np.arange(width)
-    keys = np.where(at < end[:, None], raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8)
-    keys = np.ascontiguousarray(keys).view(">u8").astype(np.uint64)
+    keys = np.zeros((len(begin), width), np.uint8)
+    for low in range(0, len(begin), 500):
+        at = begin[low : low + 500, None] + np.arange(width)
+        keys[low : low + 500] = np.where(at < end[low : low + 500, None], raw[np.minimum(at, len(raw) - 1)], 0)
+    keys = keys.view(">u8").astype(np.uint64)
     order = multikey_quicksort(keys)
     lead = keys[order, : gram // TOKEN]
     return order, np.cumsum(np.concatenate(([0], (lead[1:] != lead[:-1]).any(axis=1).astype(np.int64))))
@@ -108,7 +110,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs; see with_spans for odd inputs."""
     rows = with_spans(docs.select("doc_id", "text"), length)
-    return rows.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return store.map_arrow(rows, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -128,6 +130,6 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
             texts = [None if not valid else _cut(raw[offsets[i] : offsets[i + 1]], spans[i])[0].decode("utf-8", "ignore") for i, valid in enumerate(row.field("text").is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["row", "kept"])
 
-    out = rows.mapInArrow(cut, rows.select("row", F.lit(None).cast("string").alias("kept")).schema)
+    out = store.map_arrow(rows, cut, rows.select("row", F.lit(None).cast("string").alias("kept")).schema)
     columns = [F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns)

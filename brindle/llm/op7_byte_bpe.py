@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts between spaces, and other pieces, whose ids a worker remembers; later ones are encoded each time.
-PARTS, PIECES = 500_000, 500_000
+from brindle.llm import store
+
+#: Parts between spaces, and other pieces, whose ids a worker remembers (later ones are encoded each time); pairs of tokens.
+PARTS, PIECES, FOLLOWS = 100_000, 100_000, 200_000
 #: Texts in Python's hands at a time.
 AT_ONCE = 500
 
@@ -117,7 +119,7 @@ class Vocabulary:
                 before, a = a, self.halves[a][1]
             else:  # at equal ranks the leftmost merges first
                 before, b = b + 1, self.halves[b][0]
-        if len(self._follows) > 2_000_000:
+        if len(self._follows) > FOLLOWS:
             self._follows.clear()
         self._follows[left << 20 | right] = ok
         return ok
@@ -252,7 +254,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFr
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))], ["row", "ids"])
 
-    out = keyed.mapInArrow(run, keyed.select("row", F.array(F.lit(0)).alias("ids")).schema)
+    out = store.map_arrow(keyed, run, keyed.select("row", F.array(F.lit(0)).alias("ids")).schema)
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != ids], F.col("ids").alias(ids))
 
 
@@ -267,7 +269,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
             out: list[Any] = [None if x is None else encoder.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    out = keyed.mapInArrow(run, keyed.select("row", F.lit(None).cast("string").alias("text")).schema)
+    out = store.map_arrow(keyed, run, keyed.select("row", F.lit(None).cast("string").alias("text")).schema)
     return out.select(*[F.col("row")[c].alias(c) for c in rows.columns if c != text], F.col("text").alias(text))
 
 
@@ -286,4 +288,4 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return store.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

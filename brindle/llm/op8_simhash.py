@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "fp"])
 
     keyed = docs.select(F.struct("*").alias("row"), *store.row_key())
-    return keyed.mapInArrow(run, keyed.withColumn("fp", F.lit(0).cast("long")).schema)
+    return store.map_arrow(keyed, run, keyed.withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def counts(fp: Column) -> Column:
@@ -146,7 +146,7 @@ def linked(fps: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("grid", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     rows = rows.repartition("grid", "cell", "low", "high").sortWithinPartitions("grid", "cell", "low", "high")
-    return rows.mapInArrow(_cells, "a long, b long")
+    return store.map_arrow(rows, _cells, "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3) -> tuple[DataFrame, DataFrame]:

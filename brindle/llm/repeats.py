@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from brindle.llm import store, symbols
 
 #: Representatives compared in one task.
-PER_TASK = 16_000
+PER_TASK = 4_000
 #: From a text's bytes: symbols of a batch of texts, and where each text's symbols start.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -212,7 +212,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     """
     docs = docs.select("_id", "_rk", "text")
     f, schema = _anchor_rows(units, window, gram)
-    rows = store.table(docs.mapInArrow(f, schema), "anchors")
+    rows = store.table(store.map_arrow(docs, f, schema), "anchors")
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
     grams = store.table(grams.where("c > 1").select("gram", (F.col("lo") != F.col("hi")).alias("many")), "grams")
     found = store.table(rows.join(grams, "gram"), "found")
@@ -224,10 +224,10 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     reps = store.table(reps, "reps")
     wants = reps.where("many").groupBy("own._id", "own._rk").agg(F.collect_list(F.struct("gram", "ctx", "own.first", "own.n", "own.at")).alias("wants"))
     f, schema = _fetch(units, window, as_bytes)
-    blocks = docs.join(wants, ["_id", "_rk"]).mapInArrow(lambda batches: _gather(f(batches)), schema)
+    blocks = store.map_arrow(docs.join(wants, ["_id", "_rk"]), lambda batches: _gather(f(batches)), schema)
     blocks = store.table(blocks, "blocks")
     parts = max(1, -(-blocks.count() // PER_TASK))
-    compared = store.table(deal(blocks, parts).mapInArrow(_compare(window, gram, as_bytes, keep_first, order_of), COMPARED), "compared")
+    compared = store.table(store.map_arrow(deal(blocks, parts), _compare(window, gram, as_bytes, keep_first, order_of), COMPARED), "compared")
     store.drop(blocks)
     edge = compared.where("hash is not null")
     heads = edge.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_rk", "place")).alias("head")).where("c > 1")
