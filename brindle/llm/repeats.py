@@ -9,7 +9,8 @@ is cut into rows of consecutive windows that share an anchor (see symbols.anchor
    many, become one representative;
 3. only representatives of anchors that have several contents fetch their text and are compared window by
    window, in partitions of bounded size. A group of equal anchors may lie across partitions: windows of the
-   groups at a partition's edges go through a second, hash-partitioned comparison.
+   groups at a partition's edges, packed by anchor and hash, go through a second comparison. It is dealt by
+   both, so that one anchor's windows spread over as many tasks as there were partitions.
 
 Equality is of 64-bit hashes of content under equal anchors (two independent 64-bit values).
 """
@@ -112,14 +113,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-COMPARED = "gram long, ctx long, starts array<int>, ends array<int>, hash long, i int, _id long, _rk long, place long"
+#: Rows of either spans of a block (bucket is null) or, packed, windows to be compared once more.
+COMPARED = "gram long, ctx long, starts array<int>, ends array<int>, bucket int, hash binary, i binary, ctxs binary, ids binary, rks binary, places binary"
+PACKED = ("hash", "i", "ctxs", "ids", "rks", "places")
+#: Buckets of hashes, at least, that the windows of an anchor at a partition's edge are dealt over.
+LEAST_BUCKETS = 64
 
 
-def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of):
+def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of, buckets: int):
     """Sort a partition's blocks from their anchors on, compare the windows of each run of equal anchors."""
     schema = pa.schema(
-        [("gram", pa.int64()), ("ctx", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
-         ("hash", pa.int64()), ("i", pa.int32()), ("_id", pa.int64()), ("_rk", pa.int64()), ("place", pa.int64())]
+        [("gram", pa.int64()), ("ctx", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("bucket", pa.int32()), *((k, pa.binary()) for k in PACKED)]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +148,60 @@ def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of)
         flagged.sort()
         if len(flagged):
             yield pa.RecordBatch.from_arrays(_spans(flagged, row, i, col, window), schema=schema)
-        # Runs that may go on in the partitions before and after: one row for each window, to compare once more.
+        # Runs that may go on in the partitions before and after.
         far = head if keep_first else np.concatenate((alone, head))
         far = far[(rank[row[far]] == 0) | (rank[row[far]] == run_of[-1])]
-        for low in range(0, len(far), 50_000):
-            x = far[low : low + 50_000]
-            empty = pa.nulls(len(x), pa.list_(pa.int32()))
-            r = row[x]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(col["gram"][r]), pa.array(col["ctx"][r]), empty, empty, pa.array(hashes[x].view(np.int64)), pa.array(i[x].astype(np.int32)),
-                 pa.array(col["_id"][r]), pa.array(col["_rk"][r]), pa.array(col["first"][r] + i[x])], schema=schema,
-            )
+        if len(far):
+            yield pa.RecordBatch.from_arrays(_packed(far, hashes, row, i, col, keep_first, buckets), schema=schema)
+
+    return run
+
+
+def _packed(far, hashes, row, i, col, keep_first, buckets) -> list[pa.Array]:
+    """Windows as rows of (gram, bucket of hash), each with all it needs end to end as bytes."""
+    bucket = (hashes[far] % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((bucket, col["gram"][row[far]]))
+    far, bucket = far[order], bucket[order]
+    r = row[far]
+    g = col["gram"][r]
+    begin = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (bucket[1:] != bucket[:-1]))))
+    values = [hashes[far], i[far].astype(np.int64), col["ctx"][r]]
+    values += [col["_id"][r], col["_rk"][r], col["first"][r] + i[far]] if keep_first else [np.zeros(0, np.int64)] * 3
+    at = np.concatenate((begin, [len(far)])).astype(np.int32) * 8
+    empty = np.zeros(len(at), np.int32)
+    packs = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at if len(v) else empty), pa.py_buffer(np.ascontiguousarray(v))]) for v in values]
+    none = pa.nulls(len(begin), pa.list_(pa.int32()))
+    return [pa.array(g[begin]), pa.nulls(len(begin), pa.int64()), none, none, pa.array(bucket[begin]), *packs]
+
+
+def _meet(window: int, keep_first: bool):
+    """Windows of packed rows that stand in several of them (keep_first: all but the first of each), as spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        hashes, i, ctx, ids, rks, places = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.int64) for k in PACKED)
+        gram = np.repeat(t.column("gram").to_numpy(), [len(x) // 8 for x in t.column("hash").to_pylist()])
+        order = np.lexsort((places, rks, ids, hashes, gram) if keep_first else (hashes, gram))
+        new = np.concatenate(([True], (gram[order[1:]] != gram[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])))
+        if keep_first:
+            head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            again = order[(ids[order] != ids[head]) | (rks[order] != rks[head]) | (places[order] != places[head])]
+        else:
+            again = order[~(new & np.concatenate((new[1:], [True])))]
+        if not len(again):
+            return
+        again = again[np.lexsort((i[again], ctx[again], gram[again]))]
+        g, c, w = gram[again], ctx[again], i[again]
+        other = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
+        begin = np.flatnonzero(other | np.concatenate(([True], w[1:] > w[:-1] + 1)))
+        stop = np.concatenate((begin[1:], [len(w)])) - 1
+        first = np.flatnonzero(other)
+        at = pa.array(np.searchsorted(begin, np.append(first, len(w))).astype(np.int32))
+        spans = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (w[begin], w[stop] + window)]
+        yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(c[first]), *spans], ["gram", "ctx", "starts", "ends"])
 
     return run
 
@@ -192,7 +239,7 @@ def _spans(flagged, row, i, col, window) -> list[pa.Array]:
     return [
         pa.array(col["gram"][rows]), pa.array(col["ctx"][rows]),
         pa.ListArray.from_arrays(at, pa.array(w[begin].astype(np.int32))), pa.ListArray.from_arrays(at, pa.array((w[stop] + window).astype(np.int32))),
-        pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+        pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in PACKED),
     ]
 
 
@@ -227,17 +274,13 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     blocks = store.map_arrow(docs.join(wants, ["_id", "_rk"]), lambda batches: _gather(f(batches)), schema)
     blocks = store.table(blocks, "blocks")
     parts = max(1, -(-blocks.count() // PER_TASK))
-    compared = store.table(store.map_arrow(deal(blocks, parts), _compare(window, gram, as_bytes, keep_first, order_of), COMPARED), "compared")
+    compare = _compare(window, gram, as_bytes, keep_first, order_of, max(LEAST_BUCKETS, parts))
+    compared = store.table(store.map_arrow(deal(blocks, parts), compare, COMPARED), "compared")
     store.drop(blocks)
-    edge = compared.where("hash is not null")
-    heads = edge.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_rk", "place")).alias("head")).where("c > 1")
-    edge = edge.join(heads, ["gram", "hash"])
-    if keep_first:
-        edge = edge.where(F.struct("_id", "_rk", "place") != F.col("head"))
-    edge = edge.groupBy("gram", "ctx").agg(F.collect_list("i").alias("starts"))
-    edge = edge.select("gram", "ctx", "starts", F.transform("starts", lambda x: x + window).alias("ends"))
-    inner = compared.where("hash is null").select("gram", "ctx", "starts", "ends")
-    parts_of = inner.unionByName(edge).select("gram", "ctx", F.arrays_zip("starts", "ends").alias("parts"))
+    edge = compared.where("bucket is not null").select("gram", "bucket", *PACKED).repartition(parts, "gram", "bucket")
+    edge = store.map_arrow(edge, _meet(window, keep_first), "gram long, ctx long, starts array<int>, ends array<int>")
+    inner = compared.where("bucket is null").select("gram", "ctx", "starts", "ends")
+    parts_of = inner.unionByName(edge).groupBy("gram", "ctx").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("parts"))
     known = store.table(reps.select("gram", "ctx", "copies", "own").join(parts_of, ["gram", "ctx"], "left"), "known")
     all_of = F.array(F.struct(F.lit(0).alias("starts"), (F.col("n") - 1 + window).alias("ends")))
     mine = (F.col("_id") == F.col("own._id")) & (F.col("_rk") == F.col("own._rk")) & (F.col("first") == F.col("own.first"))
