@@ -346,3 +346,24 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
  ('Accepted', '2'), ('Excluded', '1'), ('Review', '2'), ('Detail errors', '1'), ('Price conflicts', '1'), ('Catalog coverage', 'NOT COMPLETE'), ('Detail coverage', 'PASS'), ('Overall completeness', 'NOT COMPLETE'), ('Elapsed seconds', '0')) AS t(metric, value)""")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.audit("https://s.vn/", frame(spark, "seeds"), _crawled(spark), frame(spark, "listed"), _records(spark))
+
+
+@query("q_jsonld_product", """SELECT page_id, json_name, json_price_str, json_price_num::DOUBLE AS json_price_num, json_availability, json_rating, json_review_count FROM (VALUES
+ (1, 'R5', '1.200.000', NULL, 'InStock', NULL, NULL), (2, 'A7', NULL, 150000, '', '4.5', '12'), (3, 'D850', NULL, 7, '', NULL, NULL), (4, '', NULL, NULL, '', NULL, NULL), (5, '', NULL, NULL, '', NULL, NULL))
+ AS t(page_id, json_name, json_price_str, json_price_num, json_availability, json_rating, json_review_count)""")
+def jsonld_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first product of each page's embedded JSON; scripts that do not parse are passed over."""
+    return html.products(html.shred(frame(spark, "json_pages"))).drop("url").withColumn("page_id", F.col("page_id").cast("int"))
+
+
+@query("q_failed_details", f"SELECT l.url, l.title AS product_name, 'detail fetch failed: page not in corpus' AS reason FROM {TABLES['listed']} AS l LEFT JOIN {TABLES['details']} AS d ON d.url = l.url WHERE d.url IS NULL")
+def failed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed products whose page is not in the corpus stay, for review."""
+    return _records(spark).where("reason LIKE 'detail fetch failed%'").select("url", "product_name", "reason")
+
+
+@query("q_event_props", "SELECT event_type, count(*) AS n_events, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded JSON at scale: fields taken from a column of JSON texts without Python."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("k").alias("total"))

@@ -90,7 +90,15 @@ PROBE_LINKS = relation("url, href, text, near", [
     ("https://s.vn/c", "https://s.vn/p/1#a", "Canon R5", "Canon R5 100.000đ"), ("https://s.vn/c", "https://s.vn/p/1#b", "Canon R5", "100.000đ"), ("https://s.vn/c", "https://s.vn/p/2", "Nikon", "Nikon"), ("https://s.vn/c", "https://s.vn/c?p=2", "2", ""),
     ("https://s.vn/c", "https://s.vn/c?p=3", "Next", ""), ("https://s.vn/d", "https://s.vn/page/2", "xem", ""), ("https://s.vn/d", "https://s.vn/p/9", "Sony A7", "Sony A7 2.000.000 vnd"),
 ])
+LD = '<html><body><h1>x</h1><script type="application/ld+json">{}</script></body></html>'
+JSON_PAGES = relation("page_id, url, html", [
+    (1, "https://s.vn/1", LD.replace("{}", '{"@type":"Product","name":"R5","offers":{"price":"1.200.000","availability":"InStock"}}')),
+    (2, "https://s.vn/2", LD.replace("{}", '[{"@type":"Thing","name":"no"},{"@type":["X","PRODUCT"],"name":"A7","offers":[{"price":150000}],"aggregateRating":{"ratingValue":4.5,"ratingCount":12}}]')),
+    (3, "https://s.vn/3", LD.replace("{}", "{broken") + LD.replace("{}", '{"@graph":[{"@type":"WebPage"},{"@type":"product","name":"D850","offers":{"lowPrice":7}}]}')),
+    (4, "https://s.vn/4", LD.replace("{}", '{"@type":"WebPage","mainEntity":{"@type":"Product","name":"hidden"}}')), (5, "https://s.vn/5", None),
+])
 TABLES = {
+    "json_pages": JSON_PAGES,
     "nodes": NODES, "pages": PAGES, "links": LINKS, "candidates": CANDIDATES, "cards": CARDS, "texts": TEXTS, "values": VALUES_, "urls": URLS, "lines": LINES, "edges": EDGES, "seeds": SEEDS,
     "loaded": LOADED, "roots": ROOTS, "modes": MODES, "details": DETAILS, "listed": LISTED, "probed": PROBED, "probe_pages": PROBE_PAGES, "probe_links": PROBE_LINKS,
 }
