@@ -2,7 +2,8 @@
 
 The corpus is a table of cells (source, language, topic) with their tokens. Cell weights are raked to the
 target shares of sources, languages and topics in turn until all three hold; a document is kept with a
-probability in proportion to its cell's weight over its cell's tokens.
+probability in proportion to its cell's weight over its cell's tokens, but at most 1. The sample holds a stated
+share of all tokens at least: cells too rare for their weight in it are kept whole, all others fill the rest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ MARGINS = ("source", "lang", "topic")
 #: Target shares are observed shares to this power, made to sum to 1: 1 keeps the mix, 0 evens it out.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 SWEEPS, TOLERANCE = 40, 1e-6
+#: Share of all tokens that the sample holds at least, as expected. Steps to find the scale of probabilities.
+SHARE, STEPS = 0.5, 100
 RESOLUTION = 1 << 53
 
 
@@ -73,34 +76,59 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     return weights.drop(*[f"_{m}" for m in MARGINS])
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3) -> DataFrame:
-    """Columns row (all of docs, as a struct), source, lang, topic, n_tokens, weight, probability, sampled.
+def scaled(raked: DataFrame, share: float = SHARE) -> tuple[DataFrame, float]:
+    """raked (tokens, weight) with probability, raked (the weight given) and weight (that of the sample, as
+    expected), and the share of all tokens that the sample is expected to hold.
+
+    A probability is least(1, scale * weight / tokens). The scale is the largest at which no cell lacks tokens
+    for its weight, or, if that keeps less than `share` of all tokens, the one that keeps this share: cells
+    without enough tokens are then kept whole, and no rare cell lowers the rate of the others. The tokens kept
+    grow with the scale along a concave line of straight pieces, so that steps along the piece at hand come to
+    the share from below. A share out of reach, as cells of weight 0 are never taken, keeps all others whole.
+    """
+    weight, tokens = F.col("weight"), F.col("tokens")
+    total, most = raked.agg(F.sum("tokens"), F.max(weight / tokens)).first()
+    scale = 1 / (most or 1.0)
+    for _ in range(STEPS if total else 0):
+        full = weight * F.lit(scale) >= tokens
+        whole, rest = raked.agg(F.sum(F.when(full, tokens).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(weight))).first()
+        better = (share * total - whole) / rest if rest > 0 else 0.0
+        if better <= scale * (1 + 1e-12):
+            break
+        scale = better
+    out = raked.withColumnRenamed("weight", "raked").withColumn("probability", F.least(F.lit(1.0), F.col("raked") * F.lit(scale) / tokens))
+    kept = out.agg(F.sum(tokens * F.col("probability"))).first()[0] or 0.0
+    return out.withColumn("weight", tokens * F.col("probability") / F.lit(kept or 1.0)), kept / total if total else 1.0
+
+
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3, share: float = SHARE) -> DataFrame:
+    """Columns row (all of docs, as a struct), source, lang, topic, n_tokens, raked, weight, probability, sampled, kept_share.
 
     The largest probability is 1: the sample is the largest in which every cell has its share and no document
-    is repeated. Whether a document is in the sample depends on a hash of its id and text, so repeated rows
-    share their fate. Null sources and languages are values named '' of their own; texts without words are
-    kept with probability 1 as they weigh nothing.
+    is repeated, or, if that is smaller, the one that holds `share` of all tokens (see scaled). Whether a
+    document is in the sample depends on a hash of its id and text, so repeated rows share their fate. Null
+    sources and languages are values named '' of their own; texts without words are kept with probability 1 as
+    they weigh nothing. raked is the cell's weight as targets want it, weight its share of the sample's tokens;
+    they differ only if some cell is kept whole for want of tokens. kept_share is the same in all rows.
     """
     keyed = docs.select(
         F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
         topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
     )
     cells = keyed.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    raked = rake(store.table(cells, "tokens"), targets)
-    ratio = F.col("weight") / F.col("tokens")
-    most = raked.agg(F.max(ratio)).first()[0] or 1.0
-    raked = store.table(raked.select(*MARGINS, "weight", F.least(F.lit(1.0), ratio / most).alias("probability")), "raked")
-    out = keyed.join(raked, list(MARGINS), "left").fillna({"weight": 0.0, "probability": 1.0})
+    cells, kept_share = scaled(rake(store.table(cells, "tokens"), targets), share)
+    raked = store.table(cells.select(*MARGINS, "raked", "weight", "probability"), "raked")
+    out = keyed.join(raked, list(MARGINS), "left").fillna({"raked": 0.0, "weight": 0.0, "probability": 1.0})
     draw = F.pmod("_h", F.lit(RESOLUTION)) / RESOLUTION
-    return out.withColumn("sampled", draw < F.col("probability")).drop("_h")
+    return out.withColumns({"sampled": draw < F.col("probability"), "kept_share": F.lit(kept_share)}).drop("_h")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight (of the cell), probability, sampled for every row of docs."""
+    """doc_id, source, lang, topic, n_tokens, raked and weight (of the cell), probability, sampled, kept_share for every row of docs."""
     rows = calibrated(docs.select("doc_id", "text", "source", "lang"))
-    return rows.select("row.doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled")
+    return rows.select("row.doc_id", *MARGINS, "n_tokens", "raked", "weight", "probability", "sampled", "kept_share")
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3, share: float = SHARE) -> DataFrame:
     """The sampled rows of docs."""
-    return calibrated(docs, targets, seed).where("sampled").select("row.*")
+    return calibrated(docs, targets, seed, share).where("sampled").select("row.*")

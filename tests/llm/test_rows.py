@@ -48,6 +48,24 @@ def test_mixing_to_given_targets(spark, small, empty):
     assert op1_mixing.digest(empty).count() == 0 and op1_mixing.sample(small).columns == small.columns
 
 
+def test_mixing_keeps_its_share_beside_a_rare_cell(spark):
+    """One document of a new source is kept whole, and takes nothing from the rate of the others."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 300 + int(id % 7)) AS text", "element_at(array('en', 'de', 'fr', 'vi'), int(id % 4) + 1) AS lang", "if(id % 3 = 0, 'hot', concat('s', id % 19)) AS source")
+    rows = op1_mixing.digest(docs.unionByName(spark.createDataFrame([(-1, "rare " * 250, "en", "new")], docs.schema))).collect()
+    total = sum(r["n_tokens"] for r in rows)
+    expected = sum(r["n_tokens"] * r["probability"] for r in rows) / total
+    assert math.isclose(expected, 0.5, rel_tol=1e-6)
+    assert math.isclose(rows[0]["kept_share"], expected, rel_tol=1e-6)
+    assert abs(sum(r["n_tokens"] for r in rows if r["sampled"]) / total - expected) < 0.05
+    tokens = Counter()
+    for r in rows:
+        tokens[r["source"], r["lang"]] += r["n_tokens"]
+    rates = {(r["source"], r["lang"]): (r["probability"], tokens[r["source"], r["lang"]] / r["raked"] / total) for r in rows}
+    assert rates["new", "en"][0] == 1 and min(x for _, x in rates.values()) < 0.25  # all that a common rate could keep
+    scales = [p * x for p, x in rates.values() if p < 1]
+    assert len(scales) == len(rates) - 1 and math.isclose(min(scales), max(scales), rel_tol=1e-9)
+
+
 def nearest(rows, k=10):
     good = {i: np.array(v, float) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     ids = np.array(sorted(good))
