@@ -98,34 +98,62 @@ def nearest_ancestors(dom: DataFrame, links: DataFrame, qualifies: Column, most:
     return rows.groupBy("page_id", "node_id").agg(F.min_by("text", "up").alias("text"), F.min_by("tag", "up").alias("tag"), F.min("up").alias("up"))
 
 
+def numbered(rows: DataFrame, order: list[str], checkpoint) -> DataFrame:
+    """rows with rank, 0, 1, 2, ... by the order: sorted in ranges, each range counted, offsets of ranges added."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ids = checkpoint(ranges.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ids.groupBy(part.alias("part")).count().collect()  # one row a range
+    offsets, n = [], 0
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        offsets.append((r["part"], n))
+        n += r["count"]
+    if not offsets:
+        return ids.withColumn("rank", F.col("_id")).drop("_id")
+    offset = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])[part]
+    return ids.withColumn("rank", offset + place).drop("_id")
+
+
 def crawl(seeds: DataFrame, edges: DataFrame, loaded: DataFrame, checkpoint, most: int = MOST_VISITED, waves: int = MOST_WAVES) -> DataFrame:
-    """url, intent, wave, status (visited, failed or queued) of a breadth-first crawl from the seeds.
+    """url, intent, rank, wave, status (visited, failed or queued) of a breadth-first crawl from the seeds.
 
     seeds: ord, url, intent; edges: url, ord, next_url; loaded: url of pages that open. A page takes the intent
-    of the page that first leads to it (seeds: of the last seed with its URL); waves are whole, so pages beyond
-    `most` visits stay queued from the wave that would pass it. checkpoint(df, name) cuts lineage.
+    of the page that first leads to it (seeds: of the last seed with its URL). Each wave is ranked by the rank of
+    that page and the link's ord, then by URL. The first `most` pages that open are visited; what comes after
+    the last of them in its wave is queued. Links that no wave has followed are no rows here: with_unfollowed
+    adds them, which audits and coverage need. checkpoint(df, name) cuts lineage.
     """
-    edges = edges.where("next_url <> url").dropDuplicates(["url", "next_url"])
-    front = seeds.withColumn("url", url.canonical("url")).groupBy("url").agg(F.max_by("intent", "ord").alias("intent"), F.min("ord").cast("long").alias("rank"))
-    front = checkpoint(front.withColumn("wave", F.lit(0)), "front")
-    state, visited = None, 0
+    edges = edges.where("next_url <> url").groupBy("url", "next_url").agg(F.min("ord").alias("ord"))
+    opens = loaded.select("url").distinct().withColumn("_open", F.lit(True))
+    front = seeds.withColumn("url", url.canonical("url")).groupBy("url").agg(F.max_by("intent", "ord").alias("intent"), F.min("ord").alias("_o"))
+    front = numbered(front.withColumn("wave", F.lit(0)), ["_o", "url"], checkpoint).drop("_o")
+    state, visited = front.where("false").select("url", "intent", "rank", "wave", F.lit("queued").alias("status")), 0
     for wave in range(waves):
-        size = front.count()
-        if not size:
+        if front.isEmpty():
             break
-        if visited + size > most:
-            order = F.row_number().over(Window.orderBy("rank", "url"))  # within one wave, `most` rows matter
-            front = front.withColumn("_r", order).withColumn("_over", F.col("_r") > most - visited).drop("_r")
-        else:
-            front = front.withColumn("_over", F.lit(False))
-        seen = front.join(loaded.select("url").distinct().withColumn("_open", F.lit(True)), "url", "left")
-        status = F.when(F.col("_over"), "queued").when(F.col("_open"), "visited").otherwise("failed")
-        done = seen.select("url", "intent", "rank", "wave", status.alias("status"))
-        state = checkpoint(done if state is None else state.unionByName(done), "state")
-        visited = state.where("status = 'visited'").count()
+        seen = front.join(opens, "url", "left")
+        fits = seen.where("_open").orderBy("rank").limit(most - visited).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")).first()
+        visited += fits["n"]
+        # a wave that does not fill the bound is taken whole, with failed pages behind the last that opens
+        last = F.lit(2**63 - 1 if visited < most else -1 if fits["last"] is None else fits["last"]).cast("long")
+        status = F.when(F.col("rank") > last, "queued").when(F.col("_open"), "visited").otherwise("failed")
+        state = checkpoint(state.unionByName(seen.select("url", "intent", "rank", "wave", status.alias("status"))), "state")
         if visited >= most:
             break
-        new = state.where(f"wave = {wave} and status = 'visited'").join(edges, "url").join(state.select(F.col("url").alias("next_url")), "next_url", "left_anti")
-        new = new.groupBy("next_url").agg(F.min_by("intent", F.struct("rank", "ord")).alias("intent"), F.min(F.struct("rank", "ord")).alias("_o"))
-        front = checkpoint(new.select(F.col("next_url").alias("url"), "intent", (F.col("_o.rank") * 100_000 + F.col("_o.ord")).alias("rank"), F.lit(wave + 1).alias("wave")), "front")
-    return state if state is not None else front.select("url", "intent", "rank", "wave", F.lit("queued").alias("status"))
+        front = _next(state.where(f"wave = {wave}"), state, edges, checkpoint)
+    return state
+
+
+def _next(rows: DataFrame, state: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
+    """url, intent, rank, wave of the links of visited rows that are not in the state."""
+    new = rows.where("status = 'visited'").join(edges, "url").join(state.select(F.col("url").alias("next_url")), "next_url", "left_anti")
+    place = F.struct("wave", "rank", "ord")
+    new = new.groupBy("next_url").agg(F.min_by("intent", place).alias("intent"), F.min(place).alias("_o"))
+    new = new.select(F.col("next_url").alias("url"), "intent", "_o", (F.col("_o.wave") + 1).alias("wave"))
+    return numbered(new, ["_o", "url"], checkpoint).drop("_o")
+
+
+def with_unfollowed(state: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
+    """The rows of a crawl, and, as queued, all links of its visited pages that `most` or `waves` kept it from."""
+    edges = edges.where("next_url <> url").groupBy("url", "next_url").agg(F.min("ord").alias("ord"))
+    return state.unionByName(_next(state, state, edges, checkpoint).withColumn("status", F.lit("queued")))

@@ -293,7 +293,8 @@ def _checkpoint(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
 
 
 def _crawled(spark: SparkSession) -> DataFrame:
-    return pages.crawl(frame(spark, "seeds"), frame(spark, "edges"), frame(spark, "loaded"), _checkpoint(spark))
+    state = pages.crawl(frame(spark, "seeds"), frame(spark, "edges"), frame(spark, "loaded"), _checkpoint(spark))
+    return pages.with_unfollowed(state, frame(spark, "edges"), _checkpoint(spark))
 
 
 @query("q_frontier", f"""WITH RECURSIVE s AS (SELECT {CANONICAL('url')} AS url, ord FROM {TABLES['seeds']}), w(url, wave) AS (SELECT DISTINCT url, 0 FROM s UNION SELECT e.next_url, w.wave + 1 FROM w JOIN {TABLES['edges']} AS e ON e.url = w.url WHERE e.next_url <> e.url AND w.wave < 6 AND w.url IN (SELECT url FROM {TABLES['loaded']}))

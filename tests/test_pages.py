@@ -55,6 +55,31 @@ def test_crawl_bound_leaves_the_rest_queued(spark):
     assert sorted(r.status for r in got) == ["queued", "visited"]
 
 
+def _chain(spark, n):
+    """A page n links deep whose every link has a large ord, with a second branch of pages at each level."""
+    seeds = spark.createDataFrame([(0, "https://c.vn/0", "NEW")], "ord int, url string, intent string")
+    edges = spark.createDataFrame([e for k in range(n) for e in ((f"https://c.vn/{k}", 250_000, f"https://c.vn/{k + 1}"), (f"https://c.vn/{k}", 7, f"https://c.vn/side{k}"))], "url string, ord int, next_url string")
+    return seeds, edges, spark.createDataFrame([(f"https://c.vn/{k}",) for k in range(n + 1)], "url string")
+
+
+def test_crawl_of_a_long_chain(spark):
+    got = {r.url: r for r in pages.crawl(*_chain(spark, 11), lambda df, n: df.localCheckpoint()).collect()}
+    assert len(got) == 23
+    assert all((got[f"https://c.vn/{k}"].wave, got[f"https://c.vn/{k}"].status) == (k, "visited") for k in range(12))
+    assert all((got[f"https://c.vn/side{k}"].rank, got[f"https://c.vn/side{k}"].status, got[f"https://c.vn/{k + 1}"].rank) == (0, "failed", 1) for k in range(11))
+
+
+@pytest.mark.parametrize("bounds", [{"most": 2}, {"waves": 2}])
+def test_crawl_that_is_cut_has_its_links_queued(spark, bounds):
+    """Full exactly at the end of a wave, or out of waves: the links found last are queued."""
+    cut = lambda df, n: df.localCheckpoint()
+    seeds, edges, loaded = _chain(spark, 4)
+    rows = pages.with_unfollowed(pages.crawl(seeds, edges, loaded, cut, **bounds), edges, cut).collect()
+    got = {r.url: r.status for r in rows}
+    assert len(got) == len(rows)
+    assert got == {"https://c.vn/0": "visited", "https://c.vn/side0": "failed", "https://c.vn/1": "visited", "https://c.vn/2": "queued", "https://c.vn/side1": "queued"}
+
+
 def test_nearest_ancestor(spark):
     dom = spark.createDataFrame([(1, [0], 1, "big", 9, "div"), (1, [0, 1], 2, "card", 2, "li"), (1, [0, 1, 0], 3, "x", 1, "a")], "page_id long, path array<int>, depth int, text string, link_count int, tag string")
     links = spark.createDataFrame([(1, 7, [0, 1, 0])], "page_id long, node_id long, path array<int>")
