@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
+"""Substring dedup over words, in place of a relative Lempel-Ziv parse.
 
-Texts are factored against every reference block: blocks are the stretches of text around indexed anchors
-(repeats.py), dealt by the anchor. Inside a block, a factor starts at a window that the index has at an
-earlier place and goes on greedily for as long as windows do; factors of `length` words or more become
-duplicate spans. Windows that lie across the boundary of two factors, blocks or partitions are looked up like
-any other, so the spans are exact.
+No factors are parsed. Texts are cut into blocks around indexed anchors (repeats.py), dealt by the anchor; in a
+block, the hashes of all windows of `length` words are sorted, every window that stands at an earlier place is
+marked, and marked windows side by side become one duplicate span. A parse would leave windows that lie across
+the boundary of two factors to be looked up one by one; here every window is looked up.
 """
 
 from __future__ import annotations
