@@ -1,10 +1,12 @@
 """Suffix-array dedup: remove every byte under a string of `length` bytes that stands elsewhere too.
 
 The suffixes sorted are those at anchors (repeats.py): a sparse suffix array that still decides every string
-of `length` bytes, as equal strings have an equal anchor. Splitters sampled by the range partitioner cut the
-suffixes by their leading tokens (8-byte words); each bucket is sorted locally by multikey quicksort, runs of
-suffixes with the anchor's tokens in common are compared, and runs at a bucket's ends are compared across
-boundaries.
+of `length` bytes, as equal strings have an equal anchor at the same place. Splitters sampled by the range
+partitioner cut the suffixes by their leading tokens (8-byte words); each bucket is sorted by multikey quicksort,
+and so are the reversed bytes before the anchors. A string that starts d bytes before its anchor stands twice in
+the bucket if, and only if, two neighbours in a run of suffixes with at least length - d bytes in common are also in
+one run of at least d bytes before the anchor. Runs that touch a bucket's ends may go on in the next bucket: their
+strings are compared across boundaries.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from brindle.llm import repeats, store, symbols
 
 TOKEN = 8
+#: Bytes of a suffix, its leading tokens, that splitters tell apart; suffixes sorted in one task.
+LEAD, PER_TASK = 8 * TOKEN, 12_000
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -45,49 +49,85 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def by_suffix(raw: np.ndarray, offsets: np.ndarray, col: dict, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks in the order of their suffixes from the anchor on; runs share the anchor's tokens."""
-    begin, end = offsets[:-1] + col["at"], offsets[1:]
-    width = -(-int((end - begin).max()) // TOKEN) * TOKEN
-    keys = np.zeros((len(begin), width), np.uint8)
+def _tokens(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """The first `width` bytes of each raw[begin:end], padded by zeros, as a matrix."""
+    out = np.zeros((len(begin), -(-width // TOKEN) * TOKEN), np.uint8)
     for low in range(0, len(begin), 500):
-        at = begin[low : low + 500, None] + np.arange(width)
-        keys[low : low + 500] = np.where(at < end[low : low + 500, None], raw[np.minimum(at, len(raw) - 1)], 0)
-    keys = keys.view(">u8").astype(np.uint64)
-    order = multikey_quicksort(keys)
-    lead = keys[order, : gram // TOKEN]
-    return order, np.cumsum(np.concatenate(([0], (lead[1:] != lead[:-1]).any(axis=1).astype(np.int64))))
+        at = begin[low : low + 500, None] + np.arange(out.shape[1])
+        out[low : low + 500] = np.where(at < end[low : low + 500, None], raw[np.minimum(at, len(raw) - 1)], 0)
+    return out
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes, and the number of bytes that each shares with the one before it (-1: the first)."""
+    order = multikey_quicksort(keys.view(">u8").astype(np.uint64))
+    differ = keys[order[1:]] != keys[order[:-1]]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1])
+    return order, np.concatenate(([-1], shared))
+
+
+def _runs(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each row the number of its run of neighbours that share `least` bytes or more."""
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(shared < least) - 1
+    return run
+
+
+def _judge(length: int, gram: int) -> repeats.Judge:
+    def judge(b: repeats.Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        anchor = b.offsets[:-1] + b.at
+        after = _sorted(_tokens(b.raw, anchor, b.offsets[1:], length))
+        before = _sorted(_tokens(b.raw[::-1], len(b.raw) - anchor, len(b.raw) - b.offsets[:-1], max(length - gram, 1)))
+        lead = _runs(*after, LEAD)
+        found, far = [], []
+        for d in range(int((b.at - b.n).min()) + 1, int(b.at.max()) + 1):
+            own = np.flatnonzero((b.at - b.n < d) & (d <= b.at))  # blocks with a string that starts d bytes before the anchor
+            if not len(own):
+                continue
+            right = _runs(*after, length - d)
+            kind = right[own] * len(b.n) + _runs(*before, d)[own]
+            order = np.argsort(kind, kind="stable")
+            kind, own = kind[order], own[order]
+            new = np.concatenate(([True], kind[1:] != kind[:-1]))
+            twice = ~(new & np.concatenate((new[1:], [True])))
+            found.append(np.column_stack((own[twice], b.at[own[twice]] - d)))
+            edge = right if length - d < LEAD else lead
+            own = own[new]
+            own = own[(edge[own] == 0) | (edge[own] == edge.max())]
+            far.append(np.column_stack((own, b.at[own] - d)))
+        found, far = np.concatenate(found), np.concatenate(far)
+        return found[:, 0], found[:, 1], far[:, 0], far[:, 1]
+
+    return judge
 
 
 def _deal(blocks: DataFrame, parts: int) -> DataFrame:
-    suffix = F.expr("substring(block, at + 1, 2147483647)")
-    return blocks.repartitionByRange(parts, suffix, F.col("ctx"))
+    """By leading tokens; suffixes that share all of them by their hash, so that no number of them is too many."""
+    return blocks.repartitionByRange(parts, F.expr(f"substring(block, at + 1, {LEAD})"), F.col("ctx"))
 
 
 def duplicate_spans(docs: DataFrame, length: int = 200, gram: int = 40) -> DataFrame:
     """Byte spans to remove, by row key. docs: _id, _rk, text."""
     if gram % TOKEN or gram > length:
         raise ValueError(f"gram must be a multiple of {TOKEN}, {length} at most")
-    return repeats.repeated_spans(docs, repeats.byte_units, length, gram, keep_first=False, as_bytes=True, order_of=by_suffix, deal=_deal)
+    return repeats.repeated_spans(
+        docs, repeats.byte_units, length, gram, keep_first=False, cut=repeats.byte_blocks, judge=_judge(length, gram), deal=_deal, per_task=PER_TASK
+    )
 
 
 def with_spans(docs: DataFrame, length: int = 200, gram: int = 40) -> DataFrame:
-    """Columns row (all of docs, as a struct) and spans (may overlap; null if none).
+    """Columns row (all of docs, as a struct), starts and ends of spans (may overlap; null if none).
 
     Any columns besides doc_id and text pass through in row, whatever their names. Null texts count as empty.
     Rows equal in doc_id and text are copies of each other like any others; null ids are ids.
     """
     keyed = docs.select(F.struct("*").alias("row"), *store.row_key(), "text")
     spans = duplicate_spans(keyed, length, gram)
-    return keyed.select("row", "_id", "_rk").join(spans, ["_id", "_rk"], "left").select("row", "spans")
+    return keyed.select("row", "_id", "_rk").join(spans, ["_id", "_rk"], "left").select("row", "starts", "ends")
 
 
-def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
-    starts, ends = repeats.joined(spans, len(text))
-    if not len(starts):
-        return text, 0
-    edges = np.concatenate(([0], np.column_stack((starts, ends)).ravel(), [len(text)]))
-    return b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)), len(starts)
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    return b"".join(repeats.kept(text, starts, ends)) if len(starts) else text
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +136,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = symbols.text_bytes(row.field("text"))
         raw = data.tobytes()
         out = []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
+        for i, (starts, ends) in enumerate(repeats.span_lists(batch)):
             text = raw[offsets[i] : offsets[i + 1]]
-            kept, n = _cut(text, spans)
-            out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
+            kept = _cut(text, starts, ends)
+            out.append((len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
         a, b, c, d = zip(*out) if out else ((),) * 4
         yield pa.RecordBatch.from_arrays(
             [row.field("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())],
@@ -126,8 +166,8 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
             row = batch.column("row")
             data, offsets = symbols.text_bytes(row.field("text"))
             raw = data.tobytes()
-            spans = batch.column("spans").to_pylist()
-            texts = [None if not valid else _cut(raw[offsets[i] : offsets[i + 1]], spans[i])[0].decode("utf-8", "ignore") for i, valid in enumerate(row.field("text").is_valid().to_pylist())]
+            spans = repeats.span_lists(batch)
+            texts = [None if not valid else _cut(raw[offsets[i] : offsets[i + 1]], *spans[i]).decode("utf-8", "ignore") for i, valid in enumerate(row.field("text").is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["row", "kept"])
 
     out = store.map_arrow(rows, cut, rows.select("row", F.lit(None).cast("string").alias("kept")).schema)

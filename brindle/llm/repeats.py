@@ -1,23 +1,27 @@
 """Which windows of a fixed number of symbols (bytes or words) stand more than once in a corpus.
 
-Shared core of the suffix-array and the Lempel-Ziv operators. A window is never shuffled by itself. Each text
+Shared frame of the suffix-array and the Lempel-Ziv operators. A window is never shuffled by itself. Each text
 is cut into rows of consecutive windows that share an anchor (see symbols.anchors), about one row for every
-40 % of a window. Equal windows have equal anchors, so all comparisons are within one anchor's rows:
+40 % of a window; a periodic stretch is one row. Equal windows have equal anchors, so all comparisons are within
+one anchor's rows:
 
 1. anchors that stand once are dropped: their windows are unique;
 2. rows with the same anchor and the same whole content (ctx) are counted, not compared: copies, however
    many, become one representative;
-3. only representatives of anchors that have several contents fetch their text and are compared window by
-   window, in partitions of bounded size. A group of equal anchors may lie across partitions: windows of the
-   groups at a partition's edges, packed by anchor and hash, go through a second comparison. It is dealt by
-   both, so that one anchor's windows spread over as many tasks as there were partitions.
-
-Equality is of 64-bit hashes of content under equal anchors (two independent 64-bit values).
+3. only representatives of anchors that have several contents fetch their text, as blocks, and are judged by
+   the operator's own method (judge) in partitions of bounded size. A group of equal anchors may lie across
+   partitions: windows of the groups at a partition's edges, packed by anchor and hash, go through a second
+   comparison. It is dealt by both, so that one anchor's windows spread over as many tasks as there were
+   partitions.
+
+Step 2 and the comparison across partitions take content as equal if two independent 64-bit hashes are (anchor
+and content); the judges compare bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,32 @@ from pyspark.sql import functions as F
 
 from brindle.llm import store, symbols
 
-#: Representatives compared in one task.
-PER_TASK = 4_000
 #: From a text's bytes: symbols of a batch of texts, and where each text's symbols start.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """The blocks of a partition: bytes end to end, where each starts, and for each its anchor's hash, the hash of
+    its content, its text's key, the text's symbol it starts at, its windows and its anchor's place in it."""
+
+    raw: np.ndarray
+    offsets: np.ndarray
+    gram: np.ndarray
+    ctx: np.ndarray
+    id: np.ndarray
+    rk: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+
+
+#: Rows and windows of blocks that stand elsewhere among them; then those that blocks of other partitions may hold.
+Judge = Callable[[Blocks], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+#: The bytes of one text, and of wanted blocks in it the first symbol and the number of symbols: the blocks.
+Cut = Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]]
+
+
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols.BYTE_SYMBOL[data], offsets
 
@@ -41,8 +65,18 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return symbols.word_hashes(data, starts, ends), first
 
 
+def byte_blocks(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    return [raw[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist())]
+
+
+def word_blocks(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Words joined by one space."""
+    starts, ends, _ = symbols.words(raw, np.array([0, len(raw)]))
+    return [b" ".join(raw[a:b].tobytes().split()) for a, b in zip(starts[first].tolist(), ends[first + size - 1].tolist())]
+
+
 def _anchor_rows(units: Units, window: int, gram: int):
-    names = ["_id", "_rk", "first", "n", "at", "gram", "ctx"]
+    names = ["_id", "_rk", "first", "n", "at", "gram", "ctx", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,47 +87,28 @@ def _anchor_rows(units: Units, window: int, gram: int):
                 rows = symbols.anchors(syms, first, window, gram)
                 if len(rows["text"]):
                     at = rows["text"] + a
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[0][at]),
-                            pa.array(keys[1][at]),
-                            pa.array(rows["first"]),
-                            pa.array(rows["n"].astype(np.int32)),
-                            pa.array(rows["at"].astype(np.int32)),
-                            pa.array(rows["gram"]),
-                            pa.array(rows["ctx"]),
-                        ],
-                        names,
-                    )
-
-    return run, "_id long, _rk long, first long, n int, at int, gram long, ctx long"
-
-
-def _fetch(units: Units, window: int, as_bytes: bool):
-    """The content under each wanted row: bytes, or hashes of words as bytes."""
+                    small = [pa.array(rows[k].astype(np.int32)) for k in ("n", "at")]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at]), pa.array(keys[1][at]), pa.array(rows["first"]), *small, *(pa.array(rows[k]) for k in ("gram", "ctx", "times"))], names)
+
+    return run, "_id long, _rk long, first long, n int, at int, gram long, ctx long, times long"
+
+
+def _fetch(cut: Cut, window: int):
+    """The content under each wanted row."""
     names = ["gram", "ctx", "_id", "_rk", "first", "n", "at", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = symbols.text_bytes(batch.column("text"))
-            ids, rks = batch.column("_id"), batch.column("_rk")
-            wants = batch.column("wants").to_pylist()
-            for i, want in enumerate(wants):
-                raw = data[offsets[i] : offsets[i + 1]]
-                syms = raw if as_bytes else units(raw, np.array([0, len(raw)]))[0]
-                own = [want[j] for j in range(len(want))]
+            keys = [batch.column(k).to_numpy() for k in ("_id", "_rk")]
+            wants = batch.column("wants")
+            edges, own = wants.offsets.to_numpy(), wants.values
+            for i in range(batch.num_rows):
+                part = own.slice(edges[i], edges[i + 1] - edges[i])
+                first, n = part.field("first").to_numpy(), part.field("n").to_numpy()
+                blocks = cut(data[offsets[i] : offsets[i + 1]], first, n.astype(np.int64) - 1 + window)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([w["gram"] for w in own], pa.int64()),
-                        pa.array([w["ctx"] for w in own], pa.int64()),
-                        pa.array([ids[i].as_py()] * len(own), pa.int64()),
-                        pa.array([rks[i].as_py()] * len(own), pa.int64()),
-                        pa.array([w["first"] for w in own], pa.int64()),
-                        pa.array([w["n"] for w in own], pa.int32()),
-                        pa.array([w["at"] for w in own], pa.int32()),
-                        pa.array([syms[w["first"] : w["first"] + w["n"] - 1 + window].tobytes() for w in own], pa.binary()),
-                    ],
-                    names,
+                    [part.field("gram"), part.field("ctx"), *(pa.array(np.full(len(part), k[i])) for k in keys), part.field("first"), part.field("n"), part.field("at"), pa.array(blocks, pa.binary())], names
                 )
 
     return run, "gram long, ctx long, _id long, _rk long, first long, n int, at int, block binary"
@@ -120,8 +135,8 @@ PACKED = ("hash", "i", "ctxs", "ids", "rks", "places")
 LEAST_BUCKETS = 64
 
 
-def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of, buckets: int):
-    """Sort a partition's blocks from their anchors on, compare the windows of each run of equal anchors."""
+def _compare(units: Units, window: int, keep_first: bool, judge: Judge, buckets: int):
+    """Judge a partition's blocks; give spans of those that stand elsewhere and, packed, windows that may."""
     schema = pa.schema(
         [("gram", pa.int64()), ("ctx", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("bucket", pa.int32()), *((k, pa.binary()) for k in PACKED)]
     )
@@ -132,42 +147,37 @@ def _compare(window: int, gram: int, as_bytes: bool, keep_first: bool, order_of,
             return
         t = pa.Table.from_batches(held).combine_chunks()
         del held
-        col = {k: t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("gram", "ctx", "_id", "_rk", "first", "n", "at")}
         raw, offsets = symbols.text_bytes(t.column("block").combine_chunks() if t.column("block").num_chunks != 1 else t.column("block").chunk(0))
-        syms, offsets = (symbols.BYTE_SYMBOL[raw], offsets) if as_bytes else (np.frombuffer(raw.tobytes(), np.uint64), offsets // 8)
-        order, run_of = order_of(raw, offsets, col, gram)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = run_of
-        n = col["n"].astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        sums = symbols.prefix_sums(syms)
-        start = offsets[row] + i
-        hashes = symbols.run_hash(sums, start, start + window)
-        flagged, head, alone = _repeated(rank[row], hashes, row, i, col, keep_first)
-        flagged.sort()
-        if len(flagged):
-            yield pa.RecordBatch.from_arrays(_spans(flagged, row, i, col, window), schema=schema)
-        # Runs that may go on in the partitions before and after.
-        far = head if keep_first else np.concatenate((alone, head))
-        far = far[(rank[row[far]] == 0) | (rank[row[far]] == run_of[-1])]
-        if len(far):
-            yield pa.RecordBatch.from_arrays(_packed(far, hashes, row, i, col, keep_first, buckets), schema=schema)
+        blocks = Blocks(raw, offsets, *(t.column(k).to_numpy().astype(np.int64) for k in ("gram", "ctx", "_id", "_rk", "first", "n", "at")))
+        row, i, far_row, far_i = judge(blocks)
+        if len(row):
+            yield pa.RecordBatch.from_arrays(_spans(row, i, blocks, window), schema=schema)
+        if len(far_row):
+            yield pa.RecordBatch.from_arrays(_packed(far_row, far_i, _hashes(units, blocks, far_row, far_i, window), blocks, keep_first, buckets), schema=schema)
 
     return run
 
 
-def _packed(far, hashes, row, i, col, keep_first, buckets) -> list[pa.Array]:
+def _hashes(units: Units, blocks: Blocks, row: np.ndarray, i: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of windows i of rows."""
+    rows, at = np.unique(row, return_inverse=True)
+    size = np.diff(blocks.offsets)[rows]
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    syms, first = units(blocks.raw[np.arange(offsets[-1]) + np.repeat(blocks.offsets[rows] - offsets[:-1], size)], offsets)
+    start = first[at] + i
+    return symbols.run_hash(symbols.prefix_sums(syms), start, start + window)
+
+
+def _packed(row, i, hashes, blocks: Blocks, keep_first: bool, buckets: int) -> list[pa.Array]:
     """Windows as rows of (gram, bucket of hash), each with all it needs end to end as bytes."""
-    bucket = (hashes[far] % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((bucket, col["gram"][row[far]]))
-    far, bucket = far[order], bucket[order]
-    r = row[far]
-    g = col["gram"][r]
+    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((bucket, blocks.gram[row]))
+    row, i, hashes, bucket = row[order], i[order], hashes[order], bucket[order]
+    g = blocks.gram[row]
     begin = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (bucket[1:] != bucket[:-1]))))
-    values = [hashes[far], i[far].astype(np.int64), col["ctx"][r]]
-    values += [col["_id"][r], col["_rk"][r], col["first"][r] + i[far]] if keep_first else [np.zeros(0, np.int64)] * 3
-    at = np.concatenate((begin, [len(far)])).astype(np.int32) * 8
+    values = [hashes, i.astype(np.int64), blocks.ctx[row]]
+    values += [blocks.id[row], blocks.rk[row], blocks.first[row] + i] if keep_first else [np.zeros(0, np.int64)] * 3
+    at = np.concatenate((begin, [len(row)])).astype(np.int32) * 8
     empty = np.zeros(len(at), np.int32)
     packs = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at if len(v) else empty), pa.py_buffer(np.ascontiguousarray(v))]) for v in values]
     none = pa.nulls(len(begin), pa.list_(pa.int32()))
@@ -206,75 +216,47 @@ def _meet(window: int, keep_first: bool):
     return run
 
 
-def _repeated(run, hashes, row, i, col, keep_first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of windows that stand elsewhere in their run here (keep_first: that stand earlier).
-
-    Then of one window of each that stands several times (keep_first: the first of every window), and of those
-    that stand once (keep_first: none).
-    """
-    if keep_first:
-        where = col["first"][row] + i
-        order = np.lexsort((where, col["_rk"][row], col["_id"][row], hashes, run))
-    else:
-        order = np.lexsort((hashes, run))
-    r, h = run[order], hashes[order]
-    new = np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])))
-    if not keep_first:
-        alone = new & np.concatenate((new[1:], [True]))
-        return order[~alone], order[new & ~alone], order[alone]
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    same = (col["_id"][row[order]] == col["_id"][row[head]]) & (col["_rk"][row[order]] == col["_rk"][row[head]]) & (where[order] == where[head])
-    return order[~same], order[new], order[:0]
-
-
-def _spans(flagged, row, i, col, window) -> list[pa.Array]:
-    """Runs of consecutive flagged windows of a row, as lists of starts and ends within the row's block."""
-    r, w = row[flagged], i[flagged]
-    new = np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))
-    begin = np.flatnonzero(new)
-    stop = np.concatenate((begin[1:], [len(flagged)])) - 1
+def _spans(row, i, blocks: Blocks, window: int) -> list[pa.Array]:
+    """Runs of consecutive windows of a row, as lists of starts and ends within the row's block."""
+    order = np.lexsort((i, row))
+    r, w = row[order], i[order]
+    begin = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] > w[:-1] + 1))))
+    stop = np.concatenate((begin[1:], [len(r)])) - 1
     rows, counts = np.unique(r[begin], return_counts=True)
     at = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
     n = len(rows)
     return [
-        pa.array(col["gram"][rows]), pa.array(col["ctx"][rows]),
+        pa.array(blocks.gram[rows]), pa.array(blocks.ctx[rows]),
         pa.ListArray.from_arrays(at, pa.array(w[begin].astype(np.int32))), pa.ListArray.from_arrays(at, pa.array((w[stop] + window).astype(np.int32))),
         pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in PACKED),
     ]
 
 
-def by_gram(raw, offsets, col, gram):
-    """Order of blocks by the hash of their anchor, and the run each is in."""
-    order = np.argsort(col["gram"], kind="stable")
-    g = col["gram"][order]
-    return order, np.cumsum(np.concatenate(([0], (g[1:] != g[:-1]).astype(np.int64))))
-
-
-def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_first: bool, as_bytes: bool, order_of, deal) -> DataFrame:
+def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_first: bool, cut: Cut, judge: Judge, deal, per_task: int) -> DataFrame:
     """Spans of symbols under windows that stand elsewhere too (keep_first: that also start earlier).
 
     docs: _id, _rk (store.row_key), text. deal(blocks, n) spreads blocks over n partitions, equal anchors side
-    by side. Returns _id, _rk, spans array<struct<start: long, end: long>>, in symbols; texts without any have
-    no row. Spans may overlap.
+    by side; n is such that a task gets about per_task blocks. Returns _id, _rk, starts and ends (array<long>),
+    in symbols; texts without any have no row. Spans may overlap.
     """
     docs = docs.select("_id", "_rk", "text")
     f, schema = _anchor_rows(units, window, gram)
     rows = store.table(store.map_arrow(docs, f, schema), "anchors")
-    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
+    grams = rows.groupBy("gram").agg(F.sum("times").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
     grams = store.table(grams.where("c > 1").select("gram", (F.col("lo") != F.col("hi")).alias("many")), "grams")
     found = store.table(rows.join(grams, "gram"), "found")
     store.drop(rows)
     store.drop(grams)
     reps = found.groupBy("gram", "ctx").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_rk", "first", "n", "at")).alias("own"), F.first("many").alias("many")
+        F.sum("times").alias("copies"), F.min(F.struct("_id", "_rk", "first", "n", "at")).alias("own"), F.first("many").alias("many")
     )
     reps = store.table(reps, "reps")
     wants = reps.where("many").groupBy("own._id", "own._rk").agg(F.collect_list(F.struct("gram", "ctx", "own.first", "own.n", "own.at")).alias("wants"))
-    f, schema = _fetch(units, window, as_bytes)
+    f, schema = _fetch(cut, window)
     blocks = store.map_arrow(docs.join(wants, ["_id", "_rk"]), lambda batches: _gather(f(batches)), schema)
     blocks = store.table(blocks, "blocks")
-    parts = max(1, -(-blocks.count() // PER_TASK))
-    compare = _compare(window, gram, as_bytes, keep_first, order_of, max(LEAST_BUCKETS, parts))
+    parts = max(1, -(-blocks.count() // per_task))
+    compare = _compare(units, window, keep_first, judge, max(LEAST_BUCKETS, parts))
     compared = store.table(store.map_arrow(deal(blocks, parts), compare, COMPARED), "compared")
     store.drop(blocks)
     edge = compared.where("bucket is not null").select("gram", "bucket", *PACKED).repartition(parts, "gram", "bucket")
@@ -282,21 +264,39 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     inner = compared.where("bucket is null").select("gram", "ctx", "starts", "ends")
     parts_of = inner.unionByName(edge).groupBy("gram", "ctx").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("parts"))
     known = store.table(reps.select("gram", "ctx", "copies", "own").join(parts_of, ["gram", "ctx"], "left"), "known")
-    all_of = F.array(F.struct(F.lit(0).alias("starts"), (F.col("n") - 1 + window).alias("ends")))
-    mine = (F.col("_id") == F.col("own._id")) & (F.col("_rk") == F.col("own._rk")) & (F.col("first") == F.col("own.first"))
-    whole = ~mine if keep_first else F.col("copies") > 1
-    hits = found.join(known, ["gram", "ctx"]).withColumn("parts", F.when(whole, all_of).otherwise(F.col("parts")))
-    hits = hits.where("parts is not null").select("_id", "_rk", F.transform("parts", lambda p: F.struct((F.col("first") + p.starts).alias("start"), (F.col("first") + p.ends).alias("end"))).alias("spans"))
-    return hits.groupBy("_id", "_rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def joined(spans: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    # A row is `times` stretches of n windows each, all of the same content.
+    first, n, times = F.col("first"), F.col("n"), F.col("times")
+    mine = (F.col("_id") == F.col("own._id")) & (F.col("_rk") == F.col("own._rk")) & (first == F.col("own.first"))
+    whole_from = F.when(~mine, first).when(times > 1, first + n) if keep_first else F.when(F.col("copies") > 1, first)
+    hits = found.join(known, ["gram", "ctx"]).withColumn("_from", whole_from)
+    whole = F.when(F.col("_from").isNotNull(), F.array(F.struct(F.col("_from").alias("start"), (first + times * n - 1 + window).alias("end"))))
+    parted = F.when(mine if keep_first else F.col("copies") == 1, F.transform("parts", lambda p: F.struct((first + p.starts).alias("start"), (first + p.ends).alias("end"))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    hits = hits.select("_id", "_rk", F.concat(F.coalesce(whole, none), F.coalesce(parted, none)).alias("spans")).where(F.size("spans") > 0)
+    spans = hits.groupBy("_id", "_rk").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # a set: of documents given several times, once
+    return spans.select("_id", "_rk", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+
+
+def span_lists(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """starts and ends of each row of a batch, as joined() gives them."""
+    starts, ends = batch.column("starts"), batch.column("ends")
+    empty = np.zeros(0, np.int64)
+    a, x, y = starts.offsets.to_numpy(), starts.values.to_numpy(), ends.values.to_numpy()
+    b = ends.offsets.to_numpy()
+    return [joined(x[a[i] : a[i + 1]], y[b[i] : b[i + 1]]) if ok else (empty, empty) for i, ok in enumerate(starts.is_valid().to_pylist())]
+
+
+def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans as sorted starts and ends of maximal runs."""
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    depth = np.zeros(n + 1, np.int32)
-    np.add.at(depth, [s["start"] for s in spans], 1)
-    np.add.at(depth, [s["end"] for s in spans], -1)
-    inside = np.concatenate(([0], (np.cumsum(depth)[:-1] > 0).astype(np.int8), [0]))
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    s, e = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+    return s[new], e[np.append(new[1:] - 1, len(e) - 1)]
+
+
+def kept(pieces, starts: np.ndarray, ends: np.ndarray) -> list:
+    """What of a sequence (bytes or a list) lies outside of joined spans, as slices."""
+    edges = [0, *np.column_stack((starts, ends)).ravel().tolist(), len(pieces)]
+    return [pieces[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)]

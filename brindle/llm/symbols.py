@@ -111,7 +111,8 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     A window's anchor is its gram (run of `gram` symbols) of smallest hash, the leftmost if several: equal
     windows have equal anchors at equal places. Consecutive windows with the same anchor make one row:
     text (index), first (first window's start), n (windows), at (anchor's place from first), gram (hash of
-    the anchor), ctx (hash of all that the row's windows cover).
+    the anchor), ctx (hash of all that the row's windows cover). In periodic text the next n windows may have
+    the same anchor and content again, and so on: they stay in the row, times tells how often.
     """
     parts = []
     for a, b in groups_of(offsets, PIECE):
@@ -122,7 +123,7 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
                 high = min(low + PIECE, int(offsets[b]))
                 parts.append((a, np.array([0]), np.array([high - low]), low, high))
     found = [x for part in parts if (x := _anchors(symbols, *part, offsets, window, gram)) is not None]
-    names = ("text", "first", "n", "at", "gram", "ctx")
+    names = ("text", "first", "n", "at", "gram", "ctx", "times")
     return {k: np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i, k in enumerate(names)}
 
 
@@ -148,4 +149,9 @@ def _anchors(symbols, text, begin, end, low, high, offsets, window, gram):
     at = place[edge]
     ctx = run_hash(sums, first, last + window) ^ mix((at - first).astype(U64) * U64(1000003) + (last - first).astype(U64))
     index = text + np.searchsorted(begin, first, "right") - 1
-    return index, first + low - offsets[index], last - first + 1, at - first, grams[at].view(np.int64), ctx.view(np.int64)
+    gram_hash = grams[at]
+    again = (index[1:] == index[:-1]) & (gram_hash[1:] == gram_hash[:-1]) & (ctx[1:] == ctx[:-1])
+    head = np.flatnonzero(np.concatenate(([True], ~again)))
+    times = np.diff(np.append(head, len(index)))
+    index, first, last, at = index[head], first[head], last[head], at[head]
+    return index, first + low - offsets[index], last - first + 1, at - first, gram_hash[head].view(np.int64), ctx[head].view(np.int64), times

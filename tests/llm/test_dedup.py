@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm import components, op3_lempel_ziv, op4_suffix_array, op8_simhash, symbols
+from brindle.llm import components, op3_lempel_ziv, op4_suffix_array, op8_simhash, repeats, symbols
 from tests.llm import brute
 
 ops = {
@@ -36,9 +36,8 @@ def test_empty_table(empty, name):
 
 def test_many_contents_of_one_anchor(spark, monkeypatch):
     """Anchors of many contents that lie across several partitions."""
-    from brindle.llm import repeats
-
-    monkeypatch.setattr(repeats, "PER_TASK", 7)
+    for op in (op3_lempel_ziv, op4_suffix_array):
+        monkeypatch.setattr(op, "PER_TASK", 7)
     common = " ".join(brute.WORDS)
     rows = [(i, f"left {i % 9} {i % 4} " + common + f" right {i % 5} " + " ".join(f"t{(i % 6) * j}" for j in range(30))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -98,3 +97,53 @@ def test_words_of_texts(texts):
     starts, ends, first = symbols.words(data, offsets)
     got = [[data[a:b].tobytes() for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])] for i in range(len(texts))]
     assert got == [brute.SPACE.findall(t) for t in texts]
+
+
+def test_factors_of_a_known_text():
+    """The longest run that any reference block holds, then the windows across its end."""
+    reference = op3_lempel_ziv.Reference(3)
+    for block in (b"a b c d e x", b"q d e f g h", b"b c d z"):
+        reference.add(block, *op3_lempel_ziv.word_places(block))
+    text = b"a b c d e f g y b c d z w"
+    assert op3_lempel_ziv.parse(text, *op3_lempel_ziv.word_places(text), reference) == [(0, 5), (3, 7), (8, 12)]
+    assert op3_lempel_ziv.parse(b"a b", *op3_lempel_ziv.word_places(b"a b"), reference) == []
+
+
+def _blocks_of(texts, at):
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    n = np.array([len(t) - 199 for t in texts])
+    zero = np.zeros(len(texts), np.int64)
+    return repeats.Blocks(raw, offsets, zero, np.arange(len(texts)), np.arange(len(texts)), zero, zero, n, np.full(len(texts), at))
+
+
+def test_suffix_order_decides(monkeypatch):
+    """Neighbours in sorted order are all that is compared: in another order strings would be missed."""
+    rng = np.random.default_rng(2)
+    gram, tails, heads = b"anchor" + b"." * 34, [rng.bytes(150) for _ in range(6)], [rng.bytes(60) for _ in range(6)]
+    texts = [heads[int(a)] + gram + tails[int(b)][: int(c)] + rng.bytes(150 - int(c)) for a, b, c in zip(rng.integers(0, 6, 80), rng.integers(0, 6, 80), rng.integers(60, 150, 80))]
+    blocks = _blocks_of(texts, 60)
+    blocks = repeats.Blocks(**{**blocks.__dict__, "n": np.full(len(texts), 51)})  # windows that hold the anchor
+    row, i, _, _ = op4_suffix_array._judge(200, 40)(blocks)
+    count = {}
+    for t in texts:
+        for s in range(51):
+            count[s, t[s : s + 200]] = count.get((s, t[s : s + 200]), 0) + 1
+    want = {(r, s) for r, t in enumerate(texts) for s in range(51) if count[s, t[s : s + 200]] > 1}
+    assert len(row) == len(want) > 50 and set(zip(row.tolist(), i.tolist())) == want
+    monkeypatch.setattr(op4_suffix_array, "multikey_quicksort", lambda keys: np.arange(len(keys)))
+    assert len(op4_suffix_array._judge(200, 40)(blocks)[0]) < len(want)
+
+
+def test_long_periodic_texts(spark):
+    """A periodic stretch is one row of anchors, however long."""
+    for period in (b"a", b"abcdefg"):
+        syms, first = repeats.byte_units(np.frombuffer(period * (2_000_000 // len(period)), np.uint8), np.array([0, 2_000_000 // len(period) * len(period)]))
+        rows = symbols.anchors(syms, first, 200, 40)
+        assert len(rows["n"]) < 40 and int((rows["n"] * rows["times"]).sum()) == len(syms) - 199
+    texts = ["a" * 2_000_000, "abcdefg" * 100_000, "a " * 300_000, "b c d " * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op4_suffix_array.digest(docs).collect()}
+    assert all(r["n_removed"] == r["n_bytes"] == len(texts[i]) and r["n_spans"] == 1 for i, r in got.items())
+    got = {r["doc_id"]: r for r in op3_lempel_ziv.digest(docs).collect()}
+    assert [got[i]["n_words"] - got[i]["n_removed"] for i in range(4)] == [1, 1, 1, 3]
