@@ -19,7 +19,6 @@ from typing import Any
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +28,17 @@ from brindle.llm import store
 PARTS, PIECES, FOLLOWS = 100_000, 100_000, 200_000
 #: Texts in Python's hands at a time.
 AT_ONCE = 500
+#: White space, and the letters and numbers that Unicode 16.0, by which the library splits, has and
+#: Unicode 15.1, which Python knows, has not.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ADDED = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
 
 
 class PrefixTable:
@@ -146,19 +156,25 @@ class Vocabulary:
         return out[::-1]
 
 
-def split_pattern(highest: int) -> re.Pattern[str]:
-    """The pattern that cuts texts into pieces, for texts of code points up to highest: its classes are written out."""
-    classes: dict[str, list[list[int]]] = {"L": [], "N": []}
+def classes(highest: int) -> tuple[str, str]:
+    """Letters and numbers of Unicode 16.0 up to a code point, as ranges of a character class."""
+    spans: dict[str, list[list[int]]] = {"L": [], "N": []}
+    more = {x: k for k, added in ADDED.items() for a, b in added for x in range(a, b + 1)}
     for x in range(highest + 1):
-        spans = classes.get(unicodedata.category(chr(x))[0])
-        if spans is not None:
-            if spans and spans[-1][1] == x - 1:
-                spans[-1][1] = x
+        own = spans.get(more.get(x) or unicodedata.category(chr(x))[0])
+        if own is not None:
+            if own and own[-1][1] == x - 1:
+                own[-1][1] = x
             else:
-                spans.append([x, x])
-    letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in classes[k]) for k in "LN")
-    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
+                own.append([x, x])
+    letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[k]) for k in "LN")
+    return letters, numbers
+
+
+def split_pattern(highest: int) -> re.Pattern[str]:
+    """The pattern that cuts texts into pieces, for texts of code points up to highest: its classes are written out."""
+    letters, numbers = classes(highest)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
 class Encoder:
@@ -166,8 +182,8 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.vocabulary = Vocabulary(ranks)
-        #: Smaller classes match faster; beyond the basic plane the regex library's own classes do.
-        self.pieces = {"ascii": split_pattern(127), "basic": split_pattern(0xFFFF), "all": regex.compile(public_pattern())}
+        #: Smaller classes match faster.
+        self.pieces = {"ascii": split_pattern(127), "basic": split_pattern(0xFFFF), "all": split_pattern(0x10FFFF)}
         self.beyond = re.compile("[\U00010000-\U0010ffff]")
         #: A space before a space, or at the end: such texts are not cut at spaces.
         self.odd = re.compile(r" (?=\s|\Z)")

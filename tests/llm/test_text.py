@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -47,6 +48,27 @@ def test_tokens_equal_the_library(request, official, table):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_classes_of_all_code_points():
+    """Letters, numbers and spaces are those of the library, for every code point."""
+    everything = "".join(chr(x) for x in range(0x110000) if not 0xD800 <= x <= 0xDFFF)
+    letters, numbers = op7_byte_bpe.classes(0x10FFFF)
+    for theirs, ours in ((r"\p{L}", letters), (r"\p{N}", numbers), (r"\s", op7_byte_bpe.SPACES)):
+        plain = tiktoken.Encoding("class", pat_str=theirs, mergeable_ranks={bytes([x]): x for x in range(256)}, special_tokens={})
+        assert plain.decode(plain.encode_ordinary(everything)) == "".join(re.findall(f"[{ours}]", everything))
+
+
+def test_tokens_at_the_edges_of_classes(official):
+    """Every code point at which a class begins or ends, and its neighbours, alone and beside others."""
+    encoder = op7_byte_bpe.Encoder(op7_byte_bpe.read_ranks(op7_byte_bpe.default_path()))
+    edges = {int(x, 16) for c in op7_byte_bpe.classes(0x10FFFF) for x in re.findall("U([0-9a-f]{8})", c)}
+    points = sorted({min(max(x + d, 0), 0x10FFFF) for x in edges for d in (-1, 0, 1)} | set(range(0x3100)))
+    for x in points:
+        if not 0xD800 <= x <= 0xDFFF:
+            c = chr(x)
+            for text in (c, c + "'s", c + "1", " " + c, f"a{c} {c}{c}  b"):
+                assert np.frombuffer(encoder.encode(text), "<u4").tolist() == official.encode_ordinary(text), hex(x)
+
+
 def test_ids_decode_to_the_text(odd, empty):
     back = op7_byte_bpe.decode(op7_byte_bpe.encode(odd).withColumnRenamed("text", "was"))
     assert back.where("coalesce(was, '') <> text").count() == 0
