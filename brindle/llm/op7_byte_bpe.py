@@ -254,24 +254,28 @@ def _texts(column: pa.Array) -> Iterator[str]:
             yield x or ""
 
 
-def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with a column of token ids (array<int>) after all others. A null or empty text has no ids.
 
-    path: file of ranks, in the same place on every machine. A column named like ids is replaced.
+    path: file of ranks, in the same place on every machine. decoded: name of one more column, the SHA-256 of the
+    bytes that the ids decode to. Columns named like the new ones are replaced.
     """
     path = path or default_path()
     keyed = docs.select(F.struct("*").alias("row"), F.col("text").alias("_text"))
+    new = {ids: F.col("ids")} | ({decoded: F.col("decoded")} if decoded else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            found = [np.frombuffer(encoder.encode(t), "<i4") for t in _texts(batch.column("_text"))]
+            raw = [encoder.encode(t) for t in _texts(batch.column("_text"))]
+            back = pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() if decoded else None for x in raw], pa.string())
+            found = [np.frombuffer(x, "<i4") for x in raw]
             at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))], ["row", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32())), back], ["row", "ids", "decoded"])
 
-    out = store.map_arrow(keyed, run, keyed.select("row", F.array(F.lit(0)).alias("ids")).schema)
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != ids], F.col("ids").alias(ids))
+    out = store.map_arrow(keyed, run, keyed.select("row", F.array(F.lit(0)).alias("ids"), F.lit(None).cast("string").alias("decoded")).schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[x.alias(c) for c, x in new.items()])
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -72,6 +72,9 @@ def test_tokens_at_the_edges_of_classes(official):
 def test_ids_decode_to_the_text(odd, empty):
     back = op7_byte_bpe.decode(op7_byte_bpe.encode(odd).withColumnRenamed("text", "was"))
     assert back.where("coalesce(was, '') <> text").count() == 0
+    twice = op7_byte_bpe.encode(odd, decoded="kept")  # a column of this name is replaced
+    assert twice.columns == [*[c for c in odd.columns if c not in ("ids", "kept")], "ids", "kept"]
+    assert twice.where("kept <> sha2(coalesce(text, ''), 256)").count() == 0
     assert op7_byte_bpe.encode(empty).count() == 0 and op7_byte_bpe.digest(empty).count() == 0
 
 
