@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is stored as the sum of one word from each of several full-dimensional codebooks, and the squared
-norm of that sum. Codebooks start from k-means on residuals and are refitted together by least squares; codes
-are found by beam search. A query's inner products with all words make a lookup table, so that a stored vector
-costs a few additions. The best by that score are ranked again by their exact distance.
+A vector is stored as the sum of one word from each of several full-dimensional codebooks, the squared norm of
+that sum, and how far the vector is from it. Codebooks start from k-means on residuals and are refitted together by
+least squares; codes are found by beam search. A query's inner products with all words make a lookup table, so that
+a stored vector costs a few additions.
 
+The error of a code is the residual's length times a normal deviate, as residuals point in any direction: so every
+score comes with a low and a high estimate, SPREAD deviations apart. All vectors whose low estimate is within the
+k-th smallest high estimate are ranked again by their exact distance: the list follows the error of the codes and the
+crowding around a query, at every size of the index.
+
+The index is read in place, twice for each block of queries: for the queries' limits, then for what is within them.
 Equal vectors are one entry of the index, so groups of copies do not crowd out other candidates.
 """
 
@@ -17,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm import store
+from brindle.llm import store, symbols
 
 #: Codebooks and words in each; beams kept in encoding.
 BOOKS, WORDS, BEAM = 24, 64, 6
 #: Vectors that codebooks are fitted on, at most (those of smallest hashed id); rounds of k-means and of least squares.
 SAMPLE, ROUNDS, REFITS = 16_000, 6, 1
-#: Entries of the index and queries compared in one task; candidates ranked again for each query.
-ENTRIES, QUERIES, CANDIDATES = 65_536, 256, 800
+#: Deviations of a code's error that candidates are taken within.
+SPREAD = 1.5
+#: Entries of the index scored at a time; queries that are sent to all tasks at a time (about).
+ENTRIES, QUERIES = 32_768, 16_384
 
 
 def usable(vector: Column, size: int | None = None) -> Column:
@@ -92,45 +100,97 @@ def _index(books: np.ndarray):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                codes = encode(_matrix(part.column("embedding"), d), books)
-                total = books[np.arange(BOOKS), codes.astype(np.int64)].sum(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((total.astype(np.float64) ** 2).sum(axis=1))], ["cid", "code", "norm"])
+                x = _matrix(part.column("embedding"), d)
+                codes = encode(x, books)
+                total = books[np.arange(BOOKS), codes.astype(np.int64)].sum(axis=1).astype(np.float64)
+                numbers = [pa.array((total**2).sum(axis=1)), pa.array(((x - total) ** 2).sum(axis=1))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), *numbers], [*part.schema.names, "code", "norm", "rest"])
 
     return run
 
 
-def _scan(books: np.ndarray, keep: int):
-    d = books.shape[2]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """cid, codes (books, n), norm and rest of ENTRIES entries or more at a time."""
+
+    def put(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        codes = np.concatenate([symbols.text_bytes(b.column("code"))[0] for b in held]).reshape(-1, BOOKS)
+        return t.column("cid").to_numpy(), np.ascontiguousarray(codes.T).astype(np.intp), t.column("norm").to_numpy(), t.column("rest").to_numpy()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ENTRIES:
+            yield put(held)
+            held = []
+    if held:
+        yield put(held)
+
+
+def _estimates(books: np.ndarray, query: np.ndarray, codes: np.ndarray, norm: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high estimates of squared distances, by the query's lookup table."""
+    table = books @ query.astype(np.float32)
+    inner = np.zeros(len(norm), np.float32)
+    for words, at in zip(table, codes):
+        inner += words.take(at)
+    square = np.maximum(norm - 2 * inner + (query**2).sum(), 0)
+    slack = 2 * SPREAD * np.sqrt(square * rest / len(query))
+    return square + rest - slack, square + rest + slack
+
+
+def _limits(books: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """The k smallest high estimates of each query in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                entries, queries = batch.column("entries")[r].values, batch.column("queries")[r].values
-                cids = entries.field("cid").to_numpy()
-                codes = np.frombuffer(b"".join(entries.field("code").to_pylist()), np.uint8).reshape(-1, BOOKS).astype(np.int64)
-                norms = entries.field("norm").to_numpy()
-                by_id = np.argsort(cids)
-                cids, codes, norms = cids[by_id], codes[by_id], norms[by_id]
-                ids = queries.field("query_id").to_numpy()
-                q = queries.field("vector").flatten().to_numpy().reshape(-1, d).astype(np.float32)
-                out_q, out_c, out_s = [], [], []
-                for i in range(len(q)):
-                    table = books @ q[i]
-                    score = norms.copy()
-                    for m in range(BOOKS):
-                        score -= 2 * table[m][codes[:, m]]
-                    n = min(keep, len(score))
-                    worst = np.partition(score, n - 1)[n - 1]
-                    best = np.concatenate((np.flatnonzero(score < worst), np.flatnonzero(score == worst)))[:n]  # ties to smaller ids
-                    out_q.append(np.full(n, ids[i]))
-                    out_c.append(cids[best])
-                    out_s.append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_c, out_s)], ["query_id", "cid", "near"])
+        best: list[np.ndarray] = []
+        for _, codes, norm, rest in _chunks(batches):
+            for i, query in enumerate(vectors):
+                high = _estimates(books, query, codes, norm, rest)[1]
+                high = high if i >= len(best) else np.concatenate((best[i], high))
+                high = np.partition(high, k - 1)[:k] if len(high) > k else high
+                best[i : i + 1] = [high]
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in best])), pa.array(np.concatenate(best))], ["query_id", "high"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
+def _within(books: np.ndarray, ids: np.ndarray, vectors: np.ndarray, limits: np.ndarray):
+    """Entries whose low estimate is within a query's limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cids, codes, norm, rest in _chunks(batches):
+            for i, query in enumerate(vectors):
+                near = cids[_estimates(books, query, codes, norm, rest)[0] <= limits[i]]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[i])), pa.array(near)], ["query_id", "cid"])
+
+    return run
+
+
+def _candidates(index: DataFrame, asked: DataFrame, books: np.ndarray, k: int) -> DataFrame:
+    """query_id, cid of all entries that may be among the k nearest kinds of vectors. asked: n queries' ids and vectors.
+
+    Each block of queries, of bounded size, goes to all tasks, which read the index in place.
+    """
+    n_blocks = max(1, -(-asked.count() // QUERIES))
+    codes, found = index.select("cid", "code", "norm", "rest"), None
+    for b in range(n_blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        ids, vectors = block.column("query_id").to_numpy(), _matrix(block.column("vector").chunk(0), books.shape[2]).astype(np.float64)
+        highs = store.map_arrow(codes, _limits(books, ids, vectors, k), "query_id long, high double")
+        highs = highs.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("high"))).where(F.col("r") <= k)
+        highs = highs.groupBy("query_id").agg(F.max("high").alias("high")).toArrow()  # one row for each query of the block
+        limit = dict(zip(highs.column("query_id").to_pylist(), highs.column("high").to_pylist()))
+        limits = np.array([limit[i] for i in ids.tolist()])
+        near = store.table(store.map_arrow(codes, _within(books, ids, vectors, limits), "query_id long, cid long"), "candidates")
+        found = near if found is None else found.unionByName(near)
+    return found if found is not None else asked.where("false").select("query_id", F.col("query_id").alias("cid"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by exact Euclidean distance.
 
     vectors: vec_id, embedding (array of float or double); queries: the same columns. Rows with a null id, and
@@ -143,28 +203,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
     d = sizes[0]["d"] if sizes else 0
     clean = clean.where(F.size("embedding") == d)
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), d)).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector")).distinct()
-    kinds = store.table(clean.groupBy("embedding").agg(F.min("vec_id").alias("cid")).select("cid", "embedding"), "kinds")
-    ranked = clean.distinct().withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    members = ranked.join(kinds, "embedding").select("cid", "vec_id")
-    sample = kinds.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()  # SAMPLE rows at most
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().combine_chunks()  # SAMPLE rows at most
     if not sample.num_rows:
         return asked.where("false").select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"))
-    books = train(_matrix(sample.column("embedding").combine_chunks() if sample.column("embedding").num_chunks != 1 else sample.column("embedding").chunk(0), d))
-    index = store.table(store.map_arrow(kinds.repartition("cid"), _index(books), "cid long, code binary, norm double"), "index")
-    n_blocks = max(1, -(-index.count() // ENTRIES))
+    books = train(np.unique(_matrix(sample.column("embedding").chunk(0), d), axis=0))
+    # Of a vector's ids only the first k + 1 can be results: one more than asked for, as a query's own id is none.
+    first = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    kinds = clean.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.collect_set("vec_id").alias("ids"))
+    kinds = kinds.select("cid", "ids", "embedding")
+    index = store.table(store.map_arrow(kinds, _index(books), kinds.select("*", F.lit(b"").alias("code"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("rest")).schema), "index")
     asked = store.table(asked, "asked")
-    n_asked = max(1, -(-asked.count() // QUERIES))
-    entries = index.groupBy(F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("cid", "code", "norm")).alias("entries"))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).alias("a")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    pairs = blocks.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(entries, "b").repartition(n_blocks * n_asked, "a", "b")
-    found = store.map_arrow(pairs.select("entries", "queries"), _scan(books, candidates), "query_id long, cid long, near double")
-    if n_blocks > 1:
-        found = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "cid"))).where(F.col("r") <= candidates)
+    found = _candidates(index, asked, books, k + 1)
     squares = F.zip_with("vector", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    exact = found.select("query_id", "cid").join(kinds, "cid").join(asked, "query_id")
-    exact = exact.select("query_id", "cid", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y)).alias("score"))
+    exact = found.join(index.select("cid", "ids", "embedding"), "cid").join(asked, "query_id")
+    exact = exact.select("query_id", "cid", "ids", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y)).alias("score"))
     near = exact.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "cid"))).where(F.col("r") <= k + 1)
-    out = near.select("query_id", "cid", "score").join(members, "cid").where("vec_id <> query_id")
+    out = near.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     out = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
