@@ -7,8 +7,10 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from brindle.llm import op5_quality_rules, op7_byte_bpe, op9_class_lm, op10_toxicity
 from tests.llm import brute
@@ -101,6 +103,64 @@ def test_language_model_base(request, table):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in scored)
 
 
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_language_model_score(request, table, monkeypatch):
+    """Scores by plain counting over the model's classes; from any class, all words and the unseen share a sum of 1."""
+    monkeypatch.setattr(op9_class_lm, "OWN", 300)
+    docs = request.getfixturevalue(table)
+    model, _ = op9_class_lm.fit(docs.select("doc_id", "text", (~op9_class_lm.held_out(F.col("doc_id"))).alias("train")))
+    words = {r["h"]: (r["n"], r["class"]) for r in model.words.collect()}
+    for h, c in zip(model.head.hashes.view(np.int64).tolist(), model.head_classes.tolist()):
+        words[h] = (words[h][0], c)
+    assert all(c is not None and c != op9_class_lm.REST_CLASS for _, c in words.values())
+    emission = {h: math.log10(n + 0.1) - model.shared[c] for h, (n, c) in words.items()}
+    left = 0.1 / 10 ** model.shared[model.unseen]
+    inside = np.zeros(op9_class_lm.CLASSES)
+    for h, (_, c) in words.items():
+        inside[c] += 10 ** emission[h]
+    inside[model.unseen] += left
+    reach = 10**model.transitions
+    used = inside > 0
+    assert np.allclose(inside[used], 1)
+    assert np.allclose(reach.sum(axis=1), 1)
+
+    def hashes(text):
+        data = np.frombuffer((text or "").encode().lower(), np.uint8)
+        starts, ends, _ = op9_class_lm.symbols.words(data, np.array([0, len(data)]))
+        return [*op9_class_lm.symbols.word_hashes(data, starts, ends).view(np.int64).tolist(), op9_class_lm.END_HASH]
+
+    texts = [(r["doc_id"], hashes(r["text"])) for r in docs.select("doc_id", "text").collect()]
+    pairs = np.zeros((op9_class_lm.CLASSES,) * 2)
+    want = []
+    for i, hs in texts:
+        before = op9_class_lm.END_CLASS
+        for h in hs:
+            c = words.get(h, (0, model.unseen))[1]
+            if i is None or brute.crc(i) % 10:
+                pairs[before, c] += 1
+            before = c
+    live = op9_class_lm.CLASSES - 1
+    for i, hs in texts:
+        total, before = 0.0, op9_class_lm.END_CLASS
+        for h in hs:
+            n, c = words.get(h, (0, model.unseen))
+            total += math.log10((pairs[before, c] + 0.1) / (pairs[before].sum() + 0.1 * live)) + math.log10(n + 0.1) - model.shared[c]
+            before = c
+        want.append((i, round(total, 4)))
+    got = [(r["doc_id"], round(r["score"], 4)) for r in op9_class_lm.scored(docs).collect()]
+    assert [i for i, _ in sorted(got, key=repr)] == [i for i, _ in sorted(want, key=repr)]
+    assert all(math.isclose(a[1], b[1], rel_tol=1e-6, abs_tol=1e-3) for a, b in zip(sorted(got, key=repr), sorted(want, key=repr)))
+
+
+def test_rare_words_choose_by_their_contexts():
+    """A word beyond the frequent ones goes to the class of words that stand in the same places."""
+    pairs = np.full((op9_class_lm.CLASSES,) * 2, 1.0)
+    pairs[3, 5], pairs[5, 3], pairs[4, 6], pairs[6, 4] = 900, 900, 800, 800
+    around = pa.array([[{"around": 3 * op9_class_lm.CLASSES + 3, "n": 2}], [{"around": 6 * op9_class_lm.CLASSES + 6, "n": 1}]], pa.list_(pa.struct([("around", pa.int32()), ("n", pa.int64())])))
+    out = list(op9_class_lm._choose(pairs)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), around], ["h", "contexts"])])))
+    assert out[0].column("class").to_pylist() == [5, 4]
+
+
 def test_classes_beat_single_words(spark, sf_dir):
     scored = op9_class_lm.scored(spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
