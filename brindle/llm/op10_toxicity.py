@@ -79,7 +79,9 @@ def text_features(text: str, lexicon: dict[str, float], stems: dict[str, float])
         terms = sum(words[i] in hits for i in at)
         roots = sum(words[i] in rooted for i in at)
         if len(you):
-            near = sum(1 for i in at if np.abs(you - i).min() <= NEAR)
+            place = np.searchsorted(you, at)
+            after, before = you[np.minimum(place, len(you) - 1)], you[np.maximum(place - 1, 0)]
+            near = int((np.minimum(np.abs(after - at), np.abs(before - at)) <= NEAR).sum())
     return [100 * insults / n, 100 * terms / n, 100 * roots / n, weight, 100 * near / n, 100 * len(odd) / n, 100 * unmasked / n]
 
 

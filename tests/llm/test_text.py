@@ -193,3 +193,13 @@ def test_toxicity_odd_tables(spark, odd, empty):
     none = op10_toxicity.digest(odd, labels.where("false")).collect()
     assert {r["score"] for r in none} == {0.0}
     assert op10_toxicity.keep_clean(odd, labels.where("false")).columns == odd.columns
+
+
+def test_hits_near_a_second_person():
+    words = "you are an idiot and then so many other words come before the next moron of them all but then ur clown stays".split()
+    features = op10_toxicity.text_features(" ".join(words), {}, {})
+    at = [i for i, w in enumerate(words) if w in op10_toxicity.INSULTS]
+    you = [i for i, w in enumerate(words) if w in op10_toxicity.SECOND_PERSON]
+    near = sum(min(abs(i - j) for j in you) <= op10_toxicity.NEAR for i in at)
+    assert len(at) == 3 and near == 2 and math.isclose(features[4], 100 * near / len(words))
+    assert len(op10_toxicity.text_features("you idiot " * 200_000, {}, {})) == 7  # in seconds, not hours
