@@ -17,7 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 MARGINS = ("source", "lang", "topic")
 #: Target shares are observed shares to this power, made to sum to 1: 1 keeps the mix, 0 evens it out.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-SWEEPS, TOLERANCE = 40, 1e-6
+#: Sweeps at most, those of one job, and the largest error of a margin's share at which raking ends.
+SWEEPS, AT_ONCE, TOLERANCE = 40, 5, 1e-6
 #: Share of all tokens that the sample holds at least, as expected. Steps to find the scale of probabilities.
 SHARE, STEPS = 0.5, 100
 RESOLUTION = 1 << 53
@@ -53,27 +54,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
 
     targets: for a margin, a table of its values and their share (tempered observed shares where none is
     given). A value without a target gets none of the weight. If the targets contradict each other, the last
-    margin's hold and the rest are as near as raking comes in SWEEPS sweeps.
+    margin's hold and the rest are as near as raking comes in SWEEPS sweeps; gap, the same in all rows, is the
+    largest error of a value's share that is left.
     """
     for margin in MARGINS:
         want = (targets or {}).get(margin)
         want = tempered(cells, margin, TEMPER[margin]) if want is None else want
         cells = cells.join(want.select(margin, F.col("share").alias(f"_{margin}")), margin, "left").fillna(0.0, [f"_{margin}"])
     weights = store.table(cells.withColumn("weight", F.col("tokens").cast("double") / F.sum("tokens").over(Window.partitionBy())), "cells")
-    for sweep in range(SWEEPS):
+    gap = 0.0
+    for _ in range(SWEEPS // AT_ONCE):
         step = weights
-        for margin in MARGINS:
+        for margin in MARGINS * AT_ONCE:
             now = F.sum("weight").over(Window.partitionBy(margin))
             step = step.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_{margin}") / now).otherwise(0.0))
         weights, old = store.table(step, "cells"), weights
-        off = [
-            weights.groupBy(m, f"_{m}").agg(F.sum("weight").alias("w")).select(F.abs(F.col("w") - F.col(f"_{m}")).alias("d")) for m in MARGINS
-        ]
-        gap = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("d")).first()[0]
+        off = [weights.groupBy(m, f"_{m}").agg(F.sum("weight").alias("w")).select(F.abs(F.col("w") - F.col(f"_{m}")).alias("d")) for m in MARGINS]
+        gap = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("d")).first()[0] or 0.0
         store.drop(old)
-        if gap is None or gap < TOLERANCE:
+        if gap < TOLERANCE:
             break
-    return weights.drop(*[f"_{m}" for m in MARGINS])
+    return weights.drop(*[f"_{m}" for m in MARGINS]).withColumn("gap", F.lit(float(gap)))
 
 
 def scaled(raked: DataFrame, share: float = SHARE) -> tuple[DataFrame, float]:
@@ -101,32 +102,46 @@ def scaled(raked: DataFrame, share: float = SHARE) -> tuple[DataFrame, float]:
     return out.withColumn("weight", tokens * F.col("probability") / F.lit(kept or 1.0)), kept / total if total else 1.0
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3, share: float = SHARE) -> DataFrame:
-    """Columns row (all of docs, as a struct), source, lang, topic, n_tokens, raked, weight, probability, sampled, kept_share.
-
-    The largest probability is 1: the sample is the largest in which every cell has its share and no document
-    is repeated, or, if that is smaller, the one that holds `share` of all tokens (see scaled). Whether a
-    document is in the sample depends on a hash of its id and text, so repeated rows share their fate. Null
-    sources and languages are values named '' of their own; texts without words are kept with probability 1 as
-    they weigh nothing. raked is the cell's weight as targets want it, weight its share of the sample's tokens;
-    they differ only if some cell is kept whole for want of tokens. kept_share is the same in all rows.
-    """
-    keyed = docs.select(
+def _keyed(docs: DataFrame, topic_of: Column | None, seed: int) -> DataFrame:
+    about = topic(F.col("text")) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit(""))
+    return docs.select(
         F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
-        topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
+        about.alias("topic"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
     )
+
+
+def _drawn(keyed: DataFrame, targets: dict[str, DataFrame] | None, share: float) -> DataFrame:
     cells = keyed.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     cells, kept_share = scaled(rake(store.table(cells, "tokens"), targets), share)
-    raked = store.table(cells.select(*MARGINS, "raked", "weight", "probability"), "raked")
-    out = keyed.join(raked, list(MARGINS), "left").fillna({"raked": 0.0, "weight": 0.0, "probability": 1.0})
+    raked = store.table(cells.select(*MARGINS, "raked", "weight", "probability", "gap"), "raked")
+    out = keyed.join(raked, list(MARGINS), "left").fillna({"raked": 0.0, "weight": 0.0, "gap": 0.0})
+    out = out.withColumn("probability", F.when((F.col("n_tokens") > 0) & F.col("probability").isNotNull(), F.col("probability")).otherwise(1.0))
     draw = F.pmod("_h", F.lit(RESOLUTION)) / RESOLUTION
     return out.withColumns({"sampled": draw < F.col("probability"), "kept_share": F.lit(kept_share)}).drop("_h")
 
 
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3, share: float = SHARE, topic_of: Column | None = None) -> DataFrame:
+    """Columns row (all of docs, as a struct), source, lang, topic, n_tokens, raked, weight, probability, sampled, kept_share, gap.
+
+    topic_of gives each document's topic, as a topic model or a table of labels may (topic(), by form, if none is
+    given). The largest probability is 1: the sample is the largest in which every cell has its share and no
+    document is repeated, or, if that is smaller, the one that holds `share` of all tokens (see scaled). Whether a
+    document is in the sample depends on a hash of its id and text, so repeated rows share their fate. Null
+    sources, languages and topics are values named '' of their own; texts without words are kept with probability 1
+    as they weigh nothing. raked is the cell's weight as targets want it, weight its share of the sample's tokens;
+    they differ only if some cell is kept whole for want of tokens. kept_share and gap (see rake) are the same in
+    all rows.
+    """
+    return _drawn(_keyed(docs, topic_of, seed), targets, share)
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, raked and weight (of the cell), probability, sampled, kept_share for every row of docs."""
-    rows = calibrated(docs.select("doc_id", "text", "source", "lang"))
-    return rows.select("row.doc_id", *MARGINS, "n_tokens", "raked", "weight", "probability", "sampled", "kept_share")
+    """doc_id, source, lang, topic, n_tokens, raked and weight (of the cell), probability, sampled, kept_share, gap for every row of docs.
+
+    Words are counted in one pass over the texts; what the draw needs of them is written and read again.
+    """
+    keyed = _keyed(docs.select("doc_id", "text", "source", "lang"), None, 3).select("row.doc_id", *MARGINS, "n_tokens", "_h")
+    return _drawn(store.table(keyed, "keyed"), None, SHARE).select("doc_id", *MARGINS, "n_tokens", "raked", "weight", "probability", "sampled", "kept_share", "gap")
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3, share: float = SHARE) -> DataFrame:

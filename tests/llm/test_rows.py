@@ -41,6 +41,25 @@ def test_mixing_meets_its_targets(request, table):
             assert math.isclose(r["probability"] * tokens[cell] / cells[cell], max(x["probability"] * tokens[x["source"], x["lang"], x["topic"]] / x["weight"] for x in rows if x["weight"]), rel_tol=1e-6)
 
 
+def test_mixing_draws_by_probability(small):
+    """The draw is a fixed hash of id and text against the probability; its share of tokens is near the expected one."""
+    rows = op1_mixing.digest(small).collect()
+    kept = {r["doc_id"] for r in op1_mixing.sample(small).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in rows if r["sampled"]}
+    h = {r["doc_id"]: r["h"] for r in small.select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("h")).collect()}
+    assert all(r["sampled"] == ((h[r["doc_id"]] % (1 << 53)) / (1 << 53) < r["probability"]) for r in rows)
+    assert rows[0]["gap"] < op1_mixing.TOLERANCE
+
+
+def test_mixing_by_given_topics_and_targets_that_contradict(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "if(id % 50 = 0, ' ', repeat('word ', 20)) AS text", "if(id % 2 = 0, 'a', 'b') AS source", "if(id % 2 = 0, 'x', 'y') AS lang")
+    shares = lambda name, values: spark.createDataFrame(values, f"{name} string, share double")
+    targets = {"source": shares("source", [("a", 0.5), ("b", 0.5)]), "lang": shares("lang", [("x", 0.9), ("y", 0.1)])}
+    rows = op1_mixing.calibrated(docs, targets, topic_of=F.col("doc_id") % 3).collect()
+    assert {r["topic"] for r in rows} == {"0", "1", "2"} and rows[0]["gap"] > 0.1
+    assert all(r["probability"] == 1 and r["sampled"] for r in rows if r["n_tokens"] == 0)
+
+
 def test_mixing_to_given_targets(spark, small, empty):
     targets = {"source": small.select("source").distinct().withColumn("share", F.lit(1.0) / small.select("source").distinct().count())}
     rows = op1_mixing.calibrated(small, targets).where("n_tokens > 0").dropDuplicates(["source", "lang", "topic"]).groupBy("source").agg(F.sum("weight").alias("w")).collect()
