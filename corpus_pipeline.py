@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, near-dedup, substring dedup, mixing, tokens.
 
 Every stage takes all that the one before it kept. All but the last return the columns of documents; the last
-adds the token ids of each text and leaves the rows as they are.
+adds the token ids of each text, and the digest of what they decode to, and leaves the rows as they are.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids, in a column ids."""
-    return op7_byte_bpe.encode(docs)
+    """Every document with its token ids, in a column ids, and the SHA-256 of the bytes they decode to, in decoded_sha256."""
+    return op7_byte_bpe.encode(docs, decoded="decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
