@@ -87,7 +87,8 @@ class Known:
 
 
 def _encode(known: Known, end_count: int):
-    """Texts as items; sums over words of the head; words beyond it, in their order and each with its number."""
+    """Texts as items; sums over words of the head; the words beyond it (in order of their hashes), how often each
+    stands in the text, and which of them stand there, one after the other."""
     logs = np.log10(known.counts + WORD_ADD)
     names = ["_n", "doc_id", "train", "items", "tails", "n_tokens", "head_known", "head_log", "tail_h", "tail_n"]
 
@@ -108,15 +109,17 @@ def _encode(known: Known, end_count: int):
                 cuts = pa.array(np.searchsorted(t[new], np.arange(b - a + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (h[new].view(np.int64), np.diff(np.concatenate((new, [len(t)]))))]
                 closed = [np.append(items[first[i] : first[i + 1]], np.uint16(END_ITEM)).tobytes() for i in range(b - a)]
-                ends = np.searchsorted(text, np.arange(b - a + 1))
-                tails = [hashes[rest[ends[i] : ends[i + 1]]].tobytes() for i in range(b - a)]
+                which = np.empty(len(t), np.int64)
+                which[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(t))))
+                which -= np.searchsorted(t[new], text)
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)), pa.array(which.astype(np.int32)))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_n"), part.column("doc_id"), part.column("train"), pa.array(closed, pa.binary()), pa.array(tails, pa.binary()),
+                    [part.column("_n"), part.column("doc_id"), part.column("train"), pa.array(closed, pa.binary()), tails,
                      pa.array(np.diff(first) + 1, pa.int64()), pa.array(head_known, pa.int64()), pa.array(head_log), *lists], names,
                 )
 
-    return run, "_n long, doc_id long, train boolean, items binary, tails binary, n_tokens long, head_known long, head_log double, tail_h array<long>, tail_n array<long>"
+    return run, "_n long, doc_id long, train boolean, items binary, tails array<int>, n_tokens long, head_known long, head_log double, tail_h array<long>, tail_n array<long>"
 
 
 def _binary(batch: pa.RecordBatch, column: str, kind) -> np.ndarray:
@@ -208,7 +211,9 @@ def _other_contexts(class_of: np.ndarray, hashes: np.ndarray):
             words = np.zeros(len(at), U64)
             head = items[at] < HEAD
             words[head] = hashes[items[at][head]]
-            words[~head] = _binary(batch, "tails", U64)
+            tails, kinds_of = batch.column("tails"), batch.column("tail_h")
+            low = np.repeat(kinds_of.offsets.to_numpy()[:-1], np.diff(tails.offsets.to_numpy()))
+            words[~head] = kinds_of.values.to_numpy()[low + tails.values.to_numpy()].view(U64)
             around = np.where(at > 0, kinds[at - 1], END_CLASS) * CLASSES + kinds[np.minimum(at + 1, len(kinds) - 1)]
             order = np.lexsort((around, words))
             w, x = words[order], around[order]
@@ -279,8 +284,8 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
         class_of[:own] = exchange(class_of[:own], contexts[:own], pairs)
     pairs = _counted(train.select("items"), _pairs_of(by_item(class_of)), CLASSES, CLASSES)
 
-    around = store.map_arrow(train.select("items", "tails"), _other_contexts(class_of, hashes), "h long, around int, n long")
-    around = around.groupBy("h", "around").agg(F.sum("n").alias("n"))  # at most CLASSES**2 rows of a word
+    around = store.map_arrow(train.select("items", "tails", "tail_h"), _other_contexts(class_of, hashes), "h long, around int, n long")
+    around = around.repartition("h").groupBy("h", "around").agg(F.sum("n").alias("n"))  # at most CLASSES**2 rows of a word; one shuffle, by word, for both groupings
     around = around.groupBy("h").agg(F.collect_list(F.struct("around", "n")).alias("contexts"))
     chosen = store.map_arrow(around, _choose(pairs), "h long, class int")
     words = counts.join(chosen, "h", "left").withColumn("class", F.when(F.col("h") == END_HASH, END_CLASS).otherwise(F.col("class")))
@@ -321,19 +326,16 @@ def _classed(encoded: DataFrame, words: DataFrame, class_of: np.ndarray, unseen:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = symbols.text_bytes(batch.column("items"))
-            tails, places = symbols.text_bytes(batch.column("tails"))
             kinds = class_of[np.frombuffer(data.tobytes(), np.uint16)].astype(np.uint8)
             items = np.frombuffer(data.tobytes(), np.uint16)
-            tails = np.frombuffer(tails.tobytes(), np.int64)
+            places, tails = batch.column("tails").offsets.to_numpy(), batch.column("tails").values.to_numpy()
             lists = batch.column("tail")
             cuts, h, c = lists.offsets.to_numpy(), lists.values.field("h").to_numpy(), lists.values.field("class").to_numpy()
             for i in range(batch.num_rows):
                 if places[i + 1] > places[i]:
-                    own, kind = h[cuts[i] : cuts[i + 1]], c[cuts[i] : cuts[i + 1]]
-                    order = np.argsort(own)
-                    at = np.searchsorted(own, tails[places[i] // 8 : places[i + 1] // 8], sorter=order)
+                    own = c[cuts[i] : cuts[i + 1]][np.argsort(h[cuts[i] : cuts[i + 1]].view(U64))]
                     low = offsets[i] // 2
-                    kinds[low + np.flatnonzero(items[low : offsets[i + 1] // 2] == TAIL_ITEM)] = kind[order[at]]
+                    kinds[low + np.flatnonzero(items[low : offsets[i + 1] // 2] == TAIL_ITEM)] = own[tails[places[i] : places[i + 1]]]
             parts = [kinds[offsets[i] // 2 : offsets[i + 1] // 2].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(parts, pa.binary())], [*names, "kinds"])
 
