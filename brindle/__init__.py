@@ -4,6 +4,5 @@ operators/   row, rule, graph and report operators over page corpora
 sources/     readers and the HTML shredder
 functions/   column-level text, URL and number functions
 plans/       named queries put together from operators, with their SQL
-streaming/   Structured Streaming versions of the incremental operators
 llm/         operators for training-data pipelines (nothing else imports it)
 """

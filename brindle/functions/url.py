@@ -52,14 +52,29 @@ def without_fragment(c: Column | str) -> Column:
     return F.substring_index(_c(c), "#", 1)
 
 
+def without_dots(c: Column) -> Column:
+    """A path with its dot segments taken out: '.' is the folder at hand, '..' the one above."""
+    steps = F.split(c, "/")
+
+    def walk(done: Column, step: Column) -> Column:
+        return F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    folded = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    closed = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.when(c.rlike(r"/\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(c)
+
+
 def resolve(href: Column | str, base: Column | str) -> Column:
-    """An absolute URL from a link on a page; for absolute, rooted and query-only links."""
-    href, at = _c(href), origin(base)
+    """An absolute URL from a link on a page; links with a scheme of their own (mailto: too) come back as they are."""
+    href, at = F.trim(_c(href)), origin(base)
+    place, tail = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
     return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-        .when(href.startswith("/"), F.concat(at, href))
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when((href == "") | href.startswith("#"), F.concat(without_fragment(base), href))
+        .when(href.startswith("//"), F.concat(F.regexp_extract(at, "^([^:]*:)", 1), href))
+        .when(href.startswith("/"), F.concat(at, without_dots(place), tail))
         .when(href.startswith("?"), F.concat(at, path(base), href))
-        .otherwise(F.concat(at, F.regexp_replace(path(base), "[^/]*$", ""), href))
+        .otherwise(F.concat(at, without_dots(F.concat(F.regexp_replace(path(base), "[^/]*$", ""), place)), tail))
     )
 
 

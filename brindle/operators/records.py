@@ -54,9 +54,11 @@ def _full(c: str) -> Column:
 def details(candidates: DataFrame, raw: DataFrame) -> DataFrame:
     """One record for every candidate (url, title, intent, price_text); raw: one row a detail page, by url.
 
-    A candidate without a detail page becomes a review record with its listing price only.
+    A candidate without a detail page, or with one that could not be read (raw.error, if there is such a column, is
+    not null), becomes a review record with its listing price only.
     """
-    rows = candidates.select("url", F.col("title").alias("listing_title"), "intent", "price_text").join(raw.withColumn("fetched", F.lit(True)), "url", "left")
+    raw = raw if "error" in raw.columns else raw.withColumn("error", F.lit(None).cast("string"))
+    rows = candidates.select("url", F.col("title").alias("listing_title"), "intent", "price_text").join(raw.withColumn("fetched", F.col("error").isNull()), "url", "left")
     rows = rows.withColumn("product_name", F.coalesce(_full("h1"), _full("json_name"), _full("listing_title"), F.lit("")))
     rows = classify(rows.withColumns({"title": F.col("product_name"), "body": F.coalesce("body_text", F.lit(""))}))
     rows = rows.withColumn("mode", F.when(F.col("fetched"), business_mode(F.col("intent"), F.col("body"))).otherwise(F.when(F.col("intent") != "CAMERA_GENERIC", F.col("intent"))))
@@ -93,7 +95,7 @@ def details(candidates: DataFrame, raw: DataFrame) -> DataFrame:
         text_or("accessories").alias("included_accessories"), text_or("bundle").alias("bundle"), text.rating("json_rating").alias("rating"), text.review_count("json_review_count").alias("review_count"),
         F.coalesce(_full("stock"), F.regexp_replace(text_or("json_availability"), "(?i)^https?://schema.org/", "")).alias("stock"),
         F.when(ok & ~rental, F.col("price")).alias("sale_price"), "url",
-        F.when(ok, what).otherwise("review").alias("disposition"), F.when(ok, reason).otherwise("detail fetch failed: page not in corpus").alias("reason"),
+        F.when(ok, what).otherwise("review").alias("disposition"), F.when(ok, reason).when(F.col("error").isNotNull(), F.concat(F.lit("detail extraction error: "), "error")).otherwise("detail fetch failed: page not in corpus").alias("reason"),
         F.when(ok, evidence).otherwise(F.slice(evidence, 1, 0)).alias("evidence"), "listing_price", "detail_price", ok.alias("fetched"),
     )
 
@@ -149,6 +151,25 @@ def audit(start_url: str, seeds: DataFrame, crawled: DataFrame, candidates: Data
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("string").alias("value")) for k, v in metrics])))
 
 
+def checked(seeds: DataFrame, crawled: DataFrame, candidates: DataFrame) -> None:
+    """The gates of a run: raises if there are no seeds, pages of the catalogs are missing, or no product was found."""
+    if seeds.isEmpty():
+        raise ValueError("no catalog seeds")
+    left = crawled.where("status <> 'visited'").count()
+    if left:
+        raise ValueError(f"catalogs are not complete: {left} pages failed or queued")
+    if candidates.isEmpty():
+        raise ValueError("no products in the catalogs")
+
+
+def write_sheets(tables: dict[str, DataFrame], path: str, host: str, day: str) -> str:
+    """Every table of the report as a Parquet folder under <path>/<host>_camera_<day>; the folder's name is returned."""
+    folder = f"{path.rstrip('/')}/{host}_camera_{day}"
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return folder
+
+
 def sheets(records: DataFrame, covered: DataFrame, audited: DataFrame, spark: SparkSession) -> dict[str, DataFrame]:
     """The report's nine tables by name."""
     part = lambda d: records.where(F.col("disposition") == d).select("website", "product_name", "business_mode", "reason", "url")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import lexicon, rules, text, url
 
-MENU_MOST, ROOTS_MOST, SURE = 25, 15, 100
+MENU_MOST, ROOTS_MOST, SURE, ELEMENTS_MOST = 25, 15, 100, 600
 CONVENTIONAL_SCORE = 80
 
 
@@ -26,12 +26,14 @@ def mode_of(rental, second_hand, new_camera):
 def site_modes(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """page_id, rental, second_hand, new_camera, site_mode of every page.
 
-    pages: page_id, visible_text; nodes: page_id, text, aria_label, title. A rule never spans two nodes, so each
-    node is judged by itself and the findings are or-ed: no page's nodes are ever put together.
+    pages: page_id, visible_text; nodes: page_id, ord, text, aria_label, title (an observation's, a few hundred at
+    most). The rules are tried on all of a page's nodes in order and then its text, as one text.
     """
-    parts = nodes.select("page_id", F.concat_ws(" ", "text", "aria_label", "title").alias("raw"))
-    parts = parts.unionByName(pages.select("page_id", F.col("visible_text").alias("raw"))).withColumn("text", text.fold("raw"))
-    found = parts.groupBy("page_id").agg(*[F.coalesce(F.bool_or(F.col("text").rlike(r.pattern)), F.lit(False)).alias(r.label) for r in lexicon.SITE])
+    raw = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("aria_label", F.lit("")), F.coalesce("title", F.lit("")))
+    menus = nodes.select("page_id", "ord", raw.alias("raw")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "raw"))).alias("n"))
+    texts = pages.select("page_id", "visible_text").join(menus.select("page_id", F.col("n.raw").alias("n")), "page_id", "full")
+    found = texts.select("page_id", text.fold(F.concat_ws("\n", "n", "visible_text")).alias("text"))
+    found = found.select("page_id", *[F.col("text").rlike(r.pattern).alias(r.label) for r in lexicon.SITE])
     return found.withColumn("site_mode", mode_of(F.col("rental"), F.col("second_hand"), F.col("new_camera")))
 
 
@@ -42,6 +44,11 @@ def menu_scores(nodes: DataFrame) -> DataFrame:
     return scored.withColumn("text", F.col("_raw")).drop("_raw")
 
 
+def sure_candidates(menu: DataFrame) -> DataFrame:
+    """Menu candidates whose score is that of an explicit catalog root."""
+    return menu.where(F.col("score") >= SURE)
+
+
 def menu_candidates(nodes: DataFrame, most: int = MENU_MOST) -> DataFrame:
     """Of each page the best nodes with a score over 0, by score and then by place (page_id, ord)."""
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))
@@ -88,8 +95,10 @@ def match_elements(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """node_id, element_id, score: the element of the same page most like each observed node.
 
     Both have page_id, text, href, aria_label, x, y. Text 120, link 220, label 80, place 80 (within 10) or 30
-    (within 60); the first of the best wins, at score 0 too.
+    (within 60); the first of the best wins, at score 0 too. Of a page's elements the first ELEMENTS_MOST count.
     """
+    first = F.row_number().over(Window.partitionBy("page_id").orderBy("element_id"))
+    elements = elements.withColumn("_e", first).where(F.col("_e") <= ELEMENTS_MOST)
     a = nodes.select("page_id", "node_id", text.light("text").alias("at"), F.col("href").alias("ah"), text.light("aria_label").alias("aa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = elements.select("page_id", "element_id", text.light("text").alias("bt"), F.col("href").alias("bh"), text.light("aria_label").alias("ba"), "x", "y")
     far = F.abs(F.col("x") - F.col("ax")) + F.abs(F.col("y") - F.col("ay"))
@@ -110,6 +119,16 @@ def submenu_items(before: DataFrame, after: DataFrame) -> DataFrame:
     return new.groupBy("page_id", "k").agg(F.min_by(F.struct("text", "href"), "ord").alias("i")).select("page_id", "i.text", "i.href")
 
 
+def submenu(structural: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """page_id, text, href, method of a root's submenu: the structural children (see extract.children), each once; a
+    page without any has what is seen after and not before."""
+    key = F.concat(text.light("text"), F.lit("|"), "href").alias("k")
+    inside = structural.where("text <> '' and href <> ''").select("page_id", "ord", "text", "href", key).groupBy("page_id", "k").agg(F.min_by(F.struct("text", "href"), "ord").alias("i"))
+    inside = inside.select("page_id", "i.text", "i.href", F.lit("DOM_CHILDREN").alias("method"))
+    seen = submenu_items(before, after).join(inside.select("page_id").distinct(), "page_id", "left_anti")
+    return inside.unionByName(seen.withColumn("method", F.lit("VISIBLE_DIFF")))
+
+
 def select_seeds(explicit: DataFrame, generic: DataFrame, modes: DataFrame) -> DataFrame:
     """site, url, intent, label: accepted explicit roots, each URL once; without any, a rental site's best generic root.
 

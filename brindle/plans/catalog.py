@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import lexicon, rules, text, url
-from brindle.operators import pages, records, site
+from brindle.operators import extract, pages, records, site
 from brindle.plans.fixtures import TABLES, frame
 from brindle.sources import html
 
@@ -56,22 +56,34 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def DOTLESS(c: str) -> str:
+    """A path without '.' and '..' steps (six of the latter at most), by rewriting its text."""
+    out = f"regexp_replace(regexp_replace({c}, '(/\\.)+(/|$)', '/', 'g'), '(/\\.)+(/|$)', '/', 'g')"
+    for _ in range(6):
+        out = f"regexp_replace({out}, '(^|/([^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+))/\\.\\.(/|$)', '/')"
+    return out
+
+
+def RESOLVE(raw: str, page: str) -> str:
+    head, tail = f"regexp_extract({raw}, '^[^?#]*')", f"substr({raw}, length(regexp_extract({raw}, '^[^?#]*')) + 1)"
+    return f"""CASE WHEN regexp_matches({raw}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {raw} WHEN {raw} = '' OR {raw}[1] = '#' THEN split_part({page}, '#', 1) || {raw} WHEN {raw}[1:2] = '//' THEN split_part({page}, '//', 1) || {raw}
+ WHEN {raw}[1] = '?' THEN {ORIGIN(page)} || {PATH(page)} || {raw} WHEN {raw}[1] = '/' THEN {ORIGIN(page)} || {DOTLESS(head)} || {tail} ELSE {ORIGIN(page)} || {DOTLESS(f"regexp_replace({PATH(page)}, '[^/]*$', '') || {head}")} || {tail} END"""
+
+
 ANCHOR_SQL = f"""
 a AS (SELECT page_id, url, generate_subscripts(tags, 1) - 1 AS ord, unnest(tags) AS tag
       FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0) AS tags FROM pages)),
 h AS (SELECT page_id, url, ord, tag, regexp_extract(tag, '(?is)<a\\s[^>]*?href="([^"]*)"', 1) AS raw FROM a),
-links AS (SELECT page_id, url, ord, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw WHEN starts_with(raw, '/') THEN {ORIGIN("url")} || raw
-      WHEN starts_with(raw, '?') THEN {ORIGIN("url")} || {PATH("url")} || raw ELSE {ORIGIN("url")} || regexp_replace({PATH("url")}, '[^/]*$', '') || raw END AS href,
+links AS (SELECT page_id, url, ord, {RESOLVE("raw", "url")} AS href,
       {CLEAN("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', '', 'g')")} AS text FROM h)"""
 
 
 @query("q_host_page_counts", f"WITH {ANCHOR_SQL} SELECT {HOST('p.url')} AS host, count(DISTINCT p.page_id) AS n_pages, count(DISTINCT l.href) AS n_links FROM pages p LEFT JOIN links l USING (page_id) GROUP BY 1")
 def host_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and distinct links of each host."""
-    all_pages = _pages(spark, sf_dir)
-    counted = all_pages.groupBy(url.host("url").alias("host")).agg(F.count_distinct("page_id").alias("n_pages"))
-    linked = pages.anchors(all_pages).groupBy(url.host("url").alias("host")).agg(F.count_distinct("href").alias("n_links"))
-    return counted.join(linked, "host", "left").fillna(0, ["n_links"])
+    found = pages.anchors(_pages(spark, sf_dir), outer=True)
+    counts = found.groupBy(url.host("url").alias("host")).agg(F.count_distinct("page_id").alias("n_pages"), F.count_distinct(F.when(F.col("ord").isNotNull(), F.col("href"))).alias("n_links"))
+    return counts
 
 
 @query("q_page_canonical_url", f"SELECT page_id, {CANONICAL('url')} AS canonical, {HOST('url')} AS host, {ORIGIN('url')} AS origin, {PATH('url')} AS path FROM pages")
@@ -107,6 +119,27 @@ def page_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", url.is_pagination("url").alias("pagination"), url.parameter("url", "page").alias("page"))
 
 
+@query("q_url_resolve", f"SELECT id, {RESOLVE('href', 'page')} AS target FROM (SELECT id, trim(coalesce(href, '')) AS href, page FROM {TABLES['hrefs']})")
+def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, "hrefs").select("id", url.resolve("href", "page").alias("target"))
+
+
+@query("q_page_links", f"WITH {ANCHOR_SQL} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1)::INT AS ord, href, text FROM links WHERE {ORIGIN('href')} = {ORIGIN('url')}")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every page's main region to its own site, from shredded pages; the SQL takes them by pattern."""
+    return extract.page_links(html.shred(_pages(spark, sf_dir))).select("page_id", "ord", "href", "text")
+
+
+@query("q_link_list_items", f"""WITH i AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<li>(<a\\s[^>]*>.*?</a>)</li>', 1)) AS tag FROM pages)
+SELECT page_id, {RESOLVE('raw', 'url')} AS href, item, count(*) AS n FROM (SELECT page_id, url, regexp_extract(tag, 'href="([^"]*)"', 1) AS raw, {CLEAN("regexp_replace(tag, '<[^>]*>', '', 'g')")} AS item FROM i) GROUP BY ALL""")
+def link_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the list item nearest to every link of every page: the tree join of cards, on another tag."""
+    shredded = html.shred(_pages(spark, sf_dir))
+    links = extract.page_links(shredded, False, False)
+    items = pages.nearest_ancestors(extract.tree(shredded), links, F.col("tag") == "li", pages.CARD_LEVELS)
+    return links.join(items.select("page_id", "node_id", F.col("text").alias("item")), ["page_id", "node_id"]).groupBy("page_id", "href", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q_page_shredded")
 def page_shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, interactive nodes, lines and title of every page, by the HTML shredder."""
@@ -178,7 +211,10 @@ def summary_and_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITE_CASE = "CASE WHEN rental AND (second_hand OR new_camera) THEN 'MIXED' WHEN second_hand AND new_camera THEN 'SALE_MIXED' WHEN rental THEN 'RENTAL' WHEN second_hand THEN 'SALE_SECOND_HAND' WHEN new_camera THEN 'SALE_NEW' ELSE 'UNKNOWN' END AS site_mode"
 
 
-@query("q_site_mode", f"SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'coalesce(bool_or(regexp_matches(text, {q(r.pattern)})), false) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('raw')} AS text FROM (SELECT page_id, concat_ws(' ', text, aria_label, title) AS raw FROM {TABLES['nodes']} UNION ALL SELECT page_id, visible_text FROM {TABLES['pages']})) GROUP BY 1)")
+MENU_TEXT = f"SELECT page_id, string_agg(coalesce(text, '') || ' ' || coalesce(aria_label, '') || ' ' || coalesce(title, ''), chr(10) ORDER BY ord) AS menu FROM {TABLES['nodes']} GROUP BY 1"
+
+
+@query("q_site_mode", f"SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'regexp_matches(text, {q(r.pattern)}) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('concat_ws(chr(10), menu, visible_text)')} AS text FROM {TABLES['pages']} FULL JOIN ({MENU_TEXT}) USING (page_id)))")
 def site_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.site_modes(frame(spark, "pages"), frame(spark, "nodes"))
 
@@ -232,6 +268,25 @@ CARD_PRODUCT = f"""NOT regexp_matches(lower({PATH('href')}), {q(lexicon.BAD_PATH
  AND NOT regexp_matches(title, {q('(?i)' + lexicon.ACCESSORY_TITLE)}) AND regexp_matches(title, {q('(?i)' + lexicon.BRANDS)}) AND regexp_matches(title, {q('(?i)' + lexicon.MODELS)}) AND (regexp_matches(card, {q(text.PRICE)}) OR regexp_matches(card, {q('(?i)' + lexicon.COMMERCIAL)})) AND lower(title) NOT IN ({', '.join(map(q, lexicon.NAVIGATION_TITLES))})"""
 
 
+SHOP_SQL = f"""shop AS (SELECT page_id, url, html FROM {TABLES['shop']}),
+cards AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<div class="card">.*?</div>')) AS card, generate_subscripts(regexp_extract_all(html, '<div class="card">.*?</div>'), 1) AS i FROM shop),
+card AS (SELECT page_id, url AS page_url, i, {RESOLVE("regexp_extract(card, 'href=.([^ >]*?).>', 1)", 'url')} AS href, {CLEAN("regexp_extract(card, '<a [^>]*>(.*?)</a>', 1)")} AS title, {CLEAN("regexp_replace(card, '<[^>]*>', ' ', 'g')")} AS card FROM cards)"""
+
+
+@query("q_card_text", f"WITH {SHOP_SQL} SELECT page_url, href, title, card FROM card")
+def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and card of every product link of a shop's catalog pages."""
+    shredded = html.shred(frame(spark, "shop"))
+    found = extract.cards(shredded, extract.page_links(shredded))
+    return found.where("href LIKE '%/p/%'").select(F.col("url").alias("page_url"), "href", "title", "card")
+
+
+PRODUCT_SQL = f"""owned AS (SELECT * FROM (SELECT {CANONICAL('href')} AS url, title, {PRICE_SQL('card')} AS price_text, row_number() OVER (PARTITION BY {CANONICAL('href')} ORDER BY c.wave, {PARAM('page_url', 'page')}::INT NULLS FIRST, i) AS k FROM (SELECT * FROM card WHERE {CARD_PRODUCT}) JOIN crawl AS c ON c.url = page_url AND c.status = 'visited') WHERE k = 1),
+raw AS (SELECT url, {CLEAN("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS h1, {CLEAN("regexp_replace(regexp_replace(html, '<(script|head).*?</(script|head)>', '', 'g'), '<[^>]*>', ' ', 'g')")} AS body_text, json_extract_string(ld, '$.name') AS json_name, NULL::VARCHAR AS json_price_str, json_extract(ld, '$.offers.price')::DOUBLE AS json_price_num, '' AS json_availability, NULL::VARCHAR AS json_rating, NULL::VARCHAR AS json_review_count,
+ '' AS dom_price, regexp_extract(html, 'Tình trạng: ([^<]*)', 1) AS stock, regexp_extract(html, 'Phụ kiện: ([^<]*)', 1) AS accessories, '' AS warranty, {CLEAN("regexp_replace(regexp_extract(html, '<tr>(.*?)</tr>', 1), '<[^>]*>', ' ', 'g')")} AS summary, '' AS rental_conditions, '' AS bundle
+ FROM (SELECT *, coalesce(nullif(regexp_extract(html, '<script type=.application/ld.json.>(.*?)</script>', 1), ''), '{{}}')::JSON AS ld FROM shop) WHERE contains(html, '<h1>'))"""
+
+
 @query("q_product_filter", f"SELECT page_url, ord, {CARD_PRODUCT} AS product, {PRICE_SQL('card')} AS price_text FROM {TABLES['cards']}")
 def product_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.product_verdicts(frame(spark, "cards")).select("page_url", "ord", "product", "price_text")
@@ -244,11 +299,18 @@ def product_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.owned_products(pages.page_products(frame(spark, "cards")), visits).select("product_url", "title", "intent", "catalog_url")
 
 
-@query("q_page_sequence", """SELECT * FROM (VALUES ('https://s.vn/c', 'https://s.vn/c?page=2'), ('https://s.vn/c', 'https://s.vn/c?page=3'), ('https://s.vn/d?x=1', 'https://s.vn/d?p=2&x=1'), ('https://s.vn/d?x=1', 'https://s.vn/d?p=5&x=1')) AS t(page_url, next_url)""")
+SEQUENCE_SQL = f"""WITH t AS (SELECT *, {PARAM('href', 'p')} AS p, {PARAM('href', 'page')} AS pg FROM {TABLES['turns']}),
+strict AS (SELECT page_url, ord, href, pg IS NOT NULL AS by_page FROM t WHERE regexp_matches(coalesce(nullif(p, ''), pg, ''), '^[0-9]+$') AND {ORIGIN('href')} = {ORIGIN('page_url')} AND {PATH('href')} = {PATH('page_url')}),
+known AS (SELECT page_url, coalesce((SELECT arg_min(by_page, ord) FROM strict AS s WHERE s.page_url = r.page_url), false) AS by_page, TRY_CAST(nullif(regexp_extract(region_text, '(?i)Page\\s+[0-9]+\\s*/\\s*([0-9]+)', 1), '') AS INT) AS n FROM {TABLES['turning']} AS r),
+made AS (SELECT page_url, {ORIGIN('page_url')} || {PATH('page_url')} || '?' || coalesce((SELECT string_agg(x || '&', '' ORDER BY x) FROM unnest(string_split({QUERY('page_url')}, '&')) AS u(x) WHERE x <> '' AND split_part(x, '=', 1) NOT IN ('p', 'page')), '') || CASE WHEN by_page THEN 'page=' ELSE 'p=' END || k AS raw
+ FROM known, unnest(generate_series(2, n)) AS g(k) WHERE n > 1),
+both_ AS (SELECT page_url, raw FROM made UNION ALL SELECT page_url, href FROM strict)
+SELECT DISTINCT page_url, {CANONICAL('raw')} AS next_url FROM both_ WHERE {CANONICAL('raw')} <> {CANONICAL('page_url')}"""
+
+
+@query("q_page_sequence", SEQUENCE_SQL)
 def page_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = spark.sql("SELECT * FROM VALUES ('https://s.vn/c', 'Page 1 / 3'), ('https://s.vn/d?x=1', 'page 1/2'), ('https://s.vn/e', 'Page 1/1') AS t(page_url, region_text)")
-    links = spark.sql("SELECT * FROM VALUES ('https://s.vn/c', 1, 'https://s.vn/c?page=2'), ('https://s.vn/c', 2, 'https://s.vn/z?p=2'), ('https://s.vn/d?x=1', 1, 'https://s.vn/d?x=1&p=5') AS t(page_url, ord, href)")
-    return pages.page_sequence(at, links)
+    return pages.page_sequence(frame(spark, "turning"), frame(spark, "turns"))
 
 
 PROBE_SQL = f"""WITH c AS (SELECT url, count(DISTINCT CASE WHEN regexp_matches(text || ' ' || near, {q('(?i)' + lexicon.BRANDS)}) AND regexp_matches(near, {q(text.PRICE)}) THEN split_part(href, '#', 1) END) AS product_like_links,
@@ -286,9 +348,10 @@ def element_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checkpoint(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return lambda df, name: df.checkpoint()
 
 
@@ -297,28 +360,56 @@ def _crawled(spark: SparkSession) -> DataFrame:
     return pages.with_unfollowed(state, frame(spark, "edges"), _checkpoint(spark))
 
 
-@query("q_frontier", f"""WITH RECURSIVE s AS (SELECT {CANONICAL('url')} AS url, ord FROM {TABLES['seeds']}), w(url, wave) AS (SELECT DISTINCT url, 0 FROM s UNION SELECT e.next_url, w.wave + 1 FROM w JOIN {TABLES['edges']} AS e ON e.url = w.url WHERE e.next_url <> e.url AND w.wave < 6 AND w.url IN (SELECT url FROM {TABLES['loaded']}))
-SELECT url, min(wave)::INT AS wave, CASE WHEN url IN (SELECT url FROM {TABLES['loaded']}) THEN 'visited' ELSE 'failed' END AS status FROM w GROUP BY 1""")
+def CRAWL(seeds: str, edges: str, loaded: str) -> str:
+    """A breadth-first crawl as WITH RECURSIVE parts; the last is crawl (url, wave, status)."""
+    return f"""w(url, wave) AS (SELECT DISTINCT {CANONICAL('url')}, 0 FROM {seeds} UNION SELECT e.next_url, w.wave + 1 FROM w JOIN {edges} AS e ON e.url = w.url WHERE e.next_url <> e.url AND w.wave < 20 AND w.url IN (SELECT url FROM {loaded})),
+crawl AS (SELECT url, min(wave)::INT AS wave, CASE WHEN url IN (SELECT url FROM {loaded}) THEN 'visited' ELSE 'failed' END AS status FROM w GROUP BY 1)"""
+
+
+SHOP_CRAWL = CRAWL(TABLES["seeds"], TABLES["edges"], TABLES["loaded"])
+
+
+@query("q_frontier", f"WITH RECURSIVE {SHOP_CRAWL} SELECT url, wave, status FROM crawl")
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawled(spark).select("url", "wave", "status")
 
 
+def RECORDS(listed: str, details: str) -> str:
+    """Records of listed products as a chain of WITH parts; the last is r."""
+    full = lambda c: f"nullif({c}, '')"
+    first = f"coalesce({full('h1')}, {full('json_name')}, {full('listing_title')}, '')"
+    entity = f"{rules.score_sql(lexicon.ENTITY + lexicon.NOT_ENTITY)}".replace("regexp_matches(both,", 'regexp_matches("both",')
+    negatives = rules.labels_sql(lexicon.NOT_ENTITY).replace("regexp_matches(both,", 'regexp_matches("both",')
+    lexicon_mode = rules.first_label_sql(lexicon.BUSINESS, None).replace("regexp_matches(body,", "regexp_matches(lower(coalesce(body_text, '')),")
+    return f"""j AS (SELECT l.url, l.title AS listing_title, l.intent, l.price_text, d.* EXCLUDE (url), d.url IS NOT NULL AS fetched FROM {listed} AS l LEFT JOIN {details} AS d ON d.url = l.url),
+n AS (SELECT *, {first} AS product_name, coalesce(CASE WHEN json_price_num > 0 THEN json_price_num::DOUBLE END, {MONEY('json_price_str')}) AS json_price, {MONEY('price_text')} AS listing_price FROM j),
+f AS (SELECT *, {FOLD('product_name')} AS title, {FOLD('body_text')} AS body, coalesce(json_price, {MONEY('dom_price')}) AS detail_price,
+ CASE WHEN intent IN ('RENTAL', 'SECOND_HAND', 'NEW') THEN intent WHEN fetched THEN {lexicon_mode} END AS mode FROM n),
+e AS (SELECT *, title || ' ' || body AS "both", regexp_matches(title, {q(lexicon.STRONG_NEGATIVE)}) AS short FROM f),
+s AS (SELECT *, CASE WHEN short THEN -100 ELSE {entity} END AS score, CASE WHEN short THEN ['strong non-camera title'] ELSE {negatives} END AS negatives FROM e),
+r AS (SELECT *, CASE WHEN NOT fetched THEN 'review' WHEN score <= {lexicon.NOT_CAMERA_TO} THEN 'excluded' WHEN score < {lexicon.CAMERA_FROM} OR mode IS NULL THEN 'review' ELSE 'accepted' END AS disposition,
+ CASE WHEN NOT fetched THEN 'detail fetch failed: page not in corpus' WHEN score <= {lexicon.NOT_CAMERA_TO} THEN 'not camera: ' || coalesce(nullif(array_to_string(negatives, ', '), ''), 'semantic validator') WHEN score < {lexicon.CAMERA_FROM} THEN 'camera identity uncertain; score=' || score
+  WHEN mode IS NULL THEN 'business mode uncertain' ELSE 'camera detail confirmed' END AS reason, {HOST('url')} AS website, coalesce(mode, 'NEW') AS business_mode, coalesce(mode = 'RENTAL', false) AS rental, coalesce(detail_price, listing_price) AS price,
+ {CLEAN("concat_ws(' | ', nullif(" + CLEAN('summary') + ", ''), CASE WHEN warranty <> '' THEN 'Bảo hành: ' || warranty END)")} AS specs, CASE WHEN ({NUM('json_rating')}) BETWEEN 0 AND 5 THEN {NUM('json_rating')} END AS rating,
+ CASE WHEN ({NUM('json_review_count')}) >= 0 THEN floor(({NUM('json_review_count')}) + 0.5)::BIGINT END AS review_count, coalesce(nullif(stock, ''), regexp_replace(coalesce(json_availability, ''), '(?i)^https?://schema.org/', '')) AS stock_text FROM s)"""
+
+
+SHOP_RECORDS = RECORDS(TABLES["listed"], TABLES["details"])
+RECORD_SQL = "SELECT url, website, product_name, business_mode, specs, rating, review_count, stock_text AS stock, CASE WHEN fetched AND rental THEN price END AS rental_price_per_day, CASE WHEN fetched AND NOT rental THEN price END AS sale_price, disposition, reason FROM r"
+PLAIN_NUMBER = lambda c: f"CASE WHEN {c} = floor({c}) THEN {c}::BIGINT::VARCHAR ELSE {c}::VARCHAR END"
+PRICE_FIELD = "CASE WHEN rental THEN 'Giá thuê/ngày' ELSE 'Giá bán' END"
+
+
 def _records(spark: SparkSession) -> DataFrame:
     return records.details(frame(spark, "listed"), frame(spark, "details"))
 
 
-@query("q_detail_record", """SELECT * FROM (VALUES
- ('https://www.s.vn/1', 's.vn', 'Canon EOS R50', 'NEW', 'gọn nhẹ | Bảo hành: 12 tháng', 4.5::DOUBLE, 13::BIGINT, 'InStock', NULL::DOUBLE, 19900000::DOUBLE, 'accepted', 'camera detail confirmed'),
- ('https://s.vn/2', 's.vn', 'Sony ZV-E10', 'RENTAL', '', NULL, NULL, 'còn hàng', 500000, NULL, 'accepted', 'camera detail confirmed'),
- ('https://s.vn/3', 's.vn', 'Pin Canon', 'NEW', '', NULL, NULL, '', NULL, NULL, 'excluded', 'not camera: strong non-camera title'),
- ('https://s.vn/4', 's.vn', 'Sony Alpha Body', 'NEW', 'Bảo hành: 1 năm', NULL, NULL, '', NULL, 100, 'review', 'business mode uncertain'),
- ('https://s.vn/5', 's.vn', 'Gone R5', 'RENTAL', '', NULL, NULL, '', NULL, NULL, 'review', 'detail fetch failed: page not in corpus'))
- AS t(url, website, product_name, business_mode, specs, rating, review_count, stock, rental_price_per_day, sale_price, disposition, reason)""")
+@query("q_detail_record", f"WITH {SHOP_RECORDS} {RECORD_SQL}")
 def detail_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark).select("url", "website", "product_name", "business_mode", "specs", "rating", "review_count", "stock", "rental_price_per_day", "sale_price", "disposition", "reason")
 
 
-@query("q_price_conflicts", "SELECT * FROM (VALUES ('https://www.s.vn/1', 'Giá bán', '19500000', '19900000')) AS t(url, field, listing_value, detail_value)")
+@query("q_price_conflicts", f"WITH {SHOP_RECORDS} SELECT url, {PRICE_FIELD} AS field, {PLAIN_NUMBER('listing_price')} AS listing_value, {PLAIN_NUMBER('detail_price')} AS detail_value FROM r WHERE listing_price <> detail_price")
 def price_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.conflicts(_records(spark))
 
@@ -332,31 +423,65 @@ def order_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", listed.alias("listed"), detail.alias("detail")).where("listed <> detail")
 
 
-@query("q_evidence_explode", """SELECT * FROM (VALUES ('https://www.s.vn/1', 'Tên sản phẩm', 'Canon EOS R50', 'DOM', 0.99), ('https://www.s.vn/1', 'Giá bán', '19900000', 'JSON_LD', 0.99), ('https://www.s.vn/1', 'Tồn kho', 'https://schema.org/InStock', 'JSON_LD', 0.97), ('https://www.s.vn/1', 'Phụ kiện đi kèm', 'pin', 'DOM', 0.97),
- ('https://s.vn/2', 'Tên sản phẩm', 'Sony ZV-E10', 'JSON_LD', 0.92), ('https://s.vn/2', 'Giá thuê/ngày', '500000', 'JSON_LD', 0.99), ('https://s.vn/2', 'Tồn kho', 'còn hàng', 'DOM', 0.97), ('https://s.vn/3', 'Tên sản phẩm', 'Pin Canon', 'DOM', 0.99), ('https://s.vn/4', 'Tên sản phẩm', 'Sony Alpha Body', 'DOM', 0.99), ('https://s.vn/4', 'Giá bán', '100', 'DOM', 0.99)) AS t(url, field, value, source, c)""".replace("SELECT *", "SELECT url, field, value, source, c::DOUBLE AS confidence"))
+EVIDENCE_SQL = f"""WITH {SHOP_RECORDS} SELECT url, 'Tên sản phẩm' AS field, product_name AS value, CASE WHEN h1 <> '' THEN 'DOM' WHEN json_name <> '' THEN 'JSON_LD' ELSE 'LISTING' END AS source, CASE WHEN h1 <> '' THEN 0.99 ELSE 0.92 END::DOUBLE AS confidence FROM r WHERE fetched AND product_name <> ''
+UNION ALL SELECT url, {PRICE_FIELD}, {PLAIN_NUMBER('price')}, CASE WHEN json_price IS NOT NULL THEN 'JSON_LD' WHEN detail_price IS NOT NULL THEN 'DOM' ELSE 'LISTING' END, CASE WHEN detail_price IS NOT NULL THEN 0.99 ELSE 0.9 END FROM r WHERE fetched AND price IS NOT NULL
+UNION ALL SELECT url, 'Tồn kho', coalesce(nullif(stock, ''), json_availability), CASE WHEN stock <> '' THEN 'DOM' ELSE 'JSON_LD' END, 0.97 FROM r WHERE fetched AND coalesce(nullif(stock, ''), nullif(json_availability, '')) IS NOT NULL
+UNION ALL SELECT url, 'Phụ kiện đi kèm', accessories, 'DOM', 0.97 FROM r WHERE fetched AND accessories <> ''"""
+
+
+@query("q_evidence_explode", EVIDENCE_SQL)
 def evidence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.evidence_rows(_records(spark)).select("url", "field", "value", "source", "confidence")
 
 
-@query("q_coverage", f"SELECT 'ROOT' AS kind, intent, label, url FROM {TABLES['seeds']} UNION ALL SELECT 'CATALOG_PAGE', '', '', url FROM (VALUES ('https://s.vn/c?p=2'), ('https://s.vn/d?p=2'), ('https://s.vn/c?p=4')) AS t(url) UNION ALL SELECT 'FAILED_PAGE', '', '', 'https://s.vn/c?p=3'")
+@query("q_coverage", f"WITH RECURSIVE {SHOP_CRAWL} SELECT 'ROOT' AS kind, intent, label, url FROM {TABLES['seeds']} UNION ALL SELECT 'CATALOG_PAGE', '', '', url FROM crawl WHERE status = 'visited' AND url NOT IN (SELECT url FROM {TABLES['seeds']}) UNION ALL SELECT 'FAILED_PAGE', '', '', url FROM crawl WHERE status = 'failed'")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.coverage(frame(spark, "seeds"), _crawled(spark))
 
 
-@query("q_audit", """SELECT * FROM (VALUES ('Target', 'CAMERA'), ('Start URL', 'https://s.vn/'), ('Catalog roots', '3'), ('Catalog pages visited', '5'), ('Catalog queue remaining', '1'), ('Catalog URLs skipped by safety limit', '0'), ('Failed catalog pages', '1'), ('Product candidates', '5'), ('Product details checked', '5'),
- ('Accepted', '2'), ('Excluded', '1'), ('Review', '2'), ('Detail errors', '1'), ('Price conflicts', '1'), ('Catalog coverage', 'NOT COMPLETE'), ('Detail coverage', 'PASS'), ('Overall completeness', 'NOT COMPLETE'), ('Elapsed seconds', '0')) AS t(metric, value)""")
+AUDIT_SQL = f"""WITH RECURSIVE {SHOP_CRAWL}, {SHOP_RECORDS},
+c AS (SELECT count(*) FILTER (status = 'visited') AS visited, count(*) FILTER (status = 'failed') AS failed FROM crawl),
+d AS (SELECT count(*) AS checked, count(*) FILTER (disposition = 'accepted') AS accepted, count(*) FILTER (disposition = 'excluded') AS excluded, count(*) FILTER (disposition = 'review') AS review, count(*) FILTER (NOT fetched) AS errors, count(*) FILTER (listing_price <> detail_price) AS differ FROM r),
+k AS (SELECT *, (SELECT count(*) FROM {TABLES['seeds']}) AS roots, (SELECT count(*) FROM {TABLES['listed']}) AS products FROM c, d),
+v AS (SELECT map {{'Target': 'CAMERA', 'Start URL': 'https://s.vn/', 'Catalog roots': roots::VARCHAR, 'Catalog pages visited': visited::VARCHAR, 'Catalog queue remaining': failed::VARCHAR, 'Catalog URLs skipped by safety limit': '0', 'Failed catalog pages': failed::VARCHAR, 'Product candidates': products::VARCHAR,
+ 'Product details checked': checked::VARCHAR, 'Accepted': accepted::VARCHAR, 'Excluded': excluded::VARCHAR, 'Review': review::VARCHAR, 'Detail errors': errors::VARCHAR, 'Price conflicts': differ::VARCHAR, 'Catalog coverage': CASE WHEN failed = 0 THEN 'PASS' ELSE 'NOT COMPLETE' END,
+ 'Detail coverage': CASE WHEN checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Overall completeness': CASE WHEN failed = 0 AND checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Elapsed seconds': '0'}} AS m FROM k)
+SELECT unnest(map_keys(m)) AS metric, unnest(map_values(m)) AS value FROM v"""
+
+
+@query("q_audit", AUDIT_SQL)
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.audit("https://s.vn/", frame(spark, "seeds"), _crawled(spark), frame(spark, "listed"), _records(spark))
 
 
-@query("q_jsonld_product", """SELECT page_id, json_name, json_price_str, json_price_num::DOUBLE AS json_price_num, json_availability, json_rating, json_review_count FROM (VALUES
- (1, 'R5', '1.200.000', NULL, 'InStock', NULL, NULL), (2, 'A7', NULL, 150000, '', '4.5', '12'), (3, 'D850', NULL, 7, '', NULL, NULL), (4, '', NULL, NULL, '', NULL, NULL), (5, '', NULL, NULL, '', NULL, NULL))
- AS t(page_id, json_name, json_price_str, json_price_num, json_availability, json_rating, json_review_count)""")
+JSONLD_SQL = f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?s)<script type="application/ld.json">(.*?)</script>', 1)) AS raw, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?s)<script type="application/ld.json">(.*?)</script>', 1), 1) AS i FROM {TABLES['json_pages']}),
+g AS (SELECT page_id, i, 0 AS k, raw::JSON AS o FROM c WHERE json_valid(raw) AND json_type(raw::JSON) = 'OBJECT'
+ UNION ALL SELECT page_id, i, k, o FROM (SELECT page_id, i, unnest(json_extract(raw::JSON, '$[*]')) AS o, generate_subscripts(json_extract(raw::JSON, '$[*]'), 1) AS k FROM c WHERE json_valid(raw) AND json_type(raw::JSON) = 'ARRAY')),
+t AS (SELECT page_id, i, k, 0 AS m, o FROM g UNION ALL SELECT page_id, i, k, m, o FROM (SELECT page_id, i, k, unnest(json_extract(o, '$."@graph"[*]')) AS o, generate_subscripts(json_extract(o, '$."@graph"[*]'), 1) AS m FROM g)),
+p AS (SELECT page_id, arg_min(o, i * 10000 + k * 100 + m) AS o FROM t WHERE lower(json_extract_string(o, '$."@type"')) = 'product' OR list_contains(list_transform(json_extract_string(o, '$."@type"[*]'), lambda x: lower(x)), 'product') GROUP BY 1),
+f AS (SELECT page_id, o, CASE WHEN json_type(o, '$.offers') = 'ARRAY' THEN json_extract(o, '$.offers[0]') ELSE json_extract(o, '$.offers') END AS f FROM p),
+v AS (SELECT *, coalesce(json_extract(f, '$.price'), json_extract(f, '$.lowPrice')) AS price FROM f)
+SELECT j.page_id, coalesce(json_extract_string(o, '$.name'), '') AS json_name, CASE WHEN o IS NOT NULL AND json_type(price) IS DISTINCT FROM 'UBIGINT' AND json_type(price) IS DISTINCT FROM 'DOUBLE' THEN coalesce(json_extract_string(price, '$'), '') END AS json_price_str, CASE WHEN json_type(price) IN ('UBIGINT', 'DOUBLE') THEN price::DOUBLE END AS json_price_num,
+ coalesce(json_extract_string(f, '$.availability'), '') AS json_availability, json_extract_string(o, '$.aggregateRating.ratingValue') AS json_rating, coalesce(json_extract_string(o, '$.aggregateRating.reviewCount'), json_extract_string(o, '$.aggregateRating.ratingCount')) AS json_review_count FROM {TABLES['json_pages']} AS j LEFT JOIN v USING (page_id)"""
+
+
+@query("q_jsonld_product", JSONLD_SQL)
 def jsonld_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first product of each page's embedded JSON; scripts that do not parse are passed over."""
     return html.products(html.shred(frame(spark, "json_pages"))).drop("url").withColumn("page_id", F.col("page_id").cast("int"))
 
 
+SHOP_EDGES = f"(SELECT page_url AS url, unnest([page_url || '?page=' || k FOR k IN generate_series(2, n)]) AS next_url FROM (SELECT url AS page_url, TRY_CAST(nullif(regexp_extract(html, 'Page 1 / ([0-9]+)', 1), '') AS INT) AS n FROM {TABLES['shop']}) WHERE n > 1)"
+SHOP_WALK = CRAWL(TABLES["shop_seeds"], SHOP_EDGES, TABLES["shop"])
+
+
+@query("q_pages_to_records", f"WITH RECURSIVE {SHOP_WALK}, {SHOP_SQL}, {PRODUCT_SQL}, listed AS (SELECT o.*, 'NEW' AS intent FROM owned AS o), {RECORDS('listed', 'raw')} SELECT url, product_name, business_mode, specs, stock_text AS stock, CASE WHEN fetched THEN price END AS sale_price, disposition, reason, listing_price, detail_price FROM r")
+def pages_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From HTML to records: shredding, crawl of the catalog, cards, products, details, classification."""
+    got = extract.from_pages(frame(spark, "shop"), frame(spark, "shop_seeds"), _checkpoint(spark))["records"]
+    return got.select("url", "product_name", "business_mode", "specs", "stock", "sale_price", "disposition", "reason", "listing_price", "detail_price")
+
+
 @query("q_failed_details", f"SELECT l.url, l.title AS product_name, 'detail fetch failed: page not in corpus' AS reason FROM {TABLES['listed']} AS l LEFT JOIN {TABLES['details']} AS d ON d.url = l.url WHERE d.url IS NULL")
 def failed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed products whose page is not in the corpus stay, for review."""

@@ -97,7 +97,40 @@ JSON_PAGES = relation("page_id, url, html", [
     (3, "https://s.vn/3", LD.replace("{}", "{broken") + LD.replace("{}", '{"@graph":[{"@type":"WebPage"},{"@type":"product","name":"D850","offers":{"lowPrice":7}}]}')),
     (4, "https://s.vn/4", LD.replace("{}", '{"@type":"WebPage","mainEntity":{"@type":"Product","name":"hidden"}}')), (5, "https://s.vn/5", None),
 ])
+TURNING = relation("page_url, region_text", [("https://s.vn/c", "Page 1 / 3"), ("https://s.vn/d?x=1", "page 1/2"), ("https://s.vn/e", "Page 1/1"), ("https://s.vn/f?page=2&y=1&b=2", "xem Page 2 / 12 trang"), ("https://s.vn/g", "")])
+TURNS = relation("page_url, ord, href", [
+    ("https://s.vn/c", 1, "https://s.vn/c?page=2"), ("https://s.vn/c", 2, "https://s.vn/z?p=2"), ("https://s.vn/d?x=1", 1, "https://s.vn/d?x=1&p=5"), ("https://s.vn/f?page=2&y=1&b=2", 1, "https://s.vn/f?page=next"),
+    ("https://s.vn/f?page=2&y=1&b=2", 2, "https://s.vn/f?page=3&y=1"), ("https://s.vn/g", 1, "https://s.vn/g?p=1"), ("https://s.vn/g", 2, "https://other.vn/g?p=7"), ("https://s.vn/g", 3, "https://s.vn/g?p=9&utm_source=x"),
+])
+HREFS = relation("id, href, page", [(i, h, "https://s.vn/x/y?z=1#old") for i, h in enumerate([
+    "//cdn.x.com/a", "mailto:a@b.c", "javascript:void(0)", "#top", "", "?p=2", "/a/b?c=1#d", "b", "./b", "../b", "../../../b/..", "/a/./b/../c/.", "/a/b/../../c?x=../y", "HTTP://Other.vn/q", "b/c/../d#e/../f", None, " /spaced ", "..", "/..a/b", "...",
+])])
+BRANDS = ("Canon EOS R", "Sony Alpha A", "Nikon Z", "Fujifilm X-T", "Pin Canon LP-")
+
+
+def _product(k: int) -> tuple[str, str, int]:
+    return f"{BRANDS[k % len(BRANDS)]}{k}", f"/p/{k}", 1_000_000 + 37_000 * k
+
+
+def _shop() -> list[tuple]:
+    """A shop of 120 products on six catalog pages of 24 cards (four of them on the page before too); each fifteenth has no page of its own."""
+    head, rows = '<html><head><title>Shop</title></head><body><nav><ul><li><a href="/">Trang chủ</a></li><li><a href="/cart">Giỏ hàng</a></li></ul></nav><main>', []
+    for n in range(6):
+        cards = "".join(f'<div class="card"><h3><a href="{link}">{name}</a></h3><p>Giá {price:,} đ</p></div>' for name, link, price in map(_product, range(max(20 * n - 4, 0), 20 * n + 20)))
+        rows.append((f"https://shop.vn/c?page={n + 1}" if n else "https://shop.vn/c", f"{head}{cards}<p>Page {n + 1} / 6 <a href=\"/c?page=2\">2</a></p></main></body></html>"))
+    for k in range(120):
+        name, link, price = _product(k)
+        ld = "" if k % 4 == 0 else f'<script type="application/ld+json">{{"@type":"Product","name":"{name}","offers":{{"price":{price + (500 if k % 7 == 0 else 0)}}}}}</script>'
+        text = "mirrorless cảm biến ISO" if k % 3 else "ISO"
+        if k % 15:
+            rows.append((f"https://shop.vn{link}", f"<html><head><title>{name}</title>{ld}</head><body><main><h1>{name} chính hãng</h1><p>Tình trạng: còn {k}</p><p>Phụ kiện: dây {k}</p><table><tr><td>Loại</td><td>{text}</td></tr></table></main></body></html>"))
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+SHOP = relation("page_id, url, html", _shop())
+SHOP_SEEDS = relation("ord, url, intent, label", [(1, "https://shop.vn/c", "NEW", "New")])
 TABLES = {
+    "turning": TURNING, "turns": TURNS, "hrefs": HREFS, "shop": SHOP, "shop_seeds": SHOP_SEEDS,
     "json_pages": JSON_PAGES,
     "nodes": NODES, "pages": PAGES, "links": LINKS, "candidates": CANDIDATES, "cards": CARDS, "texts": TEXTS, "values": VALUES_, "urls": URLS, "lines": LINES, "edges": EDGES, "seeds": SEEDS,
     "loaded": LOADED, "roots": ROOTS, "modes": MODES, "details": DETAILS, "listed": LISTED, "probed": PROBED, "probe_pages": PROBE_PAGES, "probe_links": PROBE_LINKS,

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -19,12 +20,15 @@ HIDDEN = frozenset("script style head noscript template".split())
 SELF_CLOSING = frozenset("p li tr td th dt dd option".split())
 MAIN_IDS, MAIN_CLASSES = ("main", "MainContent"), ("main-content", "content")
 
-NODE = "struct<node_id: int, path: array<int>, depth: int, tag: string, text: string, href: string, role: string, aria_label: string, title: string, link_count: int, interactive: boolean, main: boolean>"
-SCHEMA = f"page_id long, url string, title string, nodes array<{NODE}>, lines array<string>, table_rows array<string>, jsonld array<string>"
+NODE = "struct<node_id: int, path: array<int>, depth: int, tag: string, start: int, end: int, control: int, href: string, role: string, aria_label: string, title: string, link_count: int, interactive: boolean, main: boolean>"
+SCHEMA = f"page_id long, url string, title string, text string, region array<int>, error string, nodes array<{NODE}>, lines array<string>, table_rows array<string>, jsonld array<string>"
+
+
+SPACE = re.compile(r"\s+")
 
 
 class _Shredder(HTMLParser):
-    """Open elements as a stack of node records; text goes to all of them when they close."""
+    """Open elements as a stack of node records. A node's text is a stretch of the page's text, white space collapsed."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -32,46 +36,64 @@ class _Shredder(HTMLParser):
         self.stack: list[dict] = []
         self.shown: list[str] = []
         self.title, self.jsonld, self.rows = "", [], []
+        self.parts: list[str] = []
+        self.size, self.spaced, self.roots, self.controls = 0, True, 0, 0
+        self.region = self.body = None
 
     def handle_starttag(self, tag, attrs):
         if tag in SELF_CLOSING and self.stack and self.stack[-1]["tag"] == tag:
             self._close()
         if tag in BLOCK:
             self.shown.append("\n")
+            self._text(" ")
         a = {k: v or "" for k, v in attrs}
         parent = self.stack[-1] if self.stack else None
-        path = [*(parent["path"] if parent else []), parent["children"] if parent else len([n for n in self.nodes if n["depth"] == 1])]
+        path = [*(parent["path"] if parent else []), parent["children"] if parent else self.roots]
         if parent:
             parent["children"] += 1
+        else:
+            self.roots += 1
         hide = bool(parent and parent["hide"]) or tag in HIDDEN or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
         role = a.get("role", "")
-        classes = a.get("class", "").split()
+        control = tag in ("a", "button") or role in ("link", "button")
         node = {
-            "node_id": len(self.nodes), "path": path, "depth": len(path), "tag": tag, "text": "", "href": a.get("href", ""), "role": role, "aria_label": a.get("aria-label", ""), "title": a.get("title", ""), "link_count": 0,
-            "interactive": not hide and (tag in ("a", "button") or role in ("link", "button")), "main": tag == "main" or role == "main" or a.get("id") in MAIN_IDS or any(c in MAIN_CLASSES for c in classes),
-            "children": 0, "hide": hide, "parts": [], "type": a.get("type", ""),
+            "node_id": len(self.nodes), "path": path, "depth": len(path), "tag": tag, "start": self.size, "end": self.size, "control": self.controls if control else -1, "href": a.get("href", ""), "role": role,
+            "aria_label": a.get("aria-label", ""), "title": a.get("title", ""), "link_count": 0, "interactive": control and not hide,
+            "main": tag == "main" or role == "main" or a.get("id") in MAIN_IDS or any(c in MAIN_CLASSES for c in a.get("class", "").split()),
+            "children": 0, "hide": hide, "type": a.get("type", ""), "raw": [] if tag == "script" else None, "at": len(self.parts),
         }
+        self.controls += control
+        self.region = path if node["main"] and self.region is None else self.region
+        self.body = path if tag == "body" and self.body is None else self.body
         self.nodes.append(node)
-        if tag == "a":
+        if tag == "a" and a.get("href"):
             for x in self.stack:
                 x["link_count"] += 1
         if tag not in VOID:
             self.stack.append(node)
 
+    def _text(self, flat):
+        flat = flat[1:] if self.spaced and flat.startswith(" ") else flat
+        if flat:
+            self.parts.append(flat)
+            self.size += len(flat)
+            self.spaced = flat.endswith(" ")
+
     def _close(self):
         node = self.stack.pop()
-        raw = "".join(node["parts"])
-        node["text"] = " ".join(raw.split())
-        if node["tag"] == "title":
-            self.title = self.title or node["text"]
-        if node["tag"] == "tr" and node["text"]:
-            self.rows.append(node["text"])
-        if node["tag"] == "script" and node["type"].lower() == "application/ld+json":
-            self.jsonld.append(raw)
+        node["end"] = self.size
+        if node["tag"] in BLOCK:
+            self._text(" ")
+        if node["tag"] in ("title", "tr"):
+            own = " ".join("".join(self.parts[node["at"] :]).split())
+            if node["tag"] == "title":
+                self.title = self.title or own
+            elif own:
+                self.rows.append(own)
+        if node["raw"] is not None and node["type"].lower() == "application/ld+json":
+            self.jsonld.append("".join(node["raw"]))
         if node["tag"] in BLOCK:
             self.shown.append("\n")
-        if self.stack and node["tag"] not in ("script", "style"):
-            self.stack[-1]["parts"].append(raw)
 
     def handle_endtag(self, tag):
         if any(x["tag"] == tag for x in self.stack):
@@ -80,9 +102,13 @@ class _Shredder(HTMLParser):
             self._close()
 
     def handle_data(self, data):
-        if self.stack:
-            self.stack[-1]["parts"].append(data)
-        if not (self.stack and self.stack[-1]["hide"]):
+        top = self.stack[-1] if self.stack else None
+        if top and top["tag"] in ("script", "style"):
+            if top["raw"] is not None:
+                top["raw"].append(data)
+        else:
+            self._text(SPACE.sub(" ", data))
+        if not (top and top["hide"]):
             self.shown.append(data.replace("\n", " "))
 
     def finish(self):
@@ -92,33 +118,54 @@ class _Shredder(HTMLParser):
 
 
 def shred_text(html: str) -> dict:
-    """One page's title, nodes, lines, table_rows and jsonld."""
+    """One page's title, text, region (path of the first main element, else of the body), nodes, lines, table_rows and jsonld."""
     s = _Shredder()
     s.feed(html or "")
     s.finish()
-    drop = ("children", "hide", "parts", "type")
+    drop = ("children", "hide", "type", "raw", "at")
     lines = [x for x in (" ".join(line.split()) for line in "".join(s.shown).split("\n")) if x]
-    return {"title": s.title, "nodes": [{k: v for k, v in n.items() if k not in drop} for n in s.nodes], "lines": lines, "table_rows": [r for r in s.rows if len(r) <= 300][:20], "jsonld": s.jsonld}
+    return {"title": s.title, "text": "".join(s.parts), "region": s.region or s.body or [], "error": None, "nodes": [{k: v for k, v in n.items() if k not in drop} for n in s.nodes], "lines": lines, "table_rows": [r for r in s.rows if len(r) <= 300][:20], "jsonld": s.jsonld}
+
+
+def _shredded(html: str) -> dict:
+    try:
+        return shred_text(html)
+    except Exception as e:  # whatever one page does to the parser, the others go on
+        return {"title": "", "text": "", "region": [], "error": f"{type(e).__name__}: {e}", "nodes": [], "lines": [], "table_rows": [], "jsonld": []}
 
 
 def shred(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, nodes, lines, table_rows, jsonld of every page (page_id, url, html). Null html is an empty page."""
+    """page_id, url, title, text, region, error, nodes, lines, table_rows, jsonld of every page (page_id, url, html).
+
+    A node's text is its stretch of the page's text (see node_text), so that a deep tree takes no more room than
+    a flat one. Null html is an empty page. A page that the parser fails on is an empty page with an error.
+    """
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
-                rows = [{"page_id": r["page_id"], "url": r["url"], **shred_text(r["html"])} for r in batch.slice(low, 200).to_pylist()]
+                rows = [{"page_id": r["page_id"], "url": r["url"], **_shredded(r["html"])} for r in batch.slice(low, 200).to_pylist()]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
 
 
+def node_text(node: Column, text: Column | str = "text") -> Column:
+    """The text of a node (a struct with start and end) of a page's text."""
+    return F.trim(F.substring(F.col(text) if isinstance(text, str) else text, node.getField("start") + 1, node.getField("end") - node.getField("start")))
+
+
+def visible_text(shredded: DataFrame, most: int = 12_000) -> DataFrame:
+    """page_id and the first `most` characters of what a page shows, line by line."""
+    return shredded.select("page_id", F.substring(F.array_join("lines", "\n"), 1, most).alias("visible_text"))
+
+
 def nodes(shredded: DataFrame, most: int = 300) -> DataFrame:
-    """The first `most` interactive nodes of each page, one row each, in document order."""
-    kept = F.slice(F.filter("nodes", lambda n: n.interactive & (n.text != "")), 1, most)
-    rows = shredded.select("page_id", "url", F.posexplode(kept).alias("ord", "n"))
-    return rows.select("page_id", "url", "ord", F.concat(F.lit("n"), "n.node_id").alias("id"), "n.tag", "n.text", "n.role", "n.href", "n.aria_label", "n.title")
+    """The first `most` visible links and buttons of each page, one row each, in document order; ids count all of them."""
+    kept = F.slice(F.filter("nodes", lambda n: n.interactive), 1, most)
+    rows = shredded.select("page_id", "url", "text", F.posexplode(kept).alias("ord", "n"))
+    return rows.select("page_id", "url", "ord", F.concat(F.lit("n"), "n.control").alias("id"), "n.tag", node_text(F.col("n")).alias("text"), "n.role", "n.href", "n.aria_label", "n.title")
 
 
 def find_product(value: object) -> dict | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import pages, records
+from brindle.operators import extract, pages, records, site
 from brindle.plans import catalog, fixtures
 from brindle.sources import html
 
@@ -17,11 +17,14 @@ PAGE = """<html><head><title> A  shop </title><script>var t="</p>";</script><scr
 
 def test_shredded_page():
     got = html.shred_text(PAGE)
-    assert got["title"] == "A shop" and got["table_rows"] == ["kv"]
+    assert got["title"] == "A shop" and got["table_rows"] == ["k v"]
     assert got["lines"] == ["One", "Hi", "there", "first", "second bold", "k", "v"]
     links = [n for n in got["nodes"] if n["tag"] == "a"]
     assert [(n["href"], n["interactive"]) for n in links] == [("/a", True), ("/b", True), ("/h", False)]
     assert [n["tag"] for n in got["nodes"] if n["main"]] == ["main"]
+    text = lambda n: got["text"][n["start"] : n["end"]].strip()
+    assert text(next(n for n in got["nodes"] if n["main"])) == "Hi there first second bold hidden k v"
+    assert got["region"] == next(n["path"] for n in got["nodes"] if n["main"])
 
 
 def test_embedded_product():
@@ -39,7 +42,8 @@ def test_odd_html(raw):
 def test_shredding_at_rest(spark):
     rows = html.shred(spark.createDataFrame([(1, "u", PAGE), (2, "v", None)], "page_id long, url string, html string"))
     assert [r.n for r in rows.orderBy("page_id").select(F.size("nodes").alias("n")).collect()][1] == 0
-    assert html.nodes(rows).count() == 1  # a node without text is left out
+    assert [(r["id"], r["text"]) for r in html.nodes(rows).orderBy("ord").collect()] == [("n0", "One"), ("n1", "")]
+    assert html.visible_text(rows).where("page_id = 1").first()["visible_text"].startswith("One\nHi\nthere")
     assert html.products(rows).where("json_name = 'Cam'").count() == 1
 
 
@@ -92,3 +96,46 @@ def test_report_conserves_records(spark):
     sheets = records.sheets(rows, rows.select("url"), rows.select("url"), spark)
     assert sheets["main"].count() + sheets["excluded"].count() + sheets["review"].count() == rows.count() == 5
     assert sheets["visual_evidence"].count() == 0 and sheets["log"].count() == 1
+
+
+TREE = """<html><body><div id="top"><a href="/">Home</a></div><ul><li><a href="/cam">Cameras</a><ul><li><a href="/cam/new">New</a></li><li><a href="/cam/old">Old</a></li></ul></li></ul>
+<div class="content"><section><div class="card"><h3><a href="/p/r5">Canon R5</a></h3><p>1.000.000 đ</p></div><div class="card"><a href="/p/none" title="Named"></a></div>
+<a href="//other.vn/x">Elsewhere</a><a href="mailto:a@b.c">Mail</a></section></div></body></html>"""
+
+
+@pytest.fixture(scope="module")
+def shredded(spark):
+    return html.shred(spark.createDataFrame([(1, "https://s.vn/c", TREE)], "page_id long, url string, html string"))
+
+
+def test_links_of_the_region(shredded):
+    got = [(r["href"], r["text"]) for r in extract.page_links(shredded).orderBy("ord").collect()]
+    assert got == [("https://s.vn/p/r5", "Canon R5"), ("https://s.vn/p/none", "Named")]
+    everything = [r["href"] for r in extract.page_links(shredded, False, False).orderBy("ord").collect()]
+    assert everything[-2:] == ["https://other.vn/x", "mailto:a@b.c"] and len(everything) == 8
+
+
+def test_cards_and_surroundings(shredded):
+    links = extract.page_links(shredded)
+    got = {r["href"]: (r["title"], r["card"]) for r in extract.cards(shredded, links).collect()}
+    assert got == {"https://s.vn/p/r5": ("Canon R5", "Canon R5 1.000.000 đ"), "https://s.vn/p/none": ("Named", "Canon R5 1.000.000 đ ElsewhereMail")}
+    near = {r["href"]: r["near"] for r in extract.surroundings(shredded, links, 2).collect()}
+    assert near == {"https://s.vn/p/r5": "Canon R5 1.000.000 đ", "https://s.vn/p/none": "Canon R5 1.000.000 đ ElsewhereMail"}
+
+
+def test_submenu_of_a_root(shredded, spark):
+    roots = extract.page_links(shredded, False, False).where("text = 'Cameras'").withColumn("root_id", F.lit(7))
+    inside = extract.children(shredded, roots)
+    assert [(r["root_id"], r["text"], r["href"]) for r in inside.orderBy("ord").collect()] == [(7, "New", "https://s.vn/cam/new"), (7, "Old", "https://s.vn/cam/old")]
+    nodes = html.nodes(shredded)
+    assert {r["method"] for r in site.submenu(inside, nodes.where("ord = 0"), nodes).collect()} == {"DOM_CHILDREN"}
+    assert {r["method"] for r in site.submenu(inside.where("false"), nodes.where("ord = 0"), nodes).collect()} == {"VISIBLE_DIFF"}
+
+
+def test_a_page_that_cannot_be_read_is_a_review_row(spark, monkeypatch):
+    corpus = spark.createDataFrame([(1, "https://s.vn/p/1", "<h1>Canon R5</h1>")], "page_id long, url string, html string")
+    row = html._shredded(5)
+    assert row["error"].startswith("TypeError") and row["nodes"] == []
+    raw = extract.detail_rows(html.shred(corpus)).withColumn("error", F.lit("ValueError: x"))
+    got = records.details(spark.createDataFrame([("https://s.vn/p/1", "Listed", "RENTAL", "5đ")], "url string, title string, intent string, price_text string"), raw).first()
+    assert (got["disposition"], got["reason"], got["listing_price"], got["rental_price_per_day"]) == ("review", "detail extraction error: ValueError: x", 5.0, None)
