@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import store
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, WORDY = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 MARGINS = ("source", "lang", "topic")
 #: Target shares are observed shares to this power, made to sum to 1: 1 keeps the mix, 0 evens it out.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -107,6 +107,7 @@ def _keyed(docs: DataFrame, topic_of: Column | None, seed: int) -> DataFrame:
     return docs.select(
         F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
         about.alias("topic"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
+        F.coalesce(F.col("text").rlike(WORDY), F.lit(False)).alias("_wordy"),
     )
 
 
@@ -115,9 +116,9 @@ def _drawn(keyed: DataFrame, targets: dict[str, DataFrame] | None, share: float)
     cells, kept_share = scaled(rake(store.table(cells, "tokens"), targets), share)
     raked = store.table(cells.select(*MARGINS, "raked", "weight", "probability", "gap"), "raked")
     out = keyed.join(raked, list(MARGINS), "left").fillna({"raked": 0.0, "weight": 0.0, "gap": 0.0})
-    out = out.withColumn("probability", F.when((F.col("n_tokens") > 0) & F.col("probability").isNotNull(), F.col("probability")).otherwise(1.0))
+    out = out.withColumn("probability", F.when(F.col("_wordy") & F.col("probability").isNotNull(), F.col("probability")).otherwise(1.0))
     draw = F.pmod("_h", F.lit(RESOLUTION)) / RESOLUTION
-    return out.withColumns({"sampled": draw < F.col("probability"), "kept_share": F.lit(kept_share)}).drop("_h")
+    return out.withColumns({"sampled": draw < F.col("probability"), "kept_share": F.lit(kept_share)}).drop("_h", "_wordy")
 
 
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 3, share: float = SHARE, topic_of: Column | None = None) -> DataFrame:
@@ -140,7 +141,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
     Words are counted in one pass over the texts; what the draw needs of them is written and read again.
     """
-    keyed = _keyed(docs.select("doc_id", "text", "source", "lang"), None, 3).select("row.doc_id", *MARGINS, "n_tokens", "_h")
+    keyed = _keyed(docs.select("doc_id", "text", "source", "lang"), None, 3).select("row.doc_id", *MARGINS, "n_tokens", "_h", "_wordy")
     return _drawn(store.table(keyed, "keyed"), None, SHARE).select("doc_id", *MARGINS, "n_tokens", "raked", "weight", "probability", "sampled", "kept_share", "gap")
 
 
