@@ -1,7 +1,8 @@
 """Named queries over page corpora, each with the SQL that DuckDB runs for comparison.
 
-Queries named q_page_*, q_anchor_*, q_host_*, q_text_* and q_lines_* run over the whole tables of a data folder; the
-others over the literal tables of fixtures.py, whose vocabulary the page corpus lacks.
+Queries named q_page_*, q_anchor_*, q_host_*, q_text_* and q_lines_* run over the whole tables of a data folder. Those
+of values, labels, texts, nodes and links run over whole tables and, with negative ids, over the literal tables of
+fixtures.py, whose vocabulary the corpus lacks; the others over these alone.
 """
 
 from __future__ import annotations
@@ -78,6 +79,33 @@ links AS (SELECT page_id, url, ord, {RESOLVE("raw", "url")} AS href,
       {CLEAN("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', '', 'g')")} AS text FROM h)"""
 
 
+# Rows of fixtures under negative ids, then all rows of a table of the data folder, as SQL and as DataFrames.
+WHOLE = {
+    "values": f"(SELECT (-id)::BIGINT AS id, t FROM {TABLES['values']} UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations)",
+    "lines": f"(SELECT (-id)::BIGINT AS id, body FROM {TABLES['lines']} UNION ALL SELECT doc_id, text FROM documents)",
+    "texts": f"(SELECT (-id)::BIGINT AS id, title, body FROM {TABLES['texts']} UNION ALL SELECT doc_id, source, text FROM documents)",
+    "pages": f"(SELECT (-page_id)::BIGINT AS page_id, url, visible_text FROM {TABLES['pages']} UNION ALL SELECT page_id, url, '' FROM pages)",
+    "nodes": f"(SELECT (-page_id)::BIGINT AS page_id, ord, text, href, aria_label, title FROM {TABLES['nodes']} UNION ALL SELECT page_id, ord, text, href, '', '' FROM links)",
+    "links": f"(SELECT (-page_id)::BIGINT AS page_id, ord, text, href FROM {TABLES['links']} UNION ALL SELECT page_id, ord, text, href FROM links)",
+}
+
+
+def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of WHOLE[name]."""
+    key = "page_id" if name in ("pages", "nodes", "links") else "id"
+    made = frame(spark, name).withColumn(key, -F.col(key).cast("long"))
+    none = F.lit("")
+    if name == "values":
+        return made.unionByName(spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("t")))
+    if name in ("lines", "texts"):
+        return made.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body")).select(made.columns))
+    if name == "pages":
+        return made.unionByName(_pages(spark, sf_dir).select("page_id", "url", none.alias("visible_text")))
+    kept = ["page_id", "ord", "text", "href", *(["aria_label", "title"] if name == "nodes" else [])]
+    found = pages.anchors(_pages(spark, sf_dir)).select("page_id", "ord", "text", "href", none.alias("aria_label"), none.alias("title"))
+    return made.select(kept).unionByName(found.select(kept))
+
+
 @query("q_host_page_counts", f"WITH {ANCHOR_SQL} SELECT {HOST('p.url')} AS host, count(DISTINCT p.page_id) AS n_pages, count(DISTINCT l.href) AS n_links FROM pages p LEFT JOIN links l USING (page_id) GROUP BY 1")
 def host_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and distinct links of each host."""
@@ -171,9 +199,9 @@ PRICE_SQL = lambda c: f"CASE WHEN regexp_extract(coalesce({c}, ''), {q(text.PRIC
 
 
 @query("q_value_functions", f"""SELECT id, {MONEY('t')} AS money, CASE WHEN ({NUM('t')}) BETWEEN 0 AND 5 THEN {NUM('t')} END AS rating, CASE WHEN ({NUM('t')}) >= 0 THEN floor(({NUM('t')}) + 0.5)::BIGINT END AS reviews,
- {PRICE_SQL('t')} AS price, TRY_CAST(nullif(regexp_extract(coalesce(t, ''), '(?i)Page\\s+[0-9]+\\s*/\\s*([0-9]+)', 1), '') AS INT) AS pages, regexp_matches(coalesce(t, ''), '^[0-9]+$') AS digits, {FOLD('t')} AS folded FROM {TABLES['values']}""")
+ {PRICE_SQL('t')} AS price, TRY_CAST(nullif(regexp_extract(coalesce(t, ''), '(?i)Page\\s+[0-9]+\\s*/\\s*([0-9]+)', 1), '') AS INT) AS pages, regexp_matches(coalesce(t, ''), '^[0-9]+$') AS digits, {FOLD('t')} AS folded FROM {WHOLE['values']}""")
 def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = frame(spark, "values")
+    v = whole(spark, sf_dir, "values")
     return v.select("id", text.digits_money("t").alias("money"), text.rating("t").alias("rating"), text.review_count("t").alias("reviews"), text.price_text("t").alias("price"), text.declared_pages("t").alias("pages"), text.is_digits("t").alias("digits"), text.fold("t").alias("folded"))
 
 
@@ -188,12 +216,12 @@ def _label_sql(kind: str) -> str:
     return f"(SELECT arg_min(v, i) FROM (SELECT i, CASE {cases} END AS v FROM (SELECT i, line, coalesce(l[i + 1], '') AS following FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i))) WHERE v IS NOT NULL)"
 
 
-LINES_SQL = rf"(SELECT id, list_filter(list_transform(string_split_regex(coalesce(body, ''), '\r?\n'), lambda x: {CLEAN('x')}), lambda x: x <> '') AS l FROM {TABLES['lines']})"
+LINES_SQL = rf"(SELECT id, list_filter(list_transform(string_split_regex(coalesce(body, ''), '\r?\n'), lambda x: {CLEAN('x')}), lambda x: x <> '') AS l FROM {WHOLE['lines']})"
 
 
 @query("q_find_label", f"SELECT id, {', '.join(f'''coalesce({_label_sql(k)}, '') AS {k}''' for k in lexicon.LABELS)} FROM {LINES_SQL}")
 def find_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, "lines").select("id", text.lines("body").alias("l"))
+    rows = whole(spark, sf_dir, "lines").select("id", text.lines("body").alias("l"))
     return rows.select("id", *[text.find_label(F.col("l"), ["(?iu)" + p for p in patterns]).alias(k) for k, patterns in lexicon.LABELS.items()])
 
 
@@ -204,36 +232,36 @@ FROM (SELECT t.id, min(CASE WHEN u.heading THEN u.i END) AS head FROM {LINES_SQL
 
 @query("q_summary_and_conditions", "WITH u AS (SELECT id, line, i, regexp_matches(line, " + q(lexicon.SUMMARY_HEADING.replace("(?iu)", "(?i)")) + ") AS heading, regexp_matches(line, " + q(lexicon.SUMMARY_STOP.replace("(?iu)", "(?i)")) + ") AS stop, regexp_matches(line, " + q(lexicon.CONDITIONS.replace("(?iu)", "(?i)")) + f") AS cond FROM (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM {LINES_SQL})) " + SUMMARY_SQL)
 def summary_and_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, "lines").select("id", text.lines("body").alias("l"))
+    rows = whole(spark, sf_dir, "lines").select("id", text.lines("body").alias("l"))
     return rows.select("id", text.summary(F.col("l"), lexicon.SUMMARY_HEADING, lexicon.SUMMARY_STOP).alias("summary"), text.matching_lines(F.col("l"), lexicon.CONDITIONS).alias("conditions"))
 
 
 SITE_CASE = "CASE WHEN rental AND (second_hand OR new_camera) THEN 'MIXED' WHEN second_hand AND new_camera THEN 'SALE_MIXED' WHEN rental THEN 'RENTAL' WHEN second_hand THEN 'SALE_SECOND_HAND' WHEN new_camera THEN 'SALE_NEW' ELSE 'UNKNOWN' END AS site_mode"
 
 
-MENU_TEXT = f"SELECT page_id, string_agg(coalesce(text, '') || ' ' || coalesce(aria_label, '') || ' ' || coalesce(title, ''), chr(10) ORDER BY ord) AS menu FROM {TABLES['nodes']} GROUP BY 1"
+MENU_TEXT = f"SELECT page_id, string_agg(coalesce(text, '') || ' ' || coalesce(aria_label, '') || ' ' || coalesce(title, ''), chr(10) ORDER BY ord) AS menu FROM {WHOLE['nodes']} GROUP BY 1"
 
 
-@query("q_site_mode", f"SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'regexp_matches(text, {q(r.pattern)}) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('concat_ws(chr(10), menu, visible_text)')} AS text FROM {TABLES['pages']} FULL JOIN ({MENU_TEXT}) USING (page_id)))")
+@query("q_site_mode", f"WITH {ANCHOR_SQL} SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'regexp_matches(text, {q(r.pattern)}) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('concat_ws(chr(10), menu, visible_text)')} AS text FROM {WHOLE['pages']} FULL JOIN ({MENU_TEXT}) USING (page_id)))")
 def site_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.site_modes(frame(spark, "pages"), frame(spark, "nodes"))
+    return site.site_modes(whole(spark, sf_dir, "pages"), whole(spark, sf_dir, "nodes"))
 
 
-@query("q_menu_topk", f"SELECT page_id, ord, score::INT AS score, intent, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM (SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD('''concat_ws(' ', text, aria_label, title)''')} AS text FROM {TABLES['nodes']})) WHERE score > 0) WHERE rank <= 25")
+@query("q_menu_topk", f"WITH {ANCHOR_SQL} SELECT page_id, ord, score::INT AS score, intent, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM (SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD('''concat_ws(' ', text, aria_label, title)''')} AS text FROM {WHOLE['nodes']})) WHERE score > 0) WHERE rank <= 25")
 def menu_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.menu_candidates(frame(spark, "nodes")).select("page_id", "ord", "score", "intent", "rank")
+    return site.menu_candidates(whole(spark, sf_dir, "nodes")).select("page_id", "ord", "score", "intent", "rank")
 
 
-ROOT_SQL = f"""WITH s AS (SELECT l.page_id, l.ord, l.text AS label, l.href, {FOLD('l.text')} AS text FROM {TABLES['links']} AS l JOIN {TABLES['pages']} AS p ON p.page_id = l.page_id WHERE {ORIGIN('l.href')} = {ORIGIN('p.url')} AND {PATH('l.href')} <> '/'),
+ROOT_SQL = f"""WITH {ANCHOR_SQL}, s AS (SELECT l.page_id, l.ord, l.text AS label, l.href, {FOLD('l.text')} AS text FROM {WHOLE['links']} AS l JOIN {WHOLE['pages']} AS p ON p.page_id = l.page_id WHERE {ORIGIN('l.href')} = {ORIGIN('p.url')} AND {PATH('l.href')} <> '/'),
 b AS (SELECT *, {rules.score_sql(lexicon.ROOTS)} AS score FROM (SELECT *, {FOLD(f"text || ' ' || translate({PATH('href')}, '-_/', '   ')")} AS place FROM s)),
 r AS (SELECT page_id, label AS text, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM b WHERE score > 0),
-a AS (SELECT * FROM r WHERE rank <= 15 UNION ALL SELECT page_id, u.t, {ORIGIN('url')} || u.t, 80, 15 + u.i FROM {TABLES['pages']}, (VALUES {', '.join(f"({i + 1}, '{p}')" for i, p in enumerate(lexicon.CONVENTIONAL_PATHS))}) AS u(i, t))
-SELECT page_id, text, href, score::INT AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY rank) AS k FROM a) WHERE k = 1"""
+best AS (SELECT * FROM r WHERE rank <= 15 UNION ALL SELECT page_id, u.t, {ORIGIN('url')} || u.t, 80, 15 + u.i FROM {WHOLE['pages']}, (VALUES {', '.join(f"({i + 1}, '{p}')" for i, p in enumerate(lexicon.CONVENTIONAL_PATHS))}) AS u(i, t))
+SELECT page_id, text, href, score::INT AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY rank) AS k FROM best) WHERE k = 1"""
 
 
 @query("q_generic_roots", ROOT_SQL)
 def generic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.generic_roots(frame(spark, "links"), frame(spark, "pages")).select("page_id", "text", "href", "score")
+    return site.generic_roots(whole(spark, sf_dir, "links"), whole(spark, sf_dir, "pages")).select("page_id", "text", "href", "score")
 
 
 RESOLVE_SQL = f"""WITH m AS (SELECT c.candidate_id, l.ord, l.href, CASE WHEN {FOLD('l.text')} = {FOLD('c.text')} THEN 300 ELSE 0 END + CASE WHEN {FOLD('l.title')} = {FOLD('c.text')} THEN 150 ELSE 0 END + CASE WHEN {FOLD('l.aria_label')} = {FOLD('c.text')} THEN 150 ELSE 0 END
@@ -251,17 +279,17 @@ def root_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITY_SQL = f"""SELECT id, CASE WHEN short THEN -100 ELSE s END::INT AS entity_score, CASE WHEN short THEN 'NOT_CAMERA' WHEN s >= 5 THEN 'CAMERA' WHEN s <= -3 THEN 'NOT_CAMERA' ELSE 'UNCERTAIN' END AS entity_label,
  CASE WHEN short THEN '' ELSE array_to_string(p, ',') END AS positives, CASE WHEN short THEN 'strong non-camera title' ELSE array_to_string(n, ',') END AS negatives
 FROM (SELECT id, regexp_matches(title, {q(lexicon.STRONG_NEGATIVE)}) AS short, {rules.score_sql(lexicon.ENTITY + lexicon.NOT_ENTITY)} AS s, {rules.labels_sql(lexicon.ENTITY)} AS p, {rules.labels_sql(lexicon.NOT_ENTITY)} AS n
-FROM (SELECT *, title || ' ' || body AS "both" FROM (SELECT id, {FOLD('title')} AS title, {FOLD('body')} AS body FROM {TABLES['texts']})))""".replace("regexp_matches(both,", 'regexp_matches("both",')
+FROM (SELECT *, title || ' ' || body AS "both" FROM (SELECT id, {FOLD('title')} AS title, {FOLD('body')} AS body FROM {WHOLE['texts']})))""".replace("regexp_matches(both,", 'regexp_matches("both",')
 
 
 @query("q_entity_classify", ENTITY_SQL)
 def entity_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.classify(frame(spark, "texts")).select("id", "entity_score", "entity_label", F.array_join("positives", ",").alias("positives"), F.array_join("negatives", ",").alias("negatives"))
+    return records.classify(whole(spark, sf_dir, "texts")).select("id", "entity_score", "entity_label", F.array_join("positives", ",").alias("positives"), F.array_join("negatives", ",").alias("negatives"))
 
 
-@query("q_business_mode", f"SELECT id, {rules.first_label_sql(lexicon.BUSINESS, None)} AS mode FROM (SELECT id, lower(body) AS body FROM {TABLES['texts']})")
+@query("q_business_mode", f"SELECT id, {rules.first_label_sql(lexicon.BUSINESS, None)} AS mode FROM (SELECT id, lower(body) AS body FROM {WHOLE['texts']})")
 def business_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "texts").select("id", records.business_mode(F.lit("CAMERA_GENERIC"), F.col("body")).alias("mode"))
+    return whole(spark, sf_dir, "texts").select("id", records.business_mode(F.lit("CAMERA_GENERIC"), F.col("body")).alias("mode"))
 
 
 CARD_PRODUCT = f"""NOT regexp_matches(lower({PATH('href')}), {q(lexicon.BAD_PATH)}) AND NOT ({PARAM('href', 'p')} IS NOT NULL OR {PARAM('href', 'page')} IS NOT NULL OR regexp_matches({PATH('href')}, '/page/[0-9]+'))
