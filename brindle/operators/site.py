@@ -27,8 +27,10 @@ def site_modes(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """page_id, rental, second_hand, new_camera, site_mode of every page.
 
     pages: page_id, visible_text; nodes: page_id, ord, text, aria_label, title (an observation's, a few hundred at
-    most). The rules are tried on all of a page's nodes in order and then its text, as one text.
+    most; without ord they are read in order of their text). The rules are tried on all of a page's nodes in order
+    and then its text, as one text.
     """
+    nodes = nodes if "ord" in nodes.columns else nodes.withColumn("ord", F.lit(0))
     raw = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("aria_label", F.lit("")), F.coalesce("title", F.lit("")))
     menus = nodes.select("page_id", "ord", raw.alias("raw")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "raw"))).alias("n"))
     texts = pages.select("page_id", "visible_text").join(menus.select("page_id", F.col("n.raw").alias("n")), "page_id", "full")
