@@ -510,6 +510,81 @@ def pages_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("url", "product_name", "business_mode", "specs", "stock", "sale_price", "disposition", "reason", "listing_price", "detail_price")
 
 
+SHOWN_BLOCKS = "|".join(sorted(html.BLOCK))
+SHOWN_PARTS = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(head|script|style)[ >].*?</(head|script|style)>', '', 'g'), '(?i)</?({SHOWN_BLOCKS})([ /][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+SHOWN_TEXT = f"replace(replace(replace(replace({SHOWN_PARTS}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+SHOWN_SQL = f"shown AS (SELECT page_id, {CLEAN(SHOWN_TEXT)} AS body FROM pages)"
+
+
+@query("q_page_regions", f"WITH {SHOWN_SQL} SELECT page_id, sha256(body) AS region, sha256(body[:12000]) AS visible FROM shown")
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every page's region (the body, as these pages mark no main one) and of what it shows, line ends as spaces."""
+    shredded = html.shred(_pages(spark, sf_dir))
+    own = html.node_text(F.get(F.filter("nodes", lambda n: n.path == F.col("region")), F.lit(0)))
+    regions = shredded.select("page_id", F.sha2(own, 256).alias("region"), F.array_join("lines", "\n").alias("visible"))
+    return regions.withColumn("visible", F.sha2(F.translate(F.substring("visible", 1, html.VISIBLE_MOST), "\n", " "), 256))
+
+
+@query("q_page_controls", f"WITH {ANCHOR_SQL} SELECT page_id, h.ord::INT AS ord, 'n' || h.ord AS id, 'a' AS tag, l.text, raw AS href FROM h JOIN links AS l USING (page_id, ord) WHERE h.ord < 300")
+def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 300 visible links and buttons of every page."""
+    return html.nodes(html.shred(_pages(spark, sf_dir))).select("page_id", "ord", "id", "tag", "text", "href")
+
+
+@query("q_link_surroundings", f"WITH {ANCHOR_SQL}, {SHOWN_SQL} SELECT page_id, ord::INT AS ord, sha256(body) AS near FROM links JOIN shown USING (page_id)")
+def link_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the longest text around every link, four levels up: these pages' links stand in lists, so it is the body's."""
+    shredded = html.shred(_pages(spark, sf_dir))
+    return extract.surroundings(shredded, extract.page_links(shredded, False, False)).select("page_id", "ord", F.sha2("near", 256).alias("near"))
+
+
+TAG_TEXT = CLEAN("regexp_replace(tag, '<[^>]*>', '', 'g')")
+TAG_HREF = "regexp_extract(tag, 'href=\"([^\"]*)\"', 1)"
+SUBMENU_SQL = f"""WITH m AS (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*>.*?</a>') AS t, regexp_extract_all(regexp_extract(html, '<li class="root">(.*?)<i></i></li>', 1), '<a [^>]*>.*?</a>') AS kids FROM {TABLES['menus']}),
+k AS (SELECT page_id, url, t[1] AS root, unnest(kids) AS tag, generate_subscripts(kids, 1) AS ord FROM m),
+i AS (SELECT page_id, arg_min(text, ord) AS text, href FROM (SELECT page_id, ord, {TAG_TEXT} AS text, {ORIGIN('url')} || {TAG_HREF} AS href FROM k WHERE tag <> root) GROUP BY page_id, href, lower(text)),
+d AS (SELECT page_id, ord, {TAG_TEXT} AS text, {TAG_HREF} AS href FROM (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) AS ord FROM m) WHERE page_id NOT IN (SELECT page_id FROM i))
+SELECT page_id, text, href, 'DOM_CHILDREN' AS method FROM i UNION ALL
+SELECT page_id, arg_min(text, ord), href, 'VISIBLE_DIFF' FROM d AS x WHERE NOT EXISTS (SELECT 1 FROM d AS y WHERE y.ord = 1 AND y.page_id = x.page_id AND y.href = x.href AND lower(y.text) = lower(x.text)) GROUP BY page_id, href, lower(text)"""
+
+
+@query("q_submenu", SUBMENU_SQL)
+def submenu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links in the list item of the first link of every page; of pages without any, what that link alone did not show."""
+    shredded = html.shred(frame(spark, "menus"))
+    roots = extract.page_links(shredded, False, False).where("ord = 0").withColumn("root_id", F.col("page_id"))
+    nodes = html.nodes(shredded)
+    return site.submenu(extract.children(shredded, roots), nodes.where("ord = 0"), nodes).withColumn("page_id", F.col("page_id").cast("int"))
+
+
+ROWS_SQL = f"SELECT page_id, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {TABLES['shop']}"
+
+
+@query("q_table_rows", f"""SELECT page_id, i::INT AS i, {CLEAN("regexp_replace(line, '<[^>]*>', ' ', 'g')")} AS line FROM (SELECT page_id, unnest(rows) AS line, generate_subscripts(rows, 1) - 1 AS i FROM ({ROWS_SQL}))""")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables: the first 20 of a page, of 300 characters at most."""
+    return html.shred(frame(spark, "shop")).select(F.col("page_id").cast("int").alias("page_id"), F.posexplode("table_rows").alias("i", "line"))
+
+
+MENU_SCORES = f"""SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD("concat_ws(' ', text, aria_label, title)")} AS text FROM {WHOLE['nodes']})"""
+
+
+@query("q_sure_roots", f"WITH {ANCHOR_SQL} SELECT page_id, ord, score::INT AS score, intent FROM ({MENU_SCORES}) WHERE score >= 100")
+def sure_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu items that are catalog roots for certain."""
+    return site.sure_candidates(site.menu_scores(whole(spark, sf_dir, "nodes"))).select("page_id", "ord", "score", "intent")
+
+
+@query("q_sheets", f"WITH {SHOP_RECORDS} SELECT CASE disposition WHEN 'accepted' THEN 'main' ELSE disposition END AS sheet, url, product_name, business_mode, CASE WHEN disposition <> 'accepted' THEN reason END AS reason FROM r")
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the report's three sheets of products: each record is in one of them."""
+    made = records.sheets(_records(spark), frame(spark, "seeds"), frame(spark, "modes"), spark)
+    main, *others = [made[k].withColumn("sheet", F.lit(k)) for k in ("main", "excluded", "review")]
+    for part in others:
+        main = main.unionByName(part, allowMissingColumns=True)
+    return main.select("sheet", "url", "product_name", "business_mode", "reason")
+
+
 @query("q_failed_details", f"SELECT l.url, l.title AS product_name, 'detail fetch failed: page not in corpus' AS reason FROM {TABLES['listed']} AS l LEFT JOIN {TABLES['details']} AS d ON d.url = l.url WHERE d.url IS NULL")
 def failed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed products whose page is not in the corpus stay, for review."""

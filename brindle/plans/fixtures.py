@@ -127,10 +127,21 @@ def _shop() -> list[tuple]:
     return [(i, *r) for i, r in enumerate(rows)]
 
 
+def _menus() -> list[tuple]:
+    """40 pages with a root in a list item: with one to three links below it (of the longer lists one twice, and the root again) or none, and links beside it."""
+    rows = []
+    for k in range(40):
+        kids = "".join(f'<li><a href="/r{k}/{j}">Máy  {j}</a></li>' for j in range(k % 4)) + f'<li><a href="/r{k}/0">MÁY 0</a></li><li><a href="/r{k}">Gốc</a></li>' * (k % 4 > 1)
+        beside = "".join(f'<li><a href="/b{j}">Bên {j % 2}</a></li>' for j in range(k % 3))
+        rows.append((k, f"https://s{k}.vn/", f'<html><body><nav><ul><li class="root"><a href="/r{k}">Gốc</a><ul>{kids}</ul><i></i></li>{beside}</ul></nav><p>{k}</p></body></html>'))
+    return rows
+
+
+MENUS = relation("page_id, url, html", _menus())
 SHOP = relation("page_id, url, html", _shop())
 SHOP_SEEDS = relation("ord, url, intent, label", [(1, "https://shop.vn/c", "NEW", "New")])
 TABLES = {
-    "turning": TURNING, "turns": TURNS, "hrefs": HREFS, "shop": SHOP, "shop_seeds": SHOP_SEEDS,
+    "menus": MENUS, "turning": TURNING, "turns": TURNS, "hrefs": HREFS, "shop": SHOP, "shop_seeds": SHOP_SEEDS,
     "json_pages": JSON_PAGES,
     "nodes": NODES, "pages": PAGES, "links": LINKS, "candidates": CANDIDATES, "cards": CARDS, "texts": TEXTS, "values": VALUES_, "urls": URLS, "lines": LINES, "edges": EDGES, "seeds": SEEDS,
     "loaded": LOADED, "roots": ROOTS, "modes": MODES, "details": DETAILS, "listed": LISTED, "probed": PROBED, "probe_pages": PROBE_PAGES, "probe_links": PROBE_LINKS,

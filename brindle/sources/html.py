@@ -18,6 +18,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("address article aside blockquote br dd div dl dt figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead title tr ul".split())
 HIDDEN = frozenset("script style head noscript template".split())
 SELF_CLOSING = frozenset("p li tr td th dt dd option".split())
+#: Characters of what a page shows that are kept.
+VISIBLE_MOST = 12_000
 MAIN_IDS, MAIN_CLASSES = ("main", "MainContent"), ("main-content", "content")
 
 NODE = "struct<node_id: int, path: array<int>, depth: int, tag: string, start: int, end: int, control: int, href: string, role: string, aria_label: string, title: string, link_count: int, interactive: boolean, main: boolean>"
@@ -156,7 +158,7 @@ def node_text(node: Column, text: Column | str = "text") -> Column:
     return F.trim(F.substring(F.col(text) if isinstance(text, str) else text, node.getField("start") + 1, node.getField("end") - node.getField("start")))
 
 
-def visible_text(shredded: DataFrame, most: int = 12_000) -> DataFrame:
+def visible_text(shredded: DataFrame, most: int = VISIBLE_MOST) -> DataFrame:
     """page_id and the first `most` characters of what a page shows, line by line."""
     return shredded.select("page_id", F.substring(F.array_join("lines", "\n"), 1, most).alias("visible_text"))
 

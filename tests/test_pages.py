@@ -139,3 +139,18 @@ def test_a_page_that_cannot_be_read_is_a_review_row(spark, monkeypatch):
     raw = extract.detail_rows(html.shred(corpus)).withColumn("error", F.lit("ValueError: x"))
     got = records.details(spark.createDataFrame([("https://s.vn/p/1", "Listed", "RENTAL", "5đ")], "url string, title string, intent string, price_text string"), raw).first()
     assert (got["disposition"], got["reason"], got["listing_price"], got["rental_price_per_day"]) == ("review", "detail extraction error: ValueError: x", 5.0, None)
+
+
+def test_gates_of_a_run(spark):
+    some, none = spark.range(1), spark.range(0)
+    whole, cut = spark.sql("SELECT 'visited' AS status"), spark.sql("SELECT 'queued' AS status")
+    records.checked(some, whole, some)
+    for arguments, reason in (((none, whole, some), "no catalog seeds"), ((some, cut, some), "1 pages failed or queued"), ((some, whole, none), "no products")):
+        with pytest.raises(ValueError, match=reason):
+            records.checked(*arguments)
+
+
+def test_sheets_are_written(spark, tmp_path):
+    folder = records.write_sheets({"main": spark.range(3), "log": spark.range(0)}, str(tmp_path), "s.vn", "2024-01-02")
+    assert folder.endswith("/s.vn_camera_2024-01-02")
+    assert [spark.read.parquet(f"{folder}/{name}").count() for name in ("main", "log")] == [3, 0]
