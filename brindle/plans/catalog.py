@@ -512,7 +512,9 @@ def pages_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHOWN_BLOCKS = "|".join(sorted(html.BLOCK))
 SHOWN_PARTS = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(head|script|style)[ >].*?</(head|script|style)>', '', 'g'), '(?i)</?({SHOWN_BLOCKS})([ /][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
-SHOWN_TEXT = f"replace(replace(replace(replace({SHOWN_PARTS}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+SHOWN_TEXT = SHOWN_PARTS
+for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+    SHOWN_TEXT = f"regexp_replace({SHOWN_TEXT}, '&{_name};?', '{_char}', 'g')"
 SHOWN_SQL = f"shown AS (SELECT page_id, {CLEAN(SHOWN_TEXT)} AS body FROM pages)"
 
 
