@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op1_mixing, op2_additive_quantisation, op10_toxicity, op12_whitening, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op6_uniform_shuffle, op7_byte_bpe, op8_simhash, op9_class_lm
+from brindle.llm import op1_mixing, op2_additive_quantisation, op10_toxicity, op12_whitening, op13_warc, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op6_uniform_shuffle, op7_byte_bpe, op8_simhash, op9_class_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_whitening.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written, rewritten with an offset index, and read back."""
+    return op13_warc.digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sample": op1_mixing_sample,
     "op2_additive_quantisation_search": op2_additive_quantisation_search,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_class_lm_scores": op9_class_lm_scores,
     "op10_toxicity_scores": op10_toxicity_scores,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_warc_round_trip": op13_warc_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules_verdicts": op5_quality_rules.sql()}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules_verdicts": op5_quality_rules.sql(), "op13_warc_round_trip": op13_warc.SQL}
