@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import op1_mixing, op2_additive_quantisation, op10_toxicity, op12_whitening, op13_warc, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op6_uniform_shuffle, op7_byte_bpe, op8_simhash, op9_class_lm
+from brindle.llm import op1_mixing, op2_additive_quantisation, op10_toxicity, op11_hard_negatives, op12_whitening, op13_warc, op3_lempel_ziv, op4_suffix_array, op5_quality_rules, op6_uniform_shuffle, op7_byte_bpe, op8_simhash, op9_class_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_hard_negatives_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives, among all vectors."""
+    return op11_hard_negatives.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 16 whitened components of every vector."""
     return op12_whitening.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_class_lm_scores": op9_class_lm_scores,
     "op10_toxicity_scores": op10_toxicity_scores,
+    "op11_hard_negatives": op11_hard_negatives_mined,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_warc_round_trip": op13_warc_round_trip,
 }
