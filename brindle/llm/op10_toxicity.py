@@ -28,7 +28,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine e
 #: Characters that stand for letters in obfuscated spellings.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "#": "", ".": "", "-": "", "_": ""})
 WORD = re.compile(r"[^\W_]+")
-OBFUSCATED = re.compile(r"[^\W\d_]+[0-9@$!*#]+[^\W\d_]+")
+#: From the beginning of a run of letters only, so that an unbroken text is read once.
+OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[0-9@$!*#]+[^\W\d_]+")
 STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 FEATURES = ("insults", "terms", "stems", "weight", "near_you", "capitals", "shouted", "exclaimed", "symbols", "obfuscated", "unmasked", "stretched", "length")
 #: Labelled rows that the model is fitted on, about; spread over all of them by a hash.

@@ -31,8 +31,9 @@ from brindle.llm import store
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Rows that decide for a payload are dealt over this many tasks, as one payload may belong to a third of all pages.
-SALTS = 32
+#: So many payloads that several pages share go to all tasks (some 20 MB); more are joined, each dealt over SALTS tasks,
+#: as one payload may belong to a third of all pages.
+BROADCAST, SALTS = 200_000, 32
 #: Bytes of a rewritten archive that one task reads back at a time.
 STRETCH = 8 << 20
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
@@ -57,10 +58,14 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, digest, and first: the least page_id of those with an equal payload of
     at least `least` bytes, null where the page itself is that page, its id is null, or it shares its payload with none."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
+    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
     shared = rows.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = shared.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(shared, ["key", "salt"], "left")
+    shared = store.table(shared.select("key", "first"), "payloads")
+    if shared.count() <= BROADCAST:
+        rows = rows.join(F.broadcast(shared), "key", "left")
+    else:
+        shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(shared, ["key", "salt"], "left")
     first = F.when(F.col("page_id") > F.col("first"), F.col("first"))
     return rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), first.alias("first"))
 

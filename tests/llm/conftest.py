@@ -10,7 +10,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ro
 PASSAGE = " ".join(WORDS[(7 * i) % len(WORDS)] + str(i % 13) for i in range(70))
 OTHER = " ".join(WORDS[(11 * i + 3) % len(WORDS)] for i in range(90))
 LONG = " ".join(f"{WORDS[i % len(WORDS)]}{i}" for i in range(60_000))
+UNBROKEN = "acgt" * 500_000
 TEXTS = [
+    UNBROKEN,
     None, "", " \t\n\x0b", "one", "one two", OTHER, OTHER, OTHER + " end", PASSAGE, "before the passage " + PASSAGE + " after it", "x" * 450, "y" + "x" * 300,
     LONG, LONG[:500_000] + " tail", "Ünï cödé ﷽ 漢字 🙂🙂 'll don't    space wide\x85next " + "é" * 150, "same line\nsame line\n\n same line\nother | $ # & %",
     "A B C a b c A B C a b c A B C a b c A B C a b c A B C a b c", PASSAGE + " " + PASSAGE, "YOU stupid idi0t!!! loooooser you", "\U0010ffff\x00 nul",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import op5_quality_rules, op7_byte_bpe, op9_class_lm, op10_toxicity
 from tests.llm import brute
+from tests.llm.conftest import TEXTS, UNBROKEN
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +28,9 @@ def official():
 @pytest.mark.parametrize("table", ["odd", "small", "empty"])
 def test_quality_measures_equal_sql(request, table):
     docs = request.getfixturevalue(table)
+    unbroken = docs.where(F.col("text") == UNBROKEN)  # DuckDB's own replacing takes minutes on it
+    assert [tuple(r)[1:7] for r in op5_quality_rules.digest(unbroken).collect()] == [(1, len(UNBROKEN), 0, 0, 0, True)] * (table == "odd")
+    docs = docs.where(F.coalesce(F.col("text") != UNBROKEN, F.lit(True)))
     documents = docs.select("doc_id", "text").toArrow()  # noqa: F841  DuckDB reads it by name
     c = duckdb.connect()
     c.register("documents", documents)
@@ -203,3 +210,60 @@ def test_hits_near_a_second_person():
     near = sum(min(abs(i - j) for j in you) <= op10_toxicity.NEAR for i in at)
     assert len(at) == 3 and near == 2 and math.isclose(features[4], 100 * near / len(words))
     assert len(op10_toxicity.text_features("you idiot " * 200_000, {}, {})) == 7  # in seconds, not hours
+
+
+def plain_features(text: str | None, lexicon: dict[str, float], stems: dict[str, float]) -> list[float]:
+    """op10's thirteen features, word by word and character by character."""
+    text = text or ""
+    raw, words = text.encode(), re.findall(r"[^\W_]+", text.lower())
+    n, spaced = max(len(words), 1), max(1, text.count(" ") + 1)
+    is_letter = lambda c: c.isalnum() and not re.fullmatch(r"\d", c)
+    bad = [i for i, w in enumerate(words) if w in lexicon or w in op10_toxicity.INSULTS or w[:4] in stems or w[:5] in stems]
+    you = [i for i, w in enumerate(words) if w in op10_toxicity.SECOND_PERSON]
+    odd, i = [], 0
+    while i < len(text):
+        if not is_letter(text[i]):
+            i += 1
+            continue
+        a = b = i
+        while b < len(text) and is_letter(text[b]):
+            b += 1
+        c = b
+        while c < len(text) and text[c] in "0123456789@$!*#":
+            c += 1
+        d = c
+        while d < len(text) and is_letter(text[d]):
+            d += 1
+        i = d if b < c < d else b
+        odd += [text[a:d]] if b < c < d else []
+    plainer = [w.lower().translate(op10_toxicity.LOOKALIKES) for w in odd]
+    stretched = sum(1 for c, g in itertools.groupby(text) if is_letter(c) and len(list(g)) >= 4)
+    shouted = sum(1 for w in re.findall(r"\w+", text) if len(w) >= 3 and all("A" <= c <= "Z" for c in w))
+    upper, letters = sum(65 <= b <= 90 for b in raw), sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in raw)
+    size = max(len(raw), 1)
+    return [
+        100 * sum(w in op10_toxicity.INSULTS for w in words) / n, 100 * sum(w in lexicon for w in words) / n, 100 * sum(w[:4] in stems or w[:5] in stems for w in words) / n,
+        max([lexicon.get(w, 0.0) for w in words] + [max(stems.get(w[:4], 0.0), stems.get(w[:5], 0.0)) for w in words], default=0.0),
+        100 * sum(any(abs(i - j) <= op10_toxicity.NEAR for j in you) for i in bad) / n, upper / max(letters, 1), 100 * shouted / spaced,
+        100 * sum(b in b"!?" for b in raw) / size, 100 * sum(b in b"#*$%&|<>@^~" for b in raw) / size, 100 * len(odd) / n,
+        100 * sum(w in op10_toxicity.INSULTS or w in lexicon for w in plainer) / n, 100 * stretched / spaced, math.log1p(size),
+    ]
+
+
+def test_toxicity_features_equal_a_plain_version(spark):
+    rng = random.Random(10)
+    made = ["".join(rng.choice(["idiot ", "you ", "YOU", " ", "aaaa", "x", "Z", "1", "@", "$", "!", "_", "é", "漢", "stupi", "d", "\n", "mor0n "]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts = [*made, *(t for t in TEXTS if len(t or "") < 10_000)]
+    lexicon, stems = {"x": 1.5, "zzz": 0.5, "moron": 2.0}, {"stup": 0.7, "idiot"[:5]: 2.5}
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.struct("text").alias("row"))
+    got = {r["i"]: r["features"] for r in op10_toxicity.with_features(rows, lexicon, stems).select("i", "features").collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], plain_features(t, lexicon, stems)), t
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, UNBROKEN, "1" * 2_000_000, "a1" * 1_000_000, "A" * 2_000_000 + "a", "a" + "!" * 2_000_000])
+def test_toxicity_features_of_unbroken_texts_take_linear_time(text):
+    began = time.perf_counter()
+    op10_toxicity.text_features(text, {}, {})
+    assert len(op10_toxicity.SHOUTED.findall(text)) + sum(1 for _ in op10_toxicity.STRETCHED.finditer(text)) <= 1
+    assert time.perf_counter() - began < 20

@@ -44,8 +44,9 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "p", "d", 1, "t") for r in rows], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("least", [0, 9, 100])
-def test_round_trip(table, rows, least):
+@pytest.mark.parametrize(("least", "broadcast"), [(0, warc.BROADCAST), (9, warc.BROADCAST), (100, 0), (0, 0)])
+def test_round_trip(table, rows, least, broadcast, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST", broadcast)
     assert sorted((tuple(r) for r in warc.digest(table, least).collect()), key=repr) == plain(rows, least)
 
 
