@@ -1,6 +1,7 @@
 """From shredded pages to links, cards, submenus, listings and product records.
 
-Tree relations (nearest card, closest heading, a root's list item) are equi-joins on the prefixes of a node's path.
+Tree relations are found in a page's own row: elements are numbered in document order, so that containment is an
+interval, and parents, nearest headings and list items are numbers. Nothing is joined or shuffled for them.
 """
 
 from __future__ import annotations
@@ -8,85 +9,117 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import lexicon, text, url
+from brindle.functions import jsonld, lexicon, text, url
 from brindle.operators import pages, records
 from brindle.sources import html
 
-HEADINGS = ("h1", "h2", "h3", "h4", "h5")
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _place(path: Column | str) -> Column:
-    return F.array_join(path, "/")
+
+def _label(node: Column) -> Column:
+    """A link's text, else its title."""
+    return F.coalesce(F.nullif(html.node_text(node), F.lit("")), text.clean(node.getField("title")))
+
+
+def _links(within_region: bool) -> Column:
+    kept = F.filter("nodes", lambda n: (n.tag == "a") & (n.href != ""))
+    return F.filter(kept, lambda n: html.within(n, F.col("region.first"), F.col("region.last"))) if within_region else kept
+
+
+def _resolved(rows: DataFrame, same_origin: bool) -> DataFrame:
+    rows = rows.withColumn("href", url.resolve("href", "url"))
+    return rows.where(url.origin("href") == url.origin("url")) if same_origin else rows
 
 
 def page_links(shredded: DataFrame, within_region: bool = True, same_origin: bool = True) -> DataFrame:
-    """page_id, url, node_id, path, ord, href (absolute), text of the links of pages, in document order.
+    """page_id, url, node_id, ord, href (absolute), text of the links of pages, in document order.
 
     within_region: of the main region only; same_origin: only links to the page's own site. A link without text
     has its title.
     """
-    kept = F.filter("nodes", lambda n: (n.tag == "a") & (n.href != ""))
-    if within_region:
-        kept = F.filter(kept, lambda n: F.slice(n.path, 1, F.size("region")) == F.col("region"))
-    rows = shredded.select("page_id", "url", "text", F.posexplode(kept).alias("ord", "n"))
-    label = F.coalesce(F.nullif(html.node_text(F.col("n")), F.lit("")), text.clean(F.col("n.title")))
-    rows = rows.select("page_id", "url", F.col("n.node_id").alias("node_id"), F.col("n.path").alias("path"), "ord", url.resolve("n.href", "url").alias("href"), label.alias("text"))
-    return rows.where(url.origin("href") == url.origin("url")) if same_origin else rows
+    found = F.transform(_links(within_region), lambda n: F.struct(n.node_id.alias("node_id"), n.href.alias("href"), _label(n).alias("text")))
+    rows = shredded.select("page_id", "url", F.posexplode(found).alias("ord", "n"))
+    return _resolved(rows.select("page_id", "url", "n.node_id", "ord", "n.href", "n.text"), same_origin)
+
+
+def cards(shredded: DataFrame, within_region: bool = True, same_origin: bool = True) -> DataFrame:
+    """page_links with title (of the closest heading, else the link's own text) and card: the text of the nearest of
+    seven ancestors that is compact and has a price or a shop's phrase; the title if there is none. Links without a
+    title are left out."""
 
+    def trade(n: Column) -> Column:
+        own = html.node_text(n)
+        compact = (n.end - n.start <= pages.CARD_CHARS + 2) & (n.link_count <= pages.CARD_LINKS)
+        return F.when(compact, _let(own, lambda t: (F.length(t) <= pages.CARD_CHARS) & (t.rlike(text.PRICE) | t.rlike(pages.ANY + lexicon.COMMERCIAL)))).otherwise(F.lit(False))
 
-def tree(shredded: DataFrame, longest: int | None = None) -> DataFrame:
-    """page_id, path, depth, tag, link_count, text of all elements (with a text of `longest` characters at most)."""
-    kept = F.col("nodes") if longest is None else F.filter("nodes", lambda n: n.end - n.start <= longest + 2)
-    rows = shredded.select("page_id", "text", F.explode(kept).alias("n"))
-    rows = rows.select("page_id", "n.path", "n.depth", "n.tag", "n.link_count", html.node_text(F.col("n")).alias("text"))
-    return rows if longest is None else rows.where(F.length("text") <= longest)
-
-
-def cards(shredded: DataFrame, links: DataFrame) -> DataFrame:
-    """links with title (of the closest heading, else the link's own text) and card: the text of the nearest of seven
-    ancestors that is compact and has a price or a shop's phrase; the title if there is none. Links without a title
-    are left out."""
-    dom = tree(shredded, pages.CARD_CHARS)
-    trade = F.col("text").rlike(text.PRICE) | F.col("text").rlike(pages.ANY + lexicon.COMMERCIAL)
-    near = pages.nearest_ancestors(dom, links, trade & (F.col("link_count") <= pages.CARD_LINKS), pages.CARD_LEVELS)
-    over = pages.nearest_ancestors(tree(shredded).where(F.col("tag").isin(*HEADINGS)), links, F.lit(True), 1000)
-    rows = links.join(near.select("page_id", "node_id", F.col("text").alias("card")), ["page_id", "node_id"], "left")
-    rows = rows.join(over.select("page_id", "node_id", F.col("text").alias("heading")), ["page_id", "node_id"], "left")
+    def card(n: Column, trades: Column) -> Column:
+        near = html.node_at(html.ancestor(n, lambda at: F.get(trades, at), pages.CARD_LEVELS))
+        over = html.node_at(n.heading)
+        return F.struct(n.node_id.alias("node_id"), n.href.alias("href"), _label(n).alias("text"), html.node_text(over).alias("heading"), html.node_text(near).alias("card"))
+
+    found = _let(F.transform("nodes", trade), lambda trades: F.transform(_links(within_region), lambda n: card(n, trades)))
+    rows = shredded.select("page_id", "url", F.posexplode(found).alias("ord", "n"))
+    rows = _resolved(rows.select("page_id", "url", "n.node_id", "ord", "n.href", "n.text", "n.heading", "n.card"), same_origin)
     rows = rows.withColumn("title", F.coalesce(F.nullif("heading", F.lit("")), "text")).where("title <> ''")
     return rows.withColumn("card", F.coalesce("card", "title")).drop("heading")
 
 
-def surroundings(shredded: DataFrame, links: DataFrame, most: int = 4) -> DataFrame:
-    """links with near: the longest text of up to `most` ancestors (of equally long ones the nearest), or the link's own if none is longer."""
-    up = links.select("page_id", "node_id", "path", F.explode(F.sequence(F.lit(1), F.least(F.size("path") - 1, F.lit(most)))).alias("up")).where(F.size("path") > 1)
-    keys = up.select("page_id", "node_id", "up", _place(F.expr("slice(path, 1, size(path) - up)")).alias("at"))
-    spans = shredded.select("page_id", "text", F.explode("nodes").alias("n")).select("page_id", _place("n.path").alias("at"), "n.start", "n.end", F.length(html.node_text(F.col("n"))).alias("size"))
-    best = keys.join(spans, ["page_id", "at"]).groupBy("page_id", "node_id").agg(F.max_by(F.struct("start", "end", "size"), F.struct("size", -F.col("up"))).alias("n"))
-    found = links.join(best, ["page_id", "node_id"], "left").join(shredded.select("page_id", F.col("text").alias("_page")), "page_id")
-    return found.withColumn("near", F.when(F.col("n.size") > F.length("text"), html.node_text(F.col("n"), "_page")).otherwise(F.col("text"))).drop("n", "_page")
+def nearest(shredded: DataFrame, tag: str, most: int, name: str) -> DataFrame:
+    """All links of pages (page_id, url, ord, href, text) with the text of the nearest of `most` ancestors of a tag;
+    links without one are left out."""
+    at = lambda n: html.ancestor(n, lambda i: F.get("nodes", i).getField("tag") == tag, most)
+    found = F.transform(_links(False), lambda n: F.struct(n.href.alias("href"), _label(n).alias("text"), html.node_text(html.node_at(at(n))).alias(name)))
+    rows = shredded.select("page_id", "url", F.posexplode(found).alias("ord", "n"))
+    return _resolved(rows.select("page_id", "url", "ord", "n.href", "n.text", F.col(f"n.{name}").alias(name)), False).where(F.col(name).isNotNull())
+
+
+def surroundings(shredded: DataFrame, within_region: bool = False, same_origin: bool = False, most: int = 4) -> DataFrame:
+    """page_links with near: the longest text of up to `most` ancestors (of equally long ones the nearest), or the
+    link's own if none is longer."""
+
+    def near(n: Column) -> Column:
+        up = F.sequence(F.lit(1), F.least(n.depth - 1, F.lit(most)))
+        longer = lambda a, b: F.when(F.length(a) >= F.length(b), a).otherwise(b)
+        step = lambda s, _: _let(F.get("nodes", s["at"]), lambda e: F.struct(e.parent.alias("at"), longer(s["near"], html.node_text(e)).alias("near")))
+        walked = F.aggregate(up, F.struct(n.parent.alias("at"), _label(n).alias("near")), step)
+        return F.when(n.depth > 1, walked["near"]).otherwise(_label(n))
+
+    found = F.transform(_links(within_region), lambda n: F.struct(n.node_id.alias("node_id"), n.href.alias("href"), _label(n).alias("text"), near(n).alias("near")))
+    rows = shredded.select("page_id", "url", F.posexplode(found).alias("ord", "n"))
+    return _resolved(rows.select("page_id", "url", "n.node_id", "ord", "n.href", "n.text", "n.near"), same_origin)
 
 
 def children(shredded: DataFrame, roots: DataFrame) -> DataFrame:
     """root_id, page_id, ord, text, href of all links in the list item closest to each root (else in its parent), without the root itself.
 
-    roots: root_id, page_id, node_id, path, text, href (absolute), as page_links gives them.
+    roots: root_id, page_id, node_id, text, href (absolute), as page_links gives them. The roots of a page meet its row
+    once; ord counts all links of the page.
     """
-    items = tree(shredded).where("tag = 'li'").select("page_id", _place("path").alias("at"), F.size("path").alias("depth"))
-    above = roots.select("root_id", "page_id", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("depth"))
-    above = above.select("root_id", "page_id", _place(F.expr("slice(path, 1, depth)")).alias("at")).join(items, ["page_id", "at"])
-    nearest = above.groupBy("root_id").agg(F.max_by("at", "depth").alias("box"))
-    boxes = roots.select("root_id", "page_id", "path", F.col("text").alias("root_text"), F.col("href").alias("root_href")).join(nearest, "root_id", "left")
-    boxes = boxes.withColumn("at", F.coalesce("box", _place(F.expr("slice(path, 1, size(path) - 1)")))).select("root_id", "page_id", "at", "root_text", "root_href")
-    links = page_links(shredded, within_region=False, same_origin=False).where("text <> '' and href <> ''")
-    inside = links.select("page_id", "ord", "text", "href", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("depth")).where(F.size("path") > 1)
-    inside = inside.select("page_id", "ord", "text", "href", _place(F.expr("slice(path, 1, depth)")).alias("at"))
-    return boxes.join(inside, ["page_id", "at"]).where("not (href = root_href and text = root_text)").select("root_id", "page_id", "ord", "text", "href")
+    asked = roots.groupBy("page_id").agg(F.collect_list(F.struct("root_id", "node_id", F.col("text").alias("root_text"), F.col("href").alias("root_href"))).alias("roots"))
+    link = lambda n, i: F.struct(i.alias("ord"), n.node_id.alias("node_id"), n.href.alias("href"), _label(n).alias("text"))
+
+    def inside(root: Column, links: Column) -> Column:
+        own = F.get("nodes", root.node_id)
+        box = html.node_at(F.when(own.item >= 0, own.item).otherwise(own.parent))
+        found = lambda b: F.filter(links, lambda x: (x.node_id > b.node_id) & (x.node_id <= b.last) & (x.text != ""))
+        return F.transform(_let(box, found), lambda x: F.struct(root.root_id.alias("root_id"), root.root_text.alias("root_text"), root.root_href.alias("root_href"), x.ord.alias("ord"), x.text.alias("text"), x.href.alias("href")))
+
+    found = _let(F.transform(_links(False), link), lambda links: F.flatten(F.transform("roots", lambda r: F.coalesce(inside(r, links), F.slice(inside(r, links), 1, 0)))))
+    rows = shredded.join(asked, "page_id").select("page_id", "url", F.explode(found).alias("n")).select("page_id", "url", "n.*")
+    return _resolved(rows, False).where("not (href = root_href and text = root_text)").select("root_id", "page_id", "ord", "text", "href")
+
+
+def region_text() -> Column:
+    """The text of a page's main element, else of its body, else all that it shows."""
+    return F.coalesce(html.node_text(html.node_at(F.col("region.first"))), F.trim("shown"))
 
 
 def regions(shredded: DataFrame) -> DataFrame:
     """page_url (canonical), region_text: the text of every page's main region."""
-    own = F.get(F.filter("nodes", lambda n: n.path == F.col("region")), F.lit(0))
-    return shredded.select(url.canonical("url").alias("page_url"), F.coalesce(html.node_text(own), F.lit("")).alias("region_text"))
+    return shredded.select(url.canonical("url").alias("page_url"), region_text().alias("region_text"))
 
 
 def detail_rows(shredded: DataFrame) -> DataFrame:
@@ -101,11 +134,16 @@ def detail_rows(shredded: DataFrame) -> DataFrame:
         "page_id", url.canonical("url").alias("url"), "error", F.coalesce(html.node_text(h1), F.lit("")).alias("h1"), F.array_join("lines", "\n").alias("body_text"),
         label("price").alias("dom_price"), label("stock").alias("stock"), label("accessories").alias("accessories"), label("warranty").alias("warranty"), label("bundle").alias("bundle"),
         F.coalesce(F.nullif(summary, F.lit("")), F.array_join("table_rows", " | ")).alias("summary"), text.matching_lines(F.col("lines"), lexicon.CONDITIONS).alias("rental_conditions"),
-    )
-    rows = rows.join(html.products(shredded).drop("url"), "page_id")
+        jsonld.product_fields(F.col("jsonld")).alias("p"),
+    ).select("*", "p.*").drop("p")
     return pages.first_by(rows, ["url"], ["page_id"]).drop("page_id")
 
 
+def products(shredded: DataFrame) -> DataFrame:
+    """page_id, url and the fields of the first product of every page's embedded JSON."""
+    return shredded.select("page_id", "url", jsonld.product_fields(F.col("jsonld")).alias("p")).select("page_id", "url", "p.*")
+
+
 def from_pages(corpus: DataFrame, seeds: DataFrame, checkpoint, most: int = pages.MOST_VISITED) -> dict[str, DataFrame]:
     """From pages at rest (page_id, url, html) and seeds (ord, url, intent, label) to crawled, products and records.
 
@@ -113,8 +151,7 @@ def from_pages(corpus: DataFrame, seeds: DataFrame, checkpoint, most: int = page
     visited that shows it, and its record comes of its own page.
     """
     shredded = checkpoint(html.shred(corpus), "shredded")
-    links = page_links(shredded).withColumn("page_url", url.canonical("url"))
-    titled = checkpoint(cards(shredded, links), "cards")
+    titled = checkpoint(cards(shredded).withColumn("page_url", url.canonical("url")), "cards")
     turns = titled.where(~F.lower("title").isin(lexicon.NAVIGATION_TITLES)).select("page_url", "ord", "href")
     edges = pages.page_sequence(regions(shredded), turns)
     order = F.coalesce(url.parameter("next_url", "page"), url.parameter("next_url", "p")).try_cast("int")

@@ -161,11 +161,9 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_link_list_items", f"""WITH i AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<li>(<a\\s[^>]*>.*?</a>)</li>', 1)) AS tag FROM pages)
 SELECT page_id, {RESOLVE('raw', 'url')} AS href, item, count(*) AS n FROM (SELECT page_id, url, regexp_extract(tag, 'href="([^"]*)"', 1) AS raw, {CLEAN("regexp_replace(tag, '<[^>]*>', '', 'g')")} AS item FROM i) GROUP BY ALL""")
 def link_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of the list item nearest to every link of every page: the tree join of cards, on another tag."""
-    shredded = html.shred(_pages(spark, sf_dir))
-    links = extract.page_links(shredded, False, False)
-    items = pages.nearest_ancestors(extract.tree(shredded), links, F.col("tag") == "li", pages.CARD_LEVELS)
-    return links.join(items.select("page_id", "node_id", F.col("text").alias("item")), ["page_id", "node_id"]).groupBy("page_id", "href", "item").agg(F.count(F.lit(1)).alias("n"))
+    """The text of the list item nearest to every link of every page: the walk of cards, on another tag."""
+    items = extract.nearest(html.shred(_pages(spark, sf_dir)), "li", pages.CARD_LEVELS, "item")
+    return items.groupBy("page_id", "href", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_page_shredded")
@@ -304,8 +302,7 @@ card AS (SELECT page_id, url AS page_url, i, {RESOLVE("regexp_extract(card, 'hre
 @query("q_card_text", f"WITH {SHOP_SQL} SELECT page_url, href, title, card FROM card")
 def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and card of every product link of a shop's catalog pages."""
-    shredded = html.shred(frame(spark, "shop"))
-    found = extract.cards(shredded, extract.page_links(shredded))
+    found = extract.cards(html.shred(frame(spark, "shop")))
     return found.where("href LIKE '%/p/%'").select(F.col("url").alias("page_url"), "href", "title", "card")
 
 
@@ -496,7 +493,7 @@ SELECT j.page_id, coalesce(json_extract_string(o, '$.name'), '') AS json_name, C
 @query("q_jsonld_product", JSONLD_SQL)
 def jsonld_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first product of each page's embedded JSON; scripts that do not parse are passed over."""
-    return html.products(html.shred(frame(spark, "json_pages"))).drop("url").withColumn("page_id", F.col("page_id").cast("int"))
+    return extract.products(html.shred(frame(spark, "json_pages"))).drop("url").withColumn("page_id", F.col("page_id").cast("int"))
 
 
 SHOP_EDGES = f"(SELECT page_url AS url, unnest([page_url || '?page=' || k FOR k IN generate_series(2, n)]) AS next_url FROM (SELECT url AS page_url, TRY_CAST(nullif(regexp_extract(html, 'Page 1 / ([0-9]+)', 1), '') AS INT) AS n FROM {TABLES['shop']}) WHERE n > 1)"
@@ -522,8 +519,7 @@ SHOWN_SQL = f"shown AS (SELECT page_id, {CLEAN(SHOWN_TEXT)} AS body FROM pages)"
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every page's region (the body, as these pages mark no main one) and of what it shows, line ends as spaces."""
     shredded = html.shred(_pages(spark, sf_dir))
-    own = html.node_text(F.get(F.filter("nodes", lambda n: n.path == F.col("region")), F.lit(0)))
-    regions = shredded.select("page_id", F.sha2(own, 256).alias("region"), F.array_join("lines", "\n").alias("visible"))
+    regions = shredded.select("page_id", F.sha2(extract.region_text(), 256).alias("region"), F.array_join("lines", "\n").alias("visible"))
     return regions.withColumn("visible", F.sha2(F.translate(F.substring("visible", 1, html.VISIBLE_MOST), "\n", " "), 256))
 
 
@@ -536,8 +532,7 @@ def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_link_surroundings", f"WITH {ANCHOR_SQL}, {SHOWN_SQL} SELECT page_id, ord::INT AS ord, sha256(body) AS near FROM links JOIN shown USING (page_id)")
 def link_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the longest text around every link, four levels up: these pages' links stand in lists, so it is the body's."""
-    shredded = html.shred(_pages(spark, sf_dir))
-    return extract.surroundings(shredded, extract.page_links(shredded, False, False)).select("page_id", "ord", F.sha2("near", 256).alias("near"))
+    return extract.surroundings(html.shred(_pages(spark, sf_dir))).select("page_id", "ord", F.sha2("near", 256).alias("near"))
 
 
 TAG_TEXT = CLEAN("regexp_replace(tag, '<[^>]*>', '', 'g')")

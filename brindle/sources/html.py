@@ -1,10 +1,15 @@
-"""HTML pages shredded into nodes, lines, table rows and embedded JSON, once for each page."""
+"""HTML pages shredded into nodes, lines, table rows and embedded JSON, once for each page.
+
+The elements of a page are numbered in document order, and each knows the last number below it: an element contains
+those from its own number to that one. Parents, and the nearest heading and list item above, are numbers too, so that a
+tree of any depth takes room in proportion to its elements. What a page shows is decided by a small cascade (styles).
+"""
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -13,105 +18,98 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Tags without content, tags that end a line, tags whose text is not shown, tags that close an open one.
+from brindle.sources import styles
+
+#: Tags without content, tags that end a line, tags that close an open one.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote br dd div dl dt figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead title tr ul".split())
-HIDDEN = frozenset("script style head noscript template".split())
 SELF_CLOSING = frozenset("p li tr td th dt dd option".split())
-#: Characters of what a page shows that are kept.
-VISIBLE_MOST = 12_000
+HEADINGS = ("h1", "h2", "h3", "h4", "h5")
+#: Tags that take room without text.
+REPLACED = frozenset("img svg input button video iframe canvas picture select textarea".split())
+#: Characters of what a page shows that are kept; rows of tables, and characters of one.
+VISIBLE_MOST, ROWS_MOST, ROW_CHARS = 12_000, 20, 300
 MAIN_IDS, MAIN_CLASSES = ("main", "MainContent"), ("main-content", "content")
 
-NODE = "struct<node_id: int, path: array<int>, depth: int, tag: string, start: int, end: int, control: int, href: string, role: string, aria_label: string, title: string, link_count: int, interactive: boolean, main: boolean>"
-SCHEMA = f"page_id long, url string, title string, text string, region array<int>, error string, nodes array<{NODE}>, lines array<string>, table_rows array<string>, jsonld array<string>"
+NODE = (
+    "struct<node_id: int, last: int, parent: int, heading: int, item: int, depth: int, tag: string, start: int, end: int, shown_start: int, shown_end: int, control: int, "
+    "href: string, role: string, aria_label: string, title: string, link_count: int, interactive: boolean, main: boolean>"
+)
+SCHEMA = f"page_id long, url string, title string, text string, shown string, region struct<first: int, last: int>, error string, nodes array<{NODE}>, lines array<string>, table_rows array<string>, jsonld array<string>"
+FIELDS = [x.split(":")[0].strip() for x in NODE[len("struct<") : -1].split(",")]
+SPACE = re.compile(r"\s+")
+
 
+class _Flat:
+    """Text put together with its white space collapsed."""
 
-SPACE = re.compile(r"\s+")
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.size, self.spaced = 0, True
 
+    def add(self, data: str) -> None:
+        flat = SPACE.sub(" ", data)
+        flat = flat[1:] if self.spaced and flat.startswith(" ") else flat
+        if flat:
+            self.parts.append(flat)
+            self.size += len(flat)
+            self.spaced = flat.endswith(" ")
 
-class _Shredder(HTMLParser):
-    """Open elements as a stack of node records. A node's text is a stretch of the page's text, white space collapsed."""
+
+class _Parser(HTMLParser):
+    """Elements in document order, and the page as steps: the number of an element that opens, its complement where it
+    ends, or text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
+        self.elements: list[dict] = []
+        self.steps: list[int | str] = []
         self.stack: list[dict] = []
-        self.shown: list[str] = []
-        self.title, self.jsonld, self.rows = "", [], []
-        self.parts: list[str] = []
-        self.size, self.spaced, self.roots, self.controls = 0, True, 0, 0
-        self.region = self.body = None
+        self.open: Counter[str] = Counter()
+        self.sheets: list[str] = []
+        self.jsonld: list[str] = []
+        self.raw: list[str] | None = None
 
     def handle_starttag(self, tag, attrs):
         if tag in SELF_CLOSING and self.stack and self.stack[-1]["tag"] == tag:
             self._close()
-        if tag in BLOCK:
-            self.shown.append("\n")
-            self._text(" ")
-        a = {k: v or "" for k, v in attrs}
+        a = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")
         parent = self.stack[-1] if self.stack else None
-        path = [*(parent["path"] if parent else []), parent["children"] if parent else self.roots]
-        if parent:
-            parent["children"] += 1
-        else:
-            self.roots += 1
-        hide = bool(parent and parent["hide"]) or tag in HIDDEN or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
-        role = a.get("role", "")
-        control = tag in ("a", "button") or role in ("link", "button")
-        node = {
-            "node_id": len(self.nodes), "path": path, "depth": len(path), "tag": tag, "start": self.size, "end": self.size, "control": self.controls if control else -1, "href": a.get("href", ""), "role": role,
-            "aria_label": a.get("aria-label", ""), "title": a.get("title", ""), "link_count": 0, "interactive": control and not hide,
-            "main": tag == "main" or role == "main" or a.get("id") in MAIN_IDS or any(c in MAIN_CLASSES for c in a.get("class", "").split()),
-            "children": 0, "hide": hide, "type": a.get("type", ""), "raw": [] if tag == "script" else None, "at": len(self.parts),
-        }
-        self.controls += control
-        self.region = path if node["main"] and self.region is None else self.region
-        self.body = path if tag == "body" and self.body is None else self.body
-        self.nodes.append(node)
-        if tag == "a" and a.get("href"):
-            for x in self.stack:
-                x["link_count"] += 1
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def _text(self, flat):
-        flat = flat[1:] if self.spaced and flat.startswith(" ") else flat
-        if flat:
-            self.parts.append(flat)
-            self.size += len(flat)
-            self.spaced = flat.endswith(" ")
+        element = {"node_id": len(self.elements), "last": len(self.elements), "parent": parent["node_id"] if parent else -1, "depth": len(self.stack) + 1, "tag": tag, "attributes": a}
+        self.elements.append(element)
+        self.steps.append(element["node_id"])
+        if tag in VOID:
+            self.steps.append(~element["node_id"])
+            return
+        self.stack.append(element)
+        self.open[tag] += 1
+        self.raw = [] if tag in ("script", "style") else None
 
     def _close(self):
-        node = self.stack.pop()
-        node["end"] = self.size
-        if node["tag"] in BLOCK:
-            self._text(" ")
-        if node["tag"] in ("title", "tr"):
-            own = " ".join("".join(self.parts[node["at"] :]).split())
-            if node["tag"] == "title":
-                self.title = self.title or own
-            elif own:
-                self.rows.append(own)
-        if node["raw"] is not None and node["type"].lower() == "application/ld+json":
-            self.jsonld.append("".join(node["raw"]))
-        if node["tag"] in BLOCK:
-            self.shown.append("\n")
+        element = self.stack.pop()
+        element["last"] = len(self.elements) - 1
+        self.open[element["tag"]] -= 1
+        self.steps.append(~element["node_id"])
+        if self.raw is not None:
+            raw, self.raw = "".join(self.raw), None
+            if element["tag"] == "style":
+                self.sheets.append(raw)
+            elif element["attributes"].get("type", "").lower() == "application/ld+json":
+                self.jsonld.append(raw)
 
     def handle_endtag(self, tag):
-        if any(x["tag"] == tag for x in self.stack):
+        if self.open[tag]:
             while self.stack[-1]["tag"] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
-        top = self.stack[-1] if self.stack else None
-        if top and top["tag"] in ("script", "style"):
-            if top["raw"] is not None:
-                top["raw"].append(data)
+        if self.raw is not None:
+            self.raw.append(data)
         else:
-            self._text(SPACE.sub(" ", data))
-        if not (top and top["hide"]):
-            self.shown.append(data.replace("\n", " "))
+            self.steps.append(data)
 
     def finish(self):
         self.close()
@@ -119,100 +117,156 @@ class _Shredder(HTMLParser):
             self._close()
 
 
+def _marked(elements: list[dict]) -> None:
+    """Number of controls before each, nearest heading and list item above, whether a main element."""
+    controls = 0
+    for e in elements:
+        a, above = e["attributes"], elements[e["parent"]] if e["parent"] >= 0 else None
+        role = e["role"] = a.get("role", "")
+        is_control = e["tag"] in ("a", "button") or role in ("link", "button")
+        e["control"] = controls if is_control else -1
+        controls += is_control
+        e["main"] = e["tag"] == "main" or role == "main" or a.get("id") in MAIN_IDS or any(c in MAIN_CLASSES for c in a.get("class", "").split())
+        e["heading"] = -1 if above is None else above["node_id"] if above["tag"] in HEADINGS else above["heading"]
+        e["item"] = -1 if above is None else above["node_id"] if above["tag"] == "li" else above["item"]
+        e["href"], e["aria_label"], e["title"] = a.get("href", ""), a.get("aria-label", ""), a.get("title", "")
+
+
 def shred_text(html: str) -> dict:
-    """One page's title, text, region (path of the first main element, else of the body), nodes, lines, table_rows and jsonld."""
-    s = _Shredder()
-    s.feed(html or "")
-    s.finish()
-    drop = ("children", "hide", "type", "raw", "at")
-    lines = [x for x in (" ".join(line.split()) for line in "".join(s.shown).split("\n")) if x]
-    return {"title": s.title, "text": "".join(s.parts), "region": s.region or s.body or [], "error": None, "nodes": [{k: v for k, v in n.items() if k not in drop} for n in s.nodes], "lines": lines, "table_rows": [r for r in s.rows if len(r) <= 300][:20], "jsonld": s.jsonld}
+    """One page's title, text, shown, region (first and last number), nodes (dicts of FIELDS), lines, table_rows and jsonld.
+
+    text is that of all elements but scripts and style sheets, shown what the page shows of it; a node's stretches
+    of both are from start to end and from shown_start to shown_end.
+    """
+    p = _Parser()
+    p.feed(html or "")
+    p.finish()
+    elements = p.elements
+    _marked(elements)
+    seen = styles.visibility(elements, p.sheets)
+    text, shown, lines = _Flat(), _Flat(), []
+    stack: list[int] = []
+    links = boxes = 0
+    for step in p.steps:
+        if isinstance(step, str):
+            text.add(step)
+            if not stack or seen[stack[-1]] == styles.SHOWN:
+                shown.add(step)
+                lines.append(step.replace("\n", " "))
+            continue
+        e = elements[step if step >= 0 else ~step]
+        if step < 0:
+            if stack and stack[-1] == ~step:
+                stack.pop()
+            e["end"], e["shown_end"], e["link_count"] = text.size, shown.size, links - e["link_count"]
+            # an icon drawn by a style sheet has a name at least
+            has_box = e["shown_end"] > e["shown_start"] or boxes > e["boxes"] or e["tag"] in REPLACED or bool(e["aria_label"] or e["title"])
+            e["interactive"] = e["control"] >= 0 and seen[~step] == styles.SHOWN and not e["flat"] and has_box
+        if e["tag"] in BLOCK:
+            text.add(" ")
+            if seen[e["node_id"]] != styles.GONE:
+                shown.add(" ")
+                lines.append("\n")
+        if step >= 0:
+            links += e["tag"] == "a" and e["href"] != ""
+            e["start"], e["end"], e["shown_start"], e["shown_end"], e["link_count"], e["boxes"] = text.size, text.size, shown.size, shown.size, links, boxes
+            boxes += e["tag"] in REPLACED and seen[step] == styles.SHOWN
+            if e["tag"] not in VOID:
+                stack.append(step)
+    text, shown = "".join(text.parts), "".join(shown.parts)
+    rows = (text[e["start"] : e["end"]].strip() for e in elements if e["tag"] == "tr" and e["end"] - e["start"] <= ROW_CHARS + 2)
+    rows = [r for r in rows if 0 < len(r) <= ROW_CHARS][:ROWS_MOST]
+    title = next((t for e in elements if e["tag"] == "title" and (t := text[e["start"] : e["end"]].strip())), "")
+    region = next((e for e in elements if e["main"]), None) or next((e for e in elements if e["tag"] == "body"), None)
+    region = {"first": region["node_id"], "last": region["last"]} if region else {"first": -1, "last": len(elements)}
+    shown_lines = [x for x in (" ".join(line.split()) for line in "".join(lines).split("\n")) if x]
+    return {"title": title, "text": text, "shown": shown, "region": region, "error": None, "nodes": elements, "lines": shown_lines, "table_rows": rows, "jsonld": p.jsonld}
 
 
 def _shredded(html: str) -> dict:
     try:
         return shred_text(html)
     except Exception as e:  # whatever one page does to the parser, the others go on
-        return {"title": "", "text": "", "region": [], "error": f"{type(e).__name__}: {e}", "nodes": [], "lines": [], "table_rows": [], "jsonld": []}
+        return {"title": "", "text": "", "shown": "", "region": {"first": -1, "last": 0}, "error": f"{type(e).__name__}: {e}", "nodes": [], "lines": [], "table_rows": [], "jsonld": []}
+
+
+def _batch(keys: list[pa.Array], pages: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Pages as one batch, column by column."""
+    columns = dict(zip(("page_id", "url"), keys))
+    for name in ("title", "text", "shown", "region", "error", "lines", "table_rows", "jsonld"):
+        columns[name] = pa.array([p[name] for p in pages], schema.field(name).type)
+    kind = schema.field("nodes").type
+    sizes, offsets = [len(p["nodes"]) for p in pages], [0]
+    for n in sizes:
+        offsets.append(offsets[-1] + n)
+    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+    values = [pa.array([e[f.name] for p in pages for e in p["nodes"]], f.type) for f in fields]
+    columns["nodes"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, fields=fields), type=kind)
+    return pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
+
+
+#: Characters of pages made into one batch.
+BATCH_CHARS = 4_000_000
 
 
 def shred(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, text, region, error, nodes, lines, table_rows, jsonld of every page (page_id, url, html).
+    """page_id, url, title, text, shown, region, error, nodes, lines, table_rows, jsonld of every page (page_id, url, html).
 
-    A node's text is its stretch of the page's text (see node_text), so that a deep tree takes no more room than
-    a flat one. Null html is an empty page. A page that the parser fails on is an empty page with an error.
+    A node's text is its stretch of the page's (see node_text), and containment is an interval of numbers, so that a
+    deep tree takes no more room than a flat one. Null html is an empty page. A page that the parser fails on is an
+    empty page with an error.
     """
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                rows = [{"page_id": r["page_id"], "url": r["url"], **_shredded(r["html"])} for r in batch.slice(low, 200).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            html, low, size, done = batch.column("html"), 0, 0, []
+            for i in range(batch.num_rows):
+                page = html[i].as_py()
+                done.append(_shredded(page))
+                size += len(page or "")
+                if size >= BATCH_CHARS or i == batch.num_rows - 1:
+                    yield _batch([batch.column(k).slice(low, len(done)) for k in ("page_id", "url")], done, schema)
+                    low, size, done = i + 1, 0, []
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
 
 
-def node_text(node: Column, text: Column | str = "text") -> Column:
-    """The text of a node (a struct with start and end) of a page's text."""
-    return F.trim(F.substring(F.col(text) if isinstance(text, str) else text, node.getField("start") + 1, node.getField("end") - node.getField("start")))
+def _stretch(text: Column | str, start: Column, end: Column) -> Column:
+    return F.trim(F.substring(F.col(text) if isinstance(text, str) else text, start + 1, end - start))
 
 
-def visible_text(shredded: DataFrame, most: int = VISIBLE_MOST) -> DataFrame:
-    """page_id and the first `most` characters of what a page shows, line by line."""
-    return shredded.select("page_id", F.substring(F.array_join("lines", "\n"), 1, most).alias("visible_text"))
+def node_text(node: Column, text: Column | str = "text", shown: Column | str = "shown") -> Column:
+    """The text of a node (a struct of FIELDS) of a page: what it shows, else all it holds."""
+    seen = _stretch(shown, node.getField("shown_start"), node.getField("shown_end"))
+    return F.coalesce(F.nullif(seen, F.lit("")), _stretch(text, node.getField("start"), node.getField("end")))
 
 
-def nodes(shredded: DataFrame, most: int = 300) -> DataFrame:
-    """The first `most` visible links and buttons of each page, one row each, in document order; ids count all of them."""
-    kept = F.slice(F.filter("nodes", lambda n: n.interactive), 1, most)
-    rows = shredded.select("page_id", "url", "text", F.posexplode(kept).alias("ord", "n"))
-    return rows.select("page_id", "url", "ord", F.concat(F.lit("n"), "n.control").alias("id"), "n.tag", node_text(F.col("n")).alias("text"), "n.role", "n.href", "n.aria_label", "n.title")
+def node_at(number: Column) -> Column:
+    """The node of that number; null below 0."""
+    return F.when(number >= 0, F.get("nodes", number))
 
 
-def find_product(value: object) -> dict | None:
-    """The first object typed as a product: in lists in order, below an object only in its @graph."""
-    if isinstance(value, list):
-        return next((x for x in map(find_product, value) if x), None)
-    if not isinstance(value, dict):
-        return None
-    kinds = value.get("@type")
-    if any(isinstance(k, str) and k.lower() == "product" for k in (kinds if isinstance(kinds, list) else [kinds])):
-        return value
-    return find_product(value.get("@graph"))
+def within(node: Column, first: Column, last: Column) -> Column:
+    """Whether a node is the element `first`, whose last descendant is `last`, or below it."""
+    return (node.getField("node_id") >= first) & (node.getField("node_id") <= last)
 
 
-PRODUCT = "json_name string, json_price_str string, json_price_num double, json_availability string, json_rating string, json_review_count string"
+def ancestor(node: Column, qualifies: Callable[[Column], Column], most: int) -> Column:
+    """Number of the nearest of `most` ancestors for which qualifies(number) holds; -1 if there is none. Within its page's row."""
+    up = F.sequence(F.lit(1), F.least(node.getField("depth") - 1, F.lit(most)))
+    step = lambda s, _: F.when(s["hit"] >= 0, s).otherwise(F.struct(F.get("nodes", s["at"]).getField("parent").alias("at"), F.when(qualifies(s["at"]), s["at"]).otherwise(F.lit(-1)).alias("hit")))
+    walked = F.aggregate(up, F.struct(node.getField("parent").alias("at"), F.lit(-1).alias("hit")), step)
+    return F.when(node.getField("depth") > 1, walked["hit"]).otherwise(F.lit(-1))
 
 
-def product_fields(scripts: list[str] | None) -> dict:
-    """Name, price (text or number), availability, rating and review count of the first product of a page's JSON."""
-    out: dict = dict.fromkeys((x.split()[0] for x in PRODUCT.split(", ")), None) | {"json_name": "", "json_availability": ""}
-    for raw in scripts or []:
-        try:
-            product = find_product(json.loads(raw))
-        except (ValueError, RecursionError):
-            continue
-        if product:
-            offers = product.get("offers")
-            offers = offers[0] if isinstance(offers, list) and offers else offers
-            offers = offers if isinstance(offers, dict) else {}
-            price = next((offers[k] for k in ("price", "lowPrice") if offers.get(k) is not None), "")
-            number = isinstance(price, (int, float)) and not isinstance(price, bool)
-            rated = product.get("aggregateRating")
-            rated = rated if isinstance(rated, dict) else {}
-            reviews = next((rated[k] for k in ("reviewCount", "ratingCount") if rated.get(k) is not None), None)
-            text = lambda x: None if x is None else str(x)
-            return out | {"json_name": str(product.get("name") or ""), "json_price_num": float(price) if number else None, "json_price_str": None if number else str(price), "json_availability": str(offers.get("availability") or ""), "json_rating": text(rated.get("ratingValue")), "json_review_count": text(reviews)}
-    return out
-
-
-def products(shredded: DataFrame) -> DataFrame:
-    """page_id, url and product_fields of every page's embedded JSON."""
-    schema = to_arrow_schema(StructType.fromDDL("page_id long, url string, " + PRODUCT))
+def visible_text(shredded: DataFrame, most: int = VISIBLE_MOST) -> DataFrame:
+    """page_id and the first `most` characters of what a page shows, line by line."""
+    return shredded.select("page_id", F.substring(F.array_join("lines", "\n"), 1, most).alias("visible_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"page_id": r["page_id"], "url": r["url"], **product_fields(r["jsonld"])} for r in batch.to_pylist()], schema=schema)
 
-    return shredded.select("page_id", "url", "jsonld").mapInArrow(run, "page_id long, url string, " + PRODUCT)
+def nodes(shredded: DataFrame, most: int = 300) -> DataFrame:
+    """The first `most` visible links and buttons of each page, one row each, in document order; ids count all of them."""
+    kept = F.slice(F.filter("nodes", lambda n: n.interactive), 1, most)
+    rows = shredded.select("page_id", "url", "text", "shown", F.posexplode(kept).alias("ord", "n"))
+    return rows.select("page_id", "url", "ord", F.concat(F.lit("n"), "n.control").alias("id"), "n.tag", node_text(F.col("n")).alias("text"), "n.role", "n.href", "n.aria_label", "n.title")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,14 +27,72 @@ def test_shredded_page():
     assert [n["tag"] for n in got["nodes"] if n["main"]] == ["main"]
     text = lambda n: got["text"][n["start"] : n["end"]].strip()
     assert text(next(n for n in got["nodes"] if n["main"])) == "Hi there first second bold hidden k v"
-    assert got["region"] == next(n["path"] for n in got["nodes"] if n["main"])
-
-
-def test_embedded_product():
-    got = html.product_fields(html.shred_text(PAGE)["jsonld"])
-    assert got["json_name"] == "Cam" and got["json_price_str"] == "" and got["json_price_num"] is None
-    assert got["json_rating"] == "4.5" and got["json_review_count"] == "3"
-    assert html.product_fields(['{"offers": 1}', "[]", "3"])["json_name"] == ""
+    main = next(n for n in got["nodes"] if n["main"])
+    assert got["region"] == {"first": main["node_id"], "last": main["last"]}
+    assert got["shown"][main["shown_start"] : main["shown_end"]].strip() == "Hi there first second bold k v"
+
+
+PRODUCTS = [
+    (['{"@graph":[{"@type":"Thing"},{"@type":["X","Product"],"name":"Cam","offers":[{"price":"","lowPrice":5}],"aggregateRating":{"ratingValue":4.5,"ratingCount":3}}]}'], ("Cam", "", None, "", "4.5", "3")),
+    (['{"offers": 1}', "[]", "3", "{broken", ""], ("", None, None, "", None, None)),
+    (['[[{"@type":"thing"}],[[{"@graph":{"@type":"PRODUCT","name":"deep","offers":{"price":null,"lowPrice":7.25}}}]]]'], ("deep", None, 7.25, "", None, None)),
+    (['{"@type":"Thing","mainEntity":{"@type":"Product","name":"hidden"}}'], ("", None, None, "", None, None)),
+    (['{"@type":"Product","name":"first","offers":[],"@graph":[{"@type":"Product","name":"below"}]}', '{"@type":"Product","name":"later"}'], ("first", "", None, "", None, None)),
+    (None, ("", None, None, "", None, None)),
+]
+
+
+def test_embedded_product(spark):
+    rows = spark.createDataFrame([(i, None, s) for i, (s, _) in enumerate(PRODUCTS)], "page_id long, url string, jsonld array<string>")
+    found = extract.products(rows)
+    got = {r["page_id"]: tuple(r)[2:] for r in found.collect()}
+    assert got == {i: want for i, (_, want) in enumerate(PRODUCTS)}
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+SHEET = """/* . */ @import 'x'; .off, p.gone { display: none } a.ghost{visibility:hidden;color:red}@media print{.paper{display:none}} #thin{display:block;width:0px}
+.off#back{display:block} .late{display:none!important} .late{display:inline} nav a{display:none} .flat{height:0}"""
+SEEN = [
+    ('<a class="off" href=x>t</a>', False), ('<a class="off" id="back" href=x>t</a>', True), ('<p class="gone"><a href=x>t</a></p>', False), ('<div class="gone"><a href=x>t</a></div>', True), ('<a class="ghost" href=x>t</a>', False),
+    ('<b style="visibility:hidden"><a href=x>t</a></b>', False), ('<b style="visibility:hidden"><a style="visibility: visible" href=x>t</a></b>', True), ('<a class="paper" href=x>t</a>', True), ('<a id="thin" href=x>t</a>', False),
+    ('<a class="late" href=x>t</a>', False), ('<a class="late" style="display:inline" href=x>t</a>', False), ('<nav><a href=x>t</a></nav>', True), ('<a class="flat" href=x>t</a>', True), ('<button class="flat">t</button>', False),
+    ("<div hidden><a href=x>t</a></div>", False), ('<div hidden style="display:block"><a href=x>t</a></div>', True), ("<a href=x></a>", False), ("<a href=x><img></a>", True), ('<a href=x aria-label="n"></a>', True), ("<noscript><a href=x>t</a></noscript>", False),
+]
+
+
+@pytest.mark.parametrize(("body", "seen"), SEEN)
+def test_what_style_sheets_hide(body, seen):
+    got = html.shred_text(f"<html><head><style>{SHEET}</style></head><body>{body}</body></html>")
+    assert [n["interactive"] for n in got["nodes"] if n["control"] >= 0] == [seen]
+    assert got["text"].strip() == ("t" if "t<" in body else "")
+
+
+def test_hidden_parts_are_not_in_the_text_of_what_is_seen(spark):
+    page = '<style>.x{display:none}</style><a href="/a">Buy <i class="x">secret</i>now</a><div class="x"><a href="/b">Down</a></div>'
+    rows = html.shred(spark.createDataFrame([(1, "https://s.vn/", page)], "page_id long, url string, html string"))
+    assert [r["text"] for r in html.nodes(rows).collect()] == ["Buy now"]
+    assert [r["text"] for r in extract.page_links(rows).orderBy("ord").collect()] == ["Buy now", "Down"]  # all of it if none is seen
+    assert html.visible_text(rows).first()["visible_text"] == "Buy now"
+
+
+def test_a_deep_tree_takes_room_in_proportion():
+    tracemalloc.start()
+    got = html.shred_text("<b>x" * 20_000 + "<a href=/x>y</a>" * 10 + "</p>" * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and len(got["nodes"]) == 20_010
+    tracemalloc.stop()
+    assert got["nodes"][0]["last"] == 20_009 and got["nodes"][0]["link_count"] == 10 and got["nodes"][19_999]["parent"] == 19_998
+
+
+def test_an_interval_holds_exactly_the_descendants():
+    rng = random.Random(4)
+    raw = "".join(rng.choice(["<div>", "</div>", "<p>", "<li>", "</ul>", "<ul>", "<b>", "</b>", "t", "<br>", "<a href=x>", "</a>"]) for _ in range(3000))
+    nodes = html.shred_text(raw)["nodes"]
+    above = lambda n: [] if n["parent"] < 0 else [n["parent"], *above(nodes[n["parent"]])]
+    ancestors = [above(n) for n in nodes]
+    for n in nodes:
+        assert {m["node_id"] for m in nodes if n["node_id"] in ancestors[m["node_id"]]} == set(range(n["node_id"] + 1, n["last"] + 1))
+        assert n["link_count"] == sum(m["href"] != "" for m in nodes[n["node_id"] + 1 : n["last"] + 1]) and n["depth"] == len(ancestors[n["node_id"]]) + 1
+        assert n["item"] == next((a for a in ancestors[n["node_id"]] if nodes[a]["tag"] == "li"), -1)
 
 
 @pytest.mark.parametrize("raw", ["", "<a", "</b></b>", "<p>" * 50, "plain", "<a href=x>y"])
@@ -44,7 +105,7 @@ def test_shredding_at_rest(spark):
     assert [r.n for r in rows.orderBy("page_id").select(F.size("nodes").alias("n")).collect()][1] == 0
     assert [(r["id"], r["text"]) for r in html.nodes(rows).orderBy("ord").collect()] == [("n0", "One"), ("n1", "")]
     assert html.visible_text(rows).where("page_id = 1").first()["visible_text"].startswith("One\nHi\nthere")
-    assert html.products(rows).where("json_name = 'Cam'").count() == 1
+    assert extract.products(rows).where("json_name = 'Cam'").count() == 1
 
 
 def test_crawl_is_whole_and_ends(spark):
@@ -85,10 +146,11 @@ def test_crawl_that_is_cut_has_its_links_queued(spark, bounds):
 
 
 def test_nearest_ancestor(spark):
-    dom = spark.createDataFrame([(1, [0], 1, "big", 9, "div"), (1, [0, 1], 2, "card", 2, "li"), (1, [0, 1, 0], 3, "x", 1, "a")], "page_id long, path array<int>, depth int, text string, link_count int, tag string")
-    links = spark.createDataFrame([(1, 7, [0, 1, 0])], "page_id long, node_id long, path array<int>")
-    assert pages.nearest_ancestors(dom, links, F.col("link_count") <= 10, 7).first().text == "card"
-    assert pages.nearest_ancestors(dom, links, F.col("link_count") > 5, 7).first().text == "big"
+    page = "<html><body><div>big <a href=/1>1</a><ul><li>item <b><i><a href=/2>2</a></i></b></li></ul></div><a href=/3>3</a></body></html>"
+    rows = html.shred(spark.createDataFrame([(1, "https://s.vn/", page)], "page_id long, url string, html string"))
+    near = lambda tag, most: {r["href"][-1]: r["t"] for r in extract.nearest(rows, tag, most, "t").collect()}
+    assert near("li", 3) == {"2": "item 2"} and near("li", 2) == {} and near("body", 9) == dict.fromkeys("123", "big 1 item 2 3")
+    assert near("a", 9) == {} and near("div", 1) == {"1": "big 1 item 2"}
 
 
 def test_report_conserves_records(spark):
@@ -116,10 +178,9 @@ def test_links_of_the_region(shredded):
 
 
 def test_cards_and_surroundings(shredded):
-    links = extract.page_links(shredded)
-    got = {r["href"]: (r["title"], r["card"]) for r in extract.cards(shredded, links).collect()}
+    got = {r["href"]: (r["title"], r["card"]) for r in extract.cards(shredded).collect()}
     assert got == {"https://s.vn/p/r5": ("Canon R5", "Canon R5 1.000.000 đ"), "https://s.vn/p/none": ("Named", "Canon R5 1.000.000 đ ElsewhereMail")}
-    near = {r["href"]: r["near"] for r in extract.surroundings(shredded, links, 2).collect()}
+    near = {r["href"]: r["near"] for r in extract.surroundings(shredded, True, True, 2).collect()}
     assert near == {"https://s.vn/p/r5": "Canon R5 1.000.000 đ", "https://s.vn/p/none": "Canon R5 1.000.000 đ ElsewhereMail"}
 
 
