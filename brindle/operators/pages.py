@@ -121,7 +121,11 @@ def crawl(seeds: DataFrame, edges: DataFrame, loaded: DataFrame, checkpoint, mos
         if front.isEmpty():
             break
         seen = front.join(opens, "url", "left")
-        fits = seen.where("_open").orderBy("rank").limit(most - visited).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")).first()
+        open_ = seen.where("_open")
+        count = [F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")]
+        fits = open_.agg(*count).first()
+        if fits["n"] > most - visited:  # else the wave is taken whole
+            fits = open_.orderBy("rank").limit(most - visited).agg(*count).first()
         visited += fits["n"]
         # a wave that does not fill the bound is taken whole, with failed pages behind the last that opens
         last = F.lit(2**63 - 1 if visited < most else -1 if fits["last"] is None else fits["last"]).cast("long")

@@ -79,7 +79,7 @@ def details(candidates: DataFrame, raw: DataFrame) -> DataFrame:
     evidence = F.array_compact(
         F.array(
             F.when(F.col("product_name") != "", entry(F.lit("Tên sản phẩm"), F.col("product_name"), none, F.when(_full("h1").isNotNull(), "DOM").when(_full("json_name").isNotNull(), "JSON_LD").otherwise("LISTING"), cut(F.col("product_name")), F.when(_full("h1").isNotNull(), 0.99).otherwise(0.92))),
-            F.when(F.col("detail_price").isNotNull(), entry(price_label, words, F.col("detail_price"), F.when(F.col("json_price").isNotNull(), "JSON_LD").otherwise("DOM"), cut(F.coalesce(_full("json_price_str"), F.nullif(F.col("json_price_num"), F.lit(0.0)).cast("string"), F.col("dom_price"), F.lit(""))), F.lit(0.99)))
+            F.when(F.col("detail_price").isNotNull(), entry(price_label, words, F.col("detail_price"), F.when(F.col("json_price").isNotNull(), "JSON_LD").otherwise("DOM"), cut(F.coalesce(_full("json_price_str"), plain_number(F.nullif(F.col("json_price_num"), F.lit(0.0))), F.col("dom_price"), F.lit(""))), F.lit(0.99)))
             .when(F.col("listing_price").isNotNull(), entry(price_label, words, F.col("listing_price"), F.lit("LISTING"), F.coalesce("price_text", F.lit("")), F.lit(0.9))),
             F.when(stock_raw.isNotNull(), entry(F.lit("Tồn kho"), stock_raw, none, F.when(_full("stock").isNotNull(), "DOM").otherwise("JSON_LD"), cut(stock_raw), F.lit(0.97))),
             F.when(_full("accessories").isNotNull(), entry(F.lit("Phụ kiện đi kèm"), F.col("accessories"), none, F.lit("DOM"), cut(F.col("accessories")), F.lit(0.97))),
@@ -112,10 +112,10 @@ def conflicts(records: DataFrame) -> DataFrame:
 
 
 def evidence_rows(records: DataFrame) -> DataFrame:
-    """One row for each piece of evidence; records without any have none."""
-    rows = records.select("url", "disposition", F.explode("evidence").alias("e"))
+    """One row for each piece of evidence, with its record's disposition and its place there; records without any have none."""
+    rows = records.select("url", "disposition", F.posexplode("evidence").alias("ord", "e"))
     value = F.coalesce(F.col("e.value"), plain_number(F.col("e.value_num")))
-    return rows.select("url", "e.field", value.alias("value"), "e.source", "e.confidence", "e.evidence")
+    return rows.select("url", "disposition", "ord", "e.field", value.alias("value"), "e.source", "e.confidence", "e.evidence")
 
 
 def coverage(seeds: DataFrame, crawled: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Named queries over page corpora, each with the SQL that DuckDB runs for comparison.
 
-Queries named q_page_*, q_anchor_*, q_host_*, q_text_* and q_lines_* run over the whole tables of a data folder. Those
-of values, labels, texts, nodes and links run over whole tables and, with negative ids, over the literal tables of
-fixtures.py, whose vocabulary the corpus lacks; the others over these alone.
+Queries named q_page_*, q_anchor_*, q_host_*, q_text_* and q_lines_* run over the whole tables of a data folder, those
+of values, labels, texts, nodes and links over whole tables and, with negative ids, over the odd rows of fixtures.py.
+The others run over camera shops made of part, supplier and lineitem (shops.py), and over the odd rows too.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import lexicon, rules, text, url
 from brindle.operators import extract, pages, records, site
-from brindle.plans.fixtures import TABLES, frame
+from brindle.plans import shops
+from brindle.plans.fixtures import ALL, TABLES, frame, literal
 from brindle.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,12 +72,39 @@ def RESOLVE(raw: str, page: str) -> str:
  WHEN {raw}[1] = '?' THEN {ORIGIN(page)} || {PATH(page)} || {raw} WHEN {raw}[1] = '/' THEN {ORIGIN(page)} || {DOTLESS(head)} || {tail} ELSE {ORIGIN(page)} || {DOTLESS(f"regexp_replace({PATH(page)}, '[^/]*$', '') || {head}")} || {tail} END"""
 
 
-ANCHOR_SQL = f"""
+def ANCHORS(source: str) -> str:
+    """The links of a table of pages by pattern, as WITH parts a, h and links."""
+    return f"""
 a AS (SELECT page_id, url, generate_subscripts(tags, 1) - 1 AS ord, unnest(tags) AS tag
-      FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0) AS tags FROM pages)),
+      FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0) AS tags FROM {source})),
 h AS (SELECT page_id, url, ord, tag, regexp_extract(tag, '(?is)<a\\s[^>]*?href="([^"]*)"', 1) AS raw FROM a),
 links AS (SELECT page_id, url, ord, {RESOLVE("raw", "url")} AS href,
-      {CLEAN("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', '', 'g')")} AS text FROM h)"""
+      {CLEAN("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', '', 'g')")} AS text,
+      regexp_extract(tag, '^<a [^>]*aria-label="([^"]*)"', 1) AS aria_label, regexp_extract(tag, '^<a [^>]*title="([^"]*)"', 1) AS title FROM h)"""
+
+
+ANCHOR_SQL = ANCHORS("pages")
+SHOWN_BLOCKS = "|".join(sorted(html.BLOCK))
+
+
+def SHOWN(source: str) -> str:
+    """What pages show, as a WITH part shown; elements of class off or in a style attribute of display:none are not seen."""
+    text_ = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(head|script|style)[ >].*?</(head|script|style)>|<li class=\"off\">.*?</li>', '', 'g'), '(?i)</?({SHOWN_BLOCKS})([ /][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        text_ = f"regexp_replace({text_}, '&{name};?', '{char}', 'g')"
+    return f"shown AS (SELECT page_id, {CLEAN(text_)} AS body FROM {source})"
+
+
+SHOWN_SQL = SHOWN("pages")
+#: All given pages, and the home pages of the shops.
+SITES = f"(SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM {shops.duck_sql(shops.HOMES)} AS s)"
+SITE_SQL = f"sites AS {SITES}, {ANCHORS('sites')}, {SHOWN('sites')}"
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of SITES, shredded."""
+    homes = spark.sql(f"SELECT page_id, url, html FROM {shops.spark_sql(shops.HOMES, sf_dir)} AS s")
+    return html.shred(_pages(spark, sf_dir).select("page_id", "url", "html").unionByName(homes))
 
 
 # Rows of fixtures under negative ids, then all rows of a table of the data folder, as SQL and as DataFrames.
@@ -84,25 +112,25 @@ WHOLE = {
     "values": f"(SELECT (-id)::BIGINT AS id, t FROM {TABLES['values']} UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations)",
     "lines": f"(SELECT (-id)::BIGINT AS id, body FROM {TABLES['lines']} UNION ALL SELECT doc_id, text FROM documents)",
     "texts": f"(SELECT (-id)::BIGINT AS id, title, body FROM {TABLES['texts']} UNION ALL SELECT doc_id, source, text FROM documents)",
-    "pages": f"(SELECT (-page_id)::BIGINT AS page_id, url, visible_text FROM {TABLES['pages']} UNION ALL SELECT page_id, url, '' FROM pages)",
-    "nodes": f"(SELECT (-page_id)::BIGINT AS page_id, ord, text, href, aria_label, title FROM {TABLES['nodes']} UNION ALL SELECT page_id, ord, text, href, '', '' FROM links)",
-    "links": f"(SELECT (-page_id)::BIGINT AS page_id, ord, text, href FROM {TABLES['links']} UNION ALL SELECT page_id, ord, text, href FROM links)",
+    "pages": f"(SELECT (-page_id)::BIGINT AS page_id, url, visible_text FROM {TABLES['pages']} UNION ALL SELECT page_id, url, body[:{html.VISIBLE_MOST}] FROM sites JOIN shown USING (page_id))",
+    "nodes": f"(SELECT (-page_id)::BIGINT AS page_id, ord, text, href, aria_label, title FROM {TABLES['nodes']} UNION ALL SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1)::INT, text, href, aria_label, title FROM links WHERE href NOT LIKE '%/ghost')",
+    "links": f"(SELECT (-page_id)::BIGINT AS page_id, ord, text, href FROM {TABLES['links']} UNION ALL SELECT page_id, ord, CASE WHEN text = '' THEN title ELSE text END, href FROM links)",
 }
 
 
 def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows of WHOLE[name]."""
     key = "page_id" if name in ("pages", "nodes", "links") else "id"
-    made = frame(spark, name).withColumn(key, -F.col(key).cast("long"))
-    none = F.lit("")
+    made = literal(spark, name).withColumn(key, -F.col(key).cast("long"))
     if name == "values":
         return made.unionByName(spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("t")))
     if name in ("lines", "texts"):
         return made.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body")).select(made.columns))
+    shredded = sites(spark, sf_dir)
     if name == "pages":
-        return made.unionByName(_pages(spark, sf_dir).select("page_id", "url", none.alias("visible_text")))
+        return made.unionByName(html.visible_text(shredded))
+    found = html.nodes(shredded).withColumn("href", url.resolve("href", "url")) if name == "nodes" else extract.page_links(shredded, False, False)
     kept = ["page_id", "ord", "text", "href", *(["aria_label", "title"] if name == "nodes" else [])]
-    found = pages.anchors(_pages(spark, sf_dir)).select("page_id", "ord", "text", "href", none.alias("aria_label"), none.alias("title"))
     return made.select(kept).unionByName(found.select(kept))
 
 
@@ -119,9 +147,9 @@ def page_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", url.canonical("url").alias("canonical"), url.host("url").alias("host"), url.origin("url").alias("origin"), url.path("url").alias("path"))
 
 
-@query("q_url_functions", f"SELECT id, {CANONICAL('u')} AS canonical, {HOST('u')} AS host, {ORIGIN('u')} AS origin, {PATH('u')} AS path, {PARAM('u', 'p')} AS p, split_part(coalesce(u, ''), '#', 1) AS plain FROM {TABLES['urls']}")
+@query("q_url_functions", f"SELECT id, {CANONICAL('u')} AS canonical, {HOST('u')} AS host, {ORIGIN('u')} AS origin, {PATH('u')} AS path, {PARAM('u', 'p')} AS p, split_part(coalesce(u, ''), '#', 1) AS plain FROM {ALL['urls']}")
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = frame(spark, "urls")
+    u = frame(spark, sf_dir, "urls")
     return u.select("id", url.canonical("u").alias("canonical"), url.host("u").alias("host"), url.origin("u").alias("origin"), url.path("u").alias("path"), url.parameter("u", "p").alias("p"), url.without_fragment("u").alias("plain"))
 
 
@@ -147,9 +175,9 @@ def page_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", url.is_pagination("url").alias("pagination"), url.parameter("url", "page").alias("page"))
 
 
-@query("q_url_resolve", f"SELECT id, {RESOLVE('href', 'page')} AS target FROM (SELECT id, trim(coalesce(href, '')) AS href, page FROM {TABLES['hrefs']})")
+@query("q_url_resolve", f"SELECT id, {RESOLVE('href', 'page')} AS target FROM (SELECT id, trim(coalesce(href, '')) AS href, page FROM {ALL['hrefs']})")
 def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "hrefs").select("id", url.resolve("href", "page").alias("target"))
+    return frame(spark, sf_dir, "hrefs").select("id", url.resolve("href", "page").alias("target"))
 
 
 @query("q_page_links", f"WITH {ANCHOR_SQL} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1)::INT AS ord, href, text FROM links WHERE {ORIGIN('href')} = {ORIGIN('url')}")
@@ -240,17 +268,17 @@ SITE_CASE = "CASE WHEN rental AND (second_hand OR new_camera) THEN 'MIXED' WHEN
 MENU_TEXT = f"SELECT page_id, string_agg(coalesce(text, '') || ' ' || coalesce(aria_label, '') || ' ' || coalesce(title, ''), chr(10) ORDER BY ord) AS menu FROM {WHOLE['nodes']} GROUP BY 1"
 
 
-@query("q_site_mode", f"WITH {ANCHOR_SQL} SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'regexp_matches(text, {q(r.pattern)}) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('concat_ws(chr(10), menu, visible_text)')} AS text FROM {WHOLE['pages']} FULL JOIN ({MENU_TEXT}) USING (page_id)))")
+@query("q_site_mode", f"WITH {SITE_SQL} SELECT *, {SITE_CASE} FROM (SELECT page_id, {', '.join(f'regexp_matches(text, {q(r.pattern)}) AS {r.label}' for r in lexicon.SITE)} FROM (SELECT page_id, {FOLD('concat_ws(chr(10), menu, visible_text)')} AS text FROM {WHOLE['pages']} FULL JOIN ({MENU_TEXT}) USING (page_id)))")
 def site_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.site_modes(whole(spark, sf_dir, "pages"), whole(spark, sf_dir, "nodes"))
 
 
-@query("q_menu_topk", f"WITH {ANCHOR_SQL} SELECT page_id, ord, score::INT AS score, intent, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM (SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD('''concat_ws(' ', text, aria_label, title)''')} AS text FROM {WHOLE['nodes']})) WHERE score > 0) WHERE rank <= 25")
+@query("q_menu_topk", f"WITH {SITE_SQL} SELECT page_id, ord, score::INT AS score, intent, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM (SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD('''concat_ws(' ', text, aria_label, title)''')} AS text FROM {WHOLE['nodes']})) WHERE score > 0) WHERE rank <= 25")
 def menu_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.menu_candidates(whole(spark, sf_dir, "nodes")).select("page_id", "ord", "score", "intent", "rank")
 
 
-ROOT_SQL = f"""WITH {ANCHOR_SQL}, s AS (SELECT l.page_id, l.ord, l.text AS label, l.href, {FOLD('l.text')} AS text FROM {WHOLE['links']} AS l JOIN {WHOLE['pages']} AS p ON p.page_id = l.page_id WHERE {ORIGIN('l.href')} = {ORIGIN('p.url')} AND {PATH('l.href')} <> '/'),
+ROOT_SQL = f"""WITH {SITE_SQL}, s AS (SELECT l.page_id, l.ord, l.text AS label, l.href, {FOLD('l.text')} AS text FROM {WHOLE['links']} AS l JOIN {WHOLE['pages']} AS p ON p.page_id = l.page_id WHERE {ORIGIN('l.href')} = {ORIGIN('p.url')} AND {PATH('l.href')} <> '/'),
 b AS (SELECT *, {rules.score_sql(lexicon.ROOTS)} AS score FROM (SELECT *, {FOLD(f"text || ' ' || translate({PATH('href')}, '-_/', '   ')")} AS place FROM s)),
 r AS (SELECT page_id, label AS text, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rank FROM b WHERE score > 0),
 best AS (SELECT * FROM r WHERE rank <= 15 UNION ALL SELECT page_id, u.t, {ORIGIN('url')} || u.t, 80, 15 + u.i FROM {WHOLE['pages']}, (VALUES {', '.join(f"({i + 1}, '{p}')" for i, p in enumerate(lexicon.CONVENTIONAL_PATHS))}) AS u(i, t))
@@ -264,14 +292,14 @@ def generic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESOLVE_SQL = f"""WITH m AS (SELECT c.candidate_id, l.ord, l.href, CASE WHEN {FOLD('l.text')} = {FOLD('c.text')} THEN 300 ELSE 0 END + CASE WHEN {FOLD('l.title')} = {FOLD('c.text')} THEN 150 ELSE 0 END + CASE WHEN {FOLD('l.aria_label')} = {FOLD('c.text')} THEN 150 ELSE 0 END
  + CASE WHEN contains({FOLD('l.text')}, {FOLD('c.text')}) THEN 40 ELSE 0 END + CASE WHEN {ORIGIN('l.href')} = {ORIGIN('p.url')} THEN 50 ELSE 0 END + CASE WHEN {PATH('l.href')} <> '/' THEN 30 ELSE 0 END + CASE WHEN regexp_matches(lower({PATH('l.href')}), {q(lexicon.BAD_ROOT_PATH)}) THEN -200 ELSE 0 END AS score
- FROM {TABLES['candidates']} AS c JOIN {TABLES['links']} AS l ON l.page_id = c.page_id JOIN {TABLES['pages']} AS p ON p.page_id = c.page_id WHERE c.href = ''),
+ FROM {ALL['candidates']} AS c JOIN {ALL['links']} AS l ON l.page_id = c.page_id JOIN {ALL['pages']} AS p ON p.page_id = c.page_id WHERE c.href = ''),
 b AS (SELECT candidate_id, href FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, ord) AS r FROM m WHERE score > 0) WHERE r = 1)
-SELECT candidate_id, CASE WHEN c.href <> '' THEN c.href ELSE coalesce(b.href, '') END AS href FROM {TABLES['candidates']} AS c LEFT JOIN b USING (candidate_id)"""
+SELECT candidate_id, CASE WHEN c.href <> '' THEN c.href ELSE coalesce(b.href, '') END AS href FROM {ALL['candidates']} AS c LEFT JOIN b USING (candidate_id)"""
 
 
 @query("q_root_resolve", RESOLVE_SQL)
 def root_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.resolve_roots(frame(spark, "candidates"), frame(spark, "links"), frame(spark, "pages"))
+    return site.resolve_roots(frame(spark, sf_dir, "candidates"), frame(spark, sf_dir, "links"), frame(spark, sf_dir, "pages"))
 
 
 ENTITY_SQL = f"""SELECT id, CASE WHEN short THEN -100 ELSE s END::INT AS entity_score, CASE WHEN short THEN 'NOT_CAMERA' WHEN s >= 5 THEN 'CAMERA' WHEN s <= -3 THEN 'NOT_CAMERA' ELSE 'UNCERTAIN' END AS entity_label,
@@ -294,7 +322,7 @@ CARD_PRODUCT = f"""NOT regexp_matches(lower({PATH('href')}), {q(lexicon.BAD_PATH
  AND NOT regexp_matches(title, {q('(?i)' + lexicon.ACCESSORY_TITLE)}) AND regexp_matches(title, {q('(?i)' + lexicon.BRANDS)}) AND regexp_matches(title, {q('(?i)' + lexicon.MODELS)}) AND (regexp_matches(card, {q(text.PRICE)}) OR regexp_matches(card, {q('(?i)' + lexicon.COMMERCIAL)})) AND lower(title) NOT IN ({', '.join(map(q, lexicon.NAVIGATION_TITLES))})"""
 
 
-SHOP_SQL = f"""shop AS (SELECT page_id, url, html FROM {TABLES['shop']}),
+SHOP_SQL = f"""shop AS (SELECT page_id, url, html FROM {ALL['shop']}),
 cards AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<div class="card">.*?</div>')) AS card, generate_subscripts(regexp_extract_all(html, '<div class="card">.*?</div>'), 1) AS i FROM shop),
 card AS (SELECT page_id, url AS page_url, i, {RESOLVE("regexp_extract(card, 'href=.([^ >]*?).>', 1)", 'url')} AS href, {CLEAN("regexp_extract(card, '<a [^>]*>(.*?)</a>', 1)")} AS title, {CLEAN("regexp_replace(card, '<[^>]*>', ' ', 'g')")} AS card FROM cards)"""
 
@@ -302,31 +330,24 @@ card AS (SELECT page_id, url AS page_url, i, {RESOLVE("regexp_extract(card, 'hre
 @query("q_card_text", f"WITH {SHOP_SQL} SELECT page_url, href, title, card FROM card")
 def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and card of every product link of a shop's catalog pages."""
-    found = extract.cards(html.shred(frame(spark, "shop")))
+    found = extract.cards(html.shred(frame(spark, sf_dir, "shop")))
     return found.where("href LIKE '%/p/%'").select(F.col("url").alias("page_url"), "href", "title", "card")
 
 
-PRODUCT_SQL = f"""owned AS (SELECT * FROM (SELECT {CANONICAL('href')} AS url, title, {PRICE_SQL('card')} AS price_text, row_number() OVER (PARTITION BY {CANONICAL('href')} ORDER BY c.wave, {PARAM('page_url', 'page')}::INT NULLS FIRST, i) AS k FROM (SELECT * FROM card WHERE {CARD_PRODUCT}) JOIN crawl AS c ON c.url = page_url AND c.status = 'visited') WHERE k = 1),
-raw AS (SELECT url, {CLEAN("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS h1, {CLEAN("regexp_replace(regexp_replace(html, '<(script|head).*?</(script|head)>', '', 'g'), '<[^>]*>', ' ', 'g')")} AS body_text, json_extract_string(ld, '$.name') AS json_name, NULL::VARCHAR AS json_price_str, json_extract(ld, '$.offers.price')::DOUBLE AS json_price_num, '' AS json_availability, NULL::VARCHAR AS json_rating, NULL::VARCHAR AS json_review_count,
- '' AS dom_price, regexp_extract(html, 'Tình trạng: ([^<]*)', 1) AS stock, regexp_extract(html, 'Phụ kiện: ([^<]*)', 1) AS accessories, '' AS warranty, {CLEAN("regexp_replace(regexp_extract(html, '<tr>(.*?)</tr>', 1), '<[^>]*>', ' ', 'g')")} AS summary, '' AS rental_conditions, '' AS bundle
- FROM (SELECT *, coalesce(nullif(regexp_extract(html, '<script type=.application/ld.json.>(.*?)</script>', 1), ''), '{{}}')::JSON AS ld FROM shop) WHERE contains(html, '<h1>'))"""
-
-
-@query("q_product_filter", f"SELECT page_url, ord, {CARD_PRODUCT} AS product, {PRICE_SQL('card')} AS price_text FROM {TABLES['cards']}")
+@query("q_product_filter", f"SELECT page_url, ord, {CARD_PRODUCT} AS product, {PRICE_SQL('card')} AS price_text FROM {ALL['cards']}")
 def product_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.product_verdicts(frame(spark, "cards")).select("page_url", "ord", "product", "price_text")
+    return pages.product_verdicts(frame(spark, sf_dir, "cards")).select("page_url", "ord", "product", "price_text")
 
 
-@query("q_product_ownership", f"""WITH p AS (SELECT *, {CANONICAL('href')} AS product_url FROM {TABLES['cards']} WHERE {CARD_PRODUCT}), f AS (SELECT *, row_number() OVER (PARTITION BY page_url, product_url ORDER BY ord) AS r FROM p)
-SELECT product_url, title, intent, catalog_url FROM (SELECT product_url, title, intent, page_url AS catalog_url, row_number() OVER (PARTITION BY product_url ORDER BY page_url DESC, ord) AS k FROM f WHERE r = 1) WHERE k = 1""")
+@query("q_product_ownership", f"""WITH p AS (SELECT *, {CANONICAL('href')} AS product_url FROM {ALL['cards']} WHERE {CARD_PRODUCT}), f AS (SELECT *, row_number() OVER (PARTITION BY page_url, product_url ORDER BY ord) AS r FROM p)
+SELECT product_url, title, intent, catalog_url FROM (SELECT product_url, title, intent, page_url AS catalog_url, row_number() OVER (PARTITION BY product_url ORDER BY visit_rank, ord) AS k FROM f JOIN {ALL['visits']} AS v USING (page_url) WHERE r = 1) WHERE k = 1""")
 def product_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visits = spark.sql("SELECT * FROM VALUES ('https://s.vn/c', 2), ('https://s.vn/c?p=2', 1) AS t(page_url, visit_rank)")
-    return pages.owned_products(pages.page_products(frame(spark, "cards")), visits).select("product_url", "title", "intent", "catalog_url")
+    return pages.owned_products(pages.page_products(frame(spark, sf_dir, "cards")), frame(spark, sf_dir, "visits")).select("product_url", "title", "intent", "catalog_url")
 
 
-SEQUENCE_SQL = f"""WITH t AS (SELECT *, {PARAM('href', 'p')} AS p, {PARAM('href', 'page')} AS pg FROM {TABLES['turns']}),
+SEQUENCE_SQL = f"""WITH t AS (SELECT *, {PARAM('href', 'p')} AS p, {PARAM('href', 'page')} AS pg FROM {ALL['turns']}),
 strict AS (SELECT page_url, ord, href, pg IS NOT NULL AS by_page FROM t WHERE regexp_matches(coalesce(nullif(p, ''), pg, ''), '^[0-9]+$') AND {ORIGIN('href')} = {ORIGIN('page_url')} AND {PATH('href')} = {PATH('page_url')}),
-known AS (SELECT page_url, coalesce((SELECT arg_min(by_page, ord) FROM strict AS s WHERE s.page_url = r.page_url), false) AS by_page, TRY_CAST(nullif(regexp_extract(region_text, '(?i)Page\\s+[0-9]+\\s*/\\s*([0-9]+)', 1), '') AS INT) AS n FROM {TABLES['turning']} AS r),
+known AS (SELECT page_url, coalesce((SELECT arg_min(by_page, ord) FROM strict AS s WHERE s.page_url = r.page_url), false) AS by_page, TRY_CAST(nullif(regexp_extract(region_text, '(?i)Page\\s+[0-9]+\\s*/\\s*([0-9]+)', 1), '') AS INT) AS n FROM {ALL['turning']} AS r),
 made AS (SELECT page_url, {ORIGIN('page_url')} || {PATH('page_url')} || '?' || coalesce((SELECT string_agg(x || '&', '' ORDER BY x) FROM unnest(string_split({QUERY('page_url')}, '&')) AS u(x) WHERE x <> '' AND split_part(x, '=', 1) NOT IN ('p', 'page')), '') || CASE WHEN by_page THEN 'page=' ELSE 'p=' END || k AS raw
  FROM known, unnest(generate_series(2, n)) AS g(k) WHERE n > 1),
 both_ AS (SELECT page_url, raw FROM made UNION ALL SELECT page_url, href FROM strict)
@@ -335,40 +356,40 @@ SELECT DISTINCT page_url, {CANONICAL('raw')} AS next_url FROM both_ WHERE {CANON
 
 @query("q_page_sequence", SEQUENCE_SQL)
 def page_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_sequence(frame(spark, "turning"), frame(spark, "turns"))
+    return pages.page_sequence(frame(spark, sf_dir, "turning"), frame(spark, sf_dir, "turns"))
 
 
 PROBE_SQL = f"""WITH c AS (SELECT url, count(DISTINCT CASE WHEN regexp_matches(text || ' ' || near, {q('(?i)' + lexicon.BRANDS)}) AND regexp_matches(near, {q(text.PRICE)}) THEN split_part(href, '#', 1) END) AS product_like_links,
- count(DISTINCT CASE WHEN lower(text) IN ({', '.join(map(q, lexicon.PAGE_WORDS))}) OR regexp_matches(text, '^[0-9]+$') OR regexp_matches({QUERY('href')}, '(^|&)(p|page)=[0-9]') OR regexp_matches({PATH('href')}, '/page/[0-9]+') THEN split_part(href, '#', 1) END) AS pagination_links FROM {TABLES['probe_links']} GROUP BY 1),
-s AS (SELECT k.candidate_id, k.url, k.intent, coalesce(product_like_links, 0) AS product_like_links, coalesce(pagination_links, 0) AS pagination_links, {FOLD("concat_ws(' ', p.title, p.body)")} AS body FROM {TABLES['probed']} AS k LEFT JOIN {TABLES['probe_pages']} AS p ON p.url = k.url LEFT JOIN c ON c.url = k.url),
+ count(DISTINCT CASE WHEN lower(text) IN ({', '.join(map(q, lexicon.PAGE_WORDS))}) OR regexp_matches(text, '^[0-9]+$') OR regexp_matches({QUERY('href')}, '(^|&)(p|page)=[0-9]') OR regexp_matches({PATH('href')}, '/page/[0-9]+') THEN split_part(href, '#', 1) END) AS pagination_links FROM {ALL['probe_links']} GROUP BY 1),
+s AS (SELECT k.candidate_id, k.url, k.intent, coalesce(product_like_links, 0) AS product_like_links, coalesce(pagination_links, 0) AS pagination_links, {FOLD("concat_ws(' ', p.title, p.body)")} AS body FROM {ALL['probed']} AS k LEFT JOIN {ALL['probe_pages']} AS p ON p.url = k.url LEFT JOIN c ON c.url = k.url),
 e AS (SELECT *, CASE {' '.join(f"WHEN intent = '{k}' THEN regexp_matches(body, {q(v)})" for k, v in lexicon.INTENT_EVIDENCE.items())} ELSE true END AS i, regexp_matches(body, {q(lexicon.CAMERA_EVIDENCE)}) AS m, product_like_links > 0 AS b FROM s)
 SELECT candidate_id, url, intent, product_like_links, pagination_links, i AND m AND b AS accepted, 'camera=' || m::VARCHAR || '; shop=' || b::VARCHAR || '; intent=' || i::VARCHAR AS reason FROM e"""
 
 
 @query("q_probe_accept", PROBE_SQL)
 def probe_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.probes(frame(spark, "probed"), frame(spark, "probe_pages"), frame(spark, "probe_links"))
+    return pages.probes(frame(spark, sf_dir, "probed"), frame(spark, sf_dir, "probe_pages"), frame(spark, sf_dir, "probe_links"))
 
 
-@query("q_submenu_diff", f"SELECT page_id, arg_min(text, ord) AS text, arg_min(href, ord) AS href FROM (SELECT page_id, ord, {CLEAN('text')} AS text, href FROM {TABLES['nodes']} WHERE text <> '' AND href <> '') WHERE ord <> 1 GROUP BY page_id, lower(text) || '|' || href")
+@query("q_submenu_diff", f"SELECT page_id, arg_min(text, ord) AS text, arg_min(href, ord) AS href FROM (SELECT page_id, ord, {CLEAN('text')} AS text, href FROM {ALL['nodes']} WHERE text <> '' AND href <> '') WHERE ord <> 1 GROUP BY page_id, lower(text) || '|' || href")
 def submenu_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = frame(spark, "nodes")
+    nodes = frame(spark, sf_dir, "nodes")
     return site.submenu_items(nodes.where("ord = 1"), nodes)
 
 
-@query("q_seed_select", f"""WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY ord) AS r FROM {TABLES['roots']} WHERE explicit AND accepted) WHERE r = 1),
-g AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS r FROM {TABLES['roots']} WHERE NOT explicit AND accepted AND site IN (SELECT site FROM {TABLES['modes']} WHERE site_mode = 'RENTAL') AND site NOT IN (SELECT site FROM e))
+@query("q_seed_select", f"""WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY ord) AS r FROM {ALL['roots']} WHERE explicit AND accepted) WHERE r = 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS r FROM {ALL['roots']} WHERE NOT explicit AND accepted AND site IN (SELECT site FROM {ALL['modes']} WHERE site_mode = 'RENTAL') AND site NOT IN (SELECT site FROM e))
 SELECT site, url, intent, label FROM e UNION ALL SELECT site, url, intent, label FROM g WHERE r = 1""")
 def seed_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = frame(spark, "roots")
-    return site.select_seeds(roots.where("explicit"), roots.where("not explicit"), frame(spark, "modes"))
+    roots = frame(spark, sf_dir, "roots")
+    return site.select_seeds(roots.where("explicit"), roots.where("not explicit"), frame(spark, sf_dir, "modes"))
 
 
-@query("q_element_match", f"""SELECT node_id, element_id, score::INT AS score FROM (SELECT a.page_id * 10 + a.ord AS node_id, b.ord AS element_id, s AS score, row_number() OVER (PARTITION BY a.page_id, a.ord ORDER BY s DESC, b.ord) AS r FROM {TABLES['nodes']} AS a JOIN {TABLES['nodes']} AS b ON a.page_id = b.page_id,
+@query("q_element_match", f"""SELECT node_id, element_id, score::INT AS score FROM (SELECT a.page_id * 100 + a.ord AS node_id, b.ord AS element_id, s AS score, row_number() OVER (PARTITION BY a.page_id, a.ord ORDER BY s DESC, b.ord) AS r FROM {ALL['nodes']} AS a JOIN {ALL['nodes']} AS b ON a.page_id = b.page_id,
  LATERAL (SELECT CASE WHEN lower({CLEAN('a.text')}) = lower({CLEAN('b.text')}) THEN 120 ELSE 0 END + CASE WHEN a.href <> '' AND a.href = b.href THEN 220 ELSE 0 END + CASE WHEN a.aria_label <> '' AND lower({CLEAN('a.aria_label')}) = lower({CLEAN('b.aria_label')}) THEN 80 ELSE 0 END + CASE WHEN abs(a.x - b.x) + abs(a.y - b.y) < 10 THEN 80 WHEN abs(a.x - b.x) + abs(a.y - b.y) < 60 THEN 30 ELSE 0 END AS s)) WHERE r = 1""")
 def element_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = frame(spark, "nodes")
-    return site.match_elements(nodes.withColumn("node_id", F.col("page_id") * 10 + F.col("ord")), nodes.withColumn("element_id", F.col("ord")))
+    nodes = frame(spark, sf_dir, "nodes")
+    return site.match_elements(nodes.withColumn("node_id", F.col("page_id") * 100 + F.col("ord")), nodes.withColumn("element_id", F.col("ord")))
 
 
 def _checkpoint(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
@@ -380,23 +401,37 @@ def _checkpoint(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     return lambda df, name: df.checkpoint()
 
 
-def _crawled(spark: SparkSession) -> DataFrame:
-    state = pages.crawl(frame(spark, "seeds"), frame(spark, "edges"), frame(spark, "loaded"), _checkpoint(spark))
-    return pages.with_unfollowed(state, frame(spark, "edges"), _checkpoint(spark))
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = frame(spark, sf_dir, "edges")
+    state = pages.crawl(frame(spark, sf_dir, "seeds"), edges, frame(spark, sf_dir, "loaded"), _checkpoint(spark), MOST)
+    return pages.with_unfollowed(state, edges, _checkpoint(spark))
+
+
+#: Pages visited at most in the queries: more than there are.
+MOST = 10**9
+#: Waves that the SQL spells out.
+WAVES = 6
 
 
 def CRAWL(seeds: str, edges: str, loaded: str) -> str:
-    """A breadth-first crawl as WITH RECURSIVE parts; the last is crawl (url, wave, status)."""
-    return f"""w(url, wave) AS (SELECT DISTINCT {CANONICAL('url')}, 0 FROM {seeds} UNION SELECT e.next_url, w.wave + 1 FROM w JOIN {edges} AS e ON e.url = w.url WHERE e.next_url <> e.url AND w.wave < 20 AND w.url IN (SELECT url FROM {loaded})),
-crawl AS (SELECT url, min(wave)::INT AS wave, CASE WHEN url IN (SELECT url FROM {loaded}) THEN 'visited' ELSE 'failed' END AS status FROM w GROUP BY 1)"""
+    """A breadth-first crawl, wave by wave, as WITH parts; the last is crawl (url, intent, rank, wave, status)."""
+    parts = [f"edge AS (SELECT url, next_url, min(ord) AS ord FROM {edges} AS x WHERE next_url <> url GROUP BY 1, 2)", f"opens AS (SELECT DISTINCT url FROM {loaded} AS x)",
+             f"w0 AS (SELECT url, intent, row_number() OVER (ORDER BY o, url) - 1 AS rank, 0 AS wave FROM (SELECT {CANONICAL('url')} AS url, arg_max(intent, ord) AS intent, min(ord) AS o FROM {seeds} AS x GROUP BY 1))"]
+    for i in range(1, WAVES):
+        known = " UNION ALL ".join(f"SELECT url FROM w{k}" for k in range(i))
+        parts.append(f"""w{i} AS (SELECT url, intent, row_number() OVER (ORDER BY o, url) - 1 AS rank, {i} AS wave FROM (SELECT next_url AS url, arg_min(intent, rank * 100000 + ord) AS intent, min(rank * 100000 + ord) AS o
+ FROM w{i - 1} JOIN edge USING (url) WHERE url IN (SELECT url FROM opens) AND next_url NOT IN ({known}) GROUP BY 1))""")
+    waves = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(WAVES))
+    return ",\n".join([*parts, f"crawl AS (SELECT url, intent, rank, wave, CASE WHEN url IN (SELECT url FROM opens) THEN 'visited' ELSE 'failed' END AS status FROM ({waves}))"])
 
 
-SHOP_CRAWL = CRAWL(TABLES["seeds"], TABLES["edges"], TABLES["loaded"])
+SHOP_CRAWL = CRAWL(ALL["seeds"], ALL["edges"], ALL["loaded"])
 
 
-@query("q_frontier", f"WITH RECURSIVE {SHOP_CRAWL} SELECT url, wave, status FROM crawl")
+@query("q_frontier", f"WITH {SHOP_CRAWL} SELECT url, intent, rank, wave, status FROM crawl")
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawled(spark).select("url", "wave", "status")
+    """Pages in the order of the crawl, each with the intent of the page that first leads to it."""
+    return _crawled(spark, sf_dir).select("url", "intent", "rank", "wave", "status")
 
 
 def RECORDS(listed: str, details: str) -> str:
@@ -419,24 +454,24 @@ r AS (SELECT *, CASE WHEN NOT fetched THEN 'review' WHEN score <= {lexicon.NOT_C
  CASE WHEN ({NUM('json_review_count')}) >= 0 THEN floor(({NUM('json_review_count')}) + 0.5)::BIGINT END AS review_count, coalesce(nullif(stock, ''), regexp_replace(coalesce(json_availability, ''), '(?i)^https?://schema.org/', '')) AS stock_text FROM s)"""
 
 
-SHOP_RECORDS = RECORDS(TABLES["listed"], TABLES["details"])
-RECORD_SQL = "SELECT url, website, product_name, business_mode, specs, rating, review_count, stock_text AS stock, CASE WHEN fetched AND rental THEN price END AS rental_price_per_day, CASE WHEN fetched AND NOT rental THEN price END AS sale_price, disposition, reason FROM r"
+SHOP_RECORDS = RECORDS(ALL["listed"], ALL["details"])
+RECORD_SQL = "SELECT url, website, product_name, business_mode, specs, CASE WHEN rental THEN coalesce(rental_conditions, '') ELSE '' END AS rental_conditions, coalesce(accessories, '') AS included_accessories, coalesce(bundle, '') AS bundle, listing_price, detail_price, rating, review_count, stock_text AS stock, CASE WHEN fetched AND rental THEN price END AS rental_price_per_day, CASE WHEN fetched AND NOT rental THEN price END AS sale_price, disposition, reason FROM r"
 PLAIN_NUMBER = lambda c: f"CASE WHEN {c} = floor({c}) THEN {c}::BIGINT::VARCHAR ELSE {c}::VARCHAR END"
 PRICE_FIELD = "CASE WHEN rental THEN 'Giá thuê/ngày' ELSE 'Giá bán' END"
 
 
-def _records(spark: SparkSession) -> DataFrame:
-    return records.details(frame(spark, "listed"), frame(spark, "details"))
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.details(frame(spark, sf_dir, "listed"), frame(spark, sf_dir, "details"))
 
 
 @query("q_detail_record", f"WITH {SHOP_RECORDS} {RECORD_SQL}")
 def detail_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark).select("url", "website", "product_name", "business_mode", "specs", "rating", "review_count", "stock", "rental_price_per_day", "sale_price", "disposition", "reason")
+    return _records(spark, sf_dir).select(*records.RECORD, "disposition", "reason", "listing_price", "detail_price")
 
 
 @query("q_price_conflicts", f"WITH {SHOP_RECORDS} SELECT url, {PRICE_FIELD} AS field, {PLAIN_NUMBER('listing_price')} AS listing_value, {PLAIN_NUMBER('detail_price')} AS detail_value FROM r WHERE listing_price <> detail_price")
 def price_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.conflicts(_records(spark))
+    return records.conflicts(_records(spark, sf_dir))
 
 
 @query("q_order_conflicts", "SELECT o_orderkey, floor(o_totalprice)::BIGINT AS listed, floor(d)::BIGINT AS detail FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS d FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE floor(o_totalprice) <> floor(d)")
@@ -448,26 +483,29 @@ def order_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", listed.alias("listed"), detail.alias("detail")).where("listed <> detail")
 
 
-EVIDENCE_SQL = f"""WITH {SHOP_RECORDS} SELECT url, 'Tên sản phẩm' AS field, product_name AS value, CASE WHEN h1 <> '' THEN 'DOM' WHEN json_name <> '' THEN 'JSON_LD' ELSE 'LISTING' END AS source, CASE WHEN h1 <> '' THEN 0.99 ELSE 0.92 END::DOUBLE AS confidence FROM r WHERE fetched AND product_name <> ''
-UNION ALL SELECT url, {PRICE_FIELD}, {PLAIN_NUMBER('price')}, CASE WHEN json_price IS NOT NULL THEN 'JSON_LD' WHEN detail_price IS NOT NULL THEN 'DOM' ELSE 'LISTING' END, CASE WHEN detail_price IS NOT NULL THEN 0.99 ELSE 0.9 END FROM r WHERE fetched AND price IS NOT NULL
-UNION ALL SELECT url, 'Tồn kho', coalesce(nullif(stock, ''), json_availability), CASE WHEN stock <> '' THEN 'DOM' ELSE 'JSON_LD' END, 0.97 FROM r WHERE fetched AND coalesce(nullif(stock, ''), nullif(json_availability, '')) IS NOT NULL
-UNION ALL SELECT url, 'Phụ kiện đi kèm', accessories, 'DOM', 0.97 FROM r WHERE fetched AND accessories <> ''"""
+EVIDENCE_SQL = f"""WITH {SHOP_RECORDS}, v AS (SELECT url, disposition, 0 AS i, 'Tên sản phẩm' AS field, product_name AS value, CASE WHEN h1 <> '' THEN 'DOM' WHEN json_name <> '' THEN 'JSON_LD' ELSE 'LISTING' END AS source, CASE WHEN h1 <> '' THEN 0.99 ELSE 0.92 END::DOUBLE AS confidence, product_name AS evidence FROM r WHERE fetched AND product_name <> ''
+UNION ALL SELECT url, disposition, 1, {PRICE_FIELD}, {PLAIN_NUMBER('price')}, CASE WHEN json_price IS NOT NULL THEN 'JSON_LD' WHEN detail_price IS NOT NULL THEN 'DOM' ELSE 'LISTING' END, CASE WHEN detail_price IS NOT NULL THEN 0.99 ELSE 0.9 END,
+ CASE WHEN detail_price IS NULL THEN coalesce(price_text, '') ELSE coalesce(nullif(json_price_str, ''), {PLAIN_NUMBER('nullif(json_price_num, 0)')}, dom_price, '') END FROM r WHERE fetched AND price IS NOT NULL
+UNION ALL SELECT url, disposition, 2, 'Tồn kho', coalesce(nullif(stock, ''), json_availability), CASE WHEN stock <> '' THEN 'DOM' ELSE 'JSON_LD' END, 0.97, coalesce(nullif(stock, ''), json_availability) FROM r WHERE fetched AND coalesce(nullif(stock, ''), nullif(json_availability, '')) IS NOT NULL
+UNION ALL SELECT url, disposition, 3, 'Phụ kiện đi kèm', accessories, 'DOM', 0.97, accessories FROM r WHERE fetched AND accessories <> '')
+SELECT url, disposition, (row_number() OVER (PARTITION BY url ORDER BY i) - 1)::INT AS ord, field, value, source, confidence, evidence[:280] AS evidence FROM v"""
 
 
 @query("q_evidence_explode", EVIDENCE_SQL)
 def evidence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.evidence_rows(_records(spark)).select("url", "field", "value", "source", "confidence")
+    """Every piece of evidence of every record, in order, with its excerpt."""
+    return records.evidence_rows(_records(spark, sf_dir))
 
 
-@query("q_coverage", f"WITH RECURSIVE {SHOP_CRAWL} SELECT 'ROOT' AS kind, intent, label, url FROM {TABLES['seeds']} UNION ALL SELECT 'CATALOG_PAGE', '', '', url FROM crawl WHERE status = 'visited' AND url NOT IN (SELECT url FROM {TABLES['seeds']}) UNION ALL SELECT 'FAILED_PAGE', '', '', url FROM crawl WHERE status = 'failed'")
+@query("q_coverage", f"WITH {SHOP_CRAWL} SELECT 'ROOT' AS kind, intent, label, url FROM {ALL['seeds']} UNION ALL SELECT 'CATALOG_PAGE', '', '', url FROM crawl WHERE status = 'visited' AND url NOT IN (SELECT url FROM {ALL['seeds']}) UNION ALL SELECT 'FAILED_PAGE', '', '', url FROM crawl WHERE status = 'failed'")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.coverage(frame(spark, "seeds"), _crawled(spark))
+    return records.coverage(frame(spark, sf_dir, "seeds"), _crawled(spark, sf_dir))
 
 
-AUDIT_SQL = f"""WITH RECURSIVE {SHOP_CRAWL}, {SHOP_RECORDS},
+AUDIT_SQL = f"""WITH {SHOP_CRAWL}, {SHOP_RECORDS},
 c AS (SELECT count(*) FILTER (status = 'visited') AS visited, count(*) FILTER (status = 'failed') AS failed FROM crawl),
 d AS (SELECT count(*) AS checked, count(*) FILTER (disposition = 'accepted') AS accepted, count(*) FILTER (disposition = 'excluded') AS excluded, count(*) FILTER (disposition = 'review') AS review, count(*) FILTER (NOT fetched) AS errors, count(*) FILTER (listing_price <> detail_price) AS differ FROM r),
-k AS (SELECT *, (SELECT count(*) FROM {TABLES['seeds']}) AS roots, (SELECT count(*) FROM {TABLES['listed']}) AS products FROM c, d),
+k AS (SELECT *, (SELECT count(*) FROM {ALL['seeds']}) AS roots, (SELECT count(*) FROM {ALL['listed']}) AS products FROM c, d),
 v AS (SELECT map {{'Target': 'CAMERA', 'Start URL': 'https://s.vn/', 'Catalog roots': roots::VARCHAR, 'Catalog pages visited': visited::VARCHAR, 'Catalog queue remaining': failed::VARCHAR, 'Catalog URLs skipped by safety limit': '0', 'Failed catalog pages': failed::VARCHAR, 'Product candidates': products::VARCHAR,
  'Product details checked': checked::VARCHAR, 'Accepted': accepted::VARCHAR, 'Excluded': excluded::VARCHAR, 'Review': review::VARCHAR, 'Detail errors': errors::VARCHAR, 'Price conflicts': differ::VARCHAR, 'Catalog coverage': CASE WHEN failed = 0 THEN 'PASS' ELSE 'NOT COMPLETE' END,
  'Detail coverage': CASE WHEN checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Overall completeness': CASE WHEN failed = 0 AND checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Elapsed seconds': '0'}} AS m FROM k)
@@ -476,10 +514,12 @@ SELECT unnest(map_keys(m)) AS metric, unnest(map_values(m)) AS value FROM v"""
 
 @query("q_audit", AUDIT_SQL)
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.audit("https://s.vn/", frame(spark, "seeds"), _crawled(spark), frame(spark, "listed"), _records(spark))
+    return records.audit("https://s.vn/", frame(spark, sf_dir, "seeds"), _crawled(spark, sf_dir), frame(spark, sf_dir, "listed"), _records(spark, sf_dir))
 
 
-JSONLD_SQL = f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?s)<script type="application/ld.json">(.*?)</script>', 1)) AS raw, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?s)<script type="application/ld.json">(.*?)</script>', 1), 1) AS i FROM {TABLES['json_pages']}),
+def JSONLD(source: str) -> str:
+    """The fields of the first product of every page's embedded JSON."""
+    return f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?s)<script type="application/ld.json">(.*?)</script>', 1)) AS raw, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?s)<script type="application/ld.json">(.*?)</script>', 1), 1) AS i FROM {source} AS x),
 g AS (SELECT page_id, i, 0 AS k, raw::JSON AS o FROM c WHERE json_valid(raw) AND json_type(raw::JSON) = 'OBJECT'
  UNION ALL SELECT page_id, i, k, o FROM (SELECT page_id, i, unnest(json_extract(raw::JSON, '$[*]')) AS o, generate_subscripts(json_extract(raw::JSON, '$[*]'), 1) AS k FROM c WHERE json_valid(raw) AND json_type(raw::JSON) = 'ARRAY')),
 t AS (SELECT page_id, i, k, 0 AS m, o FROM g UNION ALL SELECT page_id, i, k, m, o FROM (SELECT page_id, i, k, unnest(json_extract(o, '$."@graph"[*]')) AS o, generate_subscripts(json_extract(o, '$."@graph"[*]'), 1) AS m FROM g)),
@@ -487,32 +527,31 @@ p AS (SELECT page_id, arg_min(o, i * 10000 + k * 100 + m) AS o FROM t WHERE lowe
 f AS (SELECT page_id, o, CASE WHEN json_type(o, '$.offers') = 'ARRAY' THEN json_extract(o, '$.offers[0]') ELSE json_extract(o, '$.offers') END AS f FROM p),
 v AS (SELECT *, coalesce(json_extract(f, '$.price'), json_extract(f, '$.lowPrice')) AS price FROM f)
 SELECT j.page_id, coalesce(json_extract_string(o, '$.name'), '') AS json_name, CASE WHEN o IS NOT NULL AND json_type(price) IS DISTINCT FROM 'UBIGINT' AND json_type(price) IS DISTINCT FROM 'DOUBLE' THEN coalesce(json_extract_string(price, '$'), '') END AS json_price_str, CASE WHEN json_type(price) IN ('UBIGINT', 'DOUBLE') THEN price::DOUBLE END AS json_price_num,
- coalesce(json_extract_string(f, '$.availability'), '') AS json_availability, json_extract_string(o, '$.aggregateRating.ratingValue') AS json_rating, coalesce(json_extract_string(o, '$.aggregateRating.reviewCount'), json_extract_string(o, '$.aggregateRating.ratingCount')) AS json_review_count FROM {TABLES['json_pages']} AS j LEFT JOIN v USING (page_id)"""
+ coalesce(json_extract_string(f, '$.availability'), '') AS json_availability, json_extract_string(o, '$.aggregateRating.ratingValue') AS json_rating, coalesce(json_extract_string(o, '$.aggregateRating.reviewCount'), json_extract_string(o, '$.aggregateRating.ratingCount')) AS json_review_count FROM {source} AS j LEFT JOIN v USING (page_id)"""
 
 
-@query("q_jsonld_product", JSONLD_SQL)
+@query("q_jsonld_product", JSONLD(ALL["json_pages"]))
 def jsonld_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first product of each page's embedded JSON; scripts that do not parse are passed over."""
-    return extract.products(html.shred(frame(spark, "json_pages"))).drop("url").withColumn("page_id", F.col("page_id").cast("int"))
+    return extract.products(html.shred(frame(spark, sf_dir, "json_pages"))).drop("url")
 
 
-SHOP_EDGES = f"(SELECT page_url AS url, unnest([page_url || '?page=' || k FOR k IN generate_series(2, n)]) AS next_url FROM (SELECT url AS page_url, TRY_CAST(nullif(regexp_extract(html, 'Page 1 / ([0-9]+)', 1), '') AS INT) AS n FROM {TABLES['shop']}) WHERE n > 1)"
-SHOP_WALK = CRAWL(TABLES["shop_seeds"], SHOP_EDGES, TABLES["shop"])
+ROW_TEXT = CLEAN("regexp_replace(x, '<[^>]*>', ' ', 'g')")
+PRODUCT_SQL = f"""owned AS (SELECT * FROM (SELECT {CANONICAL('href')} AS url, title, c.intent, {PRICE_SQL('card')} AS price_text, row_number() OVER (PARTITION BY {CANONICAL('href')} ORDER BY c.wave, c.rank, i) AS k FROM (SELECT * FROM card WHERE {CARD_PRODUCT}) JOIN crawl AS c ON c.url = page_url AND c.status = 'visited') WHERE k = 1),
+ld AS ({JSONLD(ALL['shop'])}),
+raw AS (SELECT url, {CLEAN("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS h1, {CLEAN("regexp_replace(regexp_replace(html, '<(script|head).*?</(script|head)>', '', 'g'), '<[^>]*>', ' ', 'g')")} AS body_text, ld.* EXCLUDE (page_id),
+ regexp_extract(html, '<p>Giá: ([^<]*)', 1) AS dom_price, regexp_extract(html, 'Tình trạng: ([^<]*)', 1) AS stock, regexp_extract(html, 'Phụ kiện: ([^<]*)', 1) AS accessories, regexp_extract(html, 'Bảo hành: ([^<]*)', 1) AS warranty,
+ coalesce(nullif(regexp_extract(html, 'Tóm tắt sản phẩm:</h2><p>([^<]*)', 1), ''), array_to_string(list_transform(regexp_extract_all(html, '<tr>(.*?)</tr>', 1), lambda x: {ROW_TEXT}), ' | ')) AS summary,
+ regexp_extract(html, '<p>(Đặt cọc[^<]*)', 1) AS rental_conditions, regexp_extract(html, '<p>Combo:</p><p>([^<]*)', 1) AS bundle FROM shop JOIN ld USING (page_id) WHERE contains(url, '/p/'))"""
+SHOP_EDGES = f"(SELECT page_url AS url, unnest([page_url || '?page=' || k FOR k IN generate_series(2, n)]) AS next_url, unnest(generate_series(2, n)) AS ord FROM (SELECT url AS page_url, TRY_CAST(nullif(regexp_extract(html, 'Page 1 / ([0-9]+)', 1), '') AS INT) AS n FROM {ALL['shop']}) WHERE n > 1)"
+SHOP_WALK = CRAWL(ALL["shop_seeds"], SHOP_EDGES, ALL["shop"])
 
 
-@query("q_pages_to_records", f"WITH RECURSIVE {SHOP_WALK}, {SHOP_SQL}, {PRODUCT_SQL}, listed AS (SELECT o.*, 'NEW' AS intent FROM owned AS o), {RECORDS('listed', 'raw')} SELECT url, product_name, business_mode, specs, stock_text AS stock, CASE WHEN fetched THEN price END AS sale_price, disposition, reason, listing_price, detail_price FROM r")
+@query("q_pages_to_records", f"WITH {SHOP_WALK}, {SHOP_SQL}, {PRODUCT_SQL}, {RECORDS('owned', 'raw')} {RECORD_SQL}")
 def pages_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From HTML to records: shredding, crawl of the catalog, cards, products, details, classification."""
-    got = extract.from_pages(frame(spark, "shop"), frame(spark, "shop_seeds"), _checkpoint(spark))["records"]
-    return got.select("url", "product_name", "business_mode", "specs", "stock", "sale_price", "disposition", "reason", "listing_price", "detail_price")
-
-
-SHOWN_BLOCKS = "|".join(sorted(html.BLOCK))
-SHOWN_PARTS = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(head|script|style)[ >].*?</(head|script|style)>', '', 'g'), '(?i)</?({SHOWN_BLOCKS})([ /][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
-SHOWN_TEXT = SHOWN_PARTS
-for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
-    SHOWN_TEXT = f"regexp_replace({SHOWN_TEXT}, '&{_name};?', '{_char}', 'g')"
-SHOWN_SQL = f"shown AS (SELECT page_id, {CLEAN(SHOWN_TEXT)} AS body FROM pages)"
+    got = extract.from_pages(frame(spark, sf_dir, "shop"), frame(spark, sf_dir, "shop_seeds"), _checkpoint(spark), MOST)["records"]
+    return got.select(*records.RECORD, "disposition", "reason", "listing_price", "detail_price")
 
 
 @query("q_page_regions", f"WITH {SHOWN_SQL} SELECT page_id, sha256(body) AS region, sha256(body[:12000]) AS visible FROM shown")
@@ -537,7 +576,7 @@ def link_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAG_TEXT = CLEAN("regexp_replace(tag, '<[^>]*>', '', 'g')")
 TAG_HREF = "regexp_extract(tag, 'href=\"([^\"]*)\"', 1)"
-SUBMENU_SQL = f"""WITH m AS (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*>.*?</a>') AS t, regexp_extract_all(regexp_extract(html, '<li class="root">(.*?)<i></i></li>', 1), '<a [^>]*>.*?</a>') AS kids FROM {TABLES['menus']}),
+SUBMENU_SQL = f"""WITH m AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '<li class="off">.*?</li>', '', 'g'), '<a [^>]*>.*?</a>') AS t, regexp_extract_all(regexp_extract(html, '<li class="root">(.*?)<i></i></li>', 1), '<a [^>]*>.*?</a>') AS kids FROM {ALL['menus']}),
 k AS (SELECT page_id, url, t[1] AS root, unnest(kids) AS tag, generate_subscripts(kids, 1) AS ord FROM m),
 i AS (SELECT page_id, arg_min(text, ord) AS text, href FROM (SELECT page_id, ord, {TAG_TEXT} AS text, {ORIGIN('url')} || {TAG_HREF} AS href FROM k WHERE tag <> root) GROUP BY page_id, href, lower(text)),
 d AS (SELECT page_id, ord, {TAG_TEXT} AS text, {TAG_HREF} AS href FROM (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) AS ord FROM m) WHERE page_id NOT IN (SELECT page_id FROM i))
@@ -548,25 +587,25 @@ SELECT page_id, arg_min(text, ord), href, 'VISIBLE_DIFF' FROM d AS x WHERE NOT E
 @query("q_submenu", SUBMENU_SQL)
 def submenu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links in the list item of the first link of every page; of pages without any, what that link alone did not show."""
-    shredded = html.shred(frame(spark, "menus"))
+    shredded = html.shred(frame(spark, sf_dir, "menus"))
     roots = extract.page_links(shredded, False, False).where("ord = 0").withColumn("root_id", F.col("page_id"))
     nodes = html.nodes(shredded)
-    return site.submenu(extract.children(shredded, roots), nodes.where("ord = 0"), nodes).withColumn("page_id", F.col("page_id").cast("int"))
+    return site.submenu(extract.children(shredded, roots), nodes.where("ord = 0"), nodes)
 
 
-ROWS_SQL = f"SELECT page_id, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {TABLES['shop']}"
+ROWS_SQL = f"SELECT page_id, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {ALL['shop']}"
 
 
 @query("q_table_rows", f"""SELECT page_id, i::INT AS i, {CLEAN("regexp_replace(line, '<[^>]*>', ' ', 'g')")} AS line FROM (SELECT page_id, unnest(rows) AS line, generate_subscripts(rows, 1) - 1 AS i FROM ({ROWS_SQL}))""")
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of tables: the first 20 of a page, of 300 characters at most."""
-    return html.shred(frame(spark, "shop")).select(F.col("page_id").cast("int").alias("page_id"), F.posexplode("table_rows").alias("i", "line"))
+    return html.shred(frame(spark, sf_dir, "shop")).select("page_id", F.posexplode("table_rows").alias("i", "line"))
 
 
 MENU_SCORES = f"""SELECT page_id, ord, {rules.score_sql(lexicon.MENU)} AS score, {rules.first_label_sql(lexicon.MENU_INTENT, 'CAMERA_GENERIC')} AS intent FROM (SELECT page_id, ord, {FOLD("concat_ws(' ', text, aria_label, title)")} AS text FROM {WHOLE['nodes']})"""
 
 
-@query("q_sure_roots", f"WITH {ANCHOR_SQL} SELECT page_id, ord, score::INT AS score, intent FROM ({MENU_SCORES}) WHERE score >= 100")
+@query("q_sure_roots", f"WITH {SITE_SQL} SELECT page_id, ord, score::INT AS score, intent FROM ({MENU_SCORES}) WHERE score >= 100")
 def sure_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Menu items that are catalog roots for certain."""
     return site.sure_candidates(site.menu_scores(whole(spark, sf_dir, "nodes"))).select("page_id", "ord", "score", "intent")
@@ -575,17 +614,17 @@ def sure_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_sheets", f"WITH {SHOP_RECORDS} SELECT CASE disposition WHEN 'accepted' THEN 'main' ELSE disposition END AS sheet, url, product_name, business_mode, CASE WHEN disposition <> 'accepted' THEN reason END AS reason FROM r")
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the report's three sheets of products: each record is in one of them."""
-    made = records.sheets(_records(spark), frame(spark, "seeds"), frame(spark, "modes"), spark)
+    made = records.sheets(_records(spark, sf_dir), frame(spark, sf_dir, "seeds"), frame(spark, sf_dir, "modes"), spark)
     main, *others = [made[k].withColumn("sheet", F.lit(k)) for k in ("main", "excluded", "review")]
     for part in others:
         main = main.unionByName(part, allowMissingColumns=True)
     return main.select("sheet", "url", "product_name", "business_mode", "reason")
 
 
-@query("q_failed_details", f"SELECT l.url, l.title AS product_name, 'detail fetch failed: page not in corpus' AS reason FROM {TABLES['listed']} AS l LEFT JOIN {TABLES['details']} AS d ON d.url = l.url WHERE d.url IS NULL")
+@query("q_failed_details", f"SELECT l.url, l.title AS product_name, 'detail fetch failed: page not in corpus' AS reason FROM {ALL['listed']} AS l LEFT JOIN {ALL['details']} AS d ON d.url = l.url WHERE d.url IS NULL")
 def failed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed products whose page is not in the corpus stay, for review."""
-    return _records(spark).where("reason LIKE 'detail fetch failed%'").select("url", "product_name", "reason")
+    return _records(spark, sf_dir).where("reason LIKE 'detail fetch failed%'").select("url", "product_name", "reason")
 
 
 @query("q_event_props", "SELECT event_type, count(*) AS n_events, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
@@ -593,3 +632,16 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedded JSON at scale: fields taken from a column of JSON texts without Python."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("k").alias("total"))
+
+
+STYLED = """replace(replace(replace(html, '<style>', '<style>/* . */ .off{display:none} a.ghost,b{visibility:hidden} @media print{h1{display:none}} '), '<a href="/t', '<a class="off" href="/t'), '<a href="/a', '<a class="x ghost" href="/a')"""
+STYLED_SQL = f"""styled AS (SELECT page_id, url, {STYLED} AS html FROM pages), seen AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<a class="(off|x ghost)" .*?</a>', '', 'g'), '(?s)<b>.*?<br>', '<br>', 'g') AS html FROM styled)"""
+
+
+@query("q_page_visibility", f"WITH {STYLED_SQL}, {SHOWN('seen')} SELECT page_id, len(regexp_extract_all(html, '<a '))::INT AS n_controls, len(regexp_extract_all(s.html2, '<a '))::INT AS n_links, sha256(body[:{html.VISIBLE_MOST}]) AS visible FROM seen JOIN shown USING (page_id) JOIN (SELECT page_id, html AS html2 FROM styled) AS s USING (page_id)")
+def page_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls and text that pages show, and all their links, with rules written into their style sheets: links not
+    displayed, links and bold text hidden (bold up to the line end that the given pages leave open)."""
+    shredded = html.shred(_pages(spark, sf_dir).select("page_id", "url", F.expr(STYLED.replace("\\", "\\\\")).alias("html")))
+    shown = F.translate(F.substring(F.array_join("lines", "\n"), 1, html.VISIBLE_MOST), "\n", " ")
+    return shredded.select("page_id", F.size(F.filter("nodes", lambda n: n.interactive)).alias("n_controls"), F.size(F.filter("nodes", lambda n: n.tag == "a")).alias("n_links"), F.sha2(shown, 256).alias("visible"))

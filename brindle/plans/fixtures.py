@@ -1,9 +1,11 @@
-"""Small tables of commerce pages, as SQL that Spark and DuckDB both read: the page corpus has none of that vocabulary."""
+"""Small tables of commerce pages with the odd cases, as SQL that Spark and DuckDB both read; shops.py has the large ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.plans import shops
+
 
 def _literal(v: object) -> str:
     if v is None:
@@ -22,10 +24,16 @@ def relation(columns: str, rows: list[tuple]) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) AS v({columns}))"
 
 
-def frame(spark: SparkSession, name: str) -> DataFrame:
+def literal(spark: SparkSession, name: str) -> DataFrame:
+    """A fixture's own rows."""
     return spark.sql(f"SELECT * FROM {TABLES[name]} AS t")
 
 
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture's own rows and those made of a folder's tables."""
+    return spark.sql(f"SELECT * FROM {shops.spark_sql(shops.relation(TABLES[name], name), sf_dir)} AS t")
+
+
 NODES = relation("page_id, ord, text, href, aria_label, title, x, y", [
     (1, 1, "Cho thuê máy ảnh", "/thue", "", "", 10, 10), (1, 2, "Máy ảnh cũ", "/cu", "", "", 90, 10), (1, 3, "Đăng nhập", "/dang-nhap", "", "", 200, 10),
     (2, 1, "Máy ảnh cũ", "/may-anh-cu", "", "", 10, 10), (2, 2, "Máy ảnh chính hãng", "/moi", "", "", 50, 10), (2, 3, "Ống kính máy ảnh", "/lens", "", "", 90, 10),
@@ -97,6 +105,7 @@ JSON_PAGES = relation("page_id, url, html", [
     (3, "https://s.vn/3", LD.replace("{}", "{broken") + LD.replace("{}", '{"@graph":[{"@type":"WebPage"},{"@type":"product","name":"D850","offers":{"lowPrice":7}}]}')),
     (4, "https://s.vn/4", LD.replace("{}", '{"@type":"WebPage","mainEntity":{"@type":"Product","name":"hidden"}}')), (5, "https://s.vn/5", None),
 ])
+VISITS = relation("page_url, visit_rank", [("https://s.vn/c", 2), ("https://s.vn/c?p=2", 1)])
 TURNING = relation("page_url, region_text", [("https://s.vn/c", "Page 1 / 3"), ("https://s.vn/d?x=1", "page 1/2"), ("https://s.vn/e", "Page 1/1"), ("https://s.vn/f?page=2&y=1&b=2", "xem Page 2 / 12 trang"), ("https://s.vn/g", "")])
 TURNS = relation("page_url, ord, href", [
     ("https://s.vn/c", 1, "https://s.vn/c?page=2"), ("https://s.vn/c", 2, "https://s.vn/z?p=2"), ("https://s.vn/d?x=1", 1, "https://s.vn/d?x=1&p=5"), ("https://s.vn/f?page=2&y=1&b=2", 1, "https://s.vn/f?page=next"),
@@ -141,8 +150,10 @@ MENUS = relation("page_id, url, html", _menus())
 SHOP = relation("page_id, url, html", _shop())
 SHOP_SEEDS = relation("ord, url, intent, label", [(1, "https://shop.vn/c", "NEW", "New")])
 TABLES = {
-    "menus": MENUS, "turning": TURNING, "turns": TURNS, "hrefs": HREFS, "shop": SHOP, "shop_seeds": SHOP_SEEDS,
+    "visits": VISITS, "menus": MENUS, "turning": TURNING, "turns": TURNS, "hrefs": HREFS, "shop": SHOP, "shop_seeds": SHOP_SEEDS,
     "json_pages": JSON_PAGES,
     "nodes": NODES, "pages": PAGES, "links": LINKS, "candidates": CANDIDATES, "cards": CARDS, "texts": TEXTS, "values": VALUES_, "urls": URLS, "lines": LINES, "edges": EDGES, "seeds": SEEDS,
     "loaded": LOADED, "roots": ROOTS, "modes": MODES, "details": DETAILS, "listed": LISTED, "probed": PROBED, "probe_pages": PROBE_PAGES, "probe_links": PROBE_LINKS,
 }
+#: The same for DuckDB: a fixture's rows and those made of the folder's tables.
+ALL = {name: shops.duck_sql(shops.relation(rows, name)) for name, rows in TABLES.items()}

@@ -261,8 +261,8 @@ def ancestor(node: Column, qualifies: Callable[[Column], Column], most: int) ->
 
 
 def visible_text(shredded: DataFrame, most: int = VISIBLE_MOST) -> DataFrame:
-    """page_id and the first `most` characters of what a page shows, line by line."""
-    return shredded.select("page_id", F.substring(F.array_join("lines", "\n"), 1, most).alias("visible_text"))
+    """page_id, url and the first `most` characters of what a page shows, line by line."""
+    return shredded.select("page_id", "url", F.substring(F.array_join("lines", "\n"), 1, most).alias("visible_text"))
 
 
 def nodes(shredded: DataFrame, most: int = 300) -> DataFrame:

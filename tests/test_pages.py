@@ -115,7 +115,7 @@ def test_crawl_is_whole_and_ends(spark):
 
 
 def test_crawl_bound_leaves_the_rest_queued(spark):
-    frame = lambda n: fixtures.frame(spark, n)
+    frame = lambda n: fixtures.literal(spark, n)
     got = pages.crawl(frame("seeds"), frame("edges"), frame("loaded"), lambda df, n: df.checkpoint(), most=1).collect()
     assert sorted(r.status for r in got) == ["queued", "visited"]
 
@@ -154,7 +154,7 @@ def test_nearest_ancestor(spark):
 
 
 def test_report_conserves_records(spark):
-    rows = catalog._records(spark)
+    rows = records.details(fixtures.literal(spark, "listed"), fixtures.literal(spark, "details"))
     sheets = records.sheets(rows, rows.select("url"), rows.select("url"), spark)
     assert sheets["main"].count() + sheets["excluded"].count() + sheets["review"].count() == rows.count() == 5
     assert sheets["visual_evidence"].count() == 0 and sheets["log"].count() == 1
