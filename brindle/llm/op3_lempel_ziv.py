@@ -5,7 +5,8 @@ factored greedily against every reference block with its anchor that stands earl
 hold `length` words in common with it. Each factor is the longest run of words from its start that any of them
 holds. A factor of `length` words or more is a duplicate span; windows that lie across its end are looked up one
 after the other, as another reference block may hold them, and start factors of their own. A shorter factor is
-passed over by one word.
+passed over by one word. The index takes room in proportion to a task's words, not to their bytes, and tasks are
+bounded by bytes too.
 
 A task holds the reference blocks of its partition; windows of an anchor that lies across partitions, as far as no
 reference block here has them, are looked up by hash in those of the other partitions.
@@ -28,26 +29,48 @@ PER_TASK = 4_000
 
 
 class Reference:
-    """Index of reference blocks: all runs of `least` words or more in them, as bytes with the words one space apart."""
+    """Index of reference blocks: all runs of `least` words or more in them, by hash, each with the first place that
+    holds it. A hit is compared with the block's own bytes, so that a run takes the same room however long its words are.
+
+    The hash of a run of one word more is made of the run's and the word's: each word is hashed once a block.
+    """
 
     def __init__(self, least: int) -> None:
         self.least = least
-        self.runs: set[bytes] = set()
+        self.blocks: list[tuple[bytes, list[int], list[int]]] = []
+        self.places: dict[int, int] = {}
 
     def add(self, block: bytes, starts: list[int], ends: list[int]) -> None:
-        least = self.least
+        least, places, first = self.least, self.places, len(self.blocks) << 32
+        self.blocks.append((block, starts, ends))
+        words = [hash(block[a:b]) for a, b in zip(starts, ends)]
         for k in range(len(starts) - least + 1):
-            low = starts[k]
-            self.runs.update([block[low:end] for end in ends[k + least - 1 :]])
+            key = hash(block[starts[k] : ends[k + least - 1]])
+            places.setdefault(key, first + k)
+            for word in words[k + least :]:
+                key = hash((key, word))
+                places.setdefault(key, first + k)
 
     def longest(self, block: bytes, starts: list[int], ends: list[int], at: int) -> int:
         """Words of the longest run from the word `at` on that a reference block holds; 0 if shorter than `least`."""
-        low, stop, runs = starts[at], at + self.least - 1, self.runs
-        if stop >= len(ends) or block[low : ends[stop]] not in runs:
+        stop, hits = at + self.least - 1, []
+        if stop >= len(ends):
             return 0
-        while stop + 1 < len(ends) and block[low : ends[stop + 1]] in runs:
+        key = hash(block[starts[at] : ends[stop]])
+        while (place := self.places.get(key)) is not None:
+            hits.append(place)
             stop += 1
-        return stop + 1 - at
+            if stop == len(ends):
+                break
+            key = hash((key, hash(block[starts[stop] : ends[stop]])))
+        while hits:  # the longest whose bytes are equal, which is the first but for equal hashes of unequal runs
+            size = self.least - 1 + len(hits)
+            place = hits.pop()
+            other, begin, end = self.blocks[place >> 32]
+            word = place & 0xFFFFFFFF
+            if other[begin[word] : end[word + size - 1]] == block[starts[at] : ends[at + size - 1]]:
+                return size
+        return 0
 
 
 def parse(block: bytes, starts: list[int], ends: list[int], reference: Reference) -> list[tuple[int, int]]:

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm import store
 
-#: Parts between spaces, and other pieces, whose ids a worker remembers (later ones are encoded each time); pairs of tokens.
-PARTS, PIECES, FOLLOWS = 100_000, 100_000, 200_000
+#: A worker remembers the ids of parts between spaces, and of other pieces, of so many characters at most, and so many
+#: bytes of them in all, of which ENTRY are an entry's own (later ones are encoded each time); and pairs of tokens.
+KEPT_CHARS, KEPT_BYTES, ENTRY, FOLLOWS = 64, 64 << 20, 250, 200_000
 #: Texts in Python's hands at a time.
 AT_ONCE = 500
 #: White space, and the letters and numbers that Unicode 16.0, by which the library splits, has and
@@ -188,17 +189,25 @@ class Encoder:
         #: A space before a space, or at the end: such texts are not cut at spaces.
         self.odd = re.compile(r" (?=\s|\Z)")
         self._piece: dict[str, bytes] = {}
+        self.kept = 0
         encoder = self
 
         class Spaced(dict):
             def __missing__(self, part: str) -> bytes:
                 ids = encoder._whole(" " + part)
-                if len(self) < PARTS:
+                if encoder._fits(part, ids):
                     self[part] = ids
                 return ids
 
         self._spaced = Spaced()
 
+    def _fits(self, text: str, ids: bytes) -> bool:
+        """Whether a text and its ids may be kept; if so, counts their bytes."""
+        size = 4 * len(text) + len(ids) + ENTRY
+        fits = len(text) <= KEPT_CHARS and self.kept + size <= KEPT_BYTES
+        self.kept += size * fits
+        return fits
+
     def _whole(self, text: str) -> bytes:
         out, known = [], self._piece
         kind = "ascii" if text.isascii() else "all" if self.beyond.search(text) else "basic"
@@ -207,7 +216,7 @@ class Encoder:
             ids = known.get(piece)
             if ids is None:
                 ids = b"".join(map(self.vocabulary.packed.__getitem__, self.vocabulary.encode_piece(piece.encode())))
-                if len(found) > 1 and len(known) < PIECES:
+                if len(found) > 1 and self._fits(piece, ids):
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)

@@ -133,6 +133,8 @@ COMPARED = "gram long, ctx long, starts array<int>, ends array<int>, bucket int,
 PACKED = ("hash", "i", "ctxs", "ids", "rks", "places")
 #: Buckets of hashes, at least, that the windows of an anchor at a partition's edge are dealt over.
 LEAST_BUCKETS = 64
+#: Bytes of blocks that a task compares, about.
+TASK_BYTES = 32 << 20
 
 
 def _compare(units: Units, window: int, keep_first: bool, judge: Judge, buckets: int):
@@ -236,7 +238,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     """Spans of symbols under windows that stand elsewhere too (keep_first: that also start earlier).
 
     docs: _id, _rk (store.row_key), text. deal(blocks, n) spreads blocks over n partitions, equal anchors side
-    by side; n is such that a task gets about per_task blocks. Returns _id, _rk, starts and ends (array<long>),
+    by side; n is such that a task gets about per_task blocks, or TASK_BYTES if they are long. Returns _id, _rk, starts and ends (array<long>),
     in symbols; texts without any have no row. Spans may overlap.
     """
     docs = docs.select("_id", "_rk", "text")
@@ -255,7 +257,8 @@ def repeated_spans(docs: DataFrame, units: Units, window: int, gram: int, keep_f
     f, schema = _fetch(cut, window)
     blocks = store.map_arrow(docs.join(wants, ["_id", "_rk"]), lambda batches: _gather(f(batches)), schema)
     blocks = store.table(blocks, "blocks")
-    parts = max(1, -(-blocks.count() // per_task))
+    n, size = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("block").cast("long")), F.lit(0))).first()
+    parts = max(1, -(-n // per_task), -(-size // TASK_BYTES))
     compare = _compare(units, window, keep_first, judge, max(LEAST_BUCKETS, parts))
     compared = store.table(store.map_arrow(deal(blocks, parts), compare, COMPARED), "compared")
     store.drop(blocks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -147,3 +149,31 @@ def test_long_periodic_texts(spark):
     assert all(r["n_removed"] == r["n_bytes"] == len(texts[i]) and r["n_spans"] == 1 for i, r in got.items())
     got = {r["doc_id"]: r for r in op3_lempel_ziv.digest(docs).collect()}
     assert [got[i]["n_words"] - got[i]["n_removed"] for i in range(4)] == [1, 1, 1, 3]
+
+
+def test_reference_of_long_words_takes_little_more_than_its_blocks():
+    word = lambda b, i: (f"{b if i % 9 == 0 else 0}-{i}-" * 2000)[:20_000].encode()
+    blocks = [b" ".join(word(b, i) for i in range(35)) for b in range(25)]
+    placed = [(x, *op3_lempel_ziv.word_places(x)) for x in blocks]
+    tracemalloc.start()
+    reference = op3_lempel_ziv.Reference(20)
+    for x in placed:
+        reference.add(*x)
+    assert tracemalloc.get_traced_memory()[1] < 30e6  # the blocks are 17 MB, and not copied
+    tracemalloc.stop()
+    assert reference.longest(*placed[3], 2) == 33 and op3_lempel_ziv.parse(*placed[7], reference) == [(0, 35)]
+
+
+def test_a_run_of_equal_hash_and_other_bytes_is_no_factor(monkeypatch):
+    monkeypatch.setattr(op3_lempel_ziv, "hash", lambda x: 7, raising=False)
+    reference = op3_lempel_ziv.Reference(2)
+    for block in (b"a b c d", b"x y z"):
+        reference.add(block, *op3_lempel_ziv.word_places(block))
+    assert reference.longest(b"q r s", *op3_lempel_ziv.word_places(b"q r s"), 0) == 0
+
+
+def test_near_copies_of_long_words(spark):
+    word = lambda b, i: (f"{b}.{i}" if i == 50 else str(i)) * 4000
+    docs = spark.createDataFrame([(b, " ".join(word(b, i) for i in range(100))) for b in range(8)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in op3_lempel_ziv.digest(docs).collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, 8), 99)

@@ -267,3 +267,13 @@ def test_toxicity_features_of_unbroken_texts_take_linear_time(text):
     op10_toxicity.text_features(text, {}, {})
     assert len(op10_toxicity.SHOUTED.findall(text)) + sum(1 for _ in op10_toxicity.STRETCHED.finditer(text)) <= 1
     assert time.perf_counter() - began < 20
+
+
+def test_what_an_encoder_remembers_is_bounded_by_bytes(official, monkeypatch):
+    encoder = op7_byte_bpe.Encoder(op7_byte_bpe.read_ranks(op7_byte_bpe.default_path()))
+    monkeypatch.setattr(op7_byte_bpe, "KEPT_BYTES", 10_000)
+    texts = [" ".join(f"{a}{b}" for a in "abcdefghij" for b in range(100)), "漢字" * 50_000, ("x" * 100_000 + " ") * 3 + "y", " ".join(["same", "same"])]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == official.encode_ordinary(text)
+    kept = [*encoder._spaced.items(), *encoder._piece.items()]
+    assert encoder.kept <= 10_000 and sum(len(k) + len(v) for k, v in kept) <= 10_000 and max(len(k) for k, _ in kept) <= op7_byte_bpe.KEPT_CHARS
