@@ -634,14 +634,14 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("k").alias("total"))
 
 
-STYLED = """replace(replace(replace(html, '<style>', '<style>/* . */ .off{display:none} a.ghost,b{visibility:hidden} @media print{h1{display:none}} '), '<a href="/t', '<a class="off" href="/t'), '<a href="/a', '<a class="x ghost" href="/a')"""
-STYLED_SQL = f"""styled AS (SELECT page_id, url, {STYLED} AS html FROM pages), seen AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<a class="(off|x ghost)" .*?</a>', '', 'g'), '(?s)<b>.*?<br>', '<br>', 'g') AS html FROM styled)"""
+STYLED = """replace(replace(replace(html, '<style>', '<style>/* . */ .off{display:none} a.ghost{visibility:hidden} h1{display:none} @media print{p{display:none}} '), '<a href="/t', '<a class="off" href="/t'), '<a href="/a', '<a class="x ghost" href="/a')"""
+STYLED_SQL = f"""styled AS (SELECT page_id, url, {STYLED} AS html FROM pages), seen AS (SELECT page_id, url, regexp_replace(html, '(?s)<a class="(off|x ghost)" .*?</a>|<h1>.*?</h1>', '', 'g') AS html FROM styled)"""
 
 
 @query("q_page_visibility", f"WITH {STYLED_SQL}, {SHOWN('seen')} SELECT page_id, len(regexp_extract_all(html, '<a '))::INT AS n_controls, len(regexp_extract_all(s.html2, '<a '))::INT AS n_links, sha256(body[:{html.VISIBLE_MOST}]) AS visible FROM seen JOIN shown USING (page_id) JOIN (SELECT page_id, html AS html2 FROM styled) AS s USING (page_id)")
 def page_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Controls and text that pages show, and all their links, with rules written into their style sheets: links not
-    displayed, links and bold text hidden (bold up to the line end that the given pages leave open)."""
+    """Controls and text that pages show, and all their links, with rules written into their style sheets: links and
+    headings that are not displayed, links that are hidden, and a rule for print alone."""
     shredded = html.shred(_pages(spark, sf_dir).select("page_id", "url", F.expr(STYLED.replace("\\", "\\\\")).alias("html")))
     shown = F.translate(F.substring(F.array_join("lines", "\n"), 1, html.VISIBLE_MOST), "\n", " ")
     return shredded.select("page_id", F.size(F.filter("nodes", lambda n: n.interactive)).alias("n_controls"), F.size(F.filter("nodes", lambda n: n.tag == "a")).alias("n_links"), F.sha2(shown, 256).alias("visible"))
