@@ -11,17 +11,30 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 
-def _accents() -> tuple[str, str]:
-    """Letters that decompose to one plain letter and combining marks, and those plain letters."""
-    source, target = "đĐ", "dD"
-    for x in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        first, *marks = unicodedata.normalize("NFD", chr(x))
-        if marks and all("̀" <= m <= "ͯ" for m in marks):
-            source, target = source + chr(x), target + first
-    return source, target
+#: Marks that folding takes off, of the letters' own and of decomposed ones.
+MARKS = "\u0300-\u036f"
+#: Blocks of all characters that decompose to several that stay, Hangul's syllables among them.
+SEVERAL = r"[\x{0620}-\x{06ff}\x{0900}-\x{1bff}\x{3040}-\x{30ff}\x{ac00}-\x{d7a3}\x{fb00}-\x{fb4f}\x{11000}-\x{1d1ff}]"
+HANGUL = (0xAC00, 0xD7A3)
 
 
-ACCENTED, PLAIN = _accents()
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that decompose canonically to one other or none without MARKS, and those that do to several."""
+    one, several = {"đ": "d", "Đ": "D"}, {}
+    for x in range(0xC0, 0x30000):
+        whole = unicodedata.normalize("NFD", chr(x)) if not HANGUL[0] <= x <= HANGUL[1] else chr(x)
+        kept = "".join(m for m in whole if not "\u0300" <= m <= "\u036f")
+        if whole != chr(x):
+            (one if len(kept) < 2 else several)[chr(x)] = kept
+    return one, several
+
+
+ONE, MANY = _decompositions()
+_LAST = max(map(len, MANY.values()))
+#: Tables of translate: characters with one in place of each, those with none last; and the k-th of several in place of each.
+ACCENTED = "".join(sorted(ONE, key=lambda c: not ONE[c]))
+PLAIN = "".join(ONE[c] for c in ACCENTED)
+_NTH = [(k, "".join(sorted(MANY, key=lambda c, k=k: len(MANY[c]) <= k)), "".join(v[k] for v in sorted(MANY.values(), key=lambda v, k=k: len(v) <= k) if len(v) > k)) for k in range(_LAST)]
 
 
 def _s(c: Column | str) -> Column:
@@ -39,9 +52,26 @@ def light(c: Column | str) -> Column:
     return F.lower(clean(c))
 
 
+def _character(c: Column) -> Column:
+    """A character's decomposition, of those that have several characters."""
+    number = F.ascii(c) - HANGUL[0]
+    # a code point as UTF-16
+    at = lambda n: F.decode(F.unhex(F.hex(n)), "UTF-16BE")
+    last = F.when(number % 28 > 0, at(number % 28 + 0x11A7)).otherwise("")
+    syllable = F.concat(at(F.floor(number / 588) + 0x1100), at(F.floor(number % 588 / 28) + 0x1161), last)
+    nth = [F.translate(c, source, target) for _, source, target in _NTH]
+    return F.when((c >= chr(HANGUL[0])) & (c <= chr(HANGUL[1])), syllable).when(F.lit("".join(MANY)).contains(c), F.concat(*nth)).otherwise(c)
+
+
+def decomposed(c: Column | str) -> Column:
+    """Canonically decomposed, without the marks U+0300 to U+036F. Other marks stay in the order that they are given in."""
+    plain = F.translate(F.regexp_replace(_s(c), f"[{MARKS}]", ""), ACCENTED, PLAIN)
+    return F.when(plain.rlike(SEVERAL), F.array_join(F.transform(F.split(plain, ""), _character), "")).otherwise(plain)
+
+
 def fold(c: Column | str) -> Column:
     """Without accents, lower case, white space collapsed: what the rules are written in."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.regexp_replace(_s(c), r"[\x{0300}-\x{036f}]", ""), ACCENTED, PLAIN)), WS, " "))
+    return F.trim(F.regexp_replace(F.lower(decomposed(c)), WS, " "))
 
 
 def any_of(terms: list[str], bounded: bool = False) -> str:

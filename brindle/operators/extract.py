@@ -6,6 +6,8 @@ interval, and parents, nearest headings and list items are numbers. Nothing is j
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,12 +146,23 @@ def products(shredded: DataFrame) -> DataFrame:
     return shredded.select("page_id", "url", jsonld.product_fields(F.col("jsonld")).alias("p")).select("page_id", "url", "p.*")
 
 
-def from_pages(corpus: DataFrame, seeds: DataFrame, checkpoint, most: int = pages.MOST_VISITED) -> dict[str, DataFrame]:
-    """From pages at rest (page_id, url, html) and seeds (ord, url, intent, label) to crawled, products and records.
+def from_pages(corpus: DataFrame, seeds: DataFrame, checkpoint, most: int = pages.MOST_VISITED, start_url: str = "", gates: bool = False) -> dict[str, DataFrame]:
+    """From pages at rest (page_id, url, html) and seeds (ord, url, intent, label) to crawled, products, records and audit.
 
     Catalog pages are those that pagination reaches from the seeds; every product on them belongs to the first page
-    visited that shows it, and its record comes of its own page.
+    visited that shows it, and its record comes of its own page. The audit's numbers are observed while the tables are
+    written. gates: raise as soon as there are no seeds, catalogs are not complete, or there are no products.
     """
+    began = time.monotonic()
+    spark = corpus.sparkSession
+    seen = []
+
+    def kept(rows: DataFrame, what: str) -> DataFrame:
+        rows, counts = records.observed(rows, what)
+        seen.append(counts)
+        return checkpoint(rows, what)
+
+    seeds = kept(seeds, "roots")
     shredded = checkpoint(html.shred(corpus), "shredded")
     titled = checkpoint(cards(shredded).withColumn("page_url", url.canonical("url")), "cards")
     turns = titled.where(~F.lower("title").isin(lexicon.NAVIGATION_TITLES)).select("page_url", "ord", "href")
@@ -157,9 +170,13 @@ def from_pages(corpus: DataFrame, seeds: DataFrame, checkpoint, most: int = page
     order = F.coalesce(url.parameter("next_url", "page"), url.parameter("next_url", "p")).try_cast("int")
     edges = edges.select(F.col("page_url").alias("url"), F.coalesce(order, F.lit(0)).alias("ord"), "next_url")
     crawled = pages.crawl(seeds, edges, shredded.where("error is null").select(url.canonical("url").alias("url")), checkpoint, most)
-    crawled = checkpoint(pages.with_unfollowed(crawled, edges, checkpoint), "crawled")
+    crawled = kept(pages.with_unfollowed(crawled, edges, checkpoint), "crawled")
     visits = crawled.where("status = 'visited'").select(F.col("url").alias("page_url"), "intent", F.struct("wave", "rank").alias("visit_rank"))
     listed = titled.select("page_url", "ord", "href", "title", "card").join(visits.select("page_url", "intent"), "page_url")
     products = pages.owned_products(pages.page_products(listed), visits.select("page_url", "visit_rank"))
-    products = products.select(F.col("product_url").alias("url"), "title", "intent", "catalog_url", "price_text")
-    return {"crawled": crawled, "products": products, "records": records.details(products, detail_rows(shredded))}
+    products = kept(products.select(F.col("product_url").alias("url"), "title", "intent", "catalog_url", "price_text"), "products")
+    if gates:
+        records.checked(seeds, crawled, products)
+    made = kept(records.details(products, detail_rows(shredded)), "records")
+    audit = records.audit_of(spark, start_url, seen, int(time.monotonic() - began + 0.5))
+    return {"crawled": crawled, "products": products, "records": made, "audit": audit}

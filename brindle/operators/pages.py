@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,13 +112,14 @@ def crawl(seeds: DataFrame, edges: DataFrame, loaded: DataFrame, checkpoint, mos
     of the page that first leads to it (seeds: of the last seed with its URL). Each wave is ranked by the rank of
     that page and the link's ord, then by URL. The first `most` pages that open are visited; what comes after
     the last of them in its wave is queued. Links that no wave has followed are no rows here: with_unfollowed
-    adds them, which audits and coverage need. checkpoint(df, name) cuts lineage.
+    adds them, which audits and coverage need. checkpoint(df, name) cuts lineage. The state is kept as Parts, each wave
+    written as it comes.
     """
     edges = edges.where("next_url <> url").groupBy("url", "next_url").agg(F.min("ord").alias("ord"))
     opens = loaded.select("url").distinct().withColumn("_open", F.lit(True))
     front = seeds.withColumn("url", url.canonical("url")).groupBy("url").agg(F.max_by("intent", "ord").alias("intent"), F.min("ord").alias("_o"))
     front = numbered(front.withColumn("wave", F.lit(0)), ["_o", "url"], checkpoint).drop("_o")
-    state, visited = front.where("false").select("url", "intent", "rank", "wave", F.lit("queued").alias("status")), 0
+    parts, visited = Parts(front.where("false").select("url", "intent", "rank", "wave", F.lit("queued").alias("status")), checkpoint), 0
     for wave in range(waves):
         if front.isEmpty():
             break
@@ -130,11 +133,38 @@ def crawl(seeds: DataFrame, edges: DataFrame, loaded: DataFrame, checkpoint, mos
         # a wave that does not fill the bound is taken whole, with failed pages behind the last that opens
         last = F.lit(2**63 - 1 if visited < most else -1 if fits["last"] is None else fits["last"]).cast("long")
         status = F.when(F.col("rank") > last, "queued").when(F.col("_open"), "visited").otherwise("failed")
-        state = checkpoint(state.unionByName(seen.select("url", "intent", "rank", "wave", status.alias("status"))), "state")
+        now = parts.add(seen.select("url", "intent", "rank", "wave", status.alias("status")))
         if visited >= most:
             break
-        front = _next(state.where(f"wave = {wave}"), state, edges, checkpoint)
-    return state
+        front = _next(now, parts.all(), edges, checkpoint)
+    return parts.all()
+
+
+class Parts:
+    """A table that grows by parts. Each is written once when it comes; as soon as MERGED of about one size are there,
+    they are written together, so that a row is written a few times over however many parts there are."""
+
+    MERGED = 8
+
+    def __init__(self, empty: DataFrame, checkpoint) -> None:
+        self.empty, self.checkpoint = empty, checkpoint
+        self.levels: list[list[DataFrame]] = [[]]
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The part as written."""
+        part = self.checkpoint(rows, "state")
+        self.levels[0].append(part)
+        for k in range(len(self.levels)):
+            if len(self.levels[k]) < self.MERGED:
+                break
+            merged = self.checkpoint(reduce(DataFrame.unionByName, self.levels[k]), "state")
+            self.levels[k] = []
+            self.levels += [[]] * (k + 1 == len(self.levels))
+            self.levels[k + 1].append(merged)
+        return part
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p for level in reversed(self.levels) for p in level], self.empty)
 
 
 def _next(rows: DataFrame, state: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import lexicon, rules, text, url
@@ -10,6 +12,27 @@ from brindle.functions import lexicon, rules, text, url
 EXCERPT = 280
 RECORD = "website product_name business_mode specs rental_price_per_day rental_conditions included_accessories bundle rating review_count stock sale_price url".split()
 
+# The headers of the report's sheets, by column.
+_PART = {"website": "Website", "product_name": "Tên sản phẩm", "business_mode": "Hình thức", "reason": "Lý do", "url": "URL"}
+HEADERS = {
+    "main": {
+        "website": "Website", "product_name": "Tên sản phẩm", "business_mode": "Hình thức", "specs": "Thông số mô tả", "rental_price_per_day": "Giá thuê/ngày",
+        "rental_conditions": "Điều kiện thuê riêng", "included_accessories": "Phụ kiện đi kèm", "bundle": "Combo/gói đi kèm", "rating": "Điểm đánh giá",
+        "review_count": "Số lượt đánh giá/review", "stock": "Tồn kho", "sale_price": "Giá bán", "url": "URL",
+    },
+    "excluded": _PART, "review": _PART,
+    "evidence": {"url": "URL", "field": "Field", "value": "Value", "source": "Source", "confidence": "Confidence", "evidence": "Evidence"},
+    "visual_evidence": {"url": "URL", "image_url": "Image URL", "text": "Text", "bbox": "BBox", "confidence": "Confidence"},
+    "conflicts": {"url": "URL", "field": "Field", "listing_value": "Listing Value", "detail_value": "Detail Value"},
+    "coverage": {"kind": "Loại", "intent": "Intent", "label": "Nhãn", "url": "URL"},
+    "audit": {"metric": "Metric", "value": "Value"}, "log": {"time": "Time", "level": "Level", "message": "Message"},
+}
+
+
+def titled(sheet: str, rows: DataFrame) -> DataFrame:
+    """A sheet's columns under its headers, in their order."""
+    return rows.select(*[F.col(c).alias(h) for c, h in HEADERS[sheet].items()])
+
 
 def classify(rows: DataFrame) -> DataFrame:
     """rows (title, body) with entity_label, entity_score, positives, negatives."""
@@ -127,17 +150,25 @@ def coverage(seeds: DataFrame, crawled: DataFrame) -> DataFrame:
     return roots.unionByName(pages).unionByName(failed)
 
 
-def audit(start_url: str, seeds: DataFrame, crawled: DataFrame, candidates: DataFrame, records: DataFrame, elapsed_seconds: int = 0) -> DataFrame:
-    """The 18 metric and value rows of a run, counted in one pass over each table."""
-    c = crawled.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("visited", "failed", "queued")])
-    r = records.agg(
+def _crawl_counts() -> list[Column]:
+    return [F.count_if(F.col("status") == s).alias(s) for s in ("visited", "failed", "queued")]
+
+
+def _record_counts() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("checked"), *[F.count_if(F.col("disposition") == d).alias(d) for d in ("accepted", "excluded", "review")],
-        F.count_if(~F.col("fetched")).alias("errors"), F.count_if(F.col("listing_price") != F.col("detail_price")).alias("conflicts"),
-    )
-    keyed = lambda df: df.withColumn("_k", F.lit(1))  # noqa: E731  one row each
-    one = keyed(seeds.agg(F.count(F.lit(1)).alias("roots")))
-    for part in (c, r, candidates.agg(F.count(F.lit(1)).alias("products"))):
-        one = one.join(keyed(part), "_k")
+        F.count_if(~F.col("fetched")).alias("errors"), F.count_if(F.coalesce(F.col("listing_price") != F.col("detail_price"), F.lit(False))).alias("conflicts"),
+    ]
+
+
+def observed(rows: DataFrame, what: str) -> tuple[DataFrame, Observation]:
+    """rows (of what: crawled, records, or anything else, of which rows are counted), counted as they are next written."""
+    counts = {"crawled": _crawl_counts, "records": _record_counts}.get(what, lambda: [F.count(F.lit(1)).alias(what)])()
+    seen = Observation(what)
+    return rows.observe(seen, *counts), seen
+
+
+def _report(one: DataFrame, start_url: str, elapsed_seconds: int) -> DataFrame:
     catalog_ok = (F.col("queued") == 0) & (F.col("failed") == 0)
     detail_ok = F.col("checked") == F.col("products")
     mark = lambda ok: F.when(ok, "PASS").otherwise("NOT COMPLETE")
@@ -151,6 +182,21 @@ def audit(start_url: str, seeds: DataFrame, crawled: DataFrame, candidates: Data
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("string").alias("value")) for k, v in metrics])))
 
 
+def audit(start_url: str, seeds: DataFrame, crawled: DataFrame, candidates: DataFrame, records: DataFrame, elapsed_seconds: int = 0) -> DataFrame:
+    """The 18 metric and value rows of a run, counted in one pass over each table."""
+    keyed = lambda df: df.withColumn("_k", F.lit(1))  # noqa: E731  one row each
+    one = keyed(seeds.agg(F.count(F.lit(1)).alias("roots")))
+    for part in (crawled.agg(*_crawl_counts()), records.agg(*_record_counts()), candidates.agg(F.count(F.lit(1)).alias("products"))):
+        one = one.join(keyed(part), "_k")
+    return _report(one, start_url, elapsed_seconds)
+
+
+def audit_of(spark: SparkSession, start_url: str, seen: list[Observation], elapsed_seconds: int = 0) -> DataFrame:
+    """The same rows from what was observed while seeds (as roots), crawled, candidates (as products) and records were written."""
+    numbers = {k: v for o in seen for k, v in o.get.items()}
+    return _report(spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in numbers.items()]), start_url, elapsed_seconds)
+
+
 def checked(seeds: DataFrame, crawled: DataFrame, candidates: DataFrame) -> None:
     """The gates of a run: raises if there are no seeds, pages of the catalogs are missing, or no product was found."""
     if seeds.isEmpty():
@@ -162,8 +208,9 @@ def checked(seeds: DataFrame, crawled: DataFrame, candidates: DataFrame) -> None
         raise ValueError("no products in the catalogs")
 
 
-def write_sheets(tables: dict[str, DataFrame], path: str, host: str, day: str) -> str:
-    """Every table of the report as a Parquet folder under <path>/<host>_camera_<day>; the folder's name is returned."""
+def write_sheets(tables: dict[str, DataFrame], path: str, host: str, day: str | None = None) -> str:
+    """Every table of the report as a Parquet folder under <path>/<host>_camera_<day> (today's, if none is given); the folder's name is returned."""
+    day = day or datetime.date.today().isoformat()
     folder = f"{path.rstrip('/')}/{host}_camera_{day}"
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -175,6 +222,6 @@ def sheets(records: DataFrame, covered: DataFrame, audited: DataFrame, spark: Sp
     part = lambda d: records.where(F.col("disposition") == d).select("website", "product_name", "business_mode", "reason", "url")
     return {
         "main": records.where("disposition = 'accepted'").select(*RECORD), "excluded": part("excluded"), "review": part("review"), "evidence": evidence_rows(records),
-        "visual_evidence": spark.sql("SELECT '' AS url, '' AS field, '' AS image, '' AS evidence, '' AS note WHERE false"), "conflicts": conflicts(records), "coverage": covered, "audit": audited,
-        "log": spark.sql("SELECT current_timestamp() AS time, 'INFO' AS level, 'report written' AS message"),
+        "visual_evidence": spark.sql("SELECT '' AS url, '' AS image_url, '' AS text, '' AS bbox, 0.0D AS confidence WHERE false"), "conflicts": conflicts(records), "coverage": covered, "audit": audited,
+        "log": spark.sql("SELECT current_timestamp() AS time, 'INFO' AS level, 'Collection completed' AS message"),
     }

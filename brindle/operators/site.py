@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import lexicon, rules, text, url
@@ -75,6 +77,14 @@ def generic_roots(links: DataFrame, pages: DataFrame, most: int = ROOTS_MOST) ->
     return best.unionByName(usual).withColumn("_r", first).where("_r = 1").drop("_r")
 
 
+def synthetic_nodes(links: DataFrame) -> DataFrame:
+    """links (page_id, text, href) that no page showed, as nodes: without role, labels or room."""
+    none, zero = F.lit(""), F.lit(0)
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("href", "text"))
+    made = links.select("page_id", "text", "href").withColumn("id", F.concat(F.lit("s"), number))
+    return made.select("page_id", "id", F.lit("a").alias("tag"), "text", none.alias("role"), "href", none.alias("aria_label"), none.alias("title"), *[zero.alias(c) for c in ("x", "y", "width", "height")])
+
+
 def resolve_roots(candidates: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
     """candidate_id, href: a candidate's own link, else the best link of its page by text, place and path.
 
@@ -93,25 +103,52 @@ def resolve_roots(candidates: DataFrame, links: DataFrame, pages: DataFrame) ->
     return own.unionByName(found)
 
 
+GRID = 60
+
+
+def _keys(text_: Column, href: Column, label: Column) -> Column:
+    """A key for each set of things that two elements may have in common besides their place, and one that all have."""
+    parts = [("t", text_, F.lit(True)), ("h", href, href != ""), ("l", label, label != "")]
+    out = [F.lit("first")]
+    for bits in range(1, 1 << len(parts)):
+        some = [p for i, p in enumerate(parts) if bits >> i & 1]
+        ok = reduce(lambda x, y: x & y, [p[2] for p in some])
+        out.append(F.when(ok, F.to_json(F.array(F.lit("".join(p[0] for p in some)), *[p[1] for p in some]))))
+    return F.array_compact(F.array(*out))
+
+
 def match_elements(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """node_id, element_id, score: the element of the same page most like each observed node.
 
     Both have page_id, text, href, aria_label, x, y. Text 120, link 220, label 80, place 80 (within 10) or 30
     (within 60); the first of the best wins, at score 0 too. Of a page's elements the first ELEMENTS_MOST count.
+
+    Pairs are not formed: a node meets the first element with each set of its text, link and label, the first of the
+    page, and the elements of the nine cells around it on a grid. An element with more in common is the first of a
+    larger set, or one of those cells.
     """
     first = F.row_number().over(Window.partitionBy("page_id").orderBy("element_id"))
     elements = elements.withColumn("_e", first).where(F.col("_e") <= ELEMENTS_MOST)
-    a = nodes.select("page_id", "node_id", text.light("text").alias("at"), F.col("href").alias("ah"), text.light("aria_label").alias("aa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = elements.select("page_id", "element_id", text.light("text").alias("bt"), F.col("href").alias("bh"), text.light("aria_label").alias("ba"), "x", "y")
-    far = F.abs(F.col("x") - F.col("ax")) + F.abs(F.col("y") - F.col("ay"))
+    side = lambda df, key: df.select("page_id", F.col(key).alias("key"), text.light("text").alias("t"), F.coalesce("href", F.lit("")).alias("h"), text.light("aria_label").alias("l"), "x", "y")
+    a, b = side(nodes, "node_id"), side(elements, "element_id")
+    cell = lambda c: F.floor(F.col(c) / GRID)
+    place = lambda dx, dy: F.concat_ws(",", F.lit("place"), cell("x") + dx, cell("y") + dy)
+    around = F.array(*[place(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    own = F.struct("key", "t", "h", "l", "x", "y").alias("e")
+    common = _keys(F.col("t"), F.col("h"), F.col("l"))
+    firsts = b.select("page_id", own, F.explode(common).alias("k")).groupBy("page_id", "k").agg(F.min("e").alias("e"))
+    near = b.select("page_id", place(0, 0).alias("k"), own)
+    asked = a.withColumn("k", F.explode(F.concat(common, around)))
+    pairs = asked.join(firsts.unionByName(near), ["page_id", "k"])
+    far = F.abs(F.col("e.x") - F.col("x")) + F.abs(F.col("e.y") - F.col("y"))
     score = (
-        F.when(F.col("at") == F.col("bt"), 120).otherwise(0)
-        + F.when((F.col("ah") != "") & (F.col("ah") == F.col("bh")), 220).otherwise(0)
-        + F.when((F.col("aa") != "") & (F.col("aa") == F.col("ba")), 80).otherwise(0)
+        F.when(F.col("t") == F.col("e.t"), 120).otherwise(0)
+        + F.when((F.col("h") != "") & (F.col("h") == F.col("e.h")), 220).otherwise(0)
+        + F.when((F.col("l") != "") & (F.col("l") == F.col("e.l")), 80).otherwise(0)
         + F.when(far < 10, 80).when(far < 60, 30).otherwise(0)
     )
-    rank = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("score"), "element_id"))
-    return a.join(b, "page_id").withColumn("score", score).withColumn("_r", rank).where("_r = 1").select("node_id", "element_id", "score")
+    best = pairs.groupBy(F.col("key").alias("node_id")).agg(F.max_by("e.key", F.struct(score, -F.col("e.key"))).alias("element_id"), F.max(score).alias("score"))
+    return best.select("node_id", "element_id", "score")
 
 
 def submenu_items(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -121,9 +158,12 @@ def submenu_items(before: DataFrame, after: DataFrame) -> DataFrame:
     return new.groupBy("page_id", "k").agg(F.min_by(F.struct("text", "href"), "ord").alias("i")).select("page_id", "i.text", "i.href")
 
 
-def submenu(structural: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """page_id, text, href, method of a root's submenu: the structural children (see extract.children), each once; a
-    page without any has what is seen after and not before."""
+def submenu(structural: DataFrame, before: DataFrame, after: DataFrame, structural_after: DataFrame | None = None) -> DataFrame:
+    """page_id, text, href, method of a root's submenu: the structural children (see extract.children), and those that
+    are there after it was opened (structural_after), each once; a page without any has what is seen after and not before."""
+    structural = structural.withColumn("ord", F.struct(F.lit(0).alias("turn"), "ord"))
+    if structural_after is not None:
+        structural = structural.unionByName(structural_after.withColumn("ord", F.struct(F.lit(1).alias("turn"), "ord")))
     key = F.concat(text.light("text"), F.lit("|"), "href").alias("k")
     inside = structural.where("text <> '' and href <> ''").select("page_id", "ord", "text", "href", key).groupBy("page_id", "k").agg(F.min_by(F.struct("text", "href"), "ord").alias("i"))
     inside = inside.select("page_id", "i.text", "i.href", F.lit("DOM_CHILDREN").alias("method"))

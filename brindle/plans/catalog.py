@@ -502,16 +502,20 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.coverage(frame(spark, sf_dir, "seeds"), _crawled(spark, sf_dir))
 
 
-AUDIT_SQL = f"""WITH {SHOP_CRAWL}, {SHOP_RECORDS},
-c AS (SELECT count(*) FILTER (status = 'visited') AS visited, count(*) FILTER (status = 'failed') AS failed FROM crawl),
+def _audit_parts(seeds: str, listed: str, start_url: str) -> str:
+    """The audit's rows, of WITH parts crawl and r, and all but the elapsed seconds."""
+    return f"""c AS (SELECT count(*) FILTER (status = 'visited') AS visited, count(*) FILTER (status = 'failed') AS failed FROM crawl),
 d AS (SELECT count(*) AS checked, count(*) FILTER (disposition = 'accepted') AS accepted, count(*) FILTER (disposition = 'excluded') AS excluded, count(*) FILTER (disposition = 'review') AS review, count(*) FILTER (NOT fetched) AS errors, count(*) FILTER (listing_price <> detail_price) AS differ FROM r),
-k AS (SELECT *, (SELECT count(*) FROM {ALL['seeds']}) AS roots, (SELECT count(*) FROM {ALL['listed']}) AS products FROM c, d),
-v AS (SELECT map {{'Target': 'CAMERA', 'Start URL': 'https://s.vn/', 'Catalog roots': roots::VARCHAR, 'Catalog pages visited': visited::VARCHAR, 'Catalog queue remaining': failed::VARCHAR, 'Catalog URLs skipped by safety limit': '0', 'Failed catalog pages': failed::VARCHAR, 'Product candidates': products::VARCHAR,
+k AS (SELECT *, (SELECT count(*) FROM {seeds} AS x) AS roots, (SELECT count(*) FROM {listed} AS x) AS products FROM c, d),
+v AS (SELECT map {{'Target': 'CAMERA', 'Start URL': '{start_url}', 'Catalog roots': roots::VARCHAR, 'Catalog pages visited': visited::VARCHAR, 'Catalog queue remaining': failed::VARCHAR, 'Catalog URLs skipped by safety limit': '0', 'Failed catalog pages': failed::VARCHAR, 'Product candidates': products::VARCHAR,
  'Product details checked': checked::VARCHAR, 'Accepted': accepted::VARCHAR, 'Excluded': excluded::VARCHAR, 'Review': review::VARCHAR, 'Detail errors': errors::VARCHAR, 'Price conflicts': differ::VARCHAR, 'Catalog coverage': CASE WHEN failed = 0 THEN 'PASS' ELSE 'NOT COMPLETE' END,
- 'Detail coverage': CASE WHEN checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Overall completeness': CASE WHEN failed = 0 AND checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Elapsed seconds': '0'}} AS m FROM k)
+ 'Detail coverage': CASE WHEN checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END, 'Overall completeness': CASE WHEN failed = 0 AND checked = products THEN 'PASS' ELSE 'NOT COMPLETE' END}} AS m FROM k)
 SELECT unnest(map_keys(m)) AS metric, unnest(map_values(m)) AS value FROM v"""
 
 
+AUDIT_SQL = f"WITH {SHOP_CRAWL}, {SHOP_RECORDS}, {_audit_parts(ALL['seeds'], ALL['listed'], 'https://s.vn/')} UNION ALL SELECT 'Elapsed seconds', '0'"
+
+
 @query("q_audit", AUDIT_SQL)
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.audit("https://s.vn/", frame(spark, sf_dir, "seeds"), _crawled(spark, sf_dir), frame(spark, sf_dir, "listed"), _records(spark, sf_dir))
@@ -576,7 +580,7 @@ def link_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAG_TEXT = CLEAN("regexp_replace(tag, '<[^>]*>', '', 'g')")
 TAG_HREF = "regexp_extract(tag, 'href=\"([^\"]*)\"', 1)"
-SUBMENU_SQL = f"""WITH m AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '<li class="off">.*?</li>', '', 'g'), '<a [^>]*>.*?</a>') AS t, regexp_extract_all(regexp_extract(html, '<li class="root">(.*?)<i></i></li>', 1), '<a [^>]*>.*?</a>') AS kids FROM {ALL['menus']}),
+SUBMENU_SQL = f"""WITH m AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '<li class="off">.*?</li>', '', 'g'), '<a [^>]*>.*?</a>') AS t, regexp_extract_all(regexp_extract(html, '<li class="root">(.*?)<i></i></li>', 1), '<a [^>]*>.*?</a>') || CASE WHEN page_id % 4 = 0 THEN ['<a href="/late">Sau</a>'] ELSE [] END AS kids FROM {ALL['menus']}),
 k AS (SELECT page_id, url, t[1] AS root, unnest(kids) AS tag, generate_subscripts(kids, 1) AS ord FROM m),
 i AS (SELECT page_id, arg_min(text, ord) AS text, href FROM (SELECT page_id, ord, {TAG_TEXT} AS text, {ORIGIN('url')} || {TAG_HREF} AS href FROM k WHERE tag <> root) GROUP BY page_id, href, lower(text)),
 d AS (SELECT page_id, ord, {TAG_TEXT} AS text, {TAG_HREF} AS href FROM (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) AS ord FROM m) WHERE page_id NOT IN (SELECT page_id FROM i))
@@ -586,11 +590,14 @@ SELECT page_id, arg_min(text, ord), href, 'VISIBLE_DIFF' FROM d AS x WHERE NOT E
 
 @query("q_submenu", SUBMENU_SQL)
 def submenu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links in the list item of the first link of every page; of pages without any, what that link alone did not show."""
-    shredded = html.shred(frame(spark, sf_dir, "menus"))
+    """The links in the list item of the first link of every page, before it is opened and after (a link more on every
+    fourth page); of pages without any, what that link alone did not show."""
+    menus = frame(spark, sf_dir, "menus")
+    late = F.replace("html", F.lit("<i></i>"), F.lit('<ul><li><a href="/late">Sau</a></li></ul><i></i>'))
+    shredded, opened = html.shred(menus), html.shred(menus.withColumn("html", F.when(F.col("page_id") % 4 == 0, late).otherwise(F.col("html"))))
     roots = extract.page_links(shredded, False, False).where("ord = 0").withColumn("root_id", F.col("page_id"))
     nodes = html.nodes(shredded)
-    return site.submenu(extract.children(shredded, roots), nodes.where("ord = 0"), nodes)
+    return site.submenu(extract.children(shredded, roots), nodes.where("ord = 0"), nodes, extract.children(opened, roots))
 
 
 ROWS_SQL = f"SELECT page_id, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {ALL['shop']}"
@@ -645,3 +652,26 @@ def page_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     shredded = html.shred(_pages(spark, sf_dir).select("page_id", "url", F.expr(STYLED.replace("\\", "\\\\")).alias("html")))
     shown = F.translate(F.substring(F.array_join("lines", "\n"), 1, html.VISIBLE_MOST), "\n", " ")
     return shredded.select("page_id", F.size(F.filter("nodes", lambda n: n.interactive)).alias("n_controls"), F.size(F.filter("nodes", lambda n: n.tag == "a")).alias("n_links"), F.sha2(shown, 256).alias("visible"))
+
+
+WALKED = f"{SHOP_WALK}, {SHOP_SQL}, {PRODUCT_SQL}, {RECORDS('owned', 'raw')}"
+
+
+@query("q_run_audit", f"WITH {WALKED}, " + _audit_parts(ALL["shop_seeds"], "owned", ""))
+def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a run from HTML to records, from numbers observed while its tables are written."""
+    got = extract.from_pages(frame(spark, sf_dir, "shop"), frame(spark, sf_dir, "shop_seeds"), _checkpoint(spark), MOST)["audit"]
+    return got.where("metric <> 'Elapsed seconds'")
+
+
+@query("q_main_sheet", f"WITH {SHOP_RECORDS}, sheet AS ({RECORD_SQL}) SELECT {', '.join(f'{c} AS {chr(34)}{h}{chr(34)}' for c, h in records.HEADERS['main'].items())} FROM sheet WHERE disposition = 'accepted'")
+def main_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's main sheet, all columns under their headers."""
+    made = records.sheets(_records(spark, sf_dir), frame(spark, sf_dir, "seeds"), frame(spark, sf_dir, "modes"), spark)
+    return records.titled("main", made["main"])
+
+
+@query("q_synthetic_nodes", f"""SELECT page_id, 's' || row_number() OVER (PARTITION BY page_id ORDER BY href, text) AS id, 'a' AS tag, text, '' AS role, href, '' AS aria_label, '' AS title, 0 AS x, 0 AS y, 0 AS width, 0 AS height FROM ({ROOT_SQL})""")
+def synthetic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likely roots of every page as nodes that no page showed."""
+    return site.synthetic_nodes(site.generic_roots(whole(spark, sf_dir, "links"), whole(spark, sf_dir, "pages")))

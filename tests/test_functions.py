@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,3 +95,19 @@ def test_disposition_reasons(spark):
     what, reason = records.disposition(F.col("l"), F.col("s"), F.col("n"), F.col("m"))
     rows = spark.createDataFrame([("NOT_CAMERA", -12, ["photobooth"], None), ("UNCERTAIN", 3, [], "NEW"), ("CAMERA", 9, [], None), ("CAMERA", 9, [], "RENTAL"), ("NOT_CAMERA", -3, [], "NEW")], "l string, s int, n array<string>, m string").select(what, reason).collect()
     assert [tuple(r) for r in rows] == [("excluded", "not camera: photobooth"), ("review", "camera identity uncertain; score=3"), ("review", "business mode uncertain"), ("accepted", "camera detail confirmed"), ("excluded", "not camera: semantic validator")]
+
+
+def test_every_character_is_decomposed(spark):
+    """All code points, alone and in a text with others."""
+    strip = lambda t: "".join(m for m in unicodedata.normalize("NFD", t) if not "\u0300" <= m <= "\u036f").replace("đ", "d").replace("Đ", "D")
+    points = [x for x in range(0x110000) if not 0xD800 <= x <= 0xDFFF]
+    rows = pa.table({"x": points, "t": [f"a{chr(x)}é" for x in points]})
+    got = spark.createDataFrame(rows).repartition(8).select("x", text.decomposed("t").alias("t")).toArrow()
+    bad = [(hex(x), t) for x, t in zip(got.column("x").to_pylist(), got.column("t").to_pylist()) if t != f"a{strip(chr(x))}e"]
+    assert bad == []
+
+
+def test_fold_of_other_scripts(spark):
+    rows = [("Ёлка й", "елка и"), ("Ά ή Ώ", "α η ω"), ("がギパ", "か\u3099キ\u3099ハ\u309a"), ("각 한국", unicodedata.normalize("NFD", "각 한국")), ("ẤÀ Å đĐ", "aa a dd"), ("", ""), (None, "")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", text.fold("t").alias("f")).collect()
+    assert {r["i"]: r["f"] for r in got} == {i: want for i, (_, want) in enumerate(rows)}

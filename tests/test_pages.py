@@ -109,7 +109,8 @@ def test_shredding_at_rest(spark):
 
 
 def test_crawl_is_whole_and_ends(spark):
-    got = {r.url: r for r in catalog._crawled(spark).collect()}
+    frame = lambda n: fixtures.literal(spark, n)
+    got = {r.url: r for r in pages.crawl(frame("seeds"), frame("edges"), frame("loaded"), lambda df, n: df.checkpoint()).collect()}
     assert {u for u, r in got.items() if r.status == "failed"} == {"https://s.vn/c?p=3"}
     assert got["https://s.vn/c"].intent == "RENTAL" and got["https://s.vn/c?p=4"].wave == 2
 
@@ -128,16 +129,29 @@ def _chain(spark, n):
 
 
 def test_crawl_of_a_long_chain(spark):
-    got = {r.url: r for r in pages.crawl(*_chain(spark, 11), lambda df, n: df.localCheckpoint()).collect()}
+    got = {r.url: r for r in pages.crawl(*_chain(spark, 11), lambda df, n: df.checkpoint()).collect()}
     assert len(got) == 23
     assert all((got[f"https://c.vn/{k}"].wave, got[f"https://c.vn/{k}"].status) == (k, "visited") for k in range(12))
     assert all((got[f"https://c.vn/side{k}"].rank, got[f"https://c.vn/side{k}"].status, got[f"https://c.vn/{k + 1}"].rank) == (0, "failed", 1) for k in range(11))
 
 
+def test_parts_are_written_a_few_times_each(spark):
+    written = []
+
+    def cut(df, name):
+        written.append(df.count())
+        return df.checkpoint()
+
+    parts = pages.Parts(spark.range(0), cut)
+    for k in range(70):
+        assert parts.add(spark.range(10 * k, 10 * k + 10)).count() == 10
+    assert sorted(r["id"] for r in parts.all().collect()) == list(range(700)) and sum(written) <= 3 * 700
+
+
 @pytest.mark.parametrize("bounds", [{"most": 2}, {"waves": 2}])
 def test_crawl_that_is_cut_has_its_links_queued(spark, bounds):
     """Full exactly at the end of a wave, or out of waves: the links found last are queued."""
-    cut = lambda df, n: df.localCheckpoint()
+    cut = lambda df, n: df.checkpoint()
     seeds, edges, loaded = _chain(spark, 4)
     rows = pages.with_unfollowed(pages.crawl(seeds, edges, loaded, cut, **bounds), edges, cut).collect()
     got = {r.url: r.status for r in rows}
@@ -211,7 +225,61 @@ def test_gates_of_a_run(spark):
             records.checked(*arguments)
 
 
+def test_run_from_pages_observes_its_audit_and_keeps_its_gates(spark):
+    page = '<main><div class="card"><h3><a href="/p/1">Canon EOS R5</a></h3><p>1.000.000 đ</p></div><p>Page 1 / {} <a href="/x">·</a></p></main>'
+    made = lambda n: spark.createDataFrame([(1, "https://s.vn/c", page.format(n)), (2, "https://s.vn/p/1", "<h1>Canon EOS R5 chính hãng</h1><p>cảm biến mirrorless</p>")], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(1, "https://s.vn/c", "NEW", "n")], "ord int, url string, intent string, label string")
+    cut = lambda df, n: df.checkpoint()
+    got = extract.from_pages(made(1), seeds, cut, start_url="https://s.vn/", gates=True)
+    rows = {r["metric"]: r["value"] for r in got["audit"].collect()}
+    counted = records.audit("https://s.vn/", seeds, got["crawled"], got["products"], got["records"])
+    assert rows == {r["metric"]: r["value"] for r in counted.collect()} | {"Elapsed seconds": rows["Elapsed seconds"]}
+    assert (rows["Accepted"], rows["Overall completeness"]) == ("1", "PASS") and int(rows["Elapsed seconds"]) > 0
+    with pytest.raises(ValueError, match="1 pages failed"):
+        extract.from_pages(made(2), seeds, cut, gates=True)
+
+
+def test_headers_name_all_columns_of_every_sheet(spark):
+    rows = records.details(fixtures.literal(spark, "listed"), fixtures.literal(spark, "details"))
+    seeds, crawled = fixtures.literal(spark, "seeds"), spark.sql("SELECT 'u' AS url, 'visited' AS status")
+    sheets = records.sheets(rows, records.coverage(seeds, crawled), records.audit("", seeds, crawled, rows, rows), spark)
+    assert set(sheets) == set(records.HEADERS)
+    for name, sheet in sheets.items():
+        assert records.titled(name, sheet).columns == list(records.HEADERS[name].values())
+    assert records.titled("log", sheets["log"]).first()["Message"] == "Collection completed"
+
+
+def test_submenu_of_before_and_after(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "page_id int, ord int, text string, href string")
+    none = frame((0, 0, "", "")).where("false")
+    got = site.submenu(frame((1, 5, "A", "/a"), (1, 6, "a ", "/a")), none, none, frame((1, 0, "A b", "/a"), (1, 1, "A", "/a"), (2, 0, "C", "/c")))
+    assert sorted((r["page_id"], r["text"], r["href"]) for r in got.collect()) == [(1, "A", "/a"), (1, "A b", "/a"), (2, "C", "/c")]
+
+
 def test_sheets_are_written(spark, tmp_path):
     folder = records.write_sheets({"main": spark.range(3), "log": spark.range(0)}, str(tmp_path), "s.vn", "2024-01-02")
     assert folder.endswith("/s.vn_camera_2024-01-02")
     assert [spark.read.parquet(f"{folder}/{name}").count() for name in ("main", "log")] == [3, 0]
+
+
+def test_matching_by_candidates_equals_all_pairs(spark):
+    rng = random.Random(8)
+    made = lambda page, i: (page, i, rng.choice(["", "A", "a ", "b", None]), rng.choice(["", "/1", "/2", None]), rng.choice(["", "L", "l", "m", None]), rng.randrange(-90, 400), rng.randrange(0, 200))
+    nodes, elements = [made(p, 100 * p + i) for p in range(6) for i in range(20)], [made(p, i) for p in range(1, 6) for i in range(60)]
+    light = lambda t: " ".join((t or "").split()).lower()
+
+    def score(a, b):
+        far = abs(a[5] - b[5]) + abs(a[6] - b[6])
+        both = lambda x, y: x and x == y
+        return 120 * (light(a[2]) == light(b[2])) + 220 * bool(both(a[3], b[3])) + 80 * bool(both(light(a[4]), light(b[4]))) + (80 if far < 10 else 30 if far < 60 else 0)
+
+    want = {}
+    for a in nodes:
+        near = [(score(a, b), -b[1]) for b in elements if b[0] == a[0] and b[1] < 50]
+        if near:
+            want[a[1]] = (-max(near)[1], max(near)[0])
+    frame = lambda rows, key: spark.createDataFrame(rows, f"page_id int, {key} int, text string, href string, aria_label string, x int, y int")
+    site_most, site.ELEMENTS_MOST = site.ELEMENTS_MOST, 50
+    got = site.match_elements(frame(nodes, "node_id"), frame(elements, "element_id"))
+    assert {r["node_id"]: (r["element_id"], r["score"]) for r in got.collect()} == want
+    site.ELEMENTS_MOST = site_most
