@@ -1,14 +1,12 @@
-"""URLs as columns: plain absolute ASCII ones by built-in functions, any at all by an Arrow function."""
+"""URLs as columns, of any characters, by built-in functions; and one URL at a time, for comparison."""
 
 from __future__ import annotations
 
 import re
 from urllib.parse import parse_qsl, quote, quote_plus, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Parameters that do not tell pages apart, and those that number pages.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "fbclid"]
@@ -78,12 +76,55 @@ def resolve(href: Column | str, base: Column | str) -> Column:
     )
 
 
+#: URLs that need no escaping and have no dot segments, so that their parts stay as they are.
+PLAIN = r"^(?i:https?)://[^/?#\s]+(/[A-Za-z0-9!$&'()*+,;=:@~._|^\[\]/-]*)?(\?[A-Za-z0-9&=.*_-]*)?(#.*)?$"
+DOTS = r"^[^?#]*/\.\.?([/?#]|$)"
+PATH_CHARACTER = r"[A-Za-z0-9%!$&'()*+,;=:@~._|^\[\]/-]"
+
+
 def canonical(c: Column | str) -> Column:
     """One form for URLs of the same page: no fragment, no tracking, no first-page number, parameters by name.
 
-    For absolute http(s) URLs of plain characters; anything else comes back as it is (see canonical_any).
+    For absolute http(s) URLs; anything else comes back as it is. Paths are escaped and their dot segments taken out,
+    parameters are written as forms write them. Bytes that are no UTF-8 become U+FFFD.
     """
-    return F.element_at(F.transform(F.array(_c(c)), _canonical), 1)  # the URL's expression is computed once
+    known = lambda raw: F.when(raw.rlike(PLAIN) & ~raw.rlike(DOTS), _canonical(raw)).otherwise(_escaped(raw))
+    return F.element_at(F.transform(F.array(_c(c)), known), 1)  # the URL's expression is computed once
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _decoded(x: Column) -> Column:
+    """A form's text, of which escapes that are none stay."""
+    return F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _escaped(given: Column) -> Column:
+    """canonical of a URL of any characters."""
+    raw = F.regexp_replace(F.regexp_replace(given, r"^[\s\x00-\x20]+|[\s\x00-\x20]+$", ""), r"[\t\n\r]", "")
+
+    def whole(u: Column) -> Column:
+        escape = lambda x: F.when(x.rlike(PATH_CHARACTER), x).otherwise(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1"))
+        place = F.array_join(F.transform(F.split(without_dots(path(u)), ""), escape), "")
+        own = F.filter(F.split(query(u), "&"), lambda x: x != "")
+        pairs = F.transform(own, lambda x: F.named_struct(F.lit("n"), _decoded(_name(x)), F.lit("v"), _decoded(F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise(""))))
+
+        def named(some: Column, name: str, wanted: bool) -> Column:
+            return F.filter(some, lambda x: (x.n == name) == F.lit(wanted))
+
+        def kept(all_: Column) -> Column:
+            out = F.filter(all_, lambda x: ~x.n.isin(TRACKING))
+            for p in PAGE_PARAMETERS:
+                out = F.when(F.coalesce(F.get(named(all_, p, True), 0).getField("v") == "1", F.lit(False)), named(out, p, False)).otherwise(out)
+            ordered = F.array_sort(out, lambda a, b: F.when(a.n < b.n, -1).when(a.n > b.n, 1).otherwise(0))
+            return F.array_join(F.transform(ordered, lambda x: F.concat(F.url_encode(x.n), F.lit("="), F.url_encode(x.v))), "&")
+
+        tail = _let(_let(pairs, kept), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("?"), t)))
+        return F.when(u.rlike("(?i)^https?://[^/?#]"), F.concat(origin(u), place, tail)).otherwise(given)
+
+    return _let(raw, whole)
 
 
 def _name(pair: Column) -> Column:
@@ -143,9 +184,3 @@ def canonical_text(url: str) -> str:
     text = "&".join(f"{escape(k)}={escape(v)}" for k, v in pairs)
     place = parts.hostname if port in (None, PORTS[parts.scheme]) else f"{parts.hostname}:{port}"
     return f"{parts.scheme}://{place}/{'/'.join(steps)}" + (f"?{text}" if text else "")
-
-
-@F.pandas_udf(StringType())
-def canonical_any(urls: pd.Series) -> pd.Series:
-    """canonical with full escaping, for URLs of any characters, batch by batch."""
-    return urls.fillna("").map(canonical_text)

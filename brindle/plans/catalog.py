@@ -675,3 +675,20 @@ def main_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likely roots of every page as nodes that no page showed."""
     return site.synthetic_nodes(site.generic_roots(whole(spark, sf_dir, "links"), whole(spark, sf_dir, "pages")))
+
+
+ODD = shops.case("page_id", "'/a b/./é/../c?q=a b&z=%20x~*&é=1'", "'&utm_source=x&b=%C3%A9+x&a=%zz&p=%31'", "'/漢字\"<>?page=1&b=!;:&a=='", "'?p=1&p=2&x'", "'/x/../d//e/..#é'")
+ODD_PATH = f"array_to_string([CASE WHEN regexp_matches(x, {q(url.PATH_CHARACTER)}) THEN x ELSE url_encode(x) END FOR x IN string_split({DOTLESS(PATH('u'))}, '')], '')"
+FORM = lambda x: f"replace(replace(replace(url_encode({x}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+ESCAPED_SQL = f"""WITH o AS (SELECT page_id, u, {ORIGIN('u')} || {ODD_PATH} AS place, list_filter(string_split({QUERY('u')}, '&'), lambda x: x <> '') AS pairs FROM (SELECT page_id, url || {ODD} AS u FROM pages)),
+p AS (SELECT page_id, i, url_decode(replace(split_part(x, '=', 1), '+', ' ')) AS n, url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' ')) AS v FROM (SELECT page_id, unnest(pairs) AS x, generate_subscripts(pairs, 1) AS i FROM o)),
+f AS (SELECT page_id, n, arg_min(v, i) AS v FROM p WHERE n IN ('p', 'page') GROUP BY 1, 2),
+k AS (SELECT page_id, string_agg({FORM('n')} || '=' || {FORM('v')}, '&' ORDER BY n, i) AS tail FROM p WHERE n NOT IN ({', '.join(map(q, url.TRACKING))}) AND NOT EXISTS (SELECT 1 FROM f WHERE f.page_id = p.page_id AND f.n = p.n AND f.v = '1') GROUP BY 1)
+SELECT page_id, u, place || coalesce('?' || tail, '') AS canonical FROM o LEFT JOIN k USING (page_id)"""
+
+
+@query("q_url_escaped", ESCAPED_SQL)
+def url_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every page's URL with characters that need escaping, dot segments and odd parameters added."""
+    odd = _pages(spark, sf_dir).select("page_id", F.concat("url", F.expr(ODD)).alias("u"))
+    return odd.select("page_id", "u", url.canonical("u").alias("canonical"))

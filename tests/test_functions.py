@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import unicodedata
 
 import pyarrow as pa
@@ -34,10 +35,18 @@ def test_canonical_text(raw, want):
     assert url.canonical_text(raw) == want
 
 
-def test_canonical_any_and_column_agree_on_plain_urls(spark):
-    plain = [u for u in URLS if " " not in u and "~" not in u and ".." not in u]
-    rows = spark.createDataFrame([(u,) for u in plain], "u string").select("u", url.canonical("u").alias("a"), url.canonical_any("u").alias("b")).collect()
-    assert all(r.a == r.b == URLS[r.u] for r in rows)
+ODD_URLS = [
+    "https://e.com/a b/é?q=a b&z=%20x~*&é=1&utm_source=x", "https://e.com/a/./b/../c?x", "https://e.com/%zz/%41?a=%zz&b=%C3%A9+x&b=1", "  https://e.com/x\ty?p=1&page=2 ", "https://e.com/..", "https://e.com/a/..?page=1",
+    "https://e.com:443/漢字?漢=字#é", "HTTPS://E.com/q?p=%31&r=!'()", "https://e.com?b=%26&a==", "ftp://e.com/a b", "https:///x", "https://e.com/\U0001f642?a=\U0001f642", 'https://e.com/"<>`{}\\?x="', "https://e.com/a//b/../?+=+",
+]
+
+
+def test_canonical_column_equals_one_url_at_a_time(spark):
+    rng = random.Random(6)
+    made = ["https://e.com/" + "".join(rng.choice(["a", "b", "/", ".", "..", "/../", "?", "&", "=", "p=1", "page=1", "utm_source=", "%20", "%", "+", " ", "é", "~", "*", "#", "'", ";"]) for _ in range(rng.randrange(14))) for _ in range(600)]
+    urls = [*URLS, *ODD_URLS, *made]
+    got = spark.createDataFrame(list(enumerate(urls)), "i int, u string").repartition(4).select("i", url.canonical("u").alias("c")).collect()
+    assert {urls[r.i]: r.c for r in got} == {u: url.canonical_text(u) for u in urls}
 
 
 @settings(max_examples=200, deadline=None)
