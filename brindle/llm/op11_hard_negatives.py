@@ -345,9 +345,13 @@ def mine(vectors: DataFrame, is_anchor: Column, relabel: Column | None = None, p
         none, whole = np.zeros(n, np.int64), np.full(n, np.inf)
         parts = fill(rows, anchors, Windows(np.arange(n), none, none, -whole, whole), none, sample, share, positives, True, dims, exact)
         near = [r for p in parts for r in p.select("anchor_id", "anchor_key", "rank", "vec_id", "score").collect()]  # positives of these anchors
+        for part in parts:
+            store.drop(part)
         windows, slots = negative_windows(near, anchors, low, high)
         if len(windows.owner):
             out += fill(rows, anchors, windows, slots, sample, share, negatives, False, dims, exact)
+    store.drop(asked)
+    store.drop(rows)
     if not out:
         return spark.createDataFrame([], RESULT)
     found = out[0]

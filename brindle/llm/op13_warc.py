@@ -54,9 +54,10 @@ def base32(hexadecimal: Column) -> Column:
     return F.concat(*[letter(i, s) for i in range(8) for s in (15, 10, 5, 0)])
 
 
-def judged(pages: DataFrame, least: int = 0) -> DataFrame:
+def judged(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """pages (page_id, url, html) with payload, digest, and first: the least page_id of those with an equal payload of
-    at least `least` bytes, null where the page itself is that page, its id is null, or it shares its payload with none."""
+    at least `least` bytes, null where the page itself is that page, its id is null, or it shares its payload with none.
+    Then the table of payloads that several pages share, which those rows are read with."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
     shared = rows.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -64,10 +65,10 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
     if shared.count() <= BROADCAST:
         rows = rows.join(F.broadcast(shared), "key", "left")
     else:
-        shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(shared, ["key", "salt"], "left")
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(salted, ["key", "salt"], "left")
     first = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    return rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), first.alias("first"))
+    return rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), first.alias("first")), shared
 
 
 def record_text(rows: DataFrame) -> Column:
@@ -90,8 +91,9 @@ def record_text(rows: DataFrame) -> Column:
 def write(pages: DataFrame, least: int = 0) -> str:
     """Write a record for every row of pages (page_id, url, html) and give the folder: gzip streams of many records each."""
     folder = f"{store.shared_dir(pages.sparkSession)}/brindle/warc-{uuid.uuid4().hex}"
-    rows = judged(pages, least)
+    rows, shared = judged(pages, least)
     rows.select(record_text(rows).alias("value")).write.option("compression", "gzip").option("lineSep", END).text(folder)
+    store.drop(shared)
     return folder
 
 
