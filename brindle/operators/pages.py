@@ -105,6 +105,11 @@ def numbered(rows: DataFrame, order: list[str], checkpoint) -> DataFrame:
     return ids.withColumn("rank", offset + place).drop("_id")
 
 
+def openable(loaded: DataFrame) -> DataFrame:
+    """url, _open of pages that open; of a corpus laid out by URL (sources/corpus.py) this moves no row."""
+    return loaded.select("url").distinct().withColumn("_open", F.lit(True))
+
+
 def crawl(seeds: DataFrame, edges: DataFrame, loaded: DataFrame, checkpoint, most: int = MOST_VISITED, waves: int = MOST_WAVES) -> DataFrame:
     """url, intent, rank, wave, status (visited, failed or queued) of a breadth-first crawl from the seeds.
 
@@ -115,8 +120,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, loaded: DataFrame, checkpoint, mos
     adds them, which audits and coverage need. checkpoint(df, name) cuts lineage. The state is kept as Parts, each wave
     written as it comes.
     """
-    edges = edges.where("next_url <> url").groupBy("url", "next_url").agg(F.min("ord").alias("ord"))
-    opens = loaded.select("url").distinct().withColumn("_open", F.lit(True))
+    edges = checkpoint(edges.where("next_url <> url").groupBy("url", "next_url").agg(F.min("ord").alias("ord")), "edges")  # read by every wave
+    opens = openable(loaded)
     front = seeds.withColumn("url", url.canonical("url")).groupBy("url").agg(F.max_by("intent", "ord").alias("intent"), F.min("ord").alias("_o"))
     front = numbered(front.withColumn("wave", F.lit(0)), ["_o", "url"], checkpoint).drop("_o")
     parts, visited = Parts(front.where("false").select("url", "intent", "rank", "wave", F.lit("queued").alias("status")), checkpoint), 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import extract, pages, records, site
 from brindle.plans import catalog, fixtures
-from brindle.sources import html
+from brindle.sources import corpus, html
 
 PAGE = """<html><head><title> A  shop </title><script>var t="</p>";</script><script type="application/ld+json">{bad</script>
 <script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":["X","Product"],"name":"Cam","offers":[{"price":"","lowPrice":5}],"aggregateRating":{"ratingValue":4.5,"ratingCount":3}}]}</script></head>
@@ -283,3 +283,22 @@ def test_matching_by_candidates_equals_all_pairs(spark):
     got = site.match_elements(frame(nodes, "node_id"), frame(elements, "element_id"))
     assert {r["node_id"]: (r["element_id"], r["score"]) for r in got.collect()} == want
     site.ELEMENTS_MOST = site_most
+
+
+def test_waves_meet_a_laid_out_corpus_where_it_lies(spark):
+    seeds, edges, loaded = _chain(spark, 3)
+    made = loaded.selectExpr("cast(substring_index(url, '/', -1) AS long) AS page_id", "url || '#x' AS url", "'first' AS html")
+    table = corpus.lay_out(made.unionByName(made.selectExpr("page_id + 100", "url", "'second'").toDF("page_id", "url", "html")), "laid_out", 5)
+    assert [(r["page_id"], r["html"]) for r in table.orderBy("page_id").collect()] == [(k, "first") for k in range(4)]
+    cut = lambda df, n: df.checkpoint()
+    plain = pages.crawl(seeds, edges, loaded, cut).collect()
+    assert sorted(pages.crawl(seeds, edges, table, cut).collect()) == sorted(plain)
+    front, kept = seeds.select("url"), {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "5"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, v)
+    for _ in range(3):  # wave after wave the plan has one exchange, of the wave
+        seen = front.join(pages.openable(table), "url", "left")
+        assert seen._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        front = seen.select("url").checkpoint()
+    for k, v in kept.items():
+        spark.conf.set(k, v)
