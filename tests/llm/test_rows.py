@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import op1_mixing, op2_additive_quantisation, op6_uniform_shuffle, op7_byte_bpe, queries
+from brindle.llm import op1_mixing, op2_additive_quantisation, op6_uniform_shuffle, op7_byte_bpe, op10_toxicity, queries
 from tests.llm import brute
 
 
@@ -169,6 +169,11 @@ def test_pipeline(spark, sf_dir):
     kept = docs
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, kept, sf_dir)
+        if name == "toxicity":
+            scores = op10_toxicity.digest(kept, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            assert sorted(r["doc_id"] for r in scores.where("predicted = 0").collect()) == sorted(r["doc_id"] for r in out.collect())
+        if name == "mixing":
+            assert sorted(r["doc_id"] for r in op1_mixing.digest(kept).where("sampled").collect()) == sorted(r["doc_id"] for r in out.collect())
         if name == "suffix_array_dedup":
             rows = [tuple(r) for r in kept.select("doc_id", "text").collect()]
             lengths = {i: n - gone for i, n, gone, _, _ in brute.bytes_dedup(rows)}
