@@ -14,12 +14,17 @@ CARD_LEVELS, CARD_CHARS, CARD_LINKS = 7, 1400, 10
 MOST_VISITED, MOST_WAVES = 2000, 1000
 
 
+#: A link by pattern, the same for Java and RE2: with an href in quotes of either kind or none, and an end tag.
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a>"""
+QUOTES = """^["']|["']$"""
+
+
 def anchors(pages: DataFrame, outer: bool = False) -> DataFrame:
     """page_id, url, ord, href (absolute), text of every link of pages (page_id, url, html), by pattern alone: of links
-    with a double-quoted href and an end tag (extract.page_links has all). outer: one row, with a null ord, for pages without links."""
-    tags = F.expr(r"""regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0)""")
+    with an end tag (extract.page_links has all). outer: one row, with a null ord, for pages without links."""
+    tags = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
     found = pages.select("page_id", "url", (F.posexplode_outer if outer else F.posexplode)(tags).alias("ord", "tag"))
-    href = F.regexp_extract("tag", r'(?is)<a\s[^>]*?href="([^"]*)"', 1)
+    href = F.regexp_replace(F.regexp_extract("tag", ANCHOR, 1), QUOTES, "")
     return found.select("page_id", "url", "ord", url.resolve(href, "url").alias("href"), text.clean(F.regexp_replace(F.regexp_replace("tag", r"(?is)^<a\s[^>]*>|</a>$", ""), "<[^>]*>", "")).alias("text"))
 
 

@@ -76,8 +76,8 @@ def ANCHORS(source: str) -> str:
     """The links of a table of pages by pattern, as WITH parts a, h and links."""
     return f"""
 a AS (SELECT page_id, url, generate_subscripts(tags, 1) - 1 AS ord, unnest(tags) AS tag
-      FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0) AS tags FROM {source})),
-h AS (SELECT page_id, url, ord, tag, regexp_extract(tag, '(?is)<a\\s[^>]*?href="([^"]*)"', 1) AS raw FROM a),
+      FROM (SELECT page_id, url, regexp_extract_all(html, {q(pages.ANCHOR)}, 0) AS tags FROM {source})),
+h AS (SELECT page_id, url, ord, tag, regexp_replace(regexp_extract(tag, {q(pages.ANCHOR)}, 1), {q(pages.QUOTES)}, '', 'g') AS raw FROM a),
 links AS (SELECT page_id, url, ord, {RESOLVE("raw", "url")} AS href,
       {CLEAN("regexp_replace(regexp_replace(tag, '(?is)^<a\\s[^>]*>|</a>$', '', 'g'), '<[^>]*>', '', 'g')")} AS text,
       regexp_extract(tag, '^<a [^>]*aria-label="([^"]*)"', 1) AS aria_label, regexp_extract(tag, '^<a [^>]*title="([^"]*)"', 1) AS title FROM h)"""
@@ -194,7 +194,14 @@ def link_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("page_id", "href", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_page_shredded")
+LINES_SHOWN = f"regexp_replace(regexp_replace(regexp_replace(translate(html, chr(10), ' '), '(?is)<!--.*?-->|<(head|script|style)[ >].*?</(head|script|style)>', '', 'g'), '(?i)</?({SHOWN_BLOCKS})([ /][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+    LINES_SHOWN = f"regexp_replace({LINES_SHOWN}, '&{_name};?', '{_char}', 'g')"
+SHREDDED_SQL = f"""SELECT page_id, len(regexp_extract_all(bare, '<[a-zA-Z]'))::INT AS n_nodes, len(regexp_extract_all(bare, '<a '))::INT AS n_interactive, len(lines)::INT AS n_lines, {CLEAN("replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')")} AS title, lines[1] AS first_line
+FROM (SELECT page_id, html, regexp_replace(html, '(?is)<!--.*?-->|(<script[^>]*>).*?</script>', '\\1', 'g') AS bare, list_filter(list_transform(string_split({LINES_SHOWN}, chr(10)), lambda x: {CLEAN('x')}), lambda x: x <> '') AS lines FROM pages)"""
+
+
+@query("q_page_shredded", SHREDDED_SQL)
 def page_shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, interactive nodes, lines and title of every page, by the HTML shredder."""
     return html.shred(_pages(spark, sf_dir)).select("page_id", F.size("nodes").alias("n_nodes"), F.size(F.filter("nodes", lambda n: n.interactive)).alias("n_interactive"), F.size("lines").alias("n_lines"), "title", F.get("lines", 0).alias("first_line"))

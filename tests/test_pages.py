@@ -302,3 +302,11 @@ def test_waves_meet_a_laid_out_corpus_where_it_lies(spark):
         front = seen.select("url").checkpoint()
     for k, v in kept.items():
         spark.conf.set(k, v)
+
+
+def test_links_by_pattern_of_any_quoting(spark):
+    page = """<a href="/a?x='1'">A</a><a class=b HREF = '/b'><b>B</b></a><a\nhref=/c title="t">C</a><a data-href="/no" href="/d">D</a><abbr href="/e">E</abbr><a name=x>F</a><a href=''>G</a>"""
+    rows = spark.createDataFrame([(1, "https://s.vn/", page), (2, "https://s.vn/", None)], "page_id long, url string, html string")
+    got = [(r["href"], r["text"]) for r in pages.anchors(rows).orderBy("ord").collect()]
+    assert got == [("https://s.vn/a?x='1'", "A"), ("https://s.vn/b", "B"), ("https://s.vn/c", "C"), ("https://s.vn/d", "D"), ("https://s.vn/", "G")]
+    assert pages.anchors(rows, outer=True).where("ord is null").count() == 1
