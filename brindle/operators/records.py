@@ -37,23 +37,25 @@ def titled(sheet: str, rows: DataFrame) -> DataFrame:
 def classify(rows: DataFrame) -> DataFrame:
     """rows (title, body) with entity_label, entity_score, positives, negatives."""
     folded = rows.withColumns({"_title": F.col("title"), "_body": F.col("body")}).withColumns({"title": text.fold("title"), "body": text.fold("body")}).withColumn("both", F.concat("title", F.lit(" "), "body"))
-    short = F.col("title").rlike(lexicon.STRONG_NEGATIVE)
-    score = rules.score(lexicon.ENTITY + lexicon.NOT_ENTITY)
+    # found once, read by the score and both lists
+    folded = folded.withColumns({"_short": F.col("title").rlike(lexicon.STRONG_NEGATIVE), "_for": rules.findings(lexicon.ENTITY), "_against": rules.findings(lexicon.NOT_ENTITY)})
+    short, for_, against = F.col("_short"), F.col("_for"), F.col("_against")
+    score = rules.score(lexicon.ENTITY, for_) + rules.score(lexicon.NOT_ENTITY, against)
     out = folded.withColumns(
         {
             "entity_score": F.when(short, -100).otherwise(score),
-            "positives": F.when(short, F.array().cast("array<string>")).otherwise(rules.labels(lexicon.ENTITY)),
-            "negatives": F.when(short, F.array(F.lit("strong non-camera title"))).otherwise(rules.labels(lexicon.NOT_ENTITY)),
+            "positives": F.when(short, F.array().cast("array<string>")).otherwise(rules.labels(lexicon.ENTITY, for_)),
+            "negatives": F.when(short, F.array(F.lit("strong non-camera title"))).otherwise(rules.labels(lexicon.NOT_ENTITY, against)),
         }
     )
     label = F.when(F.col("entity_score") >= lexicon.CAMERA_FROM, "CAMERA").when(F.col("entity_score") <= lexicon.NOT_CAMERA_TO, "NOT_CAMERA").otherwise("UNCERTAIN")
-    return out.withColumns({"entity_label": label, "title": F.col("_title"), "body": F.col("_body")}).drop("_title", "_body", "both")
+    return out.withColumns({"entity_label": label, "title": F.col("_title"), "body": F.col("_body")}).drop("_title", "_body", "both", "_short", "_for", "_against")
 
 
 def business_mode(intent: Column, body: Column) -> Column:
     """A sure intent, else by the page's words, else null."""
     low = F.lower(F.coalesce(body, F.lit("")))
-    by_words = F.coalesce(*[F.when(low.rlike(r.pattern), F.lit(r.label)) for r in lexicon.BUSINESS])
+    by_words = F.coalesce(*[F.when(text.found(low, r.pattern), F.lit(r.label)) for r in lexicon.BUSINESS])
     return F.when(intent.isin("RENTAL", "SECOND_HAND", "NEW"), intent).otherwise(by_words)
 
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from brindle.functions import text, url
+from brindle.functions import lexicon, text, url
 from brindle.operators import records, site
 
 URLS = {
@@ -120,3 +120,34 @@ def test_fold_of_other_scripts(spark):
     rows = [("Ёлка й", "елка и"), ("Ά ή Ώ", "α η ω"), ("がギパ", "か\u3099キ\u3099ハ\u309a"), ("각 한국", unicodedata.normalize("NFD", "각 한국")), ("ẤÀ Å đĐ", "aa a dd"), ("", ""), (None, "")]
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", text.fold("t").alias("f")).collect()
     assert {r["i"]: r["f"] for r in got} == {i: want for i, (_, want) in enumerate(rows)}
+
+
+def test_needles_stand_in_all_that_a_pattern_is_found_in(spark):
+    """found equals rlike, on the rules' own terms put together at random and cut short."""
+    rng = random.Random(3)
+    named = [r for name in ("SITE", "MENU", "ROOTS", "ENTITY", "NOT_ENTITY", "BUSINESS") for r in getattr(lexicon, name)]
+    known = [r.pattern for r in named if text.needles(r.pattern)]
+    assert len(known) == len(named) - 1
+    parts = [n for p in known for n in text.needles(p)[0]]
+    texts = ["".join(rng.choice(["", " ", ".", "_", "x", "4k", "mah", "\n"]) + (part := rng.choice(parts))[: rng.randrange(len(part) // 2, len(part) + 1)] for _ in range(rng.randrange(4))) for _ in range(400)] + [None, "iso", "isox", "quay video full hd"]
+    columns = [(text.found(F.col("t"), p), F.col("t").rlike(p)) for p in known]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*[F.struct(a.alias("got"), b.alias("want")) for a, b in columns]).collect()
+    assert all(x.got == x.want for row in rows for x in row)
+    assert sum(bool(x.want) for row in rows for x in row) > 100
+    assert [text.needles(p) for p in ("(a)|(b)", "(?i)(ab)", "([0-9]|x)", "ab", "(ab?c|d)", r"(a\.b)")] == [None, None, None, None, (["a", "d"], False), (["a"], False)]
+
+
+def test_rules_are_tried_once(spark):
+    """Score and labels read the same findings; a text without a needle meets no pattern."""
+    plan = records.classify(spark.range(3).select(F.col("id").cast("string").alias("title"), F.col("id").cast("string").alias("body")))._jdf.queryExecution().optimizedPlan().toString()
+    for term in ("mirrorless", "cam bien", "dien ap"):
+        assert plan.count(f"RLIKE (^|[^a-zA-Z0-9_])({term}") + plan.count(f"RLIKE ({term}") <= 1
+    assert plan.count("RLIKE") <= 1 + len(lexicon.ENTITY + lexicon.NOT_ENTITY) + 1  # SEVERAL's and STRONG_NEGATIVE's
+    assert "Contains(body" in plan
+
+
+def test_white_space_of_all_kinds_is_one_space(spark):
+    points = [x for x in range(0x10000) if not 0xD800 <= x <= 0xDFFF]
+    rows = spark.createDataFrame(pa.table({"x": points, "t": [f"{chr(x)} a {chr(x)}{chr(x)}b{chr(x)}" for x in points]})).repartition(8)
+    same = [(F.trim(F.regexp_replace("t", text.WS, " ")), text.clean("t")), (F.trim(F.regexp_replace(F.lower(text.decomposed("t")), text.WS, " ")), text.fold("t"))]
+    assert rows.select("x", *[c.alias(f"{n}{i}") for i, p in enumerate(same) for n, c in zip("ab", p)]).where("a0 <> b0 or a1 <> b1").collect() == []
