@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from brindle.plans import catalog
+from brindle.plans import catalog, shops
+from brindle.plans.fixtures import TABLES, frame
 
 
 def _plain(v):
@@ -42,3 +43,16 @@ def test_entry_has_rows_and_names_agree(spark):
 def test_host_query_reads_only_what_it_needs(spark, sf_dir):
     plan = catalog.QUERIES["q_page_canonical_url"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan
+
+
+def test_sheets_read_records_made_once(spark, sf_dir):
+    plan = catalog.QUERIES["q_sheets"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(shops.SPREAD))
+def test_rows_of_much_work_are_dealt_out(spark, sf_dir, name):
+    """However small the tables are that they are made of."""
+    rows = frame(spark, sf_dir, name)
+    assert rows.rdd.getNumPartitions() == shops.parts(spark)
+    assert rows.count() == spark.sql(f"SELECT * FROM {shops.spark_sql(shops.relation(TABLES[name], name), sf_dir)} AS t").count()
