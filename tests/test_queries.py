@@ -56,3 +56,9 @@ def test_rows_of_much_work_are_dealt_out(spark, sf_dir, name):
     rows = frame(spark, sf_dir, name)
     assert rows.rdd.getNumPartitions() == shops.parts(spark)
     assert rows.count() == spark.sql(f"SELECT * FROM {shops.spark_sql(shops.relation(TABLES[name], name), sf_dir)} AS t").count()
+
+
+def test_site_modes_shred_each_page_once(spark, sf_dir):
+    for name in ("q_site_mode", "q_generic_roots", "q_synthetic_nodes"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
