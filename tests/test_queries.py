@@ -58,6 +58,12 @@ def test_rows_of_much_work_are_dealt_out(spark, sf_dir, name):
     assert rows.count() == spark.sql(f"SELECT * FROM {shops.spark_sql(shops.relation(TABLES[name], name), sf_dir)} AS t").count()
 
 
+def test_submenus_do_not_go_by_way_of_the_driver(spark, sf_dir):
+    plan = catalog.QUERIES["q_submenu"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("SubqueryBroadcast")] if "SubqueryBroadcast" in plan else plan
+    assert "LeftAnti, BuildRight" not in after and "BroadcastHashJoin [page_id" not in after
+
+
 def test_site_modes_shred_each_page_once(spark, sf_dir):
     for name in ("q_site_mode", "q_generic_roots", "q_synthetic_nodes"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
