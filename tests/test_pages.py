@@ -310,3 +310,20 @@ def test_links_by_pattern_of_any_quoting(spark):
     got = [(r["href"], r["text"]) for r in pages.anchors(rows).orderBy("ord").collect()]
     assert got == [("https://s.vn/a?x='1'", "A"), ("https://s.vn/b", "B"), ("https://s.vn/c", "C"), ("https://s.vn/d", "D"), ("https://s.vn/", "G")]
     assert pages.anchors(rows, outer=True).where("ord is null").count() == 1
+
+
+def test_shredder_holds_the_elements_of_few_pages(spark):
+    """A megabyte of pages in one batch: what is held at a time does not grow with them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(html.SCHEMA))
+    page, n = "<ul>" + "<li><a href='/x'>y</a></li>" * 400 + "</ul>", 100
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["u"] * n, "html": [page] * n})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in html.shredded_batches(iter([batch]), schema))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n
+    assert peak < 50e6
