@@ -151,3 +151,12 @@ def test_white_space_of_all_kinds_is_one_space(spark):
     rows = spark.createDataFrame(pa.table({"x": points, "t": [f"{chr(x)} a {chr(x)}{chr(x)}b{chr(x)}" for x in points]})).repartition(8)
     same = [(F.trim(F.regexp_replace("t", text.WS, " ")), text.clean("t")), (F.trim(F.regexp_replace(F.lower(text.decomposed("t")), text.WS, " ")), text.fold("t"))]
     assert rows.select("x", *[c.alias(f"{n}{i}") for i, p in enumerate(same) for n, c in zip("ab", p)]).where("a0 <> b0 or a1 <> b1").collect() == []
+
+
+def test_urls_that_are_their_own_form_and_those_that_only_look_so(spark):
+    same = ["https://s.vn/p/1", "http://a-b.c0/x_(y)~z;a=1/", "https://s.vn/"]
+    other = ["https://s.vn", "https://S.vn/p", "https://s.vn:443/p", "https://s.vn/a/../b", "https://s.vn/p\n", "https://s.vn/p#x", "https://s.vn/p?page=1", "https://s.vn/é"]
+    rows = spark.createDataFrame([(u,) for u in same + other], "u string")
+    plan = {r["u"]: (r["s"], r["c"]) for r in rows.select("u", F.col("u").rlike(url.SAME).alias("s"), url.canonical("u").alias("c")).collect()}
+    assert all(plan[u] == (True, u) for u in same) and not any(plan[u][0] for u in other)
+    assert all(url.canonical_text(u) == u for u in same)

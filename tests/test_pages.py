@@ -239,6 +239,36 @@ def test_run_from_pages_observes_its_audit_and_keeps_its_gates(spark):
         extract.from_pages(made(2), seeds, cut, gates=True)
 
 
+def test_a_run_keeps_no_elements_of_pages_and_makes_its_edges_once(spark):
+    page = '<main><div class="card"><h3><a href="/p/1">Canon EOS R5</a></h3><p>1.000.000 đ</p></div><p>Page 1 / 2 <a href="/c?page=2">2</a></p></main>'
+    corpus = spark.createDataFrame([(1, "https://s.vn/c", page), (2, "https://s.vn/p/1", "<h1>Canon EOS R5</h1>")], "page_id long, url string, html string")
+    kept, plans = [], []
+
+    def cut(df, name):
+        kept.append(df.columns)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.checkpoint()
+
+    extract.from_pages(corpus, spark.createDataFrame([(1, "https://s.vn/c", "NEW", "n")], "ord int, url string, intent string, label string"), cut)
+    assert not any("nodes" in columns for columns in kept)
+    assert sum("MapInArrow" in plan for plan in plans) == 1
+    assert sum("sequence(2" in plan for plan in plans) == 1
+
+
+PLAIN_PAGES = [
+    "", "text alone &amp; more", " <p>x &lt; y</p><p>z", '<ul><li>a<li>b</ul><div class="content x"><a href="/x">\n y</a></div>', '<script type="application/ld+json">{"a":"&amp;"}</script><b>x</b>',
+    '<style>.off{display:none}</style><p class="off">no</p><p style="width:0">flat</p><button>k</button>', "</p><title>&eacute;t</title><table><tr><td>1<td>2</table>",
+]
+OTHER_PAGES = ["<P>x</P>", "<br/>", "a < b", "<!-- c --><p>x</p>", "<a href=/x>y</a>", '<a href="?a&amp;b">y</a>', "<script>a</b></script>", "<title>a<b>c</b></title>", "<iframe>x</iframe>", '<p hidden>x</p>', "<style>p{}"]
+
+
+def test_plain_markup_is_read_as_by_the_standard_parser(monkeypatch):
+    plain = [html.shred_text(x) for x in PLAIN_PAGES]
+    assert all(html._Parser().read_plain(x) for x in PLAIN_PAGES) and not any(html._Parser().read_plain(x) for x in OTHER_PAGES)
+    monkeypatch.setattr(html._Parser, "read_plain", lambda self, raw: False)
+    assert plain == [html.shred_text(x) for x in PLAIN_PAGES]
+
+
 def test_headers_name_all_columns_of_every_sheet(spark):
     rows = records.details(fixtures.literal(spark, "listed"), fixtures.literal(spark, "details"))
     seeds, crawled = fixtures.literal(spark, "seeds"), spark.sql("SELECT 'u' AS url, 'visited' AS status")
