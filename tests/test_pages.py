@@ -255,6 +255,15 @@ def test_a_run_keeps_no_elements_of_pages_and_makes_its_edges_once(spark):
     assert sum("sequence(2" in plan for plan in plans) == 1
 
 
+def test_pages_that_declare_several_are_dealt_out(spark):
+    declared = spark.range(100).selectExpr("'https://s' || id || '.vn/c' AS page_url", "3 AS n")
+    links = spark.createDataFrame([], "page_url string, ord int, href string")
+    made = pages.turned(declared, links).checkpoint()
+    assert made.count() == 200
+    plan = pages.turned(declared, links)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [page_url" in plan
+
+
 PLAIN_PAGES = [
     "", "text alone &amp; more", " <p>x &lt; y</p><p>z", '<ul><li>a<li>b</ul><div class="content x"><a href="/x">\n y</a></div>', '<script type="application/ld+json">{"a":"&amp;"}</script><b>x</b>',
     '<style>.off{display:none}</style><p class="off">no</p><p style="width:0">flat</p><button>k</button>', "</p><title>&eacute;t</title><table><tr><td>1<td>2</table>",
