@@ -75,6 +75,20 @@ def test_hidden_parts_are_not_in_the_text_of_what_is_seen(spark):
     assert html.visible_text(rows).first()["visible_text"] == "Buy now"
 
 
+def test_all_controls_of_a_page_are_nodes(spark):
+    """However many, with their own texts: characters beyond the first plane, none, and longer than the pieces a text is cut in."""
+    texts = [f"é😀 {i}" * (i % 7) for i in range(1500)] + ["w" * (1 << html.PIECE_BITS) * 2 + "\ufeffend", "", "x" * ((1 << html.PIECE_BITS) - 3), "last"]
+    page = "".join(f'<p><a href="/{i}">{t}</a><i style="display:none">{i}</i></p><button aria-label="b">😀</button>' if t else f'<a href="/{i}" title="t"></a>' for i, t in enumerate(texts))
+    got = html.shred_text(page)
+    want = [got["shown"][n["shown_start"] : n["shown_end"]].strip() or got["text"][n["start"] : n["end"]].strip() for n in got["nodes"] if n["interactive"]]
+    assert len(want) > 2700 and want[-2:] == ["last", "😀"]
+    rows = html.shred(spark.createDataFrame([(1, "https://s.vn/", page), (2, "https://s.vn/", "<a href=/x>y</a>"), (3, "https://s.vn/", "")], "page_id long, url string, html string"))
+    found = html.nodes(rows).orderBy("page_id", "ord").collect()
+    assert [r["text"] for r in found if r["page_id"] == 1] == want and [r["text"] for r in found if r["page_id"] == 2] == ["y"]
+    assert [r["ord"] for r in found if r["page_id"] == 1] == list(range(len(want)))
+    assert html.nodes(rows, 300).count() == 301
+
+
 def test_a_deep_tree_takes_room_in_proportion():
     tracemalloc.start()
     got = html.shred_text("<b>x" * 20_000 + "<a href=/x>y</a>" * 10 + "</p>" * 20_000)

@@ -68,3 +68,19 @@ def test_site_modes_shred_each_page_once(spark, sf_dir):
     for name in ("q_site_mode", "q_generic_roots", "q_synthetic_nodes"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1, name
+
+
+@pytest.mark.parametrize("name", ["q_menu_topk", "q_site_mode", "q_sure_roots"])
+def test_menus_of_any_length_equal_sql(spark, sf_dir, tmp_path, name):
+    """The best links of a page come after 400 others, and after the 12,000 characters that are read of what it shows."""
+    for table in ("part", "supplier", "lineitem"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{sf_dir}/{table}.parquet")
+    links = "".join(f'<li><a href="/l{i}">{"Tin " + "dài " * 9 if i < 400 else "Cho thuê máy ảnh"} {i}</a></li>' for i in range(430))
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT 7::BIGINT AS page_id, 'https://wide.vn/' AS url, '<html><body><ul>{links}</ul></body></html>' AS html) TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    for table in ("part", "supplier", "lineitem", "pages"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path)).where("page_id = 7")
+    c.execute(f"CREATE TABLE want AS {catalog.ORACLE_SQL[name]}")
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM want WHERE page_id = 7").fetchall()
+    assert want and sorted(map(tuple, df.collect())) == sorted(want)
